@@ -93,7 +93,7 @@ def join_latest_metric(reits: DataFrame, metrics: DataFrame) -> DataFrame:
         "left_semi",
     )
     r = reits.select("ticker", "name", "sector", "sub_sector", "dividend_yield", "payout_ratio")
-    m = latest.select("reit_ticker", "fiscal_year", "quarter", "ffo_per_share", "affo_per_share",
+    m = latest.select("reit_ticker", "ffo_per_share", "affo_per_share",
                       "same_store_noi_growth", "ffo_growth_yoy", "net_debt_to_ebitda",
                       "interest_coverage", "weighted_avg_cap_rate", "dividend_growth_yoy")
     return r.join(m, r.ticker == m.reit_ticker, "left").drop("reit_ticker")

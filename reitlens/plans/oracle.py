@@ -10,6 +10,17 @@ from __future__ import annotations
 
 D = "CAST({} AS DOUBLE)".format
 
+
+def xavg(expr: str) -> str:
+    """Exact average (decimal sum, one double division), as ``functions.aggs.exact_avg``."""
+    return (f"CASE WHEN count({expr}) > 0 THEN CAST(sum(CAST({expr} AS DECIMAL(18,4))) AS DOUBLE)"
+            f" / count({expr}) END")
+
+
+def xsum(expr: str, over: str = "") -> str:
+    """Exact sum as double; ``over`` adds a window clause (``OVER (...)``)."""
+    return f"CAST(sum(CAST({expr} AS DECIMAL(18,4))) {over} AS DOUBLE)"
+
 GEOGRAPHY = """
 geography AS (
   SELECT n.n_nationkey, n.n_name, r.r_name
@@ -36,38 +47,52 @@ reits AS (
 REITS_SIGNED = REITS.replace("reits AS (", "reits_signed AS (").replace(
     "abs(s.s_acctbal) * CAST(1e7 AS DOUBLE)", "s.s_acctbal * CAST(1e7 AS DOUBLE)")
 
+def idiv(a: str, b: str) -> str:
+    """Integer division truncating toward zero (DuckDB ``//`` on BIGINT)."""
+    return f"(CAST({a} AS BIGINT) // CAST({b} AS BIGINT))"
+
+
+def measure(units: str) -> str:
+    return f"(CAST({units} AS DOUBLE) / CAST(10000 AS DOUBLE))"
+
+
+def units(col: str) -> str:
+    return f"CAST(round({col} * CAST(10000 AS DOUBLE)) AS BIGINT)"
+
+
 METRICS_AGG = """
 metrics_agg AS (
   SELECT l_suppkey AS suppkey,
          year(l_shipdate) AS ship_year,
          quarter(l_shipdate) AS quarter,
          count(*) AS n,
-         sum(l_quantity) AS qty,
-         sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS rev,
-         sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (CAST('1.00' AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(4,2)))) AS net,
-         sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (CAST('1.00' AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(4,2)))
-             * (CAST('1.00' AS DECIMAL(3,2)) - CAST(l_tax AS DECIMAL(4,2)))) AS aff,
-         sum(CAST(l_discount AS DECIMAL(4,2))) AS dsum,
-         sum(CAST(l_tax AS DECIMAL(4,2))) AS tsum,
+         CAST(sum(l_quantity) AS BIGINT) AS qty,
+         CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) * 100 AS BIGINT) AS rev_c,
+         CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (CAST('1.00' AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(4,2)))) * 10000 AS BIGINT) AS net_u,
+         CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (CAST('1.00' AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(4,2)))
+             * (CAST('1.00' AS DECIMAL(3,2)) - CAST(l_tax AS DECIMAL(4,2)))) * 1000000 AS BIGINT) AS aff_u6,
+         CAST(sum(CAST(l_discount AS DECIMAL(4,2))) * 100 AS BIGINT) AS disc_c,
+         CAST(sum(CAST(l_tax AS DECIMAL(4,2))) * 100 AS BIGINT) AS tax_c,
          max(l_shipdate) AS last_ship
   FROM lineitem
   GROUP BY 1, 2, 3
 )"""
 
-METRICS_BASE = """
+_AFFO_U = idiv("aff_u6", "qty * 10000")
+
+METRICS_BASE = f"""
 metrics_base AS (
   SELECT 'R' || CAST(suppkey AS VARCHAR) AS reit_ticker,
          CAST(ship_year + 20 AS INTEGER) AS fiscal_year,
          CAST(quarter AS INTEGER) AS quarter,
-         CAST(rev AS DOUBLE) / CAST(1000 AS DOUBLE) AS total_revenue,
-         CAST(net AS DOUBLE) / CAST(1000 AS DOUBLE) AS same_store_noi,
-         CAST(net AS DOUBLE) / qty / CAST(100 AS DOUBLE) AS ffo_per_share,
-         CAST(aff AS DOUBLE) / qty / CAST(100 AS DOUBLE) AS affo_per_share,
-         qty / n / CAST(5 AS DOUBLE) AS net_debt_to_ebitda,
-         CAST(tsum AS DOUBLE) / n * CAST(100 AS DOUBLE) AS interest_coverage,
-         CAST(dsum AS DOUBLE) / n AS weighted_avg_cap_rate,
-         (CAST(aff AS DOUBLE) / qty / CAST(100 AS DOUBLE))
-           * (CAST(dsum AS DOUBLE) / n * CAST(4 AS DOUBLE) + CAST(0.55 AS DOUBLE)) AS dividend_per_share,
+         {measure(idiv('rev_c', '10'))} AS total_revenue,
+         {measure(idiv('net_u', '1000'))} AS same_store_noi,
+         {measure(idiv('net_u', 'qty * 100'))} AS ffo_per_share,
+         {measure(_AFFO_U)} AS affo_per_share,
+         {measure(idiv('qty * 2000', 'n'))} AS net_debt_to_ebitda,
+         {measure(idiv('tax_c * 10000', 'n'))} AS interest_coverage,
+         {measure(idiv('disc_c * 100', 'n'))} AS weighted_avg_cap_rate,
+         {measure(idiv(_AFFO_U + ' * (disc_c * 4 + n * 55)', 'n * 100'))} AS dividend_per_share,
          CAST(last_ship AS TIMESTAMP) AS created_at,
          CAST(ship_year + 20 AS INTEGER) * 4 + CAST(quarter AS INTEGER) AS qidx
   FROM metrics_agg
@@ -75,9 +100,9 @@ metrics_base AS (
 
 
 def _yoy(col: str) -> str:
-    prev = (f"max({col}) OVER (PARTITION BY reit_ticker ORDER BY qidx "
+    prev = (f"max({units(col)}) OVER (PARTITION BY reit_ticker ORDER BY qidx "
             f"RANGE BETWEEN 4 PRECEDING AND 4 PRECEDING)")
-    return (f"CASE WHEN {prev} > 0 THEN ({col} - {prev}) / {prev} * CAST(100 AS DOUBLE) END")
+    return (f"CASE WHEN {prev} > 0 THEN {measure(idiv(f'({units(col)} - {prev}) * 1000000', prev))} END")
 
 
 FINANCIAL_METRICS = f"""
@@ -125,7 +150,7 @@ price_data AS (
          first_px / CAST(1000 AS DOUBLE) AS open,
          hi / CAST(1000 AS DOUBLE) AS high,
          lo / CAST(1000 AS DOUBLE) AS low,
-         CAST(px_sum AS DOUBLE) / volume / CAST(1000 AS DOUBLE) AS close,
+         (CAST(CAST(px_c * 10 AS BIGINT) // CAST(volume AS BIGINT) AS DOUBLE) / CAST(10000 AS DOUBLE)) AS close,
          CAST(volume AS BIGINT) AS volume
   FROM (
     SELECT 'R' || CAST(o_custkey % 40 AS VARCHAR) AS ticker,
@@ -133,29 +158,29 @@ price_data AS (
            arg_min(o_totalprice, o_orderkey) AS first_px,
            max(o_totalprice) AS hi,
            min(o_totalprice) AS lo,
-           sum(CAST(o_totalprice AS DECIMAL(12,2))) AS px_sum,
+           CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) * 100 AS BIGINT) AS px_c,
            count(*) AS volume
     FROM orders GROUP BY 1, 2
   )
 )"""
 
-INDICATOR_VALUES = """
+INDICATOR_VALUES = f"""
 indicator_values AS (
   SELECT CASE ln WHEN 1 THEN 'FEDFUNDS' WHEN 2 THEN 'DGS10' WHEN 3 THEN 'DGS2' WHEN 4 THEN 'WFII'
                  WHEN 5 THEN 'UNRATE' WHEN 6 THEN 'CPIAUCSL' WHEN 7 THEN 'HOUST' END AS series_id,
          date,
-         CASE ln WHEN 1 THEN CAST(dsum AS DOUBLE) / n * CAST(100 AS DOUBLE)
-                 WHEN 2 THEN CAST(tsum AS DOUBLE) / n * CAST(100 AS DOUBLE) + CAST(1 AS DOUBLE)
-                 WHEN 3 THEN CAST(dsum AS DOUBLE) / n * CAST(100 AS DOUBLE) - CAST(0.5 AS DOUBLE)
-                 WHEN 4 THEN CAST(tsum AS DOUBLE) / n * CAST(100 AS DOUBLE) + CAST(3 AS DOUBLE)
-                 WHEN 5 THEN qty / n / CAST(5 AS DOUBLE)
-                 WHEN 6 THEN qty / n * CAST(10 AS DOUBLE)
-                 ELSE qty / n * CAST(50 AS DOUBLE) END AS value
+         {measure("""CASE ln WHEN 1 THEN disc_c * 10000 // n
+                 WHEN 2 THEN tax_c * 10000 // n + 10000
+                 WHEN 3 THEN disc_c * 10000 // n - 5000
+                 WHEN 4 THEN tax_c * 10000 // n + 30000
+                 WHEN 5 THEN qty * 2000 // n
+                 WHEN 6 THEN qty * 100000 // n
+                 ELSE qty * 500000 // n END""")} AS value
   FROM (
-    SELECT l_linenumber AS ln, last_day(l_shipdate) AS date, count(*) AS n,
-           sum(l_quantity) AS qty,
-           sum(CAST(l_discount AS DECIMAL(4,2))) AS dsum,
-           sum(CAST(l_tax AS DECIMAL(4,2))) AS tsum
+    SELECT l_linenumber AS ln, last_day(l_shipdate) AS date, CAST(count(*) AS BIGINT) AS n,
+           CAST(sum(l_quantity) AS BIGINT) AS qty,
+           CAST(sum(CAST(l_discount AS DECIMAL(4,2))) * 100 AS BIGINT) AS disc_c,
+           CAST(sum(CAST(l_tax AS DECIMAL(4,2))) * 100 AS BIGINT) AS tax_c
     FROM lineitem GROUP BY 1, 2
   )
   WHERE ln BETWEEN 1 AND 7

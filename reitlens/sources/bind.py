@@ -15,6 +15,9 @@ distributed job per table:
 Arithmetic is written as exact decimal sums followed by plain double
 operations, so that any engine evaluating the same expression order gets the
 same bits (the DuckDB oracle in ``reitlens.plans.oracle`` mirrors every line).
+Derived measures are whole ten-thousandths (4 decimals, truncated by integer
+division, which both engines do exactly), so later averages can be summed
+exactly as decimals (``functions.aggs``).
 Only nation and region are broadcast: TPC-H fixes them at 25 and 5 rows.
 """
 
@@ -87,9 +90,31 @@ def reits(lake: Lake, signed_market_cap: bool = False) -> DataFrame:
     )
 
 
+UNITS = 10000  # measures are stored as whole ten-thousandths (4 decimals, truncated)
+
+
+def _intdiv(a: Column, b: Column) -> Column:
+    # sign-aware truncating division built from exact long arithmetic
+    q = F.abs(a) - F.pmod(F.abs(a), F.abs(b))
+    return F.when(b == 0, F.lit(None).cast("long")).otherwise(
+        (F.signum(a) * F.signum(b)).cast("long") * (q / F.abs(b)).cast("long"))
+
+
+def _measure(units: Column) -> Column:
+    """Whole ten-thousandths -> double (one correctly rounded division)."""
+    return units.cast("double") / F.lit(float(UNITS))
+
+
+def _units(c: str) -> Column:
+    """A stored 4-decimal measure back to exact whole ten-thousandths."""
+    return F.round(F.col(c) * F.lit(float(UNITS))).cast("long")
+
+
 def _yoy(col: str, window) -> Column:
-    prev = F.max(F.col(col)).over(window)
-    return F.when(prev > 0, (F.col(col) - prev) / prev * F.lit(100.0))
+    """Year-over-year growth in percent, from the row exactly four quarters back."""
+    prev = F.max(_units(col)).over(window)
+    cur = _units(col)
+    return F.when(prev > 0, _measure(_intdiv((cur - prev) * (100 * UNITS), prev)))
 
 
 def financial_metrics(lake: Lake) -> DataFrame:
@@ -97,6 +122,8 @@ def financial_metrics(lake: Lake) -> DataFrame:
 
     The aggregation is partial-then-final (map-side combine), so a supplier
     holding a third of all lines only shuffles one partial row per task.
+    Sums are exact decimals turned into whole cents / ten-thousandths; every
+    measure is an integer division of those, truncated to 4 decimals.
     Year-over-year growth reads the row exactly four quarters earlier through
     a value-range frame; the window shuffles the aggregated rows only.
     """
@@ -111,29 +138,29 @@ def financial_metrics(lake: Lake) -> DataFrame:
         F.quarter("l_shipdate").alias("quarter"),
     ).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("l_quantity").alias("qty"),
-        F.sum(ep).alias("rev"),
-        F.sum(net).alias("net"),
-        F.sum(net * (one - tax)).alias("aff"),
-        F.sum(disc).alias("dsum"),
-        F.sum(tax).alias("tsum"),
+        F.sum("l_quantity").cast("long").alias("qty"),
+        (F.sum(ep) * 100).cast("long").alias("rev_c"),
+        (F.sum(net) * 10000).cast("long").alias("net_u"),
+        (F.sum(net * (one - tax)) * 1000000).cast("long").alias("aff_u6"),
+        (F.sum(disc) * 100).cast("long").alias("disc_c"),
+        (F.sum(tax) * 100).cast("long").alias("tax_c"),
         F.max("l_shipdate").alias("last_ship"),
     )
     n, qty = F.col("n"), F.col("qty")
-    avg_disc = F.col("dsum").cast("double") / n
-    affo = F.col("aff").cast("double") / qty / F.lit(100.0)
+    affo_u = _intdiv(F.col("aff_u6"), qty * 10000)
     base = agg.select(
         ticker_of(F.col("suppkey")).alias("reit_ticker"),
         (F.col("ship_year") + FISCAL_YEAR_SHIFT).cast("int").alias("fiscal_year"),
         F.col("quarter").cast("int").alias("quarter"),
-        (F.col("rev").cast("double") / F.lit(1000.0)).alias("total_revenue"),
-        (F.col("net").cast("double") / F.lit(1000.0)).alias("same_store_noi"),
-        (F.col("net").cast("double") / qty / F.lit(100.0)).alias("ffo_per_share"),
-        affo.alias("affo_per_share"),
-        (qty / n / F.lit(5.0)).alias("net_debt_to_ebitda"),
-        (F.col("tsum").cast("double") / n * F.lit(100.0)).alias("interest_coverage"),
-        avg_disc.alias("weighted_avg_cap_rate"),
-        (affo * (avg_disc * F.lit(4.0) + F.lit(0.55))).alias("dividend_per_share"),
+        _measure(_intdiv(F.col("rev_c"), F.lit(10))).alias("total_revenue"),
+        _measure(_intdiv(F.col("net_u"), F.lit(1000))).alias("same_store_noi"),
+        _measure(_intdiv(F.col("net_u"), qty * 100)).alias("ffo_per_share"),
+        _measure(affo_u).alias("affo_per_share"),
+        _measure(_intdiv(qty * 2000, n)).alias("net_debt_to_ebitda"),
+        _measure(_intdiv(F.col("tax_c") * 10000, n)).alias("interest_coverage"),
+        _measure(_intdiv(F.col("disc_c") * 100, n)).alias("weighted_avg_cap_rate"),
+        _measure(_intdiv(affo_u * (F.col("disc_c") * 4 + n * 55), n * 100))
+        .alias("dividend_per_share"),
         F.col("last_ship").cast("timestamp").alias("created_at"),
     ).withColumn("qidx", F.col("fiscal_year") * 4 + F.col("quarter"))
     w = Window.partitionBy("reit_ticker").orderBy("qidx").rangeBetween(-4, -4)
@@ -199,7 +226,7 @@ def price_data(lake: Lake) -> DataFrame:
         F.min_by("o_totalprice", "o_orderkey").alias("first_px"),
         F.max("o_totalprice").alias("hi"),
         F.min("o_totalprice").alias("lo"),
-        F.sum(_dec("o_totalprice")).alias("px_sum"),
+        (F.sum(_dec("o_totalprice")) * 100).cast("long").alias("px_c"),
         F.count(F.lit(1)).alias("volume"),
     )
     k = F.lit(1000.0)
@@ -208,7 +235,7 @@ def price_data(lake: Lake) -> DataFrame:
         (F.col("first_px") / k).alias("open"),
         (F.col("hi") / k).alias("high"),
         (F.col("lo") / k).alias("low"),
-        (F.col("px_sum").cast("double") / F.col("volume") / k).alias("close"),
+        _measure(_intdiv(F.col("px_c") * 10, F.col("volume"))).alias("close"),
         F.col("volume").cast("long").alias("volume"),
     )
 
@@ -221,26 +248,26 @@ def market_indicator_values(lake: Lake) -> DataFrame:
         F.last_day("l_shipdate").alias("date"),
     ).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("l_quantity").alias("qty"),
-        F.sum(_dec("l_discount", "4,2")).alias("dsum"),
-        F.sum(_dec("l_tax", "4,2")).alias("tsum"),
+        F.sum("l_quantity").cast("long").alias("qty"),
+        (F.sum(_dec("l_discount", "4,2")) * 100).cast("long").alias("disc_c"),
+        (F.sum(_dec("l_tax", "4,2")) * 100).cast("long").alias("tax_c"),
     )
-    n = F.col("n")
-    disc_pct = F.col("dsum").cast("double") / n * F.lit(100.0)
-    tax_pct = F.col("tsum").cast("double") / n * F.lit(100.0)
-    qty_avg = F.col("qty") / n
-    ln = F.col("ln")
-    value = (F.when(ln == 1, disc_pct)
-             .when(ln == 2, tax_pct + F.lit(1.0))
-             .when(ln == 3, disc_pct - F.lit(0.5))
-             .when(ln == 4, tax_pct + F.lit(3.0))
-             .when(ln == 5, qty_avg / F.lit(5.0))
-             .when(ln == 6, qty_avg * F.lit(10.0))
-             .otherwise(qty_avg * F.lit(50.0)))
+    n, ln = F.col("n"), F.col("ln")
+    disc_pct = _intdiv(F.col("disc_c") * UNITS, n)
+    tax_pct = _intdiv(F.col("tax_c") * UNITS, n)
+    qty = F.col("qty")
+    units = (F.when(ln == 1, disc_pct)
+             .when(ln == 2, tax_pct + UNITS)
+             .when(ln == 3, disc_pct - UNITS // 2)
+             .when(ln == 4, tax_pct + 3 * UNITS)
+             .when(ln == 5, _intdiv(qty * (UNITS // 5), n))
+             .when(ln == 6, _intdiv(qty * (UNITS * 10), n))
+             .otherwise(_intdiv(qty * (UNITS * 50), n)))
     sid = F.lit(None).cast("string")
     for num, name in reversed(SERIES_BY_LINENUMBER):
         sid = F.when(ln == num, name).otherwise(sid)
-    return g.where(ln.between(1, 7)).select(sid.alias("series_id"), "date", value.alias("value"))
+    return g.where(ln.between(1, 7)).select(sid.alias("series_id"), "date",
+                                            _measure(units).alias("value"))
 
 
 def _num_text(whole: Column, cents: Column) -> Column:
