@@ -219,3 +219,65 @@ def with_tables(body: str, *names: str) -> str:
     if not order:
         return body.strip()
     return "WITH " + ",".join(CTES[n][0] for n in order) + "\n" + body.strip()
+
+
+def rdiv(a: str, b: str) -> str:
+    """a / b rounded half away from zero to a whole number (exact); NULL when b = 0."""
+    return (f"(CASE WHEN ({b}) = 0 THEN NULL ELSE sign({a}) * sign({b}) * "
+            f"((2 * abs({a}) + abs({b})) // (2 * abs({b}))) END)")
+
+
+def rratio(num: str, den: str, scale: int) -> str:
+    """(num / den) rounded half-up to ``scale`` decimals, as double."""
+    return f"(CAST({rdiv(f'({num}) * {10 ** scale}', den)} AS DOUBLE) / CAST({10 ** scale} AS DOUBLE))"
+
+
+def measure_at(u: str, scale: int) -> str:
+    return f"(CAST({u} AS DOUBLE) / CAST({10 ** scale} AS DOUBLE))"
+
+
+SERIES_META = """
+series_meta AS (
+  SELECT * FROM (VALUES
+    ('FEDFUNDS', 'Federal Funds Effective Rate', 'Monthly', 'Percent'),
+    ('WFII', '30-Year Fixed Rate Mortgage Average', 'Weekly', 'Percent'),
+    ('CPIAUCSL', 'Consumer Price Index (Urban)', 'Monthly', 'Index'),
+    ('USSTHPI', 'U.S. National Home Price Index', 'Quarterly', 'Index'),
+    ('UNRATE', 'Unemployment Rate', 'Monthly', 'Percent'),
+    ('TTLCONS', 'Total Construction Spending', 'Monthly', 'Billions USD'),
+    ('PERMIT', 'New Private Housing Building Permits', 'Monthly', 'Thousands'),
+    ('DGS10', '10-Year Treasury Constant Maturity Rate', 'Daily', 'Percent'),
+    ('DGS2', '2-Year Treasury Constant Maturity Rate', 'Daily', 'Percent'),
+    ('MSPUS', 'Median Sales Price of Houses Sold', 'Monthly', 'USD'),
+    ('HOUST', 'New Privately-Owned Housing Units Started', 'Monthly', 'Thousands')
+  ) AS t(series_id, name, frequency, unit)
+)"""
+
+MARKET_INDICATORS = """
+market_indicators AS (
+  SELECT replace(concat_ws('_', v.series_id, CAST(v.date AS VARCHAR)), '-', '') AS indicator_id,
+         v.series_id, coalesce(m.name, v.series_id) AS name, v.date, v.value,
+         coalesce(m.unit, '') AS unit, coalesce(m.frequency, '') AS frequency, 'FRED' AS source
+  FROM indicator_values v LEFT JOIN series_meta m ON v.series_id = m.series_id
+)"""
+
+NUMBERED = """
+numbered AS (
+  SELECT series_id, date, value,
+         row_number() OVER (PARTITION BY series_id ORDER BY date DESC, value DESC) AS rn
+  FROM indicator_values WHERE value IS NOT NULL
+)"""
+
+HIST = f"""
+hist AS (
+  SELECT ticker, date, close, volume, {units('close')} AS cu,
+         row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn
+  FROM price_data
+)"""
+
+CTES.update({
+    "series_meta": (SERIES_META, ()),
+    "market_indicators": (MARKET_INDICATORS, ("indicator_values", "series_meta")),
+    "numbered": (NUMBERED, ("indicator_values",)),
+    "hist": (HIST, ("price_data",)),
+})
