@@ -9,6 +9,7 @@ from reitlens.plans.registry import REGISTRY, Entry
 QUERY_MODULES = (
     "reitlens.plans.queries",
     "reitlens.plans.queries_market",
+    "reitlens.plans.queries_report",
 )
 
 
