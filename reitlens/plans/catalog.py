@@ -10,6 +10,7 @@ QUERY_MODULES = (
     "reitlens.plans.queries",
     "reitlens.plans.queries_market",
     "reitlens.plans.queries_report",
+    "reitlens.plans.queries_text",
 )
 
 

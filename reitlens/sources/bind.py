@@ -295,7 +295,7 @@ def filing_sentence(doc_id: Column) -> Column:
                   F.lit(" %. Per share quarterly dividend paid: $"), div,
                   F.lit(". Debt to EBITDA stood near "), lev, F.lit("x"))
     t3 = F.concat(F.lit("ffo of $"), ffo, F.lit(" per share. NOI: "), noi,
-                  F.lit(" billion.\r\nTotal revenue of $"), noi_comma,
+                  F.lit(" billion.\r\nTotal\u00a0revenue of $"), noi_comma,
                   F.lit(" million. Occupancy: "), occ, F.lit(" %. Dividend = $"), div,
                   F.lit(". Debt to EBITDA ratio "), lev)
     m = k % 4
