@@ -11,6 +11,7 @@ QUERY_MODULES = (
     "reitlens.plans.queries_market",
     "reitlens.plans.queries_report",
     "reitlens.plans.queries_text",
+    "reitlens.plans.queries_misc",
 )
 
 

@@ -31,7 +31,8 @@ REITS = """
 reits AS (
   SELECT 'R' || CAST(s.s_suppkey AS VARCHAR) AS ticker,
          s.s_name AS name,
-         g.r_name AS sector,
+         CASE g.r_name WHEN 'AFRICA' THEN 'Retail' WHEN 'AMERICA' THEN 'Office' WHEN 'ASIA' THEN 'Industrial'
+              WHEN 'EUROPE' THEN 'Residential' WHEN 'MIDDLE EAST' THEN 'Healthcare' ELSE 'Specialty' END AS sector,
          g.n_name AS sub_sector,
          abs(s.s_acctbal) * CAST(1e7 AS DOUBLE) AS market_cap,
          CAST(1990 + s.s_suppkey % 30 AS INTEGER) AS ipo_year,

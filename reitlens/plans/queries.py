@@ -95,9 +95,9 @@ def q_filter_fiscal_year(spark, sf_dir):
 
 
 @query("get_by_sector", oracle=with_tables(
-    "SELECT * FROM reits WHERE sector = 'AMERICA'", "reits"))
+    "SELECT * FROM reits WHERE sector = 'Office'", "reits"))
 def q_get_by_sector(spark, sf_dir):
-    return FU.by_sector(bind.reits(_lake(spark, sf_dir)), "AMERICA")
+    return FU.by_sector(bind.reits(_lake(spark, sf_dir)), "Office")
 
 
 @query("get_by_ticker", oracle=with_tables(

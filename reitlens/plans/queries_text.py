@@ -120,6 +120,14 @@ def q_ingest_filings(spark, sf_dir):
                       *[F.try_element_at(m, F.lit(k)).alias(k) for k in METRIC_NAMES])
 
 
+register("ingested", f"""
+ingested AS (
+SELECT replace(replace(reit_ticker || '_' || form_type || '_' || CAST(filing_date AS VARCHAR), '-', ''), ' ', '_') AS filing_id,
+       {', '.join(f'{_metric_sql(k)} AS {k}' for k in METRIC_NAMES)}
+FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, accession_number DESC) AS rn
+      FROM filings)
+WHERE rn = 1 AND form_type = '10-K')""", ("filings",))
+
 RUN_DATE = dt.date(2024, 2, 19)
 
 

@@ -65,8 +65,20 @@ def geography(lake: Lake) -> DataFrame:
         "n_nationkey", "n_name", "r_name")
 
 
+# region -> sector of the derived REITs (five of the eight sector values)
+REGION_SECTORS = (("AFRICA", "Retail"), ("AMERICA", "Office"), ("ASIA", "Industrial"),
+                  ("EUROPE", "Residential"), ("MIDDLE EAST", "Healthcare"))
+
+
+def _sector_of(region: Column) -> Column:
+    out = F.lit("Specialty")
+    for reg, sec in reversed(REGION_SECTORS):
+        out = F.when(region == reg, sec).otherwise(out)
+    return out
+
+
 def reits(lake: Lake, signed_market_cap: bool = False) -> DataFrame:
-    """One REIT per supplier; sector = region, sub-sector = nation.
+    """One REIT per supplier; sector from the region, sub-sector = nation.
 
     ``signed_market_cap`` keeps the sign of ``s_acctbal`` so that the
     data-quality rules have negative market caps to quarantine.
@@ -77,7 +89,7 @@ def reits(lake: Lake, signed_market_cap: bool = False) -> DataFrame:
     return s.join(F.broadcast(geography(lake)), s.s_nationkey == F.col("n_nationkey")).select(
         ticker_of(key).alias("ticker"),
         F.col("s_name").alias("name"),
-        F.col("r_name").alias("sector"),
+        _sector_of(F.col("r_name")).alias("sector"),
         F.col("n_name").alias("sub_sector"),
         (bal * F.lit(1e7)).alias("market_cap"),
         (F.lit(1990) + key % 30).cast("int").alias("ipo_year"),
