@@ -32,20 +32,42 @@ def from_units(u: Column, scale: int = SCALE) -> Column:
     return u.cast("double") / F.lit(float(10 ** scale))
 
 
+def _integral_divide(a: Column, b: Column) -> Column:
+    # ``div`` through the SQL function registry keeps the expression compact;
+    # it takes longs or decimals and returns a long.
+    return F.call_function("div", a, b)
+
+
+_HALF = 31
+_LOW_MASK = (1 << _HALF) - 1
+
+
+def split_sum(c: Column) -> list[Column]:
+    """Partial aggregates for ``exact_long_sum``: sums of the high and low 31 bits.
+
+    For non-negative longs below 2^40 neither half can overflow before 2^23
+    (high) / 2^32 (low) times more rows than any cluster holds, and both are
+    plain long sums (fast, map-side combined).
+    """
+    return [F.sum(F.shiftright(c, _HALF)), F.sum(c.bitwiseAND(F.lit(_LOW_MASK)))]
+
+
+def combine_split(hi: Column, lo: Column) -> Column:
+    """Exact total from the two halves, as DECIMAL(38,0)."""
+    d = "decimal(38,0)"
+    return hi.cast(d) * F.lit(1 << _HALF).cast(d) + lo.cast(d)
+
+
 def intdiv(a: Column, b: Column) -> Column:
     """a / b truncated toward zero, exact for longs; NULL when b = 0."""
-    q = F.abs(a) - F.pmod(F.abs(a), F.abs(b))
-    return F.when(b == 0, F.lit(None).cast("long")).otherwise(
-        (F.signum(a) * F.signum(b)).cast("long") * (q / F.abs(b)).cast("long"))
+    return F.when(b != 0, _integral_divide(a, b))
 
 
 def round_div(a: Column, b: Column) -> Column:
     """a / b rounded half away from zero to a whole number, exact; NULL when b = 0."""
     num = F.abs(a) * 2 + F.abs(b)
-    den = F.abs(b) * 2
-    mag = (num - F.pmod(num, den)) / den
-    return F.when(b == 0, F.lit(None).cast("long")).otherwise(
-        (F.signum(a) * F.signum(b)).cast("long") * mag.cast("long"))
+    mag = _integral_divide(num, F.abs(b) * 2)
+    return F.when(b != 0, F.when((a < 0) != (b < 0), -mag).otherwise(mag))
 
 
 def ratio_round(num_units: Column, den_units: Column, scale: int) -> Column:

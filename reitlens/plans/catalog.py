@@ -12,6 +12,7 @@ QUERY_MODULES = (
     "reitlens.plans.queries_report",
     "reitlens.plans.queries_text",
     "reitlens.plans.queries_misc",
+    "reitlens.plans.queries_stream",
 )
 
 

@@ -181,12 +181,18 @@ register("sscore", SSCORE, ("reits", "latest"))
 register("signals", SIGNALS, ("reits", "fscore", "vscore", "sscore", "mscore", "macro"))
 
 
+def _summary(lake):
+    """The compact (100-row) price summary the momentum score reads."""
+    return PR.price_metrics(bind.price_data(lake), history_rows=K.COMPACT_HISTORY_ROWS)
+
+
+def _env(spark, lake):
+    return MA.rate_environment(indicators(spark, lake))
+
+
 def _inputs(spark, sf_dir):
     lake = Lake(spark, sf_dir)
-    reits, metrics = bind.reits(lake), bind.financial_metrics(lake)
-    summary = PR.price_metrics(bind.price_data(lake), history_rows=K.COMPACT_HISTORY_ROWS)
-    env = MA.rate_environment(indicators(spark, lake))
-    return reits, metrics, summary, env
+    return bind.reits(lake), bind.financial_metrics(lake), _summary(lake), _env(spark, lake)
 
 
 @query("score_fundamental", oracle=with_tables("SELECT * FROM fscore", "fscore"))
@@ -201,12 +207,12 @@ def q_score_valuation(spark, sf_dir):
 
 @query("score_momentum", oracle=with_tables("SELECT * FROM mscore", "mscore"))
 def q_score_momentum(spark, sf_dir):
-    return SC.momentum_score(_inputs(spark, sf_dir)[2])
+    return SC.momentum_score(_summary(Lake(spark, sf_dir)))
 
 
 @query("score_macro", oracle=with_tables("SELECT * FROM macro", "macro"))
 def q_score_macro(spark, sf_dir):
-    return SC.macro_score(_inputs(spark, sf_dir)[3])
+    return SC.macro_score(_env(spark, Lake(spark, sf_dir)))
 
 
 @query("score_sentiment", oracle=with_tables("SELECT * FROM sscore", "sscore"))

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reitlens.functions.exact import combine_split, intdiv, split_sum
 from reitlens.sources.tables import Lake
 
 # Customers per supplier in the TPC-H generator (150,000 vs 10,000 per scale
@@ -106,10 +107,8 @@ UNITS = 10000  # measures are stored as whole ten-thousandths (4 decimals, trunc
 
 
 def _intdiv(a: Column, b: Column) -> Column:
-    # sign-aware truncating division built from exact long arithmetic
-    q = F.abs(a) - F.pmod(F.abs(a), F.abs(b))
-    return F.when(b == 0, F.lit(None).cast("long")).otherwise(
-        (F.signum(a) * F.signum(b)).cast("long") * (q / F.abs(b)).cast("long"))
+    """Exact long division truncating toward zero (``div``); NULL when b = 0."""
+    return intdiv(a, b)
 
 
 def _measure(units: Column) -> Column:
@@ -141,23 +140,35 @@ def financial_metrics(lake: Lake) -> DataFrame:
     """
     li = lake.table("lineitem", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
                     "l_tax", "l_shipdate")
-    one = F.lit("1.00").cast("decimal(3,2)")
-    ep, disc, tax = _dec("l_extendedprice"), _dec("l_discount", "4,2"), _dec("l_tax", "4,2")
-    net = ep * (one - disc)
-    agg = li.groupBy(
+    # exact fixed-point values per row: price in cents, rates in hundredths
+    ep_c = F.round(F.col("l_extendedprice") * F.lit(100.0)).cast("long")
+    disc_c = F.round(F.col("l_discount") * F.lit(100.0)).cast("long")
+    tax_c = F.round(F.col("l_tax") * F.lit(100.0)).cast("long")
+    net_u = ep_c * (F.lit(100) - disc_c)                     # 1e-4 units
+    aff_u = net_u * (F.lit(100) - tax_c)                     # 1e-6 units
+    pre = li.select(
         F.col("l_suppkey").alias("suppkey"),
         F.year("l_shipdate").alias("ship_year"),
         F.quarter("l_shipdate").alias("quarter"),
-    ).agg(
+        F.col("l_quantity").cast("long").alias("q"),
+        ep_c.alias("ep_c"), net_u.alias("net_u"), aff_u.alias("aff_u"),
+        disc_c.alias("disc_c"), tax_c.alias("tax_c"), "l_shipdate")
+    rev_hi, rev_lo = split_sum(F.col("ep_c"))
+    net_hi, net_lo = split_sum(F.col("net_u"))
+    aff_hi, aff_lo = split_sum(F.col("aff_u"))
+    agg = pre.groupBy("suppkey", "ship_year", "quarter").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("l_quantity").cast("long").alias("qty"),
-        (F.sum(ep) * 100).cast("long").alias("rev_c"),
-        (F.sum(net) * 10000).cast("long").alias("net_u"),
-        (F.sum(net * (one - tax)) * 1000000).cast("long").alias("aff_u6"),
-        (F.sum(disc) * 100).cast("long").alias("disc_c"),
-        (F.sum(tax) * 100).cast("long").alias("tax_c"),
+        F.sum("q").alias("qty"),
+        rev_hi.alias("rev_hi"), rev_lo.alias("rev_lo"),
+        net_hi.alias("net_hi"), net_lo.alias("net_lo"),
+        aff_hi.alias("aff_hi"), aff_lo.alias("aff_lo"),
+        F.sum("disc_c").alias("disc_c"),
+        F.sum("tax_c").alias("tax_c"),
         F.max("l_shipdate").alias("last_ship"),
-    )
+    ).select("suppkey", "ship_year", "quarter", "n", "qty", "disc_c", "tax_c", "last_ship",
+             combine_split(F.col("rev_hi"), F.col("rev_lo")).alias("rev_c"),
+             combine_split(F.col("net_hi"), F.col("net_lo")).alias("net_u"),
+             combine_split(F.col("aff_hi"), F.col("aff_lo")).alias("aff_u6"))
     n, qty = F.col("n"), F.col("qty")
     affo_u = _intdiv(F.col("aff_u6"), qty * 10000)
     base = agg.select(
@@ -171,7 +182,7 @@ def financial_metrics(lake: Lake) -> DataFrame:
         _measure(_intdiv(qty * 2000, n)).alias("net_debt_to_ebitda"),
         _measure(_intdiv(F.col("tax_c") * 10000, n)).alias("interest_coverage"),
         _measure(_intdiv(F.col("disc_c") * 100, n)).alias("weighted_avg_cap_rate"),
-        _measure(_intdiv(affo_u * (F.col("disc_c") * 4 + n * 55), n * 100))
+        _measure(_intdiv(affo_u.cast("decimal(38,0)") * (F.col("disc_c") * 4 + n * 55), n * 100))
         .alias("dividend_per_share"),
         F.col("last_ship").cast("timestamp").alias("created_at"),
     ).withColumn("qidx", F.col("fiscal_year") * 4 + F.col("quarter"))
