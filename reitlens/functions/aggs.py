@@ -28,7 +28,7 @@ def exact_avg(c, scale: int = SCALE) -> Column:
     """``avg`` from an exact decimal sum; NULLs ignored, NULL for no rows."""
     col = _c(c)
     n = F.count(col)
-    return F.when(n > 0, exact_sum(col, scale) / n)
+    return F.when(n > 0, F.try_divide(exact_sum(col, scale), n))
 
 
 def round4(c: Column) -> Column:

@@ -35,7 +35,9 @@ def from_units(u: Column, scale: int = SCALE) -> Column:
 def _integral_divide(a: Column, b: Column) -> Column:
     # ``div`` through the SQL function registry keeps the expression compact;
     # it takes longs or decimals and returns a long.
-    return F.call_function("div", a, b)
+    # A zero denominator becomes NULL first: under ANSI mode a shared ``div``
+    # may be evaluated ahead of the guard that protects it.
+    return F.call_function("div", a, F.when(b != 0, b))
 
 
 _HALF = 31

@@ -77,16 +77,25 @@ def metric_lookup(metrics: ColumnOrName, key: str, default: float | None = None)
 # fundamentals
 # ----------------------------------------------------------------------------
 
+def safe_div(a: Column, b: Column) -> Column:
+    """a / b, NULL when b is 0.
+
+    Guards like ``when(b > 0, a / b)`` are not enough under ANSI mode: common
+    subexpression elimination may evaluate a shared ``a / b`` before the guard.
+    """
+    return F.try_divide(a, b)
+
+
 def payout_ratio_sql(dividend: ColumnOrName, base: ColumnOrName) -> Column:
     """View rule: dividend / base rounded to 4, NULL unless base > 0."""
     b = _c(base)
-    return F.when(b > 0, F.round(_c(dividend) / b, 4))
+    return F.when(b > 0, F.round(safe_div(_c(dividend), b), 4))
 
 
 def payout_ratio_model(dividend: ColumnOrName, base: ColumnOrName) -> Column:
     """Model rule: dividend / base unrounded, 0.0 unless base > 0 (NULLs read as 0.0)."""
     b = F.coalesce(_c(base), F.lit(0.0))
-    return F.when(b > 0, F.coalesce(_c(dividend), F.lit(0.0)) / b).otherwise(F.lit(0.0))
+    return F.when(b > 0, safe_div(F.coalesce(_c(dividend), F.lit(0.0)), b)).otherwise(F.lit(0.0))
 
 
 def leverage_rating(debt_to_ebitda: ColumnOrName) -> Column:
@@ -108,7 +117,7 @@ def safety_band(payout: Column, guard: Column | None = None) -> Column:
 def dividend_safety_sql(dividend: ColumnOrName, affo: ColumnOrName) -> Column:
     """View rule: AFFO <= 0 (or NULL) is Unsafe."""
     a = _c(affo)
-    return safety_band(_c(dividend) / a, a > 0)
+    return safety_band(safe_div(_c(dividend), a), a > 0)
 
 
 def dividend_safety_model(dividend: ColumnOrName, affo: ColumnOrName) -> Column:
@@ -131,10 +140,10 @@ def ffo_yield_master(market_cap: ColumnOrName, ffo: ColumnOrName, payout: Column
     The operation order is kept so that results equal the model's float values.
     """
     cap, f = _c(market_cap), _c(ffo)
-    shares = cap / f * _c(payout)
+    shares = safe_div(cap, f) * _c(payout)
     return (F.when((cap <= 0) | (f <= 0), F.lit(0.0))
             .when(shares <= 0, F.lit(0.0))
-            .otherwise(f / (cap / shares)))
+            .otherwise(safe_div(f, safe_div(cap, shares))))
 
 
 # ----------------------------------------------------------------------------
@@ -154,12 +163,12 @@ def noi_estimate(sqft: ColumnOrName, rent_psf: ColumnOrName, occupancy: ColumnOr
 
 def value_at_cap(noi: Column, cap_rate: ColumnOrName) -> Column:
     c = _c(cap_rate)
-    return F.when(c > 0, noi / c).otherwise(F.lit(0.0))
+    return F.when(c > 0, safe_div(noi, c)).otherwise(F.lit(0.0))
 
 
 def appreciation(cost: ColumnOrName, book: ColumnOrName) -> Column:
     c = _c(cost)
-    return F.when(c > 0, (_c(book) - c) / c).otherwise(F.lit(0.0))
+    return F.when(c > 0, safe_div(_c(book) - c, c)).otherwise(F.lit(0.0))
 
 
 # ----------------------------------------------------------------------------

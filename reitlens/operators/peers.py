@@ -119,9 +119,9 @@ def peer_comparison(reits: DataFrame, metrics: DataFrame) -> DataFrame:
         exact_sum("noi").alias("s_noi"), exact_sum("lev").alias("s_lev"))
     k = F.col("n") - 1
     has_peers = k > 0
-    avg_ffo = (F.col("s_ffo") - F.col("ffo")) / k
-    avg_noi = (F.col("s_noi") - F.col("noi")) / k
-    avg_lev = (F.col("s_lev") - F.col("lev")) / k
+    avg_ffo = S.safe_div(F.col("s_ffo") - F.col("ffo"), k)
+    avg_noi = S.safe_div(F.col("s_noi") - F.col("noi"), k)
+    avg_lev = S.safe_div(F.col("s_lev") - F.col("lev"), k)
     ranked = (rm.join(sums, "sector")
               .join(yr.select("ticker", "dividend_yield_rank"), "ticker"))
 
@@ -180,7 +180,7 @@ def _leave_one_out_yield(reits: DataFrame) -> DataFrame:
                                     exact_sum(_z("dividend_yield")).alias("_s"))
     j = reits.join(s, "sector")
     own = _z("dividend_yield")
-    loo = F.when(F.col("_n") > 1, (F.col("_s") - own) / (F.col("_n") - 1)).otherwise(own)
+    loo = F.when(F.col("_n") > 1, S.safe_div(F.col("_s") - own, F.col("_n") - 1)).otherwise(own)
     return j.select("ticker", loo.alias("avg_sector_yield_raw"))
 
 
@@ -235,18 +235,19 @@ def valuation(reits: DataFrame, metrics: DataFrame) -> DataFrame:
     loo = _leave_one_out_yield(reits)
     j = both.join(loo, "ticker")
     y, p = _z("dividend_yield"), _z("payout_ratio")
-    ffo_yield = F.when(p > 0, y / p).otherwise(F.lit(0.0))
+    ffo_yield = F.when(p > 0, S.safe_div(y, p)).otherwise(F.lit(0.0))
     ebitda = _z("same_store_noi") * F.lit(1.15)
     cap = _z("market_cap")
     ok = j.select(
         "ticker",
-        F.round(F.when(ffo_yield > 0, F.lit(1.0) / ffo_yield).otherwise(F.lit(0.0)), 2).alias("p_ffo"),
+        F.round(F.when(ffo_yield > 0, S.safe_div(F.lit(1.0), ffo_yield)).otherwise(F.lit(0.0)), 2)
+        .alias("p_ffo"),
         F.when(ffo_yield != 0, F.round(ffo_yield * F.lit(100.0), 2)).otherwise(F.lit(0.0))
         .alias("ffo_yield"),
         F.col("dividend_yield"),
         F.round(y - F.col("avg_sector_yield_raw"), 2).alias("dividend_yield_vs_sector"),
         F.round(F.col("avg_sector_yield_raw"), 2).alias("avg_sector_yield"),
-        F.round(F.when(ebitda > 0, cap / (ebitda * F.lit(1e6))).otherwise(F.lit(0.0)), 1)
+        F.round(F.when(ebitda > 0, S.safe_div(cap, ebitda * F.lit(1e6))).otherwise(F.lit(0.0)), 1)
         .alias("ev_ebitda"),
         F.col("weighted_avg_cap_rate").alias("cap_rate"),
         F.lit(None).cast("string").alias("error"),

@@ -56,7 +56,7 @@ def fundamental_score(metrics_latest: DataFrame) -> DataFrame:
 def valuation_score(reits: DataFrame) -> DataFrame:
     """Dividend yield, payout band and FFO yield from the REIT master."""
     y, p, ffo = _z("dividend_yield"), _z("payout_ratio"), _z("latest_ffo_per_share")
-    q = F.when(p > 0, y / p).otherwise(F.lit(0.0))
+    q = F.when(p > 0, S.safe_div(y, p)).otherwise(F.lit(0.0))
     s = _score(
         F.least(y / F.lit(8.0), F.lit(1.0)) * F.lit(30.0),
         _pts(((p >= 0.50) & (p <= 0.75), 15), ((p >= 0.40) & (p <= 0.85), 8), (p > 0.90, -15)),
