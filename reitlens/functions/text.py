@@ -47,6 +47,18 @@ DEBT_PATTERNS = (
     r"debt.*?EBITDA.*?([\d.]+)x",
 )
 
+# Keyword guards: every pattern of a metric contains one of these literals, so
+# a text the guard does not match cannot match any of the metric's patterns.
+# Checking the guard first skips the expensive ``.*?`` scans on most texts.
+GUARDS = {
+    "ffo_per_share": r"FFO|funds?\s+from",
+    "noi": r"NOI|net\s+operating",
+    "total_revenue": r"revenue",
+    "occupancy_rate": r"occupancy|leased",
+    "dividend_per_share": r"dividend",
+    "debt_to_ebitda": r"debt",
+}
+
 # (output key, patterns, strip commas, scale billions, divide by 100)
 METRICS = (
     ("ffo_per_share", FFO_PATTERNS, True, False, False),
@@ -77,7 +89,8 @@ def _attempt(text: Column, pattern: str, strip_commas: bool, billions: bool,
 def extract_metric(text: Column, key: str) -> Column:
     """One metric: first pattern whose capture parses, else NULL."""
     _, patterns, strip, bil, pct = next(m for m in METRICS if m[0] == key)
-    return F.coalesce(*[_attempt(text, p, strip, bil, pct) for p in patterns])
+    found = F.coalesce(*[_attempt(text, p, strip, bil, pct) for p in patterns])
+    return F.when(text.rlike(SPARK_FLAGS + GUARDS[key]), found)
 
 
 def extract_financials(text: Column) -> Column:

@@ -125,13 +125,14 @@ def _one_row_join(df: DataFrame, one: DataFrame) -> DataFrame:
 
 
 def generate_signals(reits: DataFrame, metrics: DataFrame, price_summary: DataFrame | None,
-                     env: DataFrame | None) -> DataFrame:
+                     env: DataFrame | None, latest: DataFrame | None = None) -> DataFrame:
     """All five scores, composite, rating and sentiment for every REIT.
 
     ``price_summary`` (flat ``price_metrics``) or ``env`` (``rate_environment``)
     may be None, meaning that source is not configured: the score is then 50.
+    ``latest`` may pass an already built ``latest_metric(metrics)`` frame.
     """
-    lm = latest_metric(metrics)
+    lm = latest if latest is not None else latest_metric(metrics)
     base = reits.select("ticker")
     out = (base.join(fundamental_score(lm), "ticker", "left")
            .join(valuation_score(reits), "ticker", "left")
@@ -179,9 +180,9 @@ def _flags(*items) -> Column:
 def full_report(reits: DataFrame, metrics: DataFrame, price_summary: DataFrame | None,
                 env: DataFrame | None) -> DataFrame:
     """Signal plus risks, opportunities, confidence and data sources for every REIT."""
-    sig = generate_signals(reits, metrics, price_summary, env)
-    lm = latest_metric(metrics).select(F.col("reit_ticker"), "net_debt_to_ebitda",
-                                       F.lit(True).alias("_has_m"))
+    latest = latest_metric(metrics)
+    sig = generate_signals(reits, metrics, price_summary, env, latest)
+    lm = latest.select(F.col("reit_ticker"), "net_debt_to_ebitda", F.lit(True).alias("_has_m"))
     j = sig.join(lm, "reit_ticker", "left")
     has_m = F.coalesce("_has_m", F.lit(False))
     lev = F.col("net_debt_to_ebitda")

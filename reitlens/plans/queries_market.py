@@ -12,7 +12,7 @@ from reitlens.plans.oracle import (CTES, measure_at, register, rdiv, rratio, uni
                                    with_tables)
 from reitlens.plans.registry import query
 from reitlens.sources import bind, dims
-from reitlens.sources.tables import Lake
+from reitlens.sources.tables import Lake, lake_for
 
 PERIODS = tuple(p for p, _ in K.RETURN_PERIODS)
 
@@ -67,20 +67,20 @@ register("hist100", "\nhist100 AS (SELECT * FROM hist WHERE rn <= 100)", ("hist"
 @query("period_returns", oracle=with_tables(
     f"SELECT ticker, {', '.join(_ret_sql())} FROM ({_per_sql()})", "hist"))
 def q_period_returns(spark, sf_dir):
-    return PR.period_returns(bind.price_data(Lake(spark, sf_dir)))
+    return PR.period_returns(bind.price_data(lake_for(spark, sf_dir)))
 
 
 @query("moving_averages", oracle=with_tables(
     f"SELECT ticker, {', '.join(_ma_sql())} FROM ({_per_sql()})", "hist"))
 def q_moving_averages(spark, sf_dir):
-    return PR.moving_averages(bind.price_data(Lake(spark, sf_dir)))
+    return PR.moving_averages(bind.price_data(lake_for(spark, sf_dir)))
 
 
 @query("volatility", oracle=with_tables(
     f"SELECT p.ticker, {VOL_COLS} FROM ({_per_sql()}) p LEFT JOIN ({_vol_sql()}) v ON p.ticker = v.ticker",
     "hist"))
 def q_volatility(spark, sf_dir):
-    return PR.volatility(bind.price_data(Lake(spark, sf_dir)))
+    return PR.volatility(bind.price_data(lake_for(spark, sf_dir)))
 
 
 def _summary_sql(hist: str) -> str:
@@ -90,12 +90,12 @@ def _summary_sql(hist: str) -> str:
 
 @query("price_summary", headline=True, oracle=with_tables(_summary_sql("hist"), "hist"))
 def q_price_summary(spark, sf_dir):
-    return PR.price_metrics(bind.price_data(Lake(spark, sf_dir)))
+    return PR.price_metrics(bind.price_data(lake_for(spark, sf_dir)))
 
 
 @query("price_summary_compact", oracle=with_tables(_summary_sql("hist100"), "hist100"))
 def q_price_summary_compact(spark, sf_dir):
-    return PR.price_metrics(bind.price_data(Lake(spark, sf_dir)),
+    return PR.price_metrics(bind.price_data(lake_for(spark, sf_dir)),
                             history_rows=K.COMPACT_HISTORY_ROWS)
 
 
@@ -105,18 +105,18 @@ def q_price_summary_compact(spark, sf_dir):
 
 @query("market_indicators", oracle=with_tables("SELECT * FROM market_indicators", "market_indicators"))
 def q_market_indicators(spark, sf_dir):
-    return indicators(spark, Lake(spark, sf_dir))
+    return indicators(spark, lake_for(spark, sf_dir))
 
 
 @query("latest_indicator", oracle=with_tables(
     "SELECT series_id, date, value FROM numbered WHERE rn = 1", "numbered"))
 def q_latest_indicator(spark, sf_dir):
-    return MA.latest_indicator(indicators(spark, Lake(spark, sf_dir)))
+    return MA.latest_indicator(indicators(spark, lake_for(spark, sf_dir)))
 
 
 @query("topn_series", oracle=with_tables("SELECT * FROM numbered WHERE rn <= 6", "numbered"))
 def q_topn_series(spark, sf_dir):
-    return MA.topn_series(indicators(spark, Lake(spark, sf_dir)), 6)
+    return MA.topn_series(indicators(spark, lake_for(spark, sf_dir)), 6)
 
 
 RELEVANT_END = dt.date(2001, 12, 31)
@@ -132,7 +132,7 @@ SELECT series_id, date, value FROM (
     AND date BETWEEN DATE '{RELEVANT_END}' - INTERVAL {24 * 30} DAY AND DATE '{RELEVANT_END}')
 WHERE rn <= 50""", "indicator_values"))
 def q_relevant_series(spark, sf_dir):
-    return MA.relevant_series(indicators(spark, Lake(spark, sf_dir)), RELEVANT_END, 24, 50)
+    return MA.relevant_series(indicators(spark, lake_for(spark, sf_dir)), RELEVANT_END, 24, 50)
 
 
 def _latest_sql(sid: str) -> str:
@@ -146,7 +146,7 @@ SPREAD_SQL = (f"CAST({units(_latest_sql('DGS10'))} - {units(_latest_sql('DGS2'))
 @query("series_spread", oracle=with_tables(
     f"SELECT {SPREAD_SQL} AS spread FROM numbered WHERE series_id IN ('DGS10', 'DGS2')", "numbered"))
 def q_series_spread(spark, sf_dir):
-    return MA.series_spread(indicators(spark, Lake(spark, sf_dir)), "DGS10", "DGS2")
+    return MA.series_spread(indicators(spark, lake_for(spark, sf_dir)), "DGS10", "DGS2")
 
 
 def _trend_sql(sid: str = "FEDFUNDS") -> str:
@@ -161,7 +161,7 @@ def _trend_sql(sid: str = "FEDFUNDS") -> str:
 @query("rate_trend", oracle=with_tables(
     f"SELECT {_trend_sql()} AS rate_trend FROM numbered WHERE series_id = 'FEDFUNDS'", "numbered"))
 def q_rate_trend(spark, sf_dir):
-    return MA.rate_trend(indicators(spark, Lake(spark, sf_dir)))
+    return MA.rate_trend(indicators(spark, lake_for(spark, sf_dir)))
 
 
 RATE_ENV_SQL = f"""
@@ -190,7 +190,7 @@ register("rate_env", f"\nrate_env AS ({RATE_ENV_SQL})", ("numbered",))
 
 @query("rate_environment", oracle=with_tables("SELECT * FROM rate_env", "rate_env"))
 def q_rate_environment(spark, sf_dir):
-    return MA.rate_environment(indicators(spark, Lake(spark, sf_dir)))
+    return MA.rate_environment(indicators(spark, lake_for(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------
@@ -207,7 +207,7 @@ SELECT d.date, {_asof_sub('FEDFUNDS', 'd.date')} AS fed_funds_rate,
        {_asof_sub('DGS10', 'd.date')} AS treasury_10y, {_asof_sub('DGS2', 'd.date')} AS treasury_2y
 FROM (SELECT DISTINCT date FROM price_data) d""", "price_data", "indicator_values"))
 def q_asof_rates(spark, sf_dir):
-    lake = Lake(spark, sf_dir)
+    lake = lake_for(spark, sf_dir)
     return AS.asof_rates(bind.price_data(lake), bind.market_indicator_values(lake))
 
 
@@ -231,7 +231,7 @@ SELECT pd.ticker, r.sector, r.sub_sector, pd.date, pd.close AS price, pd.volume,
 FROM price_data pd JOIN reits r ON pd.ticker = r.ticker
 ORDER BY pd.date DESC, pd.ticker""", "price_data", "reits", "indicator_values"))
 def q_market_correlation(spark, sf_dir):
-    lake = Lake(spark, sf_dir)
+    lake = lake_for(spark, sf_dir)
     prices = bind.price_data(lake)
     rates = AS.asof_rates(prices, bind.market_indicator_values(lake))
     return PR.market_correlation(prices, bind.reits(lake), rates)

@@ -19,7 +19,7 @@ from reitlens.plans.queries_report import _inputs
 from reitlens.plans.queries_text import RUN_TS, _WS
 from reitlens.plans.registry import query
 from reitlens.sources import bind
-from reitlens.sources.tables import Lake
+from reitlens.sources.tables import Lake, lake_for
 
 
 def _q(s: str) -> str:
@@ -54,7 +54,7 @@ SELECT ticker, name, sector, sub_sector, market_cap, ipo_year, property_count, t
        AS dq_errors
 FROM reits_signed""", "reits_signed"))
 def q_dq_reits(spark, sf_dir):
-    return _dq_out(DQ.dq_reits(bind.reits(Lake(spark, sf_dir), signed_market_cap=True)))
+    return _dq_out(DQ.dq_reits(bind.reits(lake_for(spark, sf_dir), signed_market_cap=True)))
 
 
 @query("dq_properties", oracle=with_tables(f"""
@@ -69,7 +69,7 @@ SELECT *, {_errors_sql(
     (f"status IS NOT NULL AND status NOT IN ({_in(K.PROPERTY_STATUSES)})", "'Unknown status ' || status"))} AS dq_errors
 FROM properties""", "properties"))
 def q_dq_properties(spark, sf_dir):
-    return _dq_out(DQ.dq_properties(bind.properties(Lake(spark, sf_dir))))
+    return _dq_out(DQ.dq_properties(bind.properties(lake_for(spark, sf_dir))))
 
 
 @query("dq_metrics", oracle=with_tables(f"""
@@ -79,7 +79,7 @@ SELECT {METRIC_COLS}, {_errors_sql(
     ("fiscal_year < 2000", "'Invalid fiscal year: ' || CAST(fiscal_year AS VARCHAR)"))} AS dq_errors
 FROM financial_metrics""", "financial_metrics"))
 def q_dq_metrics(spark, sf_dir):
-    return _dq_out(DQ.dq_metrics(bind.financial_metrics(Lake(spark, sf_dir))))
+    return _dq_out(DQ.dq_metrics(bind.financial_metrics(lake_for(spark, sf_dir))))
 
 
 @query("dq_indicators", oracle=with_tables(f"""
@@ -87,7 +87,7 @@ SELECT *, {_errors_sql(("coalesce(series_id, '') = ''", _q('Series ID must be no
                        ("date IS NULL", _q('Date must be non-empty')))} AS dq_errors
 FROM market_indicators""", "market_indicators"))
 def q_dq_indicators(spark, sf_dir):
-    return _dq_out(DQ.dq_indicators(indicators(spark, Lake(spark, sf_dir))))
+    return _dq_out(DQ.dq_indicators(indicators(spark, lake_for(spark, sf_dir))))
 
 
 def _filing_records(f):
@@ -106,7 +106,7 @@ FROM (SELECT replace(replace(reit_ticker || '_' || form_type || '_' || CAST(fili
              AS filing_id, upper(trim(reit_ticker)) AS reit_ticker, cik, form_type, filing_date, 'Pending' AS status
       FROM filings)""", "filings"))
 def q_dq_filings(spark, sf_dir):
-    f = bind.filings(Lake(spark, sf_dir)).drop("text")
+    f = bind.filings(lake_for(spark, sf_dir)).drop("text")
     return _dq_out(DQ.dq_filings(_filing_records(f)))
 
 
@@ -124,7 +124,7 @@ SELECT ticker, name, sector, sub_sector, market_cap, ipo_year, property_count, t
        payout_ratio, latest_ffo_per_share
 FROM reits""", "reits"))
 def q_load_reits(spark, sf_dir):
-    r = bind.reits(Lake(spark, sf_dir))
+    r = bind.reits(lake_for(spark, sf_dir))
     update = (r.where(F.col("sector") == "Office")
               .withColumn("ticker", F.concat(F.lit(" "), F.lower("ticker"), F.lit("\t")))
               .withColumn("dividend_yield", F.col("dividend_yield") + F.lit(1.0)))
@@ -133,7 +133,7 @@ def q_load_reits(spark, sf_dir):
 
 @query("load_metrics", oracle=with_tables(f"SELECT {METRIC_COLS} FROM latest", "latest"))
 def q_load_metrics(spark, sf_dir):
-    m = bind.financial_metrics(Lake(spark, sf_dir))
+    m = bind.financial_metrics(lake_for(spark, sf_dir))
     again = latest_metric(m).withColumn("ffo_per_share", F.col("ffo_per_share") * F.lit(2.0))
     loaded = LO.load_metrics(LO.with_load_seq([m, again]))
     return latest_metric(loaded).drop("load_seq")
@@ -151,7 +151,7 @@ SELECT ticker, {_norm_sql("(' ' || lower(ticker) || chr(9))")} AS normalized,
             ELSE latest_ffo_per_share / (market_cap / (market_cap / latest_ffo_per_share * payout_ratio)) END AS ffo_yield
 FROM reits""", "reits"))
 def q_reit_scalars(spark, sf_dir):
-    r = bind.reits(Lake(spark, sf_dir))
+    r = bind.reits(lake_for(spark, sf_dir))
     return r.select(
         "ticker",
         S.norm_ticker(F.concat(F.lit(" "), F.lower("ticker"), F.lit("\t"))).alias("normalized"),
@@ -171,7 +171,7 @@ SELECT reit_ticker, period,
 FROM (SELECT *, CASE WHEN coalesce(affo_per_share, 0) > 0 THEN coalesce(dividend_per_share, 0) / affo_per_share
                      ELSE 0.0 END AS p FROM financial_metrics)""", "financial_metrics"))
 def q_metric_scalars(spark, sf_dir):
-    m = bind.financial_metrics(Lake(spark, sf_dir))
+    m = bind.financial_metrics(lake_for(spark, sf_dir))
     return m.select(
         "reit_ticker", "period",
         S.payout_ratio_model("dividend_per_share", "affo_per_share").alias("affo_payout_ratio"),
@@ -192,7 +192,7 @@ SELECT doc_id,
        CAST(length(text) AS BIGINT) AS text_chars
 FROM filings""", "filings"))
 def q_filing_ids(spark, sf_dir):
-    f = bind.filings(Lake(spark, sf_dir))
+    f = bind.filings(lake_for(spark, sf_dir))
     return f.select(
         "doc_id",
         S.filing_id("reit_ticker", "form_type", "filing_date").alias("filing_id"),
@@ -207,7 +207,7 @@ def q_filing_ids(spark, sf_dir):
 SELECT filing_id, coalesce(ffo_per_share, 0.0) AS ffo_or_zero, occupancy_rate AS occupancy_or_null
 FROM ingested""", "ingested"))
 def q_metric_lookup(spark, sf_dir):
-    out = FI.ingest_filings(bind.filings(Lake(spark, sf_dir)), "10-K", F.lit(RUN_TS).cast("timestamp"))
+    out = FI.ingest_filings(bind.filings(lake_for(spark, sf_dir)), "10-K", F.lit(RUN_TS).cast("timestamp"))
     m = F.col("key_metrics_extracted")
     return out.select("filing_id", S.metric_lookup(m, "ffo_per_share", 0.0).alias("ffo_or_zero"),
                       S.metric_lookup(m, "occupancy_rate").alias("occupancy_or_null"))

@@ -11,7 +11,7 @@ from reitlens.plans.queries_text import RUN_DATE
 from reitlens.plans.registry import query
 from reitlens.session import ensure_checkpoint_dir
 from reitlens.sources import bind
-from reitlens.sources.tables import Lake
+from reitlens.sources.tables import Lake, lake_for
 from reitlens.streaming.landed_filings import landed_filings_stream, run_available_now
 
 
@@ -21,7 +21,7 @@ FROM filings WHERE form_type IN ('10-K', '10-Q', '8-K')""", "filings"))
 def q_stream_landed_filings(spark, sf_dir):
     """Two landing batches (the second repeats filings of the first) picked up by two runs."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/landed-filings-{uuid.uuid4().hex}"
-    f = bind.filings(Lake(spark, sf_dir)).drop("text")
+    f = bind.filings(lake_for(spark, sf_dir)).drop("text")
     rec = f.select(F.col("reit_ticker").alias("ticker"), F.col("form_type").alias("form"),
                    F.col("filing_date").cast("string").alias("file_date"),
                    F.col("accession_number").alias("accession_no"), "filing_date")

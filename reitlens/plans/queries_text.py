@@ -11,7 +11,7 @@ from reitlens.operators import filings as FI
 from reitlens.plans.oracle import register, with_tables
 from reitlens.plans.registry import query
 from reitlens.sources import bind, dims, landed
-from reitlens.sources.tables import Lake
+from reitlens.sources.tables import Lake, lake_for
 
 # ---------------------------------------------------------------------------
 # DuckDB twin of sources.bind.filings
@@ -95,7 +95,7 @@ METRIC_NAMES = tuple(m[0] for m in METRICS)
     f"SELECT doc_id, {', '.join(f'{_metric_sql(k)} AS {k}' for k in METRIC_NAMES)} FROM filings",
     "filings"))
 def q_extract_financials(spark, sf_dir):
-    return FI.extract_filing_metrics(bind.filings(Lake(spark, sf_dir)))
+    return FI.extract_filing_metrics(bind.filings(lake_for(spark, sf_dir)))
 
 
 RUN_TS = "2024-06-28 12:00:00"
@@ -114,7 +114,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, a
       FROM filings)
 WHERE rn = 1 AND form_type = '10-K'""", "filings"))
 def q_ingest_filings(spark, sf_dir):
-    out = FI.ingest_filings(bind.filings(Lake(spark, sf_dir)), "10-K", F.lit(RUN_TS).cast("timestamp"))
+    out = FI.ingest_filings(bind.filings(lake_for(spark, sf_dir)), "10-K", F.lit(RUN_TS).cast("timestamp"))
     m = F.col("key_metrics_extracted")
     return out.select(*[c for c in out.columns if c != "key_metrics_extracted"],
                       *[F.try_element_at(m, F.lit(k)).alias(k) for k in METRIC_NAMES])
@@ -139,7 +139,7 @@ WHERE filing_date = DATE '{RUN_DATE}' AND form_type IN ('10-K', '10-Q', '8-K')
   AND accession_number NOT IN (SELECT accession_number FROM filings WHERE filing_date < DATE '{RUN_DATE}')""",
                                                 "filings"))
 def q_detect_new_filings(spark, sf_dir):
-    f = bind.filings(Lake(spark, sf_dir)).drop("text")
+    f = bind.filings(lake_for(spark, sf_dir)).drop("text")
     landed_before = f.where(F.col("filing_date") < F.lit(RUN_DATE))
     return FI.detect_new_filings(f, landed_before, RUN_DATE)
 
@@ -152,7 +152,7 @@ def q_detect_new_filings(spark, sf_dir):
 SELECT * FROM market_indicators WHERE NOT (series_id = 'DGS2' AND month(date) = 7)""",
                                              "market_indicators"))
 def q_scan_macro_json(spark, sf_dir):
-    lake = Lake(spark, sf_dir)
+    lake = lake_for(spark, sf_dir)
     payloads = landed.macro_payloads(bind.market_indicator_values(lake))
     return landed.scan_macro_json(payloads, dims.series(spark))
 
@@ -164,7 +164,7 @@ NOTE_TICKER, NOTE_YEAR = "R39", 1996
 SELECT ticker, date, open, high, low, close, volume FROM price_data
 WHERE NOT (ticker = '{NOTE_TICKER}' AND year(date) = {NOTE_YEAR})""", "price_data"))
 def q_scan_price_daily(spark, sf_dir):
-    p = bind.price_data(Lake(spark, sf_dir))
+    p = bind.price_data(lake_for(spark, sf_dir))
     payloads = landed.price_payloads(p, landed.DAILY_KEY, NOTE_TICKER, NOTE_YEAR)
     return landed.scan_price_json(payloads, landed.DAILY_KEY)
 
@@ -174,7 +174,7 @@ SELECT ticker, max(date) AS date, arg_min(open, date) AS open, max(high) AS high
        arg_max(close, date) AS close, CAST(sum(volume) AS BIGINT) AS volume
 FROM price_data GROUP BY ticker, date_trunc('week', date)""", "price_data"))
 def q_scan_price_weekly(spark, sf_dir):
-    p = landed.weekly_bars(bind.price_data(Lake(spark, sf_dir)))
+    p = landed.weekly_bars(bind.price_data(lake_for(spark, sf_dir)))
     return landed.scan_price_json(landed.price_payloads(p, landed.WEEKLY_KEY), landed.WEEKLY_KEY)
 
 
@@ -187,7 +187,7 @@ SELECT cik, pos, form, filing_date, accession_number, primary_document FROM (
   FROM filings)
 WHERE pos < 5 AND form = '10-K'""", "filings"))
 def q_scan_filing_list(spark, sf_dir):
-    f = bind.filings(Lake(spark, sf_dir)).drop("text")
+    f = bind.filings(lake_for(spark, sf_dir)).drop("text")
     return landed.scan_filing_list(landed.submission_payloads(f), "10-K", 5)
 
 
@@ -198,5 +198,5 @@ SELECT reit_ticker, form_type, filing_date, accession_number FROM (
   FROM filings)
 WHERE pos < 10 AND filing_date BETWEEN DATE '2020-01-01' AND DATE '2025-12-31'""", "filings"))
 def q_scan_filing_hits(spark, sf_dir):
-    f = bind.filings(Lake(spark, sf_dir)).drop("text")
+    f = bind.filings(lake_for(spark, sf_dir)).drop("text")
     return landed.scan_filing_hits(landed.search_payloads(f))

@@ -16,6 +16,9 @@ DRIVER_TABLES = (
 )
 
 
+_LAKES: dict[tuple[int, str], "Lake"] = {}
+
+
 @dataclass
 class Lake:
     """Handle on a directory of ``<table>.parquet`` datasets."""
@@ -29,3 +32,12 @@ class Lake:
             self._cache[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
         df = self._cache[name]
         return df.select(*columns) if columns else df
+
+
+def lake_for(spark: SparkSession, root: str) -> Lake:
+    """One ``Lake`` per (session, root): file listing and footers are read once."""
+    key = (id(spark), root)
+    lake = _LAKES.get(key)
+    if lake is None or lake.spark is not spark:
+        lake = _LAKES[key] = Lake(spark, root)
+    return lake
