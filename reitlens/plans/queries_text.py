@@ -193,7 +193,7 @@ def q_scan_filing_list(spark, sf_dir):
 
 @query("scan_filing_hits", oracle=with_tables("""
 SELECT reit_ticker, form_type, filing_date, accession_number FROM (
-  SELECT *, row_number() OVER (PARTITION BY reit_ticker, filing_date
+  SELECT *, row_number() OVER (PARTITION BY reit_ticker, filing_date, doc_id // 50
                                ORDER BY form_type, filing_date, accession_number, reit_ticker) - 1 AS pos
   FROM filings)
 WHERE pos < 10 AND filing_date BETWEEN DATE '2020-01-01' AND DATE '2025-12-31'""", "filings"))

@@ -38,7 +38,7 @@ def read_json_lines(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole landed text documents, one row per file, with the file path."""
-    return (spark.read.option("wholetext", True).text(path)
+    return (spark.read.text(path, wholetext=True)
             .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")))
 
 
@@ -166,10 +166,10 @@ def scan_filing_list(payloads: DataFrame, filing_type: str | None = "10-K", limi
 
 
 def search_payloads(filings: DataFrame) -> DataFrame:
-    """Search-hit pages: per ticker and filing date, the hits of that day."""
+    """Search-hit pages: per ticker and filing date, at most ``PAGE`` hits per page."""
     src = F.struct(F.col("form_type").alias("form"), F.col("filing_date").cast("string").alias("file_date"),
                    F.col("accession_number").alias("accession_no"), F.col("reit_ticker").alias("ticker"))
-    g = filings.groupBy("reit_ticker", "filing_date").agg(
+    g = filings.groupBy("reit_ticker", "filing_date", F.floor(F.col("doc_id") / PAGE).alias("page")).agg(
         F.sort_array(F.collect_list(F.struct(src.alias("_source")))).alias("hits"))
     return g.select(F.to_json(F.struct(F.col("reit_ticker").alias("ticker"),
                                        F.struct(F.col("hits").alias("hits")).alias("hits"))).alias("json"))

@@ -65,3 +65,26 @@ def test_ingest_summary(spark):
     df = spark.createDataFrame([("A",), ("A",), ("B",)], "k string")
     got = {r["k"]: r["records"] for r in W.ingest_summary(df, "k", F.current_timestamp()).collect()}
     assert got == {"A": 2, "B": 1, "__total__": 3}
+
+
+def test_raw_landing_zones_and_views(spark):
+    root = scratch(spark)
+    filings = spark.createDataFrame([("O", "10-K", "2024-02-20", "a1")],
+                                    "ticker string, form_type string, filing_date string, accession string")
+    W.sink_raw_filings(filings, f"{root}/filings")
+    back = spark.read.json(f"{root}/filings").collect()
+    assert [(r["ticker"], r["form_type"], r["accession"]) for r in back] == [("O", "10-K", "a1")]
+    obs = spark.createDataFrame([("DGS10", "2024-01-02", 4.1)], "series_id string, date string, value double")
+    W.sink_raw_macro(obs, f"{root}/macro", F.lit("2024-06-28"))
+    W.sink_raw_macro(obs, f"{root}/macro", F.lit("2024-06-28"))
+    assert spark.read.json(f"{root}/macro").count() == 1
+    W.register_views(spark, {"v_test_obs": obs})
+    assert spark.sql("SELECT count(*) AS n FROM v_test_obs").first()["n"] == 1
+
+
+def test_to_records_cuts_text(spark):
+    df = spark.createDataFrame([("x" * 600, "2024-01-02 03:04:05")], "extracted_text string, created_at string") \
+        .withColumn("created_at", F.col("created_at").cast("timestamp"))
+    rec = json.loads(W.filing_records(df).first()["json"])
+    assert len(rec["extracted_text"]) == 500
+    assert rec["created_at"] == "2024-01-02T03:04:05.000000"

@@ -52,3 +52,12 @@ def test_cik_lookup(spark):
     t = spark.createDataFrame([(" avb ",), ("ZZZ",)], "ticker string")
     got = {r["ticker"]: r["cik"] for r in dims.lookup_cik(t, dims.cik_map(spark)).collect()}
     assert got == {" avb ": "0000763522", "ZZZ": None}
+
+
+def test_read_documents_whole_text(spark, tmp_path):
+    d = tmp_path / "docs"
+    d.mkdir()
+    (d / "a.htm").write_text("FFO per share was $4.05 for 2024\nsecond line\n", encoding="utf-8")
+    (d / "b.htm").write_text("nothing", encoding="utf-8")
+    got = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in landed.read_documents(spark, str(d)).collect()}
+    assert got == {"a.htm": "FFO per share was $4.05 for 2024\nsecond line\n", "b.htm": "nothing"}
