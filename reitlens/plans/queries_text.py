@@ -200,3 +200,17 @@ WHERE pos < 10 AND filing_date BETWEEN DATE '2020-01-01' AND DATE '2025-12-31'""
 def q_scan_filing_hits(spark, sf_dir):
     f = bind.filings(lake_for(spark, sf_dir)).drop("text")
     return landed.scan_filing_hits(landed.search_payloads(f))
+
+
+@query("ingest_summary", oracle=with_tables(f"""
+SELECT ticker, count(*) AS records, TIMESTAMP '{RUN_TS}' AS timestamp FROM price_data
+WHERE NOT (ticker = '{NOTE_TICKER}' AND year(date) = {NOTE_YEAR}) GROUP BY ticker
+UNION ALL
+SELECT '__total__', count(*), TIMESTAMP '{RUN_TS}' FROM price_data
+WHERE NOT (ticker = '{NOTE_TICKER}' AND year(date) = {NOTE_YEAR})""", "price_data"))
+def q_ingest_summary(spark, sf_dir):
+    """Records landed per ticker (and in total) for one ingestion run."""
+    from reitlens.sinks.writers import ingest_summary
+    p = bind.price_data(lake_for(spark, sf_dir))
+    rows = landed.scan_price_json(landed.price_payloads(p, landed.DAILY_KEY, NOTE_TICKER, NOTE_YEAR))
+    return ingest_summary(rows, "ticker", F.lit(RUN_TS).cast("timestamp"))
