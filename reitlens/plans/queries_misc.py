@@ -207,7 +207,7 @@ def q_filing_ids(spark, sf_dir):
 SELECT filing_id, coalesce(ffo_per_share, 0.0) AS ffo_or_zero, occupancy_rate AS occupancy_or_null
 FROM ingested""", "ingested"))
 def q_metric_lookup(spark, sf_dir):
-    out = FI.ingest_filings(bind.filings(lake_for(spark, sf_dir)), "10-K", F.lit(RUN_TS).cast("timestamp"))
+    out = FI.ingest_filings(bind.filings(lake_for(spark, sf_dir)), "10-K", F.lit(RUN_TS).cast("timestamp_ntz"))
     m = F.col("key_metrics_extracted")
     return out.select("filing_id", S.metric_lookup(m, "ffo_per_share", 0.0).alias("ffo_or_zero"),
                       S.metric_lookup(m, "occupancy_rate").alias("occupancy_or_null"))

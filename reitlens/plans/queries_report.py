@@ -291,4 +291,4 @@ SELECT reit_ticker || '_' || strftime(TIMESTAMP '{RUN_TS}', '%Y%m%d_%H%M%S') AS
 FROM report""", "report"))
 def q_signals_sink_rows(spark, sf_dir):
     rep = SC.full_report(*_inputs(spark, sf_dir))
-    return SC.signals_for_sink(rep, F.lit(RUN_TS).cast("timestamp"))
+    return SC.signals_for_sink(rep, F.lit(RUN_TS).cast("timestamp_ntz"))

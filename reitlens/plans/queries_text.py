@@ -114,7 +114,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, a
       FROM filings)
 WHERE rn = 1 AND form_type = '10-K'""", "filings"))
 def q_ingest_filings(spark, sf_dir):
-    out = FI.ingest_filings(bind.filings(lake_for(spark, sf_dir)), "10-K", F.lit(RUN_TS).cast("timestamp"))
+    out = FI.ingest_filings(bind.filings(lake_for(spark, sf_dir)), "10-K", F.lit(RUN_TS).cast("timestamp_ntz"))
     m = F.col("key_metrics_extracted")
     return out.select(*[c for c in out.columns if c != "key_metrics_extracted"],
                       *[F.try_element_at(m, F.lit(k)).alias(k) for k in METRIC_NAMES])
@@ -213,4 +213,4 @@ def q_ingest_summary(spark, sf_dir):
     from reitlens.sinks.writers import ingest_summary
     p = bind.price_data(lake_for(spark, sf_dir))
     rows = landed.scan_price_json(landed.price_payloads(p, landed.DAILY_KEY, NOTE_TICKER, NOTE_YEAR))
-    return ingest_summary(rows, "ticker", F.lit(RUN_TS).cast("timestamp"))
+    return ingest_summary(rows, "ticker", F.lit(RUN_TS).cast("timestamp_ntz"))

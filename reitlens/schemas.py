@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 S, D, I, L = T.StringType(), T.DoubleType(), T.IntegerType(), T.LongType()
-TS, DT = T.TimestampType(), T.DateType()
+TS, DT = T.TimestampNTZType(), T.DateType()  # wall-clock timestamps, zone-free
 
 
 def _st(*fields) -> T.StructType:

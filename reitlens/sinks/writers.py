@@ -84,7 +84,7 @@ def to_records(df: DataFrame, text_cols: dict[str, int] | None = None) -> DataFr
     cols = []
     for f in df.schema.fields:
         c = F.col(f.name)
-        if f.dataType.typeName() == "timestamp":
+        if f.dataType.typeName() in ("timestamp", "timestamp_ntz"):
             c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
         if text_cols and f.name in text_cols:
             c = S.excerpt(c, text_cols[f.name])

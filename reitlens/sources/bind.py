@@ -192,7 +192,7 @@ def financial_metrics(lake: Lake) -> DataFrame:
         _measure(_intdiv(F.col("disc_c") * 100, n)).alias("weighted_avg_cap_rate"),
         _measure(_intdiv(affo_u.cast("decimal(38,0)") * (F.col("disc_c") * 4 + n * 55), n * 100))
         .alias("dividend_per_share"),
-        F.col("last_ship").cast("timestamp").alias("created_at"),
+        F.col("last_ship").cast("timestamp_ntz").alias("created_at"),
     ).withColumn("qidx", F.col("fiscal_year") * 4 + F.col("quarter"))
     w = Window.partitionBy("reit_ticker").orderBy("qidx").rangeBetween(-4, -4)
     growth = ("same_store_noi", "ffo_per_share", "dividend_per_share")
