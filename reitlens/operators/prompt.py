@@ -52,7 +52,7 @@ def render_prompt(signals: DataFrame, reits: DataFrame, metrics: DataFrame,
     nl = F.lit("\n")
     head = F.concat(
         F.lit("Analyze "), F.col("reit_ticker"), F.lit(" ("), F.coalesce("_name", F.lit("Unknown")),
-        F.lit(") REIT:\n\nSentinel Score: "), py_fixed(F.col("sentinel_score"), 1), F.lit("/100 ("),
+        F.lit(") REIT:\n\nComposite Score: "), py_fixed(F.col("composite_score"), 1), F.lit("/100 ("),
         F.col("signal_rating"), F.lit(")\n- Fundamental: "), py_fixed(F.col("fundamental_score"), 0),
         F.lit("/100\n- Valuation: "), py_fixed(F.col("valuation_score"), 0),
         F.lit("/100\n- Momentum: "), py_fixed(F.col("momentum_score"), 0),

@@ -151,7 +151,7 @@ def generate_signals(reits: DataFrame, metrics: DataFrame, price_summary: DataFr
     sc = composite(*[F.col(c) for c in names])
     return filled.select(
         F.col("ticker").alias("reit_ticker"), *names,
-        sc.alias("sentinel_score"),
+        sc.alias("composite_score"),
         S.signal_rating(sc).alias("signal_rating"),
         S.sentiment_label(sc).alias("sentiment"),
     )
@@ -159,10 +159,10 @@ def generate_signals(reits: DataFrame, metrics: DataFrame, price_summary: DataFr
 
 def compare_signals(signals: DataFrame) -> DataFrame:
     """Rank by composite descending; ties keep input (ticker) order. Exact, distributed."""
-    ranked = rank_within(signals, [], [F.col("sentinel_score").desc(), F.col("reit_ticker").asc()],
+    ranked = rank_within(signals, [], [F.col("composite_score").desc(), F.col("reit_ticker").asc()],
                          "rank", method="row_number")
     return ranked.select(
-        "rank", F.col("reit_ticker").alias("ticker"), "sentinel_score",
+        "rank", F.col("reit_ticker").alias("ticker"), "composite_score",
         F.col("signal_rating").alias("rating"),
         F.col("fundamental_score").alias("fundamental"),
         F.col("valuation_score").alias("valuation"),
@@ -197,7 +197,7 @@ def full_report(reits: DataFrame, metrics: DataFrame, price_summary: DataFrame |
                      (has_e, K.SOURCE_MACRO))
     return j.select(
         "reit_ticker", "fundamental_score", "valuation_score", "momentum_score", "macro_score",
-        "sentiment_score", "sentinel_score", "signal_rating", "sentiment",
+        "sentiment_score", "composite_score", "signal_rating", "sentiment",
         risks.alias("key_risks"), opps.alias("key_opportunities"),
         sources.alias("data_sources"), conf.alias("confidence_score"),
     )
@@ -219,7 +219,7 @@ def signals_for_sink(report: DataFrame, generated_at: Column, status: Column | N
         S.signal_id("reit_ticker", generated_at).alias("signal_id"),
         F.col("reit_ticker").alias("ticker"),
         generated_at.alias("generated_at"),
-        d("sentinel_score").alias("sentinel_score"),
+        d("composite_score").alias("composite_score"),
         d("fundamental_score").alias("fundamental_score"),
         d("valuation_score").alias("valuation_score"),
         d("momentum_score").alias("momentum_score"),

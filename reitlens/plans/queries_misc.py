@@ -224,7 +224,7 @@ def _f(expr: str, d: int) -> str:
 PROMPT_SQL = f"""
 SELECT s.reit_ticker,
   'Analyze ' || s.reit_ticker || ' (' || coalesce(r.name, 'Unknown') || ') REIT:' || chr(10) || chr(10)
-  || 'Sentinel Score: ' || {_f('s.sentinel_score', 1)} || '/100 (' || s.signal_rating || ')' || chr(10)
+  || 'Composite Score: ' || {_f('s.composite_score', 1)} || '/100 (' || s.signal_rating || ')' || chr(10)
   || '- Fundamental: ' || {_f('s.fundamental_score', 0)} || '/100' || chr(10)
   || '- Valuation: ' || {_f('s.valuation_score', 0)} || '/100' || chr(10)
   || '- Momentum: ' || {_f('s.momentum_score', 0)} || '/100' || chr(10)

@@ -147,16 +147,16 @@ sscore AS (
 SIGNALS = """
 signals AS (
   SELECT reit_ticker, fundamental_score, valuation_score, momentum_score, macro_score, sentiment_score,
-         sentinel_score,
-         CASE WHEN sentinel_score >= 80 THEN 'Strong Buy' WHEN sentinel_score >= 65 THEN 'Buy'
-              WHEN sentinel_score >= 35 THEN 'Hold' WHEN sentinel_score >= 20 THEN 'Sell'
+         composite_score,
+         CASE WHEN composite_score >= 80 THEN 'Strong Buy' WHEN composite_score >= 65 THEN 'Buy'
+              WHEN composite_score >= 35 THEN 'Hold' WHEN composite_score >= 20 THEN 'Sell'
               ELSE 'Strong Sell' END AS signal_rating,
-         CASE WHEN sentinel_score >= 85 THEN 'Very Bullish' WHEN sentinel_score >= 65 THEN 'Bullish'
-              WHEN sentinel_score >= 40 THEN 'Neutral' WHEN sentinel_score >= 20 THEN 'Bearish'
+         CASE WHEN composite_score >= 85 THEN 'Very Bullish' WHEN composite_score >= 65 THEN 'Bullish'
+              WHEN composite_score >= 40 THEN 'Neutral' WHEN composite_score >= 20 THEN 'Bearish'
               ELSE 'Very Bearish' END AS sentiment
   FROM (
     SELECT *, CAST(printf('%.2f', fundamental_score * 0.3 + valuation_score * 0.25 + momentum_score * 0.2
-                              + macro_score * 0.15 + sentiment_score * 0.1) AS DOUBLE) AS sentinel_score
+                              + macro_score * 0.15 + sentiment_score * 0.1) AS DOUBLE) AS composite_score
     FROM (
       SELECT r.ticker AS reit_ticker,
              coalesce(f.fundamental_score, 50.0) AS fundamental_score,
@@ -227,8 +227,8 @@ def q_generate_signal(spark, sf_dir):
 
 
 @query("compare_signals", oracle=with_tables("""
-SELECT CAST(row_number() OVER (ORDER BY sentinel_score DESC, reit_ticker) AS INTEGER) AS rank,
-       reit_ticker AS ticker, sentinel_score, signal_rating AS rating,
+SELECT CAST(row_number() OVER (ORDER BY composite_score DESC, reit_ticker) AS INTEGER) AS rank,
+       reit_ticker AS ticker, composite_score, signal_rating AS rating,
        fundamental_score AS fundamental, valuation_score AS valuation, momentum_score AS momentum,
        macro_score AS macro, sentiment_score AS sentiment
 FROM signals""", "signals"))
@@ -266,7 +266,7 @@ register("report", REPORT_SQL, ("signals", "latest"))
 
 @query("full_report", headline=True, oracle=with_tables("""
 SELECT reit_ticker, fundamental_score, valuation_score, momentum_score, macro_score, sentiment_score,
-       sentinel_score, signal_rating, sentiment,
+       composite_score, signal_rating, sentiment,
        to_json(key_risks) AS key_risks, to_json(key_opportunities) AS key_opportunities,
        to_json(data_sources) AS data_sources, confidence_score
 FROM report""", "report"))
@@ -282,7 +282,7 @@ RUN_TS = "2024-06-28 12:00:00"
 @query("signals_sink_rows", oracle=with_tables(f"""
 SELECT reit_ticker || '_' || strftime(TIMESTAMP '{RUN_TS}', '%Y%m%d_%H%M%S') AS signal_id,
        reit_ticker AS ticker, TIMESTAMP '{RUN_TS}' AS generated_at,
-       coalesce(sentinel_score, 50.0) AS sentinel_score, coalesce(fundamental_score, 50.0) AS fundamental_score,
+       coalesce(composite_score, 50.0) AS composite_score, coalesce(fundamental_score, 50.0) AS fundamental_score,
        coalesce(valuation_score, 50.0) AS valuation_score, coalesce(momentum_score, 50.0) AS momentum_score,
        coalesce(macro_score, 50.0) AS macro_score, coalesce(sentiment_score, 50.0) AS sentiment_score,
        coalesce(signal_rating, 'Hold') AS signal_rating, '' AS ai_analysis,

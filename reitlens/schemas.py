@@ -45,7 +45,7 @@ PRICE_DATA = _st(("ticker", S), ("date", DT), ("open", D), ("high", D), ("low",
 
 REIT_SIGNALS = _st(("signal_id", S), ("reit_ticker", S), ("generated_at", TS),
                    ("fundamental_score", D), ("valuation_score", D), ("momentum_score", D),
-                   ("macro_score", D), ("sentiment_score", D), ("sentinel_score", D),
+                   ("macro_score", D), ("sentiment_score", D), ("composite_score", D),
                    ("signal_rating", S), ("sentiment", S), ("ai_analysis", S),
                    ("key_risks", T.ArrayType(S)), ("key_opportunities", T.ArrayType(S)),
                    ("data_sources", T.ArrayType(S)), ("confidence_score", D))

@@ -37,4 +37,4 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert "sentinel_score" in df.columns
+    assert "composite_score" in df.columns

@@ -148,6 +148,6 @@ def test_compare_signals_ranks_ties_by_ticker(spark):
             ("C", 1.0, 1.0, 1.0, 1.0, 1.0, 70.0, "Buy", "Bullish")]
     df = spark.createDataFrame(rows, "reit_ticker string, fundamental_score double, valuation_score double, "
                                      "momentum_score double, macro_score double, sentiment_score double, "
-                                     "sentinel_score double, signal_rating string, sentiment string")
+                                     "composite_score double, signal_rating string, sentiment string")
     got = [(r["rank"], r["ticker"]) for r in SC.compare_signals(df).orderBy("rank").collect()]
     assert got == [(1, "C"), (2, "A"), (3, "B")]

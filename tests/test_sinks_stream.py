@@ -20,7 +20,7 @@ def scratch(spark):
 def test_signal_sink_rerun_is_idempotent(spark):
     path = scratch(spark)
     rows = spark.createDataFrame([("A_1", "A", "2024-06-28 12:00:00", 55.0)],
-                                 "signal_id string, ticker string, generated_at string, sentinel_score double") \
+                                 "signal_id string, ticker string, generated_at string, composite_score double") \
         .withColumn("generated_at", F.col("generated_at").cast("timestamp"))
     W.sink_signals(rows, path)
     W.sink_signals(rows, path)
