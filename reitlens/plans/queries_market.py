@@ -114,7 +114,8 @@ def q_latest_indicator(spark, sf_dir):
     return MA.latest_indicator(indicators(spark, lake_for(spark, sf_dir)))
 
 
-@query("topn_series", oracle=with_tables("SELECT * FROM numbered WHERE rn <= 6", "numbered"))
+@query("topn_series", oracle=with_tables(
+    "SELECT series_id, date, value, CAST(rn AS INTEGER) AS rn FROM numbered WHERE rn <= 6", "numbered"))
 def q_topn_series(spark, sf_dir):
     return MA.topn_series(indicators(spark, lake_for(spark, sf_dir)), 6)
 

@@ -28,7 +28,7 @@ def _q(s: str) -> str:
 
 def _errors_sql(*rules: tuple[str, str]) -> str:
     parts = ", ".join(f"CASE WHEN {bad} THEN {msg} END" for bad, msg in rules)
-    return f"to_json(list_filter([{parts}], lambda x: x IS NOT NULL))"
+    return f"CAST(to_json(list_filter([{parts}], lambda x: x IS NOT NULL)) AS VARCHAR)"
 
 
 def _in(values) -> str:
