@@ -45,7 +45,11 @@ CASES = [
     ("nothing to see here", {}),
     ("FFO was $4.05. Later FFO reached $5.10 per share", {"ffo_per_share": 5.10}),
     ("revenue of ,", {}),
-    ("Total revenue of $1.5 billion\r\nFFO of 2.25", {"total_revenue": 1500.0, "ffo_per_share": 2.25}),
+    # a no-break space is whitespace for \s, as in Python
+    ("Total\u00a0revenue of $7,411 million. Occupancy:\u00a091.2 %", {"total_revenue": 7411.0,
+                                                                      "occupancy_rate": 0.912}),
+    ("Debt to EBITDA ratio 5.87\nThe debt level", {"debt_to_ebitda": 5.87}),
+    ("Total\u00a0revenue of $1.5 billion\r\nFFO\u00a0of 2.25", {"total_revenue": 1500.0, "ffo_per_share": 2.25}),
 ]
 
 
@@ -60,7 +64,7 @@ def test_fixed_sentences(spark, text, expected):
 WORDS = ["FFO", "ffo", "funds from operations", "per share", "/share", "was", "of", ":", "$", "NOI",
          "net operating income", "total revenue", "revenue", "million", "billion", "occupancy", "rate",
          "leased", "percentage", "%", "dividend", "=", "debt", "to", "EBITDA", "ratio", "x", "Net", "the",
-         "4.05", "4.05.", "1,234.5", ",", ".", "12", "0.5", "97.25", "3,100", "\n", "\r", " ", "\t"]
+         "4.05", "4.05.", "1,234.5", ",", ".", "12", "0.5", "97.25", "3,100", "\n", "\r", "\u00a0", "\t"]
 
 
 def random_text(rnd):
@@ -68,7 +72,7 @@ def random_text(rnd):
     for _ in range(rnd.randint(0, 40)):
         w = rnd.choice(WORDS)
         parts.append(w)
-        parts.append(rnd.choice([" ", " ", "", " ", "\r\n", "  "]))
+        parts.append(rnd.choice([" ", " ", "", "\u00a0", "\r\n", "  "]))
     return "".join(parts)
 
 
