@@ -8,7 +8,7 @@ from reitlens import constants as K
 from reitlens.operators import asof as AS
 from reitlens.operators import macro as MA
 from reitlens.operators import prices as PR
-from reitlens.plans.oracle import (CTES, measure_at, register, rdiv, rratio, units,
+from reitlens.plans.oracle import (measure_at, register, rdiv, rratio, units,
                                    with_tables)
 from reitlens.plans.registry import query
 from reitlens.sources import bind, dims
@@ -238,4 +238,3 @@ def q_market_correlation(spark, sf_dir):
     return PR.market_correlation(prices, bind.reits(lake), rates)
 
 
-_ = CTES  # registry of CTEs is shared with the other query modules
