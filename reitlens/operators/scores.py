@@ -40,74 +40,100 @@ def _score(*blocks: Column) -> Column:
     return S.clamp_score(total.cast("double"))
 
 
-def fundamental_score(metrics_latest: DataFrame) -> DataFrame:
+# ---------------------------------------------------------------------------
+# score rules as column expressions (over the input fields by name)
+# ---------------------------------------------------------------------------
+
+def fundamental_expr() -> Column:
     """FFO growth, NOI growth, leverage and interest coverage of the latest quarter."""
     g, noi = _z("ffo_growth_yoy"), _z("same_store_noi_growth")
     lev, cov = _z("net_debt_to_ebitda"), _z("interest_coverage")
-    s = _score(
+    return _score(
         _pts((g > 10, 20), (g > 5, 15), (g > 0, 10), (g > -5, 0), default=-15),
         _pts((noi > 5, 20), (noi > 2, 15), (noi > 0, 8), default=-10),
         _pts((lev < 3.0, 10), (lev < 5.0, 5), (lev > 7.0, -10)),
         _pts((cov > 5, 5), (cov > 3, 3)),
     )
-    return metrics_latest.select(F.col("reit_ticker").alias("ticker"), s.alias("fundamental_score"))
 
 
-def valuation_score(reits: DataFrame) -> DataFrame:
+def valuation_expr() -> Column:
     """Dividend yield, payout band and FFO yield from the REIT master."""
     y, p, ffo = _z("dividend_yield"), _z("payout_ratio"), _z("latest_ffo_per_share")
     q = F.when(p > 0, S.safe_div(y, p)).otherwise(F.lit(0.0))
-    s = _score(
+    return _score(
         F.least(y / F.lit(8.0), F.lit(1.0)) * F.lit(30.0),
         _pts(((p >= 0.50) & (p <= 0.75), 15), ((p >= 0.40) & (p <= 0.85), 8), (p > 0.90, -15)),
         F.when(ffo > 0, _pts((q > 0.08, 10), (q > 0.06, 5))).otherwise(0),
     )
-    return reits.select("ticker", s.alias("valuation_score"))
 
 
-def momentum_score(summary: DataFrame) -> DataFrame:
+def momentum_expr() -> Column:
     """3-month and 1-year returns and distance from the 200-day average.
 
-    ``summary`` is the flat ``prices.price_metrics`` frame; a missing return
-    reads as 0, a missing 200-day distance adds nothing.
+    A missing return reads as 0; a missing 200-day distance adds nothing.
     """
     r3, r1 = _z("return_3m"), _z("return_1y")
     pct = F.col("pct_from_ma_200")
-    s = _score(
+    return _score(
         _pts((r3 > 10, 25), (r3 > 5, 15), (r3 > 0, 8), (r3 > -10, -5), default=-20),
         _pts((r1 > 20, 15), (r1 > 10, 10), (r1 > 0, 5), (r1 < -15, -15)),
         F.when(pct.isNull(), 0).otherwise(_pts((pct > 10, 10), (pct > 0, 5), (pct < -10, -10))),
     )
-    return summary.select("ticker", s.alias("momentum_score"))
 
 
-def macro_score(env: DataFrame) -> DataFrame:
-    """One row: rate assessment, curve, trend and unemployment."""
+def macro_expr() -> Column:
+    """Rate assessment, curve, trend and unemployment."""
     a, c, t = F.col("rate_assessment"), F.col("curve_assessment"), F.col("rate_trend")
     u = F.col("unemployment_rate")
-    s = _score(
+    return _score(
         _pts((a == "Accommodative", 20), (a == "Restrictive", -20)),
         _pts(((c == "Normal") | (c == "Steep"), 10), (c == "Inverted", -15)),
         _pts((t == "Falling", 15), (t == "Rising", -10)),
         F.when(u.isNull(), 0).otherwise(_pts(((u >= 3.5) & (u <= 5.0), 5), (u > 6.0, -10))),
     )
-    return env.select(s.alias("macro_score"))
+
+
+def sentiment_expr(has_metric: Column, has_master: Column) -> Column:
+    """Dividend and NOI growth (with metrics) and market-cap tier (with a master row)."""
+    d, noi, cap = _z("dividend_growth_yoy"), _z("same_store_noi_growth"), _z("market_cap")
+    return _score(
+        F.when(has_metric, _pts((d > 5, 15), (d > 0, 8), (d < 0, -10))).otherwise(0),
+        F.when(has_metric, _pts((noi > 3, 10), (noi < 0, -10))).otherwise(0),
+        F.when(has_master, _pts((cap > 50e9, 10), (cap > 20e9, 5))).otherwise(0),
+    )
+
+
+# ---------------------------------------------------------------------------
+# one score per frame (the individual operators)
+# ---------------------------------------------------------------------------
+
+def fundamental_score(metrics_latest: DataFrame) -> DataFrame:
+    return metrics_latest.select(F.col("reit_ticker").alias("ticker"),
+                                 fundamental_expr().alias("fundamental_score"))
+
+
+def valuation_score(reits: DataFrame) -> DataFrame:
+    return reits.select("ticker", valuation_expr().alias("valuation_score"))
+
+
+def momentum_score(summary: DataFrame) -> DataFrame:
+    """``summary`` is the flat ``prices.price_metrics`` frame."""
+    return summary.select("ticker", momentum_expr().alias("momentum_score"))
+
+
+def macro_score(env: DataFrame) -> DataFrame:
+    """One row from the one-row ``rate_environment`` frame."""
+    return env.select(macro_expr().alias("macro_score"))
 
 
 def sentiment_score(reits: DataFrame, metrics_latest: DataFrame) -> DataFrame:
-    """Dividend and NOI growth (when metrics exist) and market-cap tier (when a master row exists)."""
+    """Every ticker with a master row or metrics (full outer join)."""
     m = metrics_latest.select(F.col("reit_ticker").alias("ticker"), "dividend_growth_yoy",
                               "same_store_noi_growth", F.lit(True).alias("_has_m"))
     r = reits.select("ticker", "market_cap", F.lit(True).alias("_has_r"))
     j = r.join(m, "ticker", "full")
     has_m, has_r = F.coalesce("_has_m", F.lit(False)), F.coalesce("_has_r", F.lit(False))
-    d, noi, cap = _z("dividend_growth_yoy"), _z("same_store_noi_growth"), _z("market_cap")
-    s = _score(
-        F.when(has_m, _pts((d > 5, 15), (d > 0, 8), (d < 0, -10))).otherwise(0),
-        F.when(has_m, _pts((noi > 3, 10), (noi < 0, -10))).otherwise(0),
-        F.when(has_r, _pts((cap > 50e9, 10), (cap > 20e9, 5))).otherwise(0),
-    )
-    return j.select("ticker", s.alias("sentiment_score"))
+    return j.select("ticker", sentiment_expr(has_m, has_r).alias("sentiment_score"))
 
 
 def composite(f: Column, v: Column, m: Column, ma: Column, s: Column) -> Column:
@@ -128,28 +154,43 @@ def generate_signals(reits: DataFrame, metrics: DataFrame, price_summary: DataFr
                      env: DataFrame | None, latest: DataFrame | None = None) -> DataFrame:
     """All five scores, composite, rating and sentiment for every REIT.
 
+    The inputs are joined once per ticker (master ⟕ latest metrics ⟕ price
+    summary, plus the one-row macro frame) and every score is computed in a
+    single projection, so each big frame is shuffled at most once.
     ``price_summary`` (flat ``price_metrics``) or ``env`` (``rate_environment``)
     may be None, meaning that source is not configured: the score is then 50.
     ``latest`` may pass an already built ``latest_metric(metrics)`` frame.
     """
     lm = latest if latest is not None else latest_metric(metrics)
-    base = reits.select("ticker")
-    out = (base.join(fundamental_score(lm), "ticker", "left")
-           .join(valuation_score(reits), "ticker", "left")
-           .join(sentiment_score(reits, lm), "ticker", "left"))
+    r = reits.select("ticker", "dividend_yield", "payout_ratio", "latest_ffo_per_share", "market_cap")
+    m = lm.select(F.col("reit_ticker").alias("ticker"), "ffo_growth_yoy", "same_store_noi_growth",
+                  "net_debt_to_ebitda", "interest_coverage", "dividend_growth_yoy",
+                  F.lit(True).alias("_has_m"))
+    j = r.join(m, "ticker", "left")
+    has_p = F.lit(False)
     if price_summary is not None:
-        out = out.join(momentum_score(price_summary), "ticker", "left")
-    else:
-        out = out.withColumn("momentum_score", F.lit(None).cast("double"))
+        p = price_summary.select("ticker", "return_3m", "return_1y", "pct_from_ma_200",
+                                 F.lit(True).alias("_has_p"))
+        j = j.join(p, "ticker", "left")
+        has_p = F.coalesce("_has_p", F.lit(False))
+    macro = F.lit(N)
     if env is not None:
-        out = _one_row_join(out, macro_score(env))
-    else:
-        out = out.withColumn("macro_score", F.lit(None).cast("double"))
+        e = env.select("rate_assessment", "curve_assessment", "rate_trend", "unemployment_rate")
+        j = _one_row_join(j, e)
+        macro = macro_expr()
+    has_m = F.coalesce("_has_m", F.lit(False))
+    scored = j.select(
+        "ticker",
+        F.when(has_m, fundamental_expr()).otherwise(F.lit(N)).alias("fundamental_score"),
+        valuation_expr().alias("valuation_score"),
+        F.when(has_p, momentum_expr()).otherwise(F.lit(N)).alias("momentum_score"),
+        macro.alias("macro_score"),
+        sentiment_expr(has_m, F.lit(True)).alias("sentiment_score"),
+    )
     names = ("fundamental_score", "valuation_score", "momentum_score", "macro_score",
              "sentiment_score")
-    filled = out.select("ticker", *[F.coalesce(F.col(c), F.lit(N)).alias(c) for c in names])
     sc = composite(*[F.col(c) for c in names])
-    return filled.select(
+    return scored.select(
         F.col("ticker").alias("reit_ticker"), *names,
         sc.alias("composite_score"),
         S.signal_rating(sc).alias("signal_rating"),
