@@ -167,12 +167,12 @@ def generate_signals(reits: DataFrame, metrics: DataFrame, price_summary: DataFr
                   "net_debt_to_ebitda", "interest_coverage", "dividend_growth_yoy",
                   F.lit(True).alias("_has_m"))
     j = r.join(m, "ticker", "left")
-    has_p = F.lit(False)
+    momentum = F.lit(N)
     if price_summary is not None:
         p = price_summary.select("ticker", "return_3m", "return_1y", "pct_from_ma_200",
                                  F.lit(True).alias("_has_p"))
         j = j.join(p, "ticker", "left")
-        has_p = F.coalesce("_has_p", F.lit(False))
+        momentum = F.when(F.coalesce("_has_p", F.lit(False)), momentum_expr()).otherwise(F.lit(N))
     macro = F.lit(N)
     if env is not None:
         e = env.select("rate_assessment", "curve_assessment", "rate_trend", "unemployment_rate")
@@ -183,7 +183,7 @@ def generate_signals(reits: DataFrame, metrics: DataFrame, price_summary: DataFr
         "ticker",
         F.when(has_m, fundamental_expr()).otherwise(F.lit(N)).alias("fundamental_score"),
         valuation_expr().alias("valuation_score"),
-        F.when(has_p, momentum_expr()).otherwise(F.lit(N)).alias("momentum_score"),
+        momentum.alias("momentum_score"),
         macro.alias("macro_score"),
         sentiment_expr(has_m, F.lit(True)).alias("sentiment_score"),
     )
