@@ -82,7 +82,7 @@ def _sector_of(region: Column) -> Column:
     return out
 
 
-def reits(lake: Lake, signed_market_cap: bool = False) -> DataFrame:
+def _reits(lake: Lake, signed_market_cap: bool = False) -> DataFrame:
     """One REIT per supplier; sector from the region, sub-sector = nation.
 
     ``signed_market_cap`` keeps the sign of ``s_acctbal`` so that the
@@ -136,7 +136,7 @@ def _yoy(col: str) -> Column:
     return F.when(prev > 0, _measure(_intdiv((_units(col) - prev) * (100 * UNITS), prev)))
 
 
-def financial_metrics(lake: Lake) -> DataFrame:
+def _financial_metrics(lake: Lake) -> DataFrame:
     """Quarterly metrics per supplier from its line items.
 
     The aggregation is partial-then-final (map-side combine), so a supplier
@@ -217,7 +217,7 @@ _SEGMENT_TO_TYPE = (("HOUSEHOLD", "Apartment"), ("FURNITURE", "Retail"),
                     ("AUTOMOBILE", "Self Storage"))
 
 
-def properties(lake: Lake) -> DataFrame:
+def _properties(lake: Lake) -> DataFrame:
     """Customers become properties; every block of 15 belongs to one supplier."""
     c = lake.table("customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     key, nat = F.col("c_custkey"), F.col("c_nationkey")
@@ -249,7 +249,7 @@ def properties(lake: Lake) -> DataFrame:
     )
 
 
-def price_data(lake: Lake) -> DataFrame:
+def _price_data(lake: Lake) -> DataFrame:
     """Daily OHLCV per derived ticker from same-day orders (partial aggregation)."""
     o = lake.table("orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     g = o.groupBy(
@@ -273,7 +273,7 @@ def price_data(lake: Lake) -> DataFrame:
     )
 
 
-def market_indicator_values(lake: Lake) -> DataFrame:
+def _market_indicator_values(lake: Lake) -> DataFrame:
     """(series_id, date, value) monthly observations from line items."""
     li = lake.table("lineitem", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_shipdate")
     g = li.groupBy(
@@ -335,7 +335,7 @@ def filing_sentence(doc_id: Column) -> Column:
     return F.when(m == 0, t0).when(m == 1, t1).when(m == 3, t3)
 
 
-def filings(lake: Lake) -> DataFrame:
+def _filings(lake: Lake) -> DataFrame:
     """Landed filing documents: one filing per document, text kept whole."""
     d = lake.table("documents", "doc_id", "text")
     k = F.col("doc_id")
@@ -362,3 +362,31 @@ def filings(lake: Lake) -> DataFrame:
         F.concat(F.lit("doc"), ds, F.lit(".htm")).alias("primary_document"),
         text.alias("text"),
     )
+
+
+# ---------------------------------------------------------------------------
+# public derivations: one plan per lake handle
+# ---------------------------------------------------------------------------
+
+def reits(lake: Lake, signed_market_cap: bool = False) -> DataFrame:
+    return lake.derived(f"reits:{signed_market_cap}", lambda: _reits(lake, signed_market_cap))
+
+
+def financial_metrics(lake: Lake) -> DataFrame:
+    return lake.derived("financial_metrics", lambda: _financial_metrics(lake))
+
+
+def properties(lake: Lake) -> DataFrame:
+    return lake.derived("properties", lambda: _properties(lake))
+
+
+def price_data(lake: Lake) -> DataFrame:
+    return lake.derived("price_data", lambda: _price_data(lake))
+
+
+def market_indicator_values(lake: Lake) -> DataFrame:
+    return lake.derived("market_indicator_values", lambda: _market_indicator_values(lake))
+
+
+def filings(lake: Lake) -> DataFrame:
+    return lake.derived("filings", lambda: _filings(lake))

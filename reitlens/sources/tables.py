@@ -26,6 +26,13 @@ class Lake:
     spark: SparkSession
     root: str
     _cache: dict = field(default_factory=dict, repr=False)
+    _derived: dict = field(default_factory=dict, repr=False)
+
+    def derived(self, key: str, build) -> DataFrame:
+        """A derived frame built once per lake handle (plans are immutable and reusable)."""
+        if key not in self._derived:
+            self._derived[key] = build()
+        return self._derived[key]
 
     def table(self, name: str, *columns: str) -> DataFrame:
         if name not in self._cache:
