@@ -49,16 +49,17 @@ def latest_metric(metrics: DataFrame) -> DataFrame:
 
     Ties on (year, quarter) keep load order when a ``load_seq`` column exists
     (see ``operators.loaders.load_metrics``), otherwise the smallest period label.
-    The window shuffles by ticker only; no group is collected to one place.
+    Written as a ``min_by`` aggregate over a sort key rather than a window, so
+    it is partially aggregated: a ticker with a third of all rows is reduced
+    map-side and never sorted in one task.
     """
-    order = [F.col("fiscal_year").desc(), F.col("quarter").desc()]
-    if "load_seq" in metrics.columns:
-        order.append(F.col("load_seq").asc())
-    else:
-        order.append(F.col("period").asc())
-    w = Window.partitionBy("reit_ticker").orderBy(*order)
-    return (metrics.withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") == 1).drop("_rn"))
+    y, q = F.col("fiscal_year"), F.col("quarter")
+    tie = F.col("load_seq") if "load_seq" in metrics.columns else F.col("period")
+    # ascending key = (year desc, quarter desc, tie asc), NULL years/quarters last
+    key = F.struct(y.isNull(), -y, q.isNull(), -q, tie.isNull(), tie)
+    row = F.struct(*[F.col(c) for c in metrics.columns])
+    return (metrics.groupBy("reit_ticker").agg(F.min_by(row, key).alias("_m"))
+            .select("_m.*"))
 
 
 def latest_metric_ranked(metrics: DataFrame) -> DataFrame:
