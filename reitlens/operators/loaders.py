@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reitlens.functions import scalars as S
@@ -34,10 +34,14 @@ def with_load_seq(batches: Sequence[DataFrame]) -> DataFrame:
 
 
 def load_reits(loaded: DataFrame) -> DataFrame:
-    """Upsert by normalised ticker, last load wins (needs ``load_seq``)."""
+    """Upsert by normalised ticker, last load wins (needs ``load_seq``).
+
+    A ``max_by`` aggregate keyed by the load sequence: partially aggregated, so
+    repeated loads of one ticker never pile up in one task.
+    """
     t = loaded.withColumn("ticker", S.norm_ticker("ticker"))
-    w = Window.partitionBy("ticker").orderBy(F.col("load_seq").desc())
-    return t.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "load_seq")
+    row = F.struct(*[F.col(c) for c in t.columns if c != "load_seq"])
+    return t.groupBy("ticker").agg(F.max_by(row, "load_seq").alias("_r")).select("_r.*")
 
 
 def load_metrics(loaded: DataFrame) -> DataFrame:
