@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from reitlens.functions import scalars as S
 from reitlens.functions.aggs import exact_avg, exact_sum
 from reitlens.operators.fundamentals import latest_metric
-from reitlens.operators.ranking import rank_within
+from reitlens.operators.ranking import rank_collapsing_ties
 
 DEFAULT_SECTOR = "Specialty"
 
@@ -108,12 +108,12 @@ def peer_comparison(reits: DataFrame, metrics: DataFrame) -> DataFrame:
     r = reits.select("ticker", "sector", "dividend_yield")
 
     # yield rank over all REITs of the sector
-    yr = rank_within(r, ["sector"], [F.col("dividend_yield").desc()], "dividend_yield_rank")
+    yr = rank_collapsing_ties(r, ["sector"], [("dividend_yield", False)], "dividend_yield_rank")
 
     # REITs with metrics: FFO / NOI ranks and group sums
     rm = lm.join(r, lm.reit_ticker == r.ticker, "inner").select("ticker", "sector", "ffo", "noi", "lev")
-    rm = rank_within(rm, ["sector"], [F.col("ffo").desc()], "ffo_rank")
-    rm = rank_within(rm, ["sector"], [F.col("noi").desc()], "noi_growth_rank")
+    rm = rank_collapsing_ties(rm, ["sector"], [("ffo", False)], "ffo_rank")
+    rm = rank_collapsing_ties(rm, ["sector"], [("noi", False)], "noi_growth_rank")
     sums = rm.groupBy("sector").agg(
         F.count(F.lit(1)).alias("n"), exact_sum("ffo").alias("s_ffo"),
         exact_sum("noi").alias("s_noi"), exact_sum("lev").alias("s_lev"))

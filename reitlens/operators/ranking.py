@@ -47,3 +47,37 @@ def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column], o
     cond = [F.col(k).eqNullSafe(F.col(f"{k}__o")) for k in keys]
     joined = local.join(offsets, cond, "inner")
     return joined.select(*df.columns, (F.col(_OFF) + F.col(_LOCAL)).cast("int").alias(out))
+
+
+def rank_collapsing_ties(df: DataFrame, groups: Sequence[str], keys: Sequence[tuple[str, bool]],
+                         out: str, partitions: int | None = None) -> DataFrame:
+    """``rank()`` within ``groups`` by ``keys`` [(column, ascending)], ties collapsed first.
+
+    Rows are first counted per distinct (group, key) value (a partial
+    aggregation, so a tie shared by a third of all rows becomes one row), the
+    distinct values are ranked with running sums of those counts, and the ranks
+    are joined back.  ``rank = 1 + rows of the group strictly ahead``, NULLs
+    ordered as ``Window`` orders them (first ascending, last descending).
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kcols = [k for k, _ in keys]
+    order = [F.col(k).asc() if asc else F.col(k).desc() for k, asc in keys]
+    counts = df.groupBy(*groups, *kcols).agg(F.count(F.lit(1)).alias(_CNT))
+    ranged = counts.repartitionByRange(n, *[F.col(g) for g in groups], *order) \
+        .withColumn(_PID, F.spark_partition_id())
+    before = (Window.partitionBy(_PID, *groups).orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    local = ranged.withColumn(_LOCAL, F.coalesce(F.sum(_CNT).over(before), F.lit(0)))
+    totals = local.groupBy(_PID, *groups).agg(F.sum(_CNT).alias("_rk_tot"))
+    w_off = (Window.partitionBy(*groups).orderBy(_PID)
+             .rowsBetween(Window.unboundedPreceding, -1))
+    pk = [_PID, *groups]
+    offsets = totals.select(*[F.col(k).alias(f"{k}__o") for k in pk],
+                            F.coalesce(F.sum("_rk_tot").over(w_off), F.lit(0)).alias(_OFF))
+    ranked = (local.join(offsets, [F.col(k).eqNullSafe(F.col(f"{k}__o")) for k in pk], "inner")
+              .select(*[F.col(c).alias(f"{c}__r") for c in (*groups, *kcols)],
+                      (F.col(_OFF) + F.col(_LOCAL) + 1).cast("int").alias(out)))
+    cond = [F.col(c).eqNullSafe(F.col(f"{c}__r")) for c in (*groups, *kcols)]
+    return (df.join(ranked, cond, "inner")
+            .drop(*[f"{c}__r" for c in (*groups, *kcols)]))

@@ -24,3 +24,20 @@ def test_global_row_number(spark):
     exp = sorted(((-v, i) for v, i in [(r[0], r[1]) for r in df.collect()]))
     assert [(v, i) for _, v, i in got] == [(-nv, i) for nv, i in exp]
     assert [r for r, _, _ in got] == list(range(1, 501))
+
+
+def test_rank_collapsing_ties_matches_window_rank(spark):
+    from reitlens.operators.ranking import rank_collapsing_ties
+    rnd = random.Random(11)
+    rows = []
+    for i in range(3000):
+        g = "HOT" if rnd.random() < 0.5 else f"g{rnd.randint(0, 4)}"
+        v = 0.0 if rnd.random() < 0.4 else (None if rnd.random() < 0.05 else float(rnd.randint(-20, 20)))
+        rows.append((g, v, i))
+    df = spark.createDataFrame(rows, "g string, v double, id long")
+    for asc in (False, True):
+        ours = rank_collapsing_ties(df, ["g"], [("v", asc)], "r", partitions=16)
+        o = F.col("v").asc() if asc else F.col("v").desc()
+        ref = df.withColumn("r", F.rank().over(Window.partitionBy("g").orderBy(o)))
+        assert sorted(map(tuple, ours.select("id", "r").collect())) == \
+            sorted(map(tuple, ref.select("id", "r").collect()))
