@@ -74,13 +74,19 @@ METRIC_KEYS = tuple(m[0] for m in METRICS)
 def _attempt(text: Column, pattern: str, strip_commas: bool, billions: bool,
              percent: bool) -> Column:
     p = SPARK_FLAGS + pattern
-    raw = F.regexp_extract(text, p, 1)
+    if billions:
+        # one scan of the whole text for the full match; the capture is then taken
+        # from that short match (same first match: the patterns use no anchors,
+        # look-arounds or word boundaries, so truncating after the match changes nothing)
+        whole = F.regexp_extract(text, p, 0)
+        raw = F.regexp_extract(whole, p, 1)
+    else:
+        raw = F.regexp_extract(text, p, 1)
     if strip_commas:
         raw = F.replace(raw, F.lit(","), F.lit(""))
     val = raw.try_cast("double")
     if billions:
-        whole = F.lower(F.regexp_extract(text, p, 0))
-        val = F.when(F.contains(whole, F.lit("billion")), val * F.lit(1000.0)).otherwise(val)
+        val = F.when(F.contains(F.lower(whole), F.lit("billion")), val * F.lit(1000.0)).otherwise(val)
     if percent:
         val = val / F.lit(100.0)
     return val
