@@ -159,15 +159,16 @@ def peer_comparison(reits: DataFrame, metrics: DataFrame) -> DataFrame:
     return with_master.unionByName(orphans)
 
 
-def sector_peers(reits: DataFrame, tickers: DataFrame) -> DataFrame:
+def sector_peers(reits: DataFrame, tickers: list[str]) -> DataFrame:
     """Peers (same sector, other ticker) of the requested tickers.
 
-    ``tickers`` holds the probe tickers (column ``ticker``); the output has one row
-    per (ticker, peer).  This is a point query: it is never run for every ticker
-    at once, which would emit all pairs of a sector.
+    A point query: probe tickers are normalised like stored ones (strip, upper)
+    and looked up with ``isin``; their sectors are then equi-joined with the
+    master.  It is never run for every ticker at once, which would emit all
+    pairs of a sector.
     """
-    probe = tickers.select(S.norm_ticker("ticker").alias("ticker")).distinct()
-    subj = probe.join(reits.select("ticker", "sector"), "ticker")
+    probes = sorted({t.strip().upper() for t in tickers})
+    subj = reits.where(F.col("ticker").isin(*probes)).select("ticker", "sector")
     peers = reits.select(F.col("ticker").alias("peer_ticker"), F.col("sector"))
     return (subj.join(peers, "sector")
             .where(F.col("peer_ticker") != F.col("ticker"))

@@ -3,8 +3,8 @@
 Every score starts at 50, adds the first matching branch of each rule block
 and is clamped to [0, 100]; a ticker without the input a score needs gets 50.
 Model numbers default to 0.0, so NULL inputs are read as 0.0.  All tickers
-are scored in one plan; the macro score is a one-row frame attached to every
-ticker through a broadcast hash join on a constant key.
+are scored in one plan; the macro score, one value for all tickers, enters as a
+scalar subquery (evaluated once, no join).
 """
 
 from __future__ import annotations
@@ -144,12 +144,6 @@ def composite(f: Column, v: Column, m: Column, ma: Column, s: Column) -> Column:
     return py_round(total, 2)
 
 
-def _one_row_join(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach a single-row frame to every row (broadcast hash join on a constant key)."""
-    return (df.withColumn("_k", F.lit(0))
-            .join(F.broadcast(one.withColumn("_k", F.lit(0))), "_k").drop("_k"))
-
-
 def generate_signals(reits: DataFrame, metrics: DataFrame, price_summary: DataFrame | None,
                      env: DataFrame | None, latest: DataFrame | None = None) -> DataFrame:
     """All five scores, composite, rating and sentiment for every REIT.
@@ -175,9 +169,8 @@ def generate_signals(reits: DataFrame, metrics: DataFrame, price_summary: DataFr
         momentum = F.when(F.coalesce("_has_p", F.lit(False)), momentum_expr()).otherwise(F.lit(N))
     macro = F.lit(N)
     if env is not None:
-        e = env.select("rate_assessment", "curve_assessment", "rate_trend", "unemployment_rate")
-        j = _one_row_join(j, e)
-        macro = macro_expr()
+        # one value for every ticker: a scalar subquery, evaluated once, no join
+        macro = macro_score(env).scalar()
     has_m = F.coalesce("_has_m", F.lit(False))
     scored = j.select(
         "ticker",

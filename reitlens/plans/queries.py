@@ -8,7 +8,6 @@ independent DuckDB oracle over the same lake tables.
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from reitlens.operators import fundamentals as FU
 from reitlens.operators import peers as PE
@@ -216,8 +215,7 @@ WHERE s.ticker = 'R3'
 """, "reits"))
 def q_sector_peers(spark, sf_dir):
     lake = _lake(spark, sf_dir)
-    probe = spark.range(1).select(F.lit(" r3").alias("ticker"))
-    return PE.sector_peers(bind.reits(lake), probe)
+    return PE.sector_peers(bind.reits(lake), [" r3"])
 
 
 SAFETY_BASE = """

@@ -81,8 +81,7 @@ def test_valuation_and_missing(spark, data):
 
 def test_sector_peers_point_query(spark, data):
     r, _ = data
-    probe = spark.createDataFrame([(" eqix ",)], "ticker string")
-    assert [x["peer_ticker"] for x in PE.sector_peers(r, probe).collect()] == ["DLR"]
+    assert [x["peer_ticker"] for x in PE.sector_peers(r, [" eqix "]).collect()] == ["DLR"]
 
 
 def test_join_latest_metric_keeps_reits_without_metrics(spark, data):
