@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reitlens.llm import decontaminate, line_dedup, mixing, quality_lm, recompression, simhash_trie, token_prefix, url_rules
+from reitlens.llm import bwt_dedup, decontaminate, line_dedup, mixing, quality_lm, recompression, simhash_trie, token_prefix, url_rules, wrapper_html
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -178,3 +178,15 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q L
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_rules.judge(table(spark, sf_dir, "pages", "page_id", "url"), url_rules.rules_frame(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = bwt_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_html_wrapper")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = wrapper_html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
