@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reitlens.llm.common import (Substrings, doc_key, key_filter, keyed, lookup_of, may_hold, mix, release, runs, ship, sized, stored, text_slices)
+from reitlens.llm.common import (BYTE_VALUES, Substrings, doc_key, key_filter, keyed, lookup_of, may_hold, release, runs, ship, sized, stored, text_slices)
 
 MINIMUM = 100
-GRAM = 24
+GRAM = 40
 #: A block ends before a gram whose hash has these many low bits zero.
 BLOCK_BITS = 8
 #: Bytes of runs a shard should hold, on average.
@@ -39,8 +39,6 @@ OFTEN = 20_000
 #: Symbols sorted and expanded at a time; a shard larger than this is worked off by groups of picks.
 PIECE = 4 << 20
 
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
 
 class Bytes:
     """A slice of texts as bytes: window starts, the pick of each, and the runs of windows with one pick."""
@@ -52,7 +50,7 @@ class Bytes:
         raw = b"".join(data.to_pylist())
         self.raw = raw
         value = np.frombuffer(raw, np.uint8)
-        self.sub = Substrings(_TABLE[value])
+        self.sub = Substrings(BYTE_VALUES[value])
         n = len(value)
         self.doc = np.repeat(np.arange(len(size)).astype(np.int32), size)
         last = np.repeat(self.offsets[1:], size)

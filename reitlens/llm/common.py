@@ -122,6 +122,9 @@ def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
+#: Odd multiplier of the polynomial hash and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 
@@ -138,15 +141,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit XXH64 per word, computed once per distinct word of the slice."""
-    import xxhash
-
-    if len(words) == 0:
+    """A 64-bit hash of the bytes of each word."""
+    n = len(words)
+    if n == 0:
         return np.zeros(0, np.uint64)
-    enc = pc.dictionary_encode(words)
-    h = xxhash.xxh64_intdigest
-    table = np.fromiter((h(w, 0) for w in enc.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(enc.dictionary))
-    return table[np.asarray(enc.indices)]
+    _, ends, data = words.buffers()
+    at = np.frombuffer(ends, np.int64 if pa.types.is_large_string(words.type) else np.int32)[words.offset:words.offset + n + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]]
+    at = at - at[0]
+    return Substrings(BYTE_VALUES[raw]).of(at[:-1], at[1:])
 
 
 def rolling(values: np.ndarray, width: int) -> np.ndarray:
@@ -256,9 +259,8 @@ def may_hold(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Odd multiplier of the polynomial hash and its inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: What each byte stands for in hashes.
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
 class Substrings:

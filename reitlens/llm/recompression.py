@@ -7,10 +7,11 @@ equally without talking to each other.  Every symbol also carries its reach: the
 stretch of words that decides that it is there.  Where two documents share a
 stretch of words, they share every symbol whose reach lies inside it.
 
-1. Every window of 13 words picks the first symbol of the highest round whose
-   reach lies inside it; Spark counts in how many documents the words of each
-   picked reach stand.  Only windows that pick a reach standing in two or more
-   documents can repeat.
+1. A symbol whose reach lies close around its first word marks the ``KEY`` words
+   from there.  Every window of 13 words picks, of the marked stretches inside
+   it, the one with the smallest hash (of all its stretches if none is marked);
+   Spark counts in how many documents each picked stretch stands.  Only windows
+   whose pick stands in two or more documents can repeat.
 2. Stretches of such windows are compared by the symbols of a high round, each
    with the 12 words after it: a shared one with an earlier first document
    settles all its windows at once.
@@ -32,8 +33,11 @@ from reitlens.llm.common import (Substrings, doc_key, key_filter, keyed, lookup_
                                  text_slices, word_hashes)
 
 WINDOW = 13
-#: Rounds whose reaches fit a window of this size, and rounds until a symbol spans about ten words.
-LOW_ROUNDS, HIGH_ROUNDS = 2, 4
+#: Words to a marked stretch, and words before it that the marking symbol's reach may take in.
+KEY, BEFORE = 6, 2
+#: Rounds whose reaches lie that close, and rounds until a symbol spans about ten words.
+LOW_ROUNDS, HIGH_ROUNDS = 1, 4
+_NONE = np.uint64((1 << 64) - 1)
 _RUN, _SIDE, _PAIR = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -99,30 +103,36 @@ class Parsed:
         self.words, self.offsets = split_words(text)
         self.h = word_hashes(self.words)
         self.sub = Substrings(self.h)
-        self.rounds = [Symbols.words(self.h, self.offsets)]
+        self.word_doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
+        self.symbols = Symbols.words(self.h, self.offsets)
         for r in range(1, LOW_ROUNDS + 1):
-            self.rounds.append(self.rounds[-1].round(r))
-        doc = self.rounds[0].doc
-        last = self.offsets[1:][doc] if len(doc) else np.zeros(0, np.int64)
-        self.starts = np.flatnonzero(np.arange(len(self.h)) + width <= last)
-        self.doc = doc[self.starts]
-        self.key = np.zeros(len(self.starts), np.uint64)
-        open_ = np.arange(len(self.starts))
-        for r in range(LOW_ROUNDS, -1, -1):
-            s = self.rounds[r]
-            if not len(open_) or not len(s.lo):
-                continue
-            at = self.starts[open_]
-            k = np.searchsorted(s.lo, at)
-            inside = k < len(s.lo)
-            k = np.minimum(k, len(s.lo) - 1)
-            inside &= s.hi[k] <= at + width
-            lo, hi = s.lo[k[inside]], s.hi[k[inside]]
-            self.key[open_[inside]] = self.sub.of(lo, hi) + np.uint64(r)
-            open_ = open_[~inside]
+            self.symbols = self.symbols.round(r)
+        n = len(self.h)
+        last = self.offsets[1:][self.word_doc]
+        self.starts = np.flatnonzero(np.arange(n) + width <= last)
+        self.doc = self.word_doc[self.starts]
+        at = np.arange(max(n - KEY + 1, 0))
+        stretch = np.full(n, _NONE)
+        stretch[:len(at)] = self.sub.of(at, at + KEY)
+        s = self.symbols
+        near = (s.lo >= s.start - BEFORE) & (s.hi <= s.start + KEY)
+        marked = np.full(n, _NONE)
+        marked[s.start[near]] = stretch[s.start[near]]
+        self.key = self._least(marked, BEFORE, width - KEY)
+        none = self.key == _NONE
+        if none.any():
+            self.key[none] = self._least(stretch, 0, width - KEY)[none]
+
+    def _least(self, value: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Smallest value at the places start + first .. start + last of every window."""
+        n = len(value) - last
+        low = value[first:first + n].copy() if n > 0 else np.zeros(0, np.uint64)
+        for k in range(first + 1, last + 1):
+            np.minimum(low, value[k:k + n], out=low)
+        return low[self.starts]
 
     def high(self) -> Symbols:
-        s = self.rounds[-1]
+        s = self.symbols
         for r in range(LOW_ROUNDS + 1, HIGH_ROUNDS + 1):
             s = s.round(r)
         return s
@@ -192,7 +202,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
                 np.add.at(edge, e, -1)
                 done = np.cumsum(edge)[:-1] > 0
                 w = p.starts[candidate & ~done[p.starts]]
-                wd = p.rounds[0].doc[w] if len(w) else w
+                wd = p.word_doc[w]
                 joined = np.zeros(len(a), bool)
                 joined[1:] = (a[1:] == e[:-1]) & (d[1:] == d[:-1])
                 firsts = np.flatnonzero(~joined)
@@ -207,7 +217,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
     rows = stored(src.mapInArrow(single, "doc long, mark long, start int, end int, key long"), "recompress-rows")
     windows = rows.where("key is not null")
-    low = windows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("top")).where("low < top").select("key", "low")
+    low = windows.select("key", "doc").groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("top")).where("low < top").select("key", "low")
     later = windows.join(low, "key").where("low < doc").select("doc", "mark", "start", "end")
     spans = rows.where("key is null").select("doc", "mark", "start", "end").unionByName(later)
     spans = stored(spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "recompress-spans")
