@@ -268,13 +268,14 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", minimu
                 s, t = _stretches(todo, number)
                 if not len(s):
                     continue
+                double = x.twice()[ok][number[s] - 1]
                 p = p[number[s] - 1].view(np.int64)
                 d = x.doc[s]
                 frequent = often.find(p) >= 0
                 i = np.flatnonzero(~frequent)
                 if len(i):
                     data = [x.raw[u:v + minimum - 1] for u, v in zip(s[i].tolist(), t[i].tolist())]
-                    yield _rows(ids[d[i]], marks[d[i]], (s - x.offsets[d])[i], (t - x.offsets[d])[i], p[i], data)
+                    yield _rows(ids[d[i]], marks[d[i]], (s - x.offsets[d])[i], (t - x.offsets[d])[i], p[i], data, double[i])
                 i = np.flatnonzero(frequent)
                 if len(i):
                     n = (t - s)[i]
@@ -282,13 +283,13 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", minimu
                     d = x.doc[w]
                     yield _rows(ids[d], marks[d], w - x.offsets[d], w - x.offsets[d] + 1, x.sub.of(w, w + minimum).view(np.int64), None)
 
-    rows = stored(src.mapInArrow(rest, "doc long, mark long, start long, end long, key long, data binary"), "bwt-rows")
+    rows = stored(src.mapInArrow(rest, "doc long, mark long, start long, end long, key long, data binary, twice boolean"), "bwt-rows")
     spans = rows.where("key is null").select("doc", "mark", "start", "end")
     windows = rows.where("key is not null and data is null")
     low = windows.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("low"), F.max(F.struct("doc", "start")).alias("top")).where("low < top")
     spans = spans.unionByName(windows.join(low, "key").where("low < struct(doc, start)").select("doc", "mark", "start", "end"))
 
-    segments = rows.where("data is not null").select("doc", "mark", "start", "key", "data")
+    segments = rows.where("data is not null").select("doc", "mark", "start", "key", "data", "twice")
     total = segments.agg(F.sum(F.length("data"))).first()[0] or 0
 
     def expand(batches):
@@ -298,6 +299,11 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", minimu
         if not held or not sum(b.num_rows for b in held):
             return
         t = pa.Table.from_batches(held)
+        # a run that is alone with its pick, which stands in it once, repeats nothing
+        _, group, many = np.unique(np.asarray(t.column("key").combine_chunks()), return_inverse=True, return_counts=True)
+        t = t.filter(pa.array((many[group] > 1) | np.asarray(t.column("twice").combine_chunks())))
+        if not t.num_rows:
+            return
         doc, mark, pos, key = (np.asarray(t.column(c).combine_chunks()) for c in ("doc", "mark", "start", "key"))
         size = np.asarray(pc.binary_length(t.column("data").combine_chunks())).astype(np.int64)
         order = np.argsort(key, kind="stable")
@@ -338,11 +344,11 @@ def _stretches(mask: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def _rows(doc, mark, start, end, key, data) -> pa.RecordBatch:
+def _rows(doc, mark, start, end, key, data, twice=None) -> pa.RecordBatch:
     n = len(doc)
     return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(mark), pa.array(np.asarray(start, np.int64)), pa.array(np.asarray(end, np.int64)),
-                                       pa.nulls(n, pa.int64()) if key is None else pa.array(key), pa.nulls(n, pa.binary()) if data is None else pa.array(data, pa.binary())],
-                                      names=["doc", "mark", "start", "end", "key", "data"])
+                                       pa.nulls(n, pa.int64()) if key is None else pa.array(key), pa.nulls(n, pa.binary()) if data is None else pa.array(data, pa.binary()), pa.nulls(n, pa.bool_()) if twice is None else pa.array(twice)],
+                                      names=["doc", "mark", "start", "end", "key", "data", "twice"])
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", minimum: int = MINIMUM) -> DataFrame:
