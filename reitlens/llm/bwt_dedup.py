@@ -70,11 +70,12 @@ class Bytes:
         self.first, self.last, self.pick = starts[at], starts[to], pick[at]  # run: windows first .. last
         self.width, self.room = width, room
 
-    def twice(self) -> np.ndarray:
-        """Runs in which the picked gram stands at two places at least."""
-        out = np.zeros(len(self.first), bool)
-        for s in range(0, len(self.first), 1 << 14):
-            f, l, p = self.first[s:s + (1 << 14)], self.last[s:s + (1 << 14)], self.pick[s:s + (1 << 14)]
+    def twice(self, runs_: np.ndarray | None = None) -> np.ndarray:
+        """Runs (all, or those numbered) in which the picked gram stands at two places at least."""
+        first, last, pick = (x if runs_ is None else x[runs_] for x in (self.first, self.last, self.pick))
+        out = np.zeros(len(first), bool)
+        for s in range(0, len(first), 1 << 14):
+            f, l, p = first[s:s + (1 << 14)], last[s:s + (1 << 14)], pick[s:s + (1 << 14)]
             span = np.arange(self.room)
             early = np.argmax(self.hash[f[:, None] + span] == p[:, None], axis=1) + f
             late = l + self.room - 1 - np.argmax(self.hash[(l + self.room - 1)[:, None] - span] == p[:, None], axis=1)
@@ -118,55 +119,81 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(suf[:n], pre[width - 1:width - 1 + n])
 
 
-def _order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rotations of ``text`` (values under 512) sorted by their first ``depth`` symbols at least."""
+#: Symbols that one sort key holds (9 bits each).
+_PACKED = 7
+
+
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ``key`` and where a new value begins in it."""
+    order = np.argsort(key)
+    s = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = s[1:] != s[:-1]
+    return order, new
+
+
+def _order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rotations of ``text`` (values under 512) sorted by their first ``depth`` symbols at least, and where the first seven differ.
+
+    Rank doubling; after each round only the places whose rank is still shared are sorted again.
+    """
     n = len(text)
     key = np.zeros(n, np.int64)
-    for j in range(7):
+    for j in range(min(_PACKED, depth)):
         key = (key << 9) | np.roll(text, -j)
-    have = 7
-    while True:
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.ones(n, bool)
-        new[1:] = s[1:] != s[:-1]
-        if have >= depth or new.all():
-            return order
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        key = rank * (n + 1) + np.roll(rank, -have)
+    order, new = _sorted(key)
+    first = new.copy()
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # place of the first of its equals
+    have = min(_PACKED, depth)
+    while have < depth:
+        alone = new & np.append(new[1:], True)
+        at = np.flatnonzero(~alone)
+        if not len(at):
+            break
+        own = order[at]
+        head = rank[own]
+        follow = rank[(own + have) % n]
+        part, fresh = _sorted(head * (n + 1) + follow)
+        order[at] = own[part]  # places of one rank are next to each other, so the shared places keep their range
+        new[at] = fresh
+        rank[order[at]] = np.maximum.accumulate(np.where(new, np.arange(n), 0))[at]
         have *= 2
+    return order, first
 
 
 def equal_windows(text: np.ndarray, minimum: int) -> np.ndarray:
     """A class number per rotation of ``text``: equal for those that share their first ``minimum`` symbols.
 
-    The breadth-first expansion works on all intervals of one length at once.
+    The breadth-first expansion works on all intervals of one length at once and
+    begins with those of the strings that one sort key holds.
     """
     n = len(text)
-    order = _order(text, minimum)
+    order, first = _order(text, minimum)
     bwt = text[order - 1]
     by_char = np.argsort(bwt, kind="stable")
     lf = np.empty(n, np.int64)
     lf[by_char] = np.arange(n)
-    is_set = np.zeros(n + 1, bool)  # a common prefix is known between place - 1 and place
-    is_set[0] = is_set[n] = True
-    lo, hi = np.array([0]), np.array([n])
-    for length in range(minimum):
+    is_set = np.ones(n + 1, bool)  # a common prefix below the length reached is known between place - 1 and place
+    is_set[:n] = first
+    begin = min(_PACKED, minimum)
+    lo = np.flatnonzero(first)
+    hi = np.append(lo[1:], n)
+    for _ in range(begin, minimum):
         size = hi - lo
+        total = int(size.sum())
         own = np.repeat(np.arange(len(lo)), size)
-        member = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+        member = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
         to = lf[member]
+        # members of one interval and character stand side by side in ``to``
         at = np.argsort(to)
         to, own, char = to[at], own[at], bwt[member[at]]
-        new = np.ones(len(to), bool)
+        new = np.ones(total, bool)
         new[1:] = (own[1:] != own[:-1]) | (char[1:] != char[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(to)) - 1
-        nlo, nhi = to[first], to[last] + 1
-        fresh = ~is_set[nhi] | (nhi == n) & (nlo > 0) & ~is_set[np.minimum(nlo, n)]
-        if length == 0:
-            fresh = np.ones(len(nhi), bool)
+        lead = np.flatnonzero(new)
+        last = np.append(lead[1:], total) - 1
+        nlo, nhi = to[lead], to[last] + 1
+        fresh = ~is_set[nhi]
         is_set[nhi[fresh]] = True
         lo, hi = nlo[fresh], nhi[fresh]
         if not len(lo):
@@ -268,7 +295,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", minimu
                 s, t = _stretches(todo, number)
                 if not len(s):
                     continue
-                double = x.twice()[ok][number[s] - 1]
+                double = x.twice(np.flatnonzero(ok)[number[s] - 1])
                 p = p[number[s] - 1].view(np.int64)
                 d = x.doc[s]
                 frequent = often.find(p) >= 0
