@@ -25,7 +25,12 @@ SHORTEST = 5
 
 
 def line_words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACES), "")
+    """Words of a line; a pattern is only needed where there is other white space than blanks."""
+    return F.array_remove(F.when(line.rlike("[\\t\\n\\x0B\\f\\r]"), F.split(line, SPACES)).otherwise(F.split(line, " ")), "")
+
+
+def has_word(line: Column) -> Column:
+    return line.rlike("[^ \\t\\n\\x0B\\f\\r]")
 
 
 def _halves(words: Column, n: Column, shortest: int) -> Column:
@@ -40,9 +45,9 @@ def _halves(words: Column, n: Column, shortest: int) -> Column:
 def line_table(docs: DataFrame, doc_id: str, text: str, shortest: int) -> DataFrame:
     """(place, a, b, n, halves): every line with a word; ``place`` orders lines, (a, b) is its 128-bit hash."""
     lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    words = lines.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no").alias("place"), line_words(F.col("line")).alias("words"))
+    words = lines.where(has_word(F.col("line"))).select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no").alias("place"), line_words(F.col("line")).alias("words"))
     n = F.size("words")
-    return words.where(n > 0).select("place", F.xxhash64(F.lit(7), "words").alias("a"), F.xxhash64(F.lit(11), "words").alias("b"),
+    return words.select("place", F.xxhash64(F.lit(7), "words").alias("a"), F.xxhash64(F.lit(11), "words").alias("b"),
                                      n.alias("n"), _halves(F.col("words"), n, shortest).alias("halves"))
 
 
