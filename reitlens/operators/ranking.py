@@ -12,6 +12,10 @@ every slice within its group:
     rank = rows of the same group in earlier partitions + local rank
 
 The counts table has at most (partitions + groups) rows.
+
+Range bounds are sampled each time a plan runs, so the assignment of rows to
+partitions is written to the shared checkpoint folder once, partition number
+included, and both the ranks and the counts are read from that copy.
 """
 
 from __future__ import annotations
@@ -21,6 +25,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reitlens.session import ensure_checkpoint_dir
+
+def _fixed(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """``df`` in ``n`` ranges with the range's number, stored so that every reader sees the same assignment."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.repartitionByRange(n, *order).withColumn(_PID, F.spark_partition_id()).checkpoint()
+
+
 _PID, _LOCAL, _OFF, _CNT = "_rk_pid", "_rk_local", "_rk_off", "_rk_cnt"
 
 
@@ -34,7 +46,7 @@ def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column], o
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     gcols = [F.col(g) for g in groups]
-    ranged = df.repartitionByRange(n, *gcols, *order).withColumn(_PID, F.spark_partition_id())
+    ranged = _fixed(df, n, *gcols, *order)
     fn = F.rank() if method == "rank" else F.row_number()
     w_local = Window.partitionBy(_PID, *groups).orderBy(*order)
     local = ranged.withColumn(_LOCAL, fn.over(w_local))
@@ -64,8 +76,7 @@ def rank_collapsing_ties(df: DataFrame, groups: Sequence[str], keys: Sequence[tu
     kcols = [k for k, _ in keys]
     order = [F.col(k).asc() if asc else F.col(k).desc() for k, asc in keys]
     counts = df.groupBy(*groups, *kcols).agg(F.count(F.lit(1)).alias(_CNT))
-    ranged = counts.repartitionByRange(n, *[F.col(g) for g in groups], *order) \
-        .withColumn(_PID, F.spark_partition_id())
+    ranged = _fixed(counts, n, *[F.col(g) for g in groups], *order)
     before = (Window.partitionBy(_PID, *groups).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
     local = ranged.withColumn(_LOCAL, F.coalesce(F.sum(_CNT).over(before), F.lit(0)))

@@ -2,9 +2,9 @@
 
 All writers go through ``DataFrameWriter`` (task output is committed per job,
 so a lost executor's partial files are never visible).  Writes that the
-application appends are made idempotent with *dynamic partition overwrite*:
-re-running the same run date replaces that partition instead of duplicating
-it.  Paths are parameters; on a cluster they point at shared storage.
+application appends keep all earlier rows and add only rows whose key is new,
+so writing a batch twice adds nothing; raw macro and price feeds, which hold one
+batch per key and run date, replace that partition.  Paths are parameters; on a cluster they point at shared storage.
 """
 
 from __future__ import annotations
@@ -14,16 +14,31 @@ from pyspark.sql import functions as F
 
 from reitlens import constants as K
 from reitlens.functions import scalars as S
+from reitlens.session import ensure_checkpoint_dir
 
 
-def _dynamic(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+def write_partitioned(df: DataFrame, path: str, partition_by: list[str], fmt: str = "parquet") -> None:
+    """Idempotent write of whole partitions: those that ``df`` holds are replaced, others stay."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).format(fmt).save(path))
 
 
-def write_partitioned(df: DataFrame, path: str, partition_by: list[str], fmt: str = "parquet") -> None:
-    """Idempotent write of whole partitions (dynamic overwrite)."""
-    _dynamic(df)
-    df.write.mode("overwrite").partitionBy(*partition_by).format(fmt).save(path)
+def append_new(df: DataFrame, path: str, partition_by: list[str], key: list[str], fmt: str = "parquet") -> None:
+    """Append the rows whose ``key`` is not in the sink yet; earlier rows are never touched.
+
+    A batch that is written again adds nothing.  Rows that repeat a key inside a
+    batch are written once.  Keys that are null are compared like values.
+    """
+    new = df.dropDuplicates(key)
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        have = spark.read.format(fmt).schema(df.schema).load(path).select(*[F.col(k).alias(f"{k}__have") for k in key])
+        new = new.join(have, [F.col(k).eqNullSafe(F.col(f"{k}__have")) for k in key], "left_anti")
+        ensure_checkpoint_dir(spark)
+        new = new.checkpoint()  # the sink is read before it is written
+    new.write.mode("append").partitionBy(*partition_by).format(fmt).save(path)
 
 
 # ---------------------------------------------------------------------------
@@ -32,7 +47,7 @@ def write_partitioned(df: DataFrame, path: str, partition_by: list[str], fmt: st
 
 def sink_raw_filings(new_filings: DataFrame, path: str) -> None:
     """Landed filing records under ``ticker=…/form_type=…`` (accession in the row)."""
-    write_partitioned(new_filings, path, ["ticker", "form_type"], "json")
+    append_new(new_filings, path, ["ticker", "form_type"], ["accession"], "json")
 
 
 def sink_raw_macro(observations: DataFrame, path: str, run_date: Column) -> None:
@@ -54,19 +69,19 @@ def sink_benchmarks(benchmarks: DataFrame, path: str, computed_at: Column) -> No
     """Append sector benchmark rows, partitioned by computation date."""
     out = (benchmarks.withColumn("computed_at", computed_at)
            .withColumn("computed_date", F.to_date("computed_at")))
-    write_partitioned(out, path, ["computed_date"])
+    append_new(out, path, ["computed_date"], ["computed_at", *[c for c in ("sector", "metric") if c in benchmarks.columns]])
 
 
 def sink_signals(rows: DataFrame, path: str) -> None:
     """Append signal rows (``scores.signals_for_sink``), partitioned by generation date."""
     out = rows.withColumn("generated_date", F.to_date("generated_at"))
-    write_partitioned(out, path, ["generated_date"])
+    append_new(out, path, ["generated_date"], ["signal_id"])
 
 
 def sink_quarantine(tagged: DataFrame, path: str, entity: str) -> None:
     """Rows that broke data-quality rules, with their messages."""
     bad = tagged.where(F.size("dq_errors") > 0).withColumn("entity", F.lit(entity))
-    write_partitioned(bad, path, ["entity"])
+    append_new(bad, path, ["entity"], [c for c in bad.columns])
 
 
 def register_views(spark: SparkSession, views: dict[str, DataFrame]) -> None:
