@@ -393,7 +393,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", minimum:
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
     rest = [c for c in docs.columns if c != text and c not in names]
     src = docs.select(*rest, doc_key(doc_id).alias("doc__"), F.xxhash64(text).alias("mark__"), F.col(text).alias("text__"))
-    marked = src.join(sized(spans), (F.col("doc__") == F.col("doc")) & (F.col("mark__") == F.col("mark")), "left").select(*rest, "text__", "spans")
+    spans = spans.select(F.col("doc").alias("s_doc__"), F.col("mark").alias("s_mark__"), F.col("spans").alias("spans__"))
+    marked = src.join(sized(spans), (F.col("doc__") == F.col("s_doc__")) & (F.col("mark__") == F.col("s_mark__")), "left").select(*rest, "text__", "spans__")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*rest).schema.fields)
     schema = ", ".join(x for x in (fields, "n_bytes long, n_removed long, n_spans long, kept binary") if x)
 
@@ -402,7 +403,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", minimum:
             for b in text_slices(batch, "text__"):
                 raw = pc.fill_null(b.column("text__"), "").cast(pa.large_binary()).to_pylist()
                 n, lost, pieces, kept = [], [], [], []
-                for x, spans_ in zip(raw, b.column("spans")):
+                for x, spans_ in zip(raw, b.column("spans__")):
                     n.append(len(x))
                     if not spans_.is_valid:
                         lost.append(0)

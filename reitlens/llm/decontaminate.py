@@ -155,7 +155,7 @@ def leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that overlap with no item (a null doc_id is judged with the other null ids)."""
-    bad = stored(overlaps(docs, items, doc_id=doc_id, **options).select(F.col("doc_id").alias("bad_id")).distinct(), "decon-bad")
+    bad = stored(overlaps(docs, items, doc_id=doc_id, **options).select(F.col("doc_id").alias("bad_id__")).distinct(), "decon-bad")
     from reitlens.llm.common import sized
 
-    return docs.join(sized(bad), F.col(doc_id).eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(sized(bad), F.col(doc_id).eqNullSafe(F.col("bad_id__")), "left_anti")

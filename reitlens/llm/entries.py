@@ -71,8 +71,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = line_dedup.with_removed(table(spark, sf_dir, "documents", "doc_id", "text"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     with_word = F.size(F.filter(lines, line_dedup.has_word))
-    kept = F.coalesce(line_dedup.kept_lines(F.col("text"), F.col("gone")), F.lit(""))
-    return marked.select("doc_id", with_word.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+    kept = F.coalesce(line_dedup.kept_lines(F.col("text"), F.col("gone__")), F.lit(""))
+    return marked.select("doc_id", with_word.cast("long").alias("n_lines"), F.coalesce(F.size("gone__"), F.lit(0)).cast("long").alias("n_removed"),
                          F.sha2(kept, 256).alias("kept_sha256"))
 
 

@@ -124,14 +124,14 @@ def kept_lines(text: Column, gone: Column) -> Column:
 
 
 def with_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST) -> DataFrame:
-    """``docs`` plus ``gone``: the numbers of the lines to remove, null if none."""
-    gone = stored(removed_lines(docs, doc_id, text, shortest), "lines-gone").select(F.col("doc_id").alias("g_id"), "gone")
-    return docs.drop("gone").join(sized(gone), F.col(doc_id).eqNullSafe(F.col("g_id")), "left").drop("g_id")
+    """``docs`` plus ``gone__``: the numbers of the lines to remove, null if none."""
+    gone = stored(removed_lines(docs, doc_id, text, shortest), "lines-gone").select(F.col("doc_id").alias("g_id__"), F.col("gone").alias("gone__"))
+    return docs.join(sized(gone), F.col(doc_id).eqNullSafe(F.col("g_id__")), "left").drop("g_id__")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """``docs`` with repeated lines removed from the text; documents that lose their last word are dropped."""
-    marked = with_removed(docs, doc_id, text, shortest).withColumn("new__", kept_lines(F.col(text), F.col("gone")))
-    had = F.col("gone").isNotNull() & (F.size(line_words(F.col("new__"))) == 0)
-    cols = [F.col("new__").alias(c) if c == text else F.col(c) for c in docs.columns if c != "gone" or "gone" not in docs.columns]
+    marked = with_removed(docs, doc_id, text, shortest).withColumn("new__", kept_lines(F.col(text), F.col("gone__")))
+    had = F.col("gone__").isNotNull() & (F.size(line_words(F.col("new__"))) == 0)
+    cols = [F.col("new__").alias(c) if c == text else F.col(c) for c in docs.columns]
     return marked.where(~had).select(*cols)

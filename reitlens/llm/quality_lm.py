@@ -376,5 +376,5 @@ def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """The rows of ``docs`` that are kept; rows with one id stay if any of them is kept."""
     from reitlens.llm.common import sized
 
-    gone = judge(docs, doc_id, text, lang, **bands_).groupBy("doc_id").agg(F.max("kept").alias("any_")).where("not any_").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(sized(stored(gone, "lm-gone")), F.col(doc_id).eqNullSafe(F.col("gone_id")), "left_anti")
+    gone = judge(docs, doc_id, text, lang, **bands_).groupBy("doc_id").agg(F.max("kept").alias("any_")).where("not any_").select(F.col("doc_id").alias("gone_id__"))
+    return docs.join(sized(stored(gone, "lm-gone")), F.col(doc_id).eqNullSafe(F.col("gone_id__")), "left_anti")

@@ -239,7 +239,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     names = ["n_words", "n_removed", "kept"]
     rest = [c for c in docs.columns if c != text and c not in names]
     src = docs.select(*rest, doc_key(doc_id).alias("doc__"), F.xxhash64(text).alias("mark__"), F.col(text).alias("text__"))
-    marked = src.join(sized(spans), (F.col("doc__") == F.col("doc")) & (F.col("mark__") == F.col("mark")), "left").select(*rest, "text__", "spans")
+    spans = spans.select(F.col("doc").alias("s_doc__"), F.col("mark").alias("s_mark__"), F.col("spans").alias("spans__"))
+    marked = src.join(sized(spans), (F.col("doc__") == F.col("s_doc__")) & (F.col("mark__") == F.col("s_mark__")), "left").select(*rest, "text__", "spans__")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*rest).schema.fields)
     schema = ", ".join(x for x in (fields, "n_words long, n_removed long, kept string") if x)
 
@@ -248,7 +249,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
             for b in text_slices(batch, "text__"):
                 words, offsets = split_words(b.column("text__"))
                 gone = np.zeros(len(words) + 1, np.int64)
-                for i, spans_ in enumerate(b.column("spans")):
+                for i, spans_ in enumerate(b.column("spans__")):
                     if spans_.is_valid:
                         v = spans_.values
                         s, e = np.asarray(v.field("start")), np.asarray(v.field("end"))

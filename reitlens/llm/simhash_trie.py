@@ -233,13 +233,13 @@ def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     stays (the smallest text).
     """
     cls = classes(docs, doc_id, text, words, budget)
-    drop = stored(cls.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
-    kept = docs.join(sized(drop), F.col(doc_id).eqNullSafe(F.col("gone_id")), "left_anti")
-    again = stored(kept.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n__")).where("n__ > 1").select(F.col(doc_id).alias("again_id")), "simhash-again")
+    drop = stored(cls.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("gone_id__")).distinct(), "simhash-gone")
+    kept = docs.join(sized(drop), F.col(doc_id).eqNullSafe(F.col("gone_id__")), "left_anti")
+    again = stored(kept.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n__")).where("n__ > 1").select(F.col(doc_id).alias("again_id__")), "simhash-again")
     if again.isEmpty():
         return kept
     # repeated ids: one row each, the smallest text then the smallest other columns
-    once = kept.join(sized(again), F.col(doc_id).eqNullSafe(F.col("again_id")), "left_semi")
+    once = kept.join(sized(again), F.col(doc_id).eqNullSafe(F.col("again_id__")), "left_semi")
     first = once.groupBy(doc_id).agg(F.min(F.struct(text, *[c for c in docs.columns if c not in (doc_id, text)])).alias("r__"))
     cols = [F.col(doc_id) if c == doc_id else F.col(f"r__.{c}").alias(c) for c in docs.columns]
-    return kept.join(sized(again), F.col(doc_id).eqNullSafe(F.col("again_id")), "left_anti").unionByName(first.select(*cols))
+    return kept.join(sized(again), F.col(doc_id).eqNullSafe(F.col("again_id__")), "left_anti").unionByName(first.select(*cols))

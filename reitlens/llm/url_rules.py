@@ -58,22 +58,22 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     expr = F.concat("r_host", "r_path")
     rules = rules.withColumn("r_rule", expr).withColumn("r_digest", F.sha2(expr, 256)).withColumn("short", F.substring("r_digest", 1, SHORT))
 
-    host, path = url_parts(F.col("url_"))
-    urls = df.select(F.col(url).alias("url_")).where(F.col(url).isNotNull()).distinct().select("url_", host.alias("h"), path.alias("p"))
+    host, path = url_parts(F.col("url__"))
+    urls = df.select(F.col(url).alias("url__")).where(F.col(url).isNotNull()).distinct().select("url__", host.alias("h"), path.alias("p"))
     labels = F.split("h", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("p")), lambda n: F.substring(F.col("p"), F.lit(1), n))
-    forms = (urls.select("url_", F.explode(suffixes).alias("s"), prefixes.alias("ps")).where("s <> ''")
-             .select("url_", "s", F.explode("ps").alias("q"))
-             .select("url_", F.sha2(F.concat("s", "q"), 256).alias("digest")))
+    forms = (urls.select("url__", F.explode(suffixes).alias("s"), prefixes.alias("ps")).where("s <> ''")
+             .select("url__", "s", F.explode("ps").alias("q"))
+             .select("url__", F.sha2(F.concat("s", "q"), 256).alias("digest")))
     forms = forms.withColumn("short", F.substring("digest", 1, SHORT))
     hits = forms.join(rules, "short").where("digest = r_digest")
     best = F.max_by(F.struct("r_rule", "r_verdict"), F.struct(F.length("r_rule"), F.length("r_host"), (F.col("r_verdict") == "block"), "r_rule"))
-    found = hits.groupBy("url_").agg(best.alias("best"))
+    found = hits.groupBy("url__").agg(best.alias("best__"))
     host, path = url_parts(F.col(url))
-    return (df.join(found, F.col(url) == F.col("url_"), "left")
-            .select(*df.columns, host.alias("host"), path.alias("path"), F.col("best.r_rule").alias("rule"),
-                    F.coalesce("best.r_verdict", F.lit(default)).alias("verdict")))
+    return (df.join(found, F.col(url) == F.col("url__"), "left")
+            .select(*df.columns, host.alias("host"), path.alias("path"), F.col("best__.r_rule").alias("rule"),
+                    F.coalesce("best__.r_verdict", F.lit(default)).alias("verdict")))
 
 
 def kept_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:

@@ -267,16 +267,16 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     ``text`` of ``pages`` is replaced.  An empty table gives an empty result.
     """
     ship(pages.sparkSession)
-    refs = stored(references(pages, page_id, url, html), "wrapper-references").select(F.col("host").alias("r_host"), "one", "two")
+    refs = stored(references(pages, page_id, url, html), "wrapper-references").select(F.col("host").alias("ref_host__"), F.col("one").alias("one__"), F.col("two").alias("two__"))
     rest = [c for c in pages.columns if c not in (html, "text")]
     host, _ = url_parts(F.col(url))
-    src = pages.select(*rest, F.col(html).alias("html__"), host.alias("host__")).join(sized(refs), F.col("host__") == F.col("r_host"), "left").select(*rest, "html__", "one", "two")
+    src = pages.select(*rest, F.col(html).alias("html__"), host.alias("host__")).join(sized(refs), F.col("host__") == F.col("ref_host__"), "left").select(*rest, "html__", "one__", "two__")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*rest).schema.fields)
 
     def run(batches):
         for batch in batches:
             for b in text_slices(batch, "html__"):
-                texts = [main_text(p, [r for r in (x, y) if r]) for p, x, y in zip(*(b.column(c).to_pylist() for c in ("html__", "one", "two")))]
+                texts = [main_text(p, [r for r in (x, y) if r]) for p, x, y in zip(*(b.column(c).to_pylist() for c in ("html__", "one__", "two__")))]
                 yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(rest))], pa.array(texts, pa.string())], names=[*rest, "text"])
 
     return src.mapInArrow(run, ", ".join(x for x in (fields, "text string") if x))
