@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from reitlens.operators.ranking import rank_within
+from reitlens.operators.ranking import rank_collapsing_ties, rank_within
 
 
 def test_rank_matches_window_rank_with_hot_group(spark):
@@ -41,3 +43,20 @@ def test_rank_collapsing_ties_matches_window_rank(spark):
         ref = df.withColumn("r", F.rank().over(Window.partitionBy("g").orderBy(o)))
         assert sorted(map(tuple, ours.select("id", "r").collect())) == \
             sorted(map(tuple, ref.select("id", "r").collect()))
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_ranks_hold_on_many_partitions(spark, reuse):
+
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        df = spark.range(0, 500_000, 1, 64).select((F.col("id") % 3).alias("g"), F.pmod(F.hash("id"), F.lit(900_000)).alias("v"), F.col("id").alias("k"))
+        order = [F.col("v").desc(), F.col("k").asc()]
+        got = rank_within(df, ["g"], order, "r", "row_number", 16)
+        want = df.withColumn("w", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+        assert got.join(want.select("k", "w"), "k").where("r = w").count() == 500_000
+        ties = rank_collapsing_ties(df, ["g"], [("v", False)], "r", 16)
+        want = df.withColumn("w", F.rank().over(Window.partitionBy("g").orderBy(F.col("v").desc())))
+        assert ties.join(want.select("k", "w"), "k").where("r = w").count() == 500_000
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
