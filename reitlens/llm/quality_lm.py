@@ -129,7 +129,7 @@ def model_tables(counts: DataFrame) -> list[DataFrame]:
     """
     raw = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        raw[k] = raw[k + 1].select("lang", _suffix(k + 1).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+        raw[k] = stored(raw[k + 1].select("lang", _suffix(k + 1).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), "lm-raw")
     tables: list[DataFrame] = []
     lower = None
     for k in range(1, ORDER + 1):
@@ -144,7 +144,7 @@ def model_tables(counts: DataFrame) -> list[DataFrame]:
         d = c.groupBy("lang").agg(*few).select("lang", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
         c = c.join(F.broadcast(d), "lang")  # one row per language
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        c = c.select("lang", "gram", "n", cut.alias("cut"), F.shiftrightunsigned("gram", 16).alias("ctx"))
+        c = stored(c.select("lang", "gram", "n", cut.alias("cut"), F.shiftrightunsigned("gram", 16).alias("ctx")), "lm-cut")
         ctx = c.groupBy("lang", "ctx").agg(F.sum("n").cast("double").alias("total"), F.sum("cut").alias("mass"), F.count(F.lit(1)).alias("kinds"))
         ctx = ctx.withColumn("gamma", F.col("mass") / F.col("total"))
         p = c.join(ctx, ["lang", "ctx"])
@@ -162,6 +162,7 @@ def model_tables(counts: DataFrame) -> list[DataFrame]:
             tables[-1] = stored(tables[-1].join(backs, ["lang", "gram"], "full"), "lm-order")
         lower = stored(p, "lm-p")
         tables.append(lower.select("lang", "gram", F.log("p").alias("logp")))
+        release(counts.sparkSession)
     tables[-1] = tables[-1].withColumn("back", F.lit(None).cast("double"))
     return tables
 
