@@ -309,5 +309,5 @@ def lookup_of(table: DataFrame, key: str, *payload: str, limit: int = BROADCAST_
     """``table`` as a Lookup if its longs fit ``limit`` bytes, else an empty one (whoever asks then takes the general way)."""
     if table.count() * 8 * (1 + len(payload)) > limit:
         return Lookup(np.zeros(0, np.int64), *[np.zeros(0, np.int64) for _ in payload])
-    pdf = table.select(key, *payload).toPandas()
-    return Lookup(*[pdf[c].to_numpy(np.int64) for c in (key, *payload)])
+    cols = table.select(key, *payload).toArrow()
+    return Lookup(*[cols[c].to_numpy().astype(np.int64, copy=False) for c in (key, *payload)])

@@ -237,13 +237,20 @@ def quartile_block(n: np.ndarray, nll: np.ndarray) -> np.ndarray:
 
 
 def _load(tables: list[DataFrame]) -> dict[str, HashArrays]:
+    """The model by language; read as Arrow columns, never as rows."""
     got: dict[str, list] = {}
     for k, t in enumerate(tables):
-        pdf = t.toPandas()
-        for lang, rows in pdf.groupby("lang"):
-            got.setdefault(lang, [(np.zeros(0, np.uint64),) + (np.zeros(0),) * 2 for _ in tables])[k] = (
-                rows["gram"].to_numpy(np.int64).view(np.uint64), rows["logp"].to_numpy(float), rows["back"].to_numpy(float))
-    return {lang: HashArrays(o) for lang, o in got.items()}
+        cols = t.select("lang", "gram", "logp", "back").toArrow()
+        if not cols.num_rows:
+            continue
+        lang = pc.dictionary_encode(cols["lang"].combine_chunks())
+        code = np.asarray(lang.indices)
+        gram = cols["gram"].to_numpy().view(np.uint64)
+        logp, back = (pc.fill_null(cols[c], np.nan).to_numpy() for c in ("logp", "back"))
+        for i, name in enumerate(lang.dictionary.to_pylist()):
+            mine = code == i
+            got.setdefault(name, [(np.zeros(0, np.uint64),) + (np.zeros(0),) * 2 for _ in tables])[k] = (gram[mine], logp[mine], back[mine])
+    return {name: HashArrays(o) for name, o in got.items()}
 
 
 def base_figures(b: pa.RecordBatch) -> list[np.ndarray]:
