@@ -46,7 +46,7 @@ def peer_comparison_etl(reits: DataFrame, metrics: DataFrame, fiscal_year: int)
     pa = agg_peer_avg(reits, metrics, fiscal_year)
     m = metrics.where(F.col("fiscal_year") == F.lit(fiscal_year))
     r = reits.select("ticker", "sub_sector", "dividend_yield")
-    j = m.join(r, m.reit_ticker == r.ticker).join(F.broadcast(pa), "sub_sector")
+    j = m.join(r, m.reit_ticker == r.ticker).join(pa, "sub_sector")
     return j.select(
         "reit_ticker", "ffo_per_share",
         (F.col("ffo_per_share") - F.col("avg_ffo")).alias("ffo_vs_peers"),

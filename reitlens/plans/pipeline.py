@@ -75,7 +75,7 @@ def run(spark: SparkSession, sf_dir: str, out_root: str | None = None,
 
     # 3-4. benchmarks and signals, appended per run date
     W.sink_benchmarks(PE.agg_sector_benchmarks(reits, metrics), paths["sector_benchmarks"], ts)
-    summary = PR.price_metrics(prices, history_rows=K.COMPACT_HISTORY_ROWS)
+    summary = PR.price_metrics(prices)
     report = SC.full_report(reits, metrics, summary, MA.rate_environment(ind))
     W.sink_signals(SC.signals_for_sink(report, ts), paths["reit_signals"])
     return paths

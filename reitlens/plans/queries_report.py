@@ -103,7 +103,7 @@ vscore AS (
   FROM reits
 )"""
 
-PM100 = f"\npm100 AS ({_summary_sql('hist100')})"
+PMALL = f"\npmall AS ({_summary_sql('hist')})"
 
 MSCORE = f"""
 mscore AS (
@@ -114,7 +114,7 @@ mscore AS (
            WHEN coalesce(return_1y, 0) > 0 THEN 5 WHEN coalesce(return_1y, 0) < -15 THEN -15 ELSE 0 END
     + CASE WHEN pct_from_ma_200 IS NULL THEN 0 WHEN pct_from_ma_200 > 10 THEN 10
            WHEN pct_from_ma_200 > 0 THEN 5 WHEN pct_from_ma_200 < -10 THEN -10 ELSE 0 END''')} AS momentum_score
-  FROM pm100
+  FROM pmall
 )"""
 
 MACRO = f"""
@@ -174,16 +174,16 @@ signals AS (
 
 register("fscore", FSCORE, ("latest",))
 register("vscore", VSCORE, ("reits",))
-register("pm100", PM100, ("hist100",))
-register("mscore", MSCORE, ("pm100",))
+register("pmall", PMALL, ("hist",))
+register("mscore", MSCORE, ("pmall",))
 register("macro", MACRO, ("rate_env",))
 register("sscore", SSCORE, ("reits", "latest"))
 register("signals", SIGNALS, ("reits", "fscore", "vscore", "sscore", "mscore", "macro"))
 
 
 def _summary(lake):
-    """The compact (100-row) price summary the momentum score reads."""
-    return PR.price_metrics(bind.price_data(lake), history_rows=K.COMPACT_HISTORY_ROWS)
+    """The price summary over the whole history, which the momentum score reads."""
+    return PR.price_metrics(bind.price_data(lake))
 
 
 def _env(spark, lake):
