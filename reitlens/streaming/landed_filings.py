@@ -15,29 +15,40 @@ accession seen; when records carry an event time, use
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from reitlens import constants as K
+from reitlens.functions.scalars import norm_ticker
 
 LANDED_FILING = T.StructType([
     T.StructField("ticker", T.StringType()),
     T.StructField("form", T.StringType()),
     T.StructField("file_date", T.StringType()),
     T.StructField("accession_no", T.StringType()),
+    T.StructField("filing_date", T.StringType()),
+    T.StructField("accession", T.StringType()),
 ])
 
 
+def _from_path(key: str) -> Column:
+    """Value of a partition folder ``key=value`` in the file's path; NULL without one."""
+    value = F.regexp_extract(F.col("_metadata.file_path"), f"/{key}=([^/]+)/", 1)
+    return F.when(value != "", F.try_url_decode(value))
+
+
 def landed_filings_stream(spark: SparkSession, landing_dir: str) -> DataFrame:
+    """New filings of the watched forms: source records, or records as ``sink_raw_filings`` lands them."""
     raw = (spark.readStream.schema(LANDED_FILING).option("recursiveFileLookup", "true")
            .json(landing_dir))
-    return (raw.where(F.col("form").isin(*K.WATCHED_FORMS))
-            .select(F.upper(F.trim("ticker")).alias("ticker"), F.col("form").alias("form_type"),
-                    F.col("file_date").try_cast("date").alias("filing_date"),
-                    F.col("accession_no").alias("accession"))
-            .dropDuplicates(["accession"]))
+    rows = raw.select(
+        norm_ticker(F.coalesce("ticker", _from_path("ticker"))).alias("ticker"),
+        F.coalesce("form", _from_path("form_type")).alias("form_type"),
+        F.coalesce("file_date", "filing_date").try_cast("date").alias("filing_date"),
+        F.coalesce("accession_no", "accession").alias("accession"))
+    return rows.where(F.col("form_type").isin(*K.WATCHED_FORMS)).dropDuplicates(["accession"])
 
 
 def run_available_now(stream: DataFrame, sink_dir: str, checkpoint_dir: str) -> StreamingQuery:

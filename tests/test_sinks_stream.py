@@ -88,3 +88,13 @@ def test_to_records_cuts_text(spark):
     rec = json.loads(W.filing_records(df).first()["json"])
     assert len(rec["extracted_text"]) == 500
     assert rec["created_at"] == "2024-01-02T03:04:05.000000"
+
+
+def test_stream_reads_what_the_filing_sink_lands(spark, tmp_path):
+    land, out, ckpt = (str(tmp_path / x) for x in ("land", "out", "ckpt"))
+    rows = spark.createDataFrame([("O", "10-K", "2024-02-20", "a1"), ("O", "10-K", "2024-02-21", "a2"), ("O", "4", "2024-02-22", "a3")],
+                                 "ticker string, form_type string, filing_date string, accession string")
+    W.sink_raw_filings(rows, land)
+    run_available_now(landed_filings_stream(spark, land), out, ckpt)
+    got = sorted((r["ticker"], r["form_type"], str(r["filing_date"]), r["accession"]) for r in spark.read.parquet(out).collect())
+    assert got == [("O", "10-K", "2024-02-20", "a1"), ("O", "10-K", "2024-02-21", "a2")]
