@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reitlens.llm.common import SPACES, release, sized, stored
+from reitlens.llm.common import BROADCAST_BYTES, SPACES, data_bytes, release, sized, stored
 
 #: One edit of five words leaves a similarity of 0.8.
 SHORTEST = 5
@@ -61,7 +61,12 @@ def _near_earlier(docs: DataFrame, distinct: DataFrame, doc_id: str, text: str,
         return None
     # the words of the suspects, from the line where each stands first
     at = suspects.select(F.col("place.no_id").alias("s_no"), F.col("place.doc_id").alias("s_id"), F.col("place.line_no").alias("s_line"), "place", "a", "b")
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+    # only the documents that hold such a line are split again, while their ids can go to the tasks
+    ids = at.select("s_id").distinct()
+    held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if data_bytes(ids) <= BROADCAST_BYTES:
+        held = held.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("s_id")), "left_semi")
+    lines = held.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = (lines.join(sized(at), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("line_no") == F.col("s_line")))
              .select("place", "a", "b", line_words(F.col("line")).alias("words")))
     words = words.where((F.xxhash64(F.lit(7), "words") == F.col("a")) & (F.xxhash64(F.lit(11), "words") == F.col("b")))
