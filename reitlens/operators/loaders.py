@@ -13,22 +13,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reitlens.functions import scalars as S
 
 
-def with_load_seq(batches: Sequence[DataFrame]) -> DataFrame:
+def with_load_seq(batches: Sequence[DataFrame], position: Column) -> DataFrame:
     """Union of load batches with ``load_seq`` = (batch index, position in the batch).
 
-    The position is ``monotonically_increasing_id`` (partition index, row index),
-    which follows file order and needs no global sort.
+    ``position`` is a column of the source that orders the rows of a batch (a line
+    number, an offset, a load time): Spark keeps no file order to count by.
     """
     out = None
     for i, b in enumerate(batches):
-        pos = F.monotonically_increasing_id()
-        tagged = b.withColumn("load_seq", F.struct(F.lit(i).alias("batch"), pos.alias("pos")))
+        tagged = b.withColumn("load_seq", F.struct(F.lit(i).alias("batch"), position.alias("pos")))
         out = tagged if out is None else out.unionByName(tagged)
     return out
 

@@ -128,14 +128,14 @@ def q_load_reits(spark, sf_dir):
     update = (r.where(F.col("sector") == "Office")
               .withColumn("ticker", F.concat(F.lit(" "), F.lower("ticker"), F.lit("\t")))
               .withColumn("dividend_yield", F.col("dividend_yield") + F.lit(1.0)))
-    return LO.load_reits(LO.with_load_seq([r, update]))
+    return LO.load_reits(LO.with_load_seq([r, update], F.col("name")))
 
 
 @query("load_metrics", oracle=with_tables(f"SELECT {METRIC_COLS} FROM latest", "latest"))
 def q_load_metrics(spark, sf_dir):
     m = bind.financial_metrics(lake_for(spark, sf_dir))
     again = latest_metric(m).withColumn("ffo_per_share", F.col("ffo_per_share") * F.lit(2.0))
-    loaded = LO.load_metrics(LO.with_load_seq([m, again]))
+    loaded = LO.load_metrics(LO.with_load_seq([m, again], F.col("created_at")))
     return latest_metric(loaded).drop("load_seq")
 
 

@@ -52,8 +52,8 @@ filings AS (
               ELSE sentence || chr(10) || text END AS text
   FROM (
     SELECT doc_id, text,
-           'R' || CAST(doc_id % 100 AS VARCHAR) AS reit_ticker,
-           CAST(1000000 + (doc_id % 100) * 7 AS VARCHAR) AS cik,
+           'R' || CAST(doc_id // 16 AS VARCHAR) AS reit_ticker,
+           CAST(1000000 + (doc_id // 16) * 7 AS VARCHAR) AS cik,
            CASE WHEN doc_id % 7 = 6 THEN 'DEF 14A' WHEN doc_id % 3 = 0 THEN '10-K'
                 WHEN doc_id % 3 = 1 THEN '10-Q' ELSE '8-K' END AS form_type,
            DATE '2020-01-01' + CAST((doc_id * 37) % 2190 AS INTEGER) AS filing_date,
@@ -149,7 +149,7 @@ def q_detect_new_filings(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 @query("scan_macro_json", oracle=with_tables("""
-SELECT * FROM market_indicators WHERE NOT (series_id = 'DGS2' AND month(date) = 7)""",
+SELECT * FROM market_indicators""",
                                              "market_indicators"))
 def q_scan_macro_json(spark, sf_dir):
     lake = lake_for(spark, sf_dir)
@@ -160,9 +160,8 @@ def q_scan_macro_json(spark, sf_dir):
 NOTE_TICKER, NOTE_YEAR = "R39", 1996
 
 
-@query("scan_price_daily", oracle=with_tables(f"""
-SELECT ticker, date, open, high, low, close, volume FROM price_data
-WHERE NOT (ticker = '{NOTE_TICKER}' AND year(date) = {NOTE_YEAR})""", "price_data"))
+@query("scan_price_daily", oracle=with_tables("""
+SELECT ticker, date, open, high, low, close, volume FROM price_data""", "price_data"))
 def q_scan_price_daily(spark, sf_dir):
     p = bind.price_data(lake_for(spark, sf_dir))
     payloads = landed.price_payloads(p, landed.DAILY_KEY, NOTE_TICKER, NOTE_YEAR)
@@ -180,7 +179,7 @@ def q_scan_price_weekly(spark, sf_dir):
 
 @query("scan_filing_list", oracle=with_tables("""
 SELECT cik, pos, form, filing_date, accession_number, primary_document FROM (
-  SELECT cik, CAST(row_number() OVER (PARTITION BY cik, doc_id // 50
+  SELECT cik, CAST(row_number() OVER (PARTITION BY cik
                     ORDER BY filing_date DESC, accession_number DESC, form_type DESC, primary_document DESC) - 1
                    AS INTEGER) AS pos,
          form_type AS form, CAST(filing_date AS VARCHAR) AS filing_date, accession_number, primary_document
@@ -193,21 +192,18 @@ def q_scan_filing_list(spark, sf_dir):
 
 @query("scan_filing_hits", oracle=with_tables("""
 SELECT reit_ticker, form_type, filing_date, accession_number FROM (
-  SELECT *, row_number() OVER (PARTITION BY reit_ticker, filing_date, doc_id // 50
-                               ORDER BY form_type, filing_date, accession_number, reit_ticker) - 1 AS pos
-  FROM filings)
-WHERE pos < 10 AND filing_date BETWEEN DATE '2020-01-01' AND DATE '2025-12-31'""", "filings"))
+  SELECT *, row_number() OVER (PARTITION BY reit_ticker ORDER BY filing_date DESC, accession_number DESC) - 1 AS pos
+  FROM filings WHERE filing_date BETWEEN DATE '2020-01-01' AND DATE '2025-12-31')
+WHERE pos < 10""", "filings"))
 def q_scan_filing_hits(spark, sf_dir):
     f = bind.filings(lake_for(spark, sf_dir)).drop("text")
     return landed.scan_filing_hits(landed.search_payloads(f))
 
 
 @query("ingest_summary", oracle=with_tables(f"""
-SELECT ticker, count(*) AS records, TIMESTAMP '{RUN_TS}' AS timestamp FROM price_data
-WHERE NOT (ticker = '{NOTE_TICKER}' AND year(date) = {NOTE_YEAR}) GROUP BY ticker
+SELECT ticker, count(*) AS records, TIMESTAMP '{RUN_TS}' AS timestamp FROM price_data GROUP BY ticker
 UNION ALL
-SELECT '__total__', count(*), TIMESTAMP '{RUN_TS}' FROM price_data
-WHERE NOT (ticker = '{NOTE_TICKER}' AND year(date) = {NOTE_YEAR})""", "price_data"))
+SELECT '__total__', count(*), TIMESTAMP '{RUN_TS}' FROM price_data""", "price_data"))
 def q_ingest_summary(spark, sf_dir):
     """Records landed per ticker (and in total) for one ingestion run."""
     from reitlens.sinks.writers import ingest_summary

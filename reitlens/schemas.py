@@ -69,8 +69,8 @@ PRICE_PAYLOAD = _st(("symbol", S), ("Time Series (Daily)", T.MapType(S, PRICE_BA
 # submissions: {"cik": "...", "filings": {"recent": {"form": [...], ...}}}
 RECENT_FILINGS = _st(("form", T.ArrayType(S)), ("filingDate", T.ArrayType(S)),
                      ("accessionNumber", T.ArrayType(S)), ("primaryDocument", T.ArrayType(S)))
-SUBMISSIONS_PAYLOAD = _st(("cik", S), ("filings", _st(("recent", RECENT_FILINGS))))
+SUBMISSIONS_PAYLOAD = _st(("cik", S), ("page", T.LongType()), ("filings", _st(("recent", RECENT_FILINGS))))
 
 # search hits: {"hits": {"hits": [{"_source": {"form": .., "file_date": .., "accession_no": ..}}]}}
 HIT_SOURCE = _st(("form", S), ("file_date", S), ("accession_no", S), ("ticker", S))
-SEARCH_PAYLOAD = _st(("ticker", S), ("hits", _st(("hits", T.ArrayType(_st(("_source", HIT_SOURCE)))))))
+SEARCH_PAYLOAD = _st(("ticker", S), ("page", T.LongType()), ("hits", _st(("hits", T.ArrayType(_st(("_source", HIT_SOURCE)))))))

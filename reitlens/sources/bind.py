@@ -34,8 +34,8 @@ from reitlens.sources.tables import Lake
 PROPERTIES_PER_REIT = 15
 # Number of distinct price tickers derived from orders.
 PRICE_TICKERS = 40
-# Number of distinct filers derived from documents.
-FILING_TICKERS = 100
+# Documents filed by one filer, so that filers grow with the documents.
+FILINGS_PER_FILER = 16
 # Years added to ship dates so that fiscal years start after 2000.
 FISCAL_YEAR_SHIFT = 20
 
@@ -341,7 +341,7 @@ def _filings(lake: Lake) -> DataFrame:
     k = F.col("doc_id")
     form = (F.when(k % 7 == 6, "DEF 14A")
             .when(k % 3 == 0, "10-K").when(k % 3 == 1, "10-Q").otherwise("8-K"))
-    filer = k % FILING_TICKERS
+    filer = intdiv(k, F.lit(FILINGS_PER_FILER))
     cik = (F.lit(1000000) + filer * 7).cast("string")
     fdate = F.date_add(F.lit("2020-01-01").cast("date"), ((k * 37) % 2190).cast("int"))
     ds = k.cast("string")

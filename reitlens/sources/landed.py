@@ -7,13 +7,14 @@ flattened with ``explode`` / ``posexplode``.  Unparsable numbers are dropped wit
 
 ``*_payloads`` functions build the same payload shapes from lake-derived
 tables, so that the scans can be exercised at any scale: every payload groups
-a bounded number of rows (one series-year, one ticker-year, or one page of at
-most ``PAGE`` filings), never a whole key.
+a bounded number of rows (one series-year, one ticker-year, or one month of one
+filer), never a whole key.  A filer's list is a series of numbered pages, newest
+first; a limit counts positions of the whole list, not of a page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reitlens import schemas
@@ -23,7 +24,6 @@ DAILY_KEY = "Time Series (Daily)"
 WEEKLY_KEY = "Weekly Time Series"
 BAR_FIELDS = (("open", "1. open"), ("high", "2. high"), ("low", "3. low"),
               ("close", "4. close"), ("volume", "5. volume"))
-PAGE = 50
 MISSING = "."
 
 
@@ -47,13 +47,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def macro_payloads(values: DataFrame, missing_series: str = "DGS2", missing_month: int = 7) -> DataFrame:
-    """One JSON document per (series, year); one month of one series is landed as ``"."``."""
-    v = values.select(
-        "series_id", F.year("date").alias("y"),
-        F.struct(F.col("date").cast("string").alias("date"),
-                 F.when((F.col("series_id") == missing_series)
-                        & (F.month("date") == missing_month), F.lit(MISSING))
-                 .otherwise(F.col("value").cast("string")).alias("value")).alias("o"))
+    """One JSON document per (series, year); one month of one series also has a day landed as ``"."``."""
+    real = F.struct(F.col("date").cast("string").alias("date"), F.col("value").cast("string").alias("value"))
+    missing = F.struct(F.date_trunc("month", "date").cast("date").cast("string").alias("date"),
+                       F.lit(MISSING).alias("value"))
+    extra = (F.col("series_id") == missing_series) & (F.month("date") == missing_month)
+    v = values.select("series_id", F.year("date").alias("y"),
+                      F.explode(F.when(extra, F.array(real, missing)).otherwise(F.array(real))).alias("o"))
     g = v.groupBy("series_id", "y").agg(F.sort_array(F.collect_list("o"), asc=False).alias("observations"))
     return g.select(F.to_json(F.struct("series_id", "observations")).alias("json"))
 
@@ -91,7 +91,7 @@ def weekly_bars(prices: DataFrame) -> DataFrame:
 
 def price_payloads(prices: DataFrame, key: str = DAILY_KEY, note_ticker: str | None = None,
                    note_year: int | None = None) -> DataFrame:
-    """One JSON document per (ticker, year) keyed by date; optionally one rate-limit note."""
+    """One JSON document per (ticker, year) keyed by date; optionally a rate-limit note beside one of them."""
     bar = F.create_map(*[x for name, label in BAR_FIELDS
                          for x in (F.lit(label), F.col(name).cast("string"))])
     v = prices.select("ticker", F.year("date").alias("y"),
@@ -100,11 +100,9 @@ def price_payloads(prices: DataFrame, key: str = DAILY_KEY, note_ticker: str | N
     is_note = F.lit(False)
     if note_ticker is not None:
         is_note = (F.col("ticker") == note_ticker) & (F.col("y") == note_year)
-    doc = F.when(is_note, F.to_json(F.struct(F.col("ticker").alias("symbol"),
-                                             F.lit("API call frequency exceeded").alias("Note"))))
-    doc = doc.otherwise(F.to_json(F.struct(F.col("ticker").alias("symbol"),
-                                           F.col("series").alias(key))))
-    return g.select(doc.alias("json"))
+    note = F.to_json(F.struct(F.col("ticker").alias("symbol"), F.lit("API call frequency exceeded").alias("Note")))
+    doc = F.to_json(F.struct(F.col("ticker").alias("symbol"), F.col("series").alias(key)))
+    return g.select(F.explode(F.when(is_note, F.array(doc, note)).otherwise(F.array(doc))).alias("json"))
 
 
 def scan_price_json(payloads: DataFrame, key: str = DAILY_KEY, json_col: str = "json") -> DataFrame:
@@ -128,17 +126,33 @@ def scan_price_json(payloads: DataFrame, key: str = DAILY_KEY, json_col: str = "
 # filing lists (submissions) and search hits
 # ---------------------------------------------------------------------------
 
+def _page(day: Column) -> Column:
+    """Page number of a filing date: one page a month, the newest month first."""
+    return F.lit(12 * 10000) - F.year(day) * 12 - F.month(day)
+
+
+def newest_positions(entries: DataFrame, key: str, limit: int) -> DataFrame:
+    """Entries (key, page, pos, ...) at the first ``limit`` positions of each key's pages; ``pos`` is the place in the whole list.
+
+    The rank filter lets every task keep ``limit`` rows per key before the shuffle,
+    so a key with a third of all entries stays small.
+    """
+    order = Window.partitionBy(key).orderBy("page", "pos")
+    ranked = entries.withColumn("at", F.row_number().over(order)).where(F.col("at") <= limit)
+    return ranked.withColumn("pos", F.col("at") - 1).drop("at", "page")
+
+
 def submission_payloads(filings: DataFrame) -> DataFrame:
-    """Submission pages: per filer, ``PAGE`` consecutive documents, newest first."""
+    """Submission pages: one JSON document per filer and month, newest first."""
     e = F.struct("filing_date", "accession_number", "form_type", "primary_document")
-    g = filings.groupBy("cik", F.floor(F.col("doc_id") / PAGE).alias("page")).agg(
+    g = filings.groupBy("cik", _page(F.col("filing_date")).alias("page")).agg(
         F.sort_array(F.collect_list(e), asc=False).alias("fs"))
     recent = F.struct(
         F.transform("fs", lambda x: x["form_type"]).alias("form"),
         F.transform("fs", lambda x: x["filing_date"].cast("string")).alias("filingDate"),
         F.transform("fs", lambda x: x["accession_number"]).alias("accessionNumber"),
         F.transform("fs", lambda x: x["primary_document"]).alias("primaryDocument"))
-    return g.select(F.to_json(F.struct("cik", F.struct(recent.alias("recent")).alias("filings")))
+    return g.select(F.to_json(F.struct("cik", "page", F.struct(recent.alias("recent")).alias("filings")))
                     .alias("json"))
 
 
@@ -146,17 +160,17 @@ def scan_filing_list(payloads: DataFrame, filing_type: str | None = "10-K", limi
                      json_col: str = "json") -> DataFrame:
     """Filing rows from submission payloads.
 
-    ``limit`` counts positions in the list *before* the form filter, as the
-    application does.
+    ``limit`` counts positions in the filer's list (all its pages) *before* the
+    form filter, as the application does.  A payload without ``page`` is a whole list.
     """
     p = payloads.select(F.from_json(F.col(json_col), schemas.SUBMISSIONS_PAYLOAD).alias("p"))
     r = F.col("p.filings.recent")
-    z = p.select(F.col("p.cik").alias("cik"),
+    z = p.select(F.col("p.cik").alias("cik"), F.col("p.page").alias("page"),
                  F.posexplode(F.arrays_zip(r["form"].alias("form"), r["filingDate"].alias("filingDate"),
                                            r["accessionNumber"].alias("accessionNumber"),
                                            r["primaryDocument"].alias("primaryDocument")))
                  .alias("pos", "f"))
-    z = z.where(F.col("pos") < limit)
+    z = newest_positions(z, "cik", limit)
     if filing_type:
         z = z.where(F.col("f.form") == filing_type)
     return z.select("cik", "pos", F.col("f.form").alias("form"),
@@ -166,22 +180,24 @@ def scan_filing_list(payloads: DataFrame, filing_type: str | None = "10-K", limi
 
 
 def search_payloads(filings: DataFrame) -> DataFrame:
-    """Search-hit pages: per ticker and filing date, at most ``PAGE`` hits per page."""
+    """Search-hit pages: one JSON document per ticker and month, newest hits first."""
     src = F.struct(F.col("form_type").alias("form"), F.col("filing_date").cast("string").alias("file_date"),
                    F.col("accession_number").alias("accession_no"), F.col("reit_ticker").alias("ticker"))
-    g = filings.groupBy("reit_ticker", "filing_date", F.floor(F.col("doc_id") / PAGE).alias("page")).agg(
-        F.sort_array(F.collect_list(F.struct(src.alias("_source")))).alias("hits"))
-    return g.select(F.to_json(F.struct(F.col("reit_ticker").alias("ticker"),
+    e = F.struct("filing_date", "accession_number", src.alias("_source"))
+    g = filings.groupBy("reit_ticker", _page(F.col("filing_date")).alias("page")).agg(
+        F.sort_array(F.collect_list(e), asc=False).alias("es"))
+    g = g.withColumn("hits", F.transform("es", lambda x: F.struct(x["_source"].alias("_source"))))
+    return g.select(F.to_json(F.struct(F.col("reit_ticker").alias("ticker"), "page",
                                        F.struct(F.col("hits").alias("hits")).alias("hits"))).alias("json"))
 
 
 def scan_filing_hits(payloads: DataFrame, form_type: str | None = None,
                      start_date: str = "2020-01-01", end_date: str = "2025-12-31",
                      limit: int = 10, json_col: str = "json") -> DataFrame:
-    """(ticker, form, filing date, accession) from search hits within a date window."""
+    """(ticker, form, filing date, accession): the first ``limit`` hits per ticker within a date window and form."""
     p = payloads.select(F.from_json(F.col(json_col), schemas.SEARCH_PAYLOAD).alias("p"))
-    h = p.select(F.posexplode("p.hits.hits").alias("pos", "h")).where(F.col("pos") < limit)
-    s = h.select(F.col("h._source.ticker").alias("reit_ticker"),
+    h = p.select(F.col("p.page").alias("page"), F.posexplode("p.hits.hits").alias("pos", "h"))
+    s = h.select("page", "pos", F.col("h._source.ticker").alias("reit_ticker"),
                  F.col("h._source.form").alias("form_type"),
                  F.col("h._source.file_date").try_cast("date").alias("filing_date"),
                  F.col("h._source.accession_no").alias("accession_number"))
@@ -189,4 +205,4 @@ def scan_filing_hits(payloads: DataFrame, form_type: str | None = None,
                                              F.lit(end_date).cast("date")))
     if form_type:
         s = s.where(F.col("form_type") == form_type)
-    return s
+    return newest_positions(s, "reit_ticker", limit).drop("pos")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -16,7 +17,8 @@ DRIVER_TABLES = (
 )
 
 
-_LAKES: dict[tuple[int, str], "Lake"] = {}
+#: Schemas by session and path, so that footers are read once; files are listed anew by every handle.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
 @dataclass
@@ -36,15 +38,15 @@ class Lake:
 
     def table(self, name: str, *columns: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+            path = f"{self.root}/{name}.parquet"
+            key = (self.spark.sparkContext.applicationId, path)
+            reader = self.spark.read.schema(_SCHEMAS[key]) if key in _SCHEMAS else self.spark.read
+            self._cache[name] = reader.parquet(path)
+            _SCHEMAS[key] = self._cache[name].schema
         df = self._cache[name]
         return df.select(*columns) if columns else df
 
 
 def lake_for(spark: SparkSession, root: str) -> Lake:
-    """One ``Lake`` per (session, root): file listing and footers are read once."""
-    key = (id(spark), root)
-    lake = _LAKES.get(key)
-    if lake is None or lake.spark is not spark:
-        lake = _LAKES[key] = Lake(spark, root)
-    return lake
+    """A new handle, so that files landed since the last query are seen; tables keep the columns they had first."""
+    return Lake(spark, root)
