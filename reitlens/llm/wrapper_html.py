@@ -1,20 +1,20 @@
 """HTML main text by wrapper induction.
 
-Pages of a host share a template.  Each page's DOM tree is aligned with two
-reference pages of its host by simple tree matching (the largest set of node
-pairs that keeps labels, ancestors and sibling order).  Aligned nodes whose text
-is the same in the page and in its references belong to the template, all other
-places are slots.  Slots are content unless their element's role says otherwise
-(menus, headers, footers, side bars, notices, adverts, forms, comments); where
-a page marks its article or main element, the content is that slot.  The article
-is one slot whatever it holds: passages that several articles share stay.
+Pages of a host share a template.  The elements of all pages of a host are
+aligned by the path of their labels; Spark counts on how many pages a path and
+its content stand.  Elements that most pages of their path share belong to the
+template, inside an article as well as outside; all other places are slots.
+Slots are content unless their element's role says otherwise (menus, headers,
+footers, side bars, notices, adverts, forms, comments); where a page marks its
+article or main element, the content is that slot, without the template in it.
+Passages that only some articles of a host share stay.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +27,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
+_MARKS = pa.list_(pa.struct([("path", pa.int64()), ("content", pa.int64()), ("inside", pa.bool_())]))
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -45,15 +47,20 @@ ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising ban
                         "login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related reply replies respond share sharing "
                         "sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Pages of a host that hold an element at least, where not all of them do or where it stands in an article.
+LEAST_PAGES = 4
 
 
 class Node:
-    __slots__ = ("tag", "label", "children", "kind", "text")
+    __slots__ = ("tag", "label", "children", "kind")
 
     def __init__(self, tag: str, label: str = "", kind: str = ""):
         self.tag, self.label, self.kind = tag, label, kind  # kind: "", "aside", "article"
         self.children: list = []  # nodes and strings
-        self.text = None
+
+
+def _hash(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
 def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[str, str]:
@@ -130,68 +137,64 @@ def parse(page: str) -> Node:
         depth_article += kind == "article"
 
 
-def _text(node: Node) -> str:
-    if node.text is None:
-        parts, todo = [], [node]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                parts.append(x)
-            else:
-                todo.extend(reversed(x.children))
-        node.text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-    return node.text
+def _name(node: Node) -> str:
+    """Label of a node in a path: numbers in names count as equal; the page's own names on html, body and the article do not count."""
+    return node.tag if node.tag in ("html", "body") or node.kind == "article" else _DIGITS.sub("#", node.label)
 
 
-def _frame(node: Node) -> list[Node]:
-    """Child elements, looked at for alignment; an article is a slot of its own and is not entered."""
-    return [] if node.kind == "article" else [c for c in node.children if not isinstance(c, str)]
+def fingerprint(tree: Node) -> dict[int, tuple[int, int, bool]]:
+    """(path, content, inside an article) of each element with text that is no aside, by identity of the node.
 
-
-def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: size of the largest top-down alignment of two trees, and its pairs."""
-    if a.label != b.label:
-        return 0, []
-    x, y = _frame(a), _frame(b)
-    pairs = [(a, b)]
-    if not x or not y:
-        return 1, pairs
-    # equal label rows at both ends align with themselves; the rest by dynamic programming
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    got: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            most = best[i + 1][j] if best[i + 1][j] >= best[i][j + 1] else best[i][j + 1]
-            if x[i].label == y[j].label:
-                got[i, j] = match(x[i], y[j])
-                most = max(most, got[i, j][0] + best[i + 1][j + 1])
-            best[i][j] = most
-    i = j = 0
-    while i < len(x) and j < len(y):
-        if (i, j) in got and best[i][j] == got[i, j][0] + best[i + 1][j + 1]:
-            pairs += got[i, j][1]
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return 1 + best[0][0], pairs
+    The path is the hash of the labels from the root, the content the hash of
+    the labels and texts below the node.  Two elements of a host are aligned if
+    their paths are equal.
+    """
+    order, todo = [], [(tree, 0, False)]
+    while todo:
+        x, above, inside = todo.pop()
+        path = _hash(b"%d %s" % (above, _name(x).encode("utf-8", "replace")))
+        order.append((x, path, inside))
+        inside = inside or x.kind == "article"
+        todo.extend((c, path, inside) for c in x.children if not isinstance(c, str) and c.kind != "aside" and c.tag not in RAW)
+    content: dict[int, int] = {}
+    out: dict[int, tuple[int, int, bool]] = {}
+    for x, path, inside in reversed(order):
+        parts = []
+        for c in x.children:
+            if isinstance(c, str):
+                text = _SPACE.sub(" ", entities.unescape(c)).strip()
+                if text:
+                    parts.append(text.encode("utf-8", "replace"))
+            elif content.get(id(c)):
+                parts.append(b"%d %s" % (content[id(c)], _name(c).encode("utf-8", "replace")))
+        if parts:
+            content[id(x)] = _hash(b"\0".join(parts))
+            out[id(x)] = path, content[id(x)], inside
+    return out
 
 
-@lru_cache(maxsize=512)
-def _reference(page: str) -> Node:
-    return parse(page)
+def _slots(tree: Node, skip: set[int]) -> list[Node]:
+    """The outermost article and main elements."""
+    slots, todo = [], [tree]
+    while todo:
+        x = todo.pop()
+        if x.kind == "article":
+            slots.append(x)
+        elif x.kind != "aside" and id(x) not in skip or x is tree:
+            todo.extend(c for c in reversed(x.children) if not isinstance(c, str))
+    return slots
 
 
-def template_nodes(tree: Node, page: str, references: list[str]) -> set[int]:
-    """Identities of the nodes whose text is the same in the page and in all its references (copies of the page say nothing)."""
-    constant: set[int] | None = None
-    for r in references:
-        if r is None or r == page:
-            continue
-        same = {id(a) for a, b in match(tree, _reference(r))[1] if a.kind != "article" and _text(a) == _text(b)}
-        constant = same if constant is None else constant & same
-    return constant or set()
+def page_marks(page: str | None) -> tuple[int, list[tuple[int, int, bool]]]:
+    """(hash of the article or else the page, sorted distinct marks of the elements that may be template)."""
+    if not page:
+        return 0, []
+    tree = parse(page)
+    found = fingerprint(tree)
+    slots = _slots(tree, set())
+    body = _hash(b" ".join(b"%d" % found[id(x)][1] for x in slots or [tree] if id(x) in found))
+    whole = {id(tree), *map(id, slots)}
+    return body, sorted({m for i, m in found.items() if i not in whole})
 
 
 def blocks(node: Node, skip: set[int]) -> list[str]:
@@ -228,55 +231,73 @@ def blocks(node: Node, skip: set[int]) -> list[str]:
     return out
 
 
-def main_text(page: str | None, references: list[str]) -> str:
-    """Main text of a page: blocks joined by two line feeds (null or empty page: empty)."""
+def main_text(page: str | None, template: set[tuple[int, int]]) -> str:
+    """Main text of a page without the elements whose (path, content) is in ``template``: blocks joined by two line feeds (null or empty page: empty)."""
     if not page:
         return ""
     tree = parse(page)
-    skip = template_nodes(tree, page, references)
-    slots, todo = [], [tree]
-    while todo:
-        x = todo.pop()
-        if x.kind == "article":
-            slots.append(x)
-        elif x.kind != "aside" and id(x) not in skip or x is tree:
-            todo.extend(c for c in reversed(x.children) if not isinstance(c, str))
+    skip = {i for i, m in fingerprint(tree).items() if m[:2] in template} if template else set()
+    slots = _slots(tree, skip)
     found: list[str] = []
     for s in slots:
-        found += blocks(s, set())
+        found += blocks(s, skip)
     return "\n\n".join(found) if found else "\n\n".join(blocks(tree, skip - {id(tree)}))
 
 
-def references(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(host, one, two): the pages with the smallest and the largest id of each host; two rows a host at most are gathered."""
+def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, marks): (path, content) of the template elements of each host, judged over all its pages.
+
+    Pages with the same article (without one: the same text) count once, so
+    copies say nothing.  An element is template if it is on most of the pages that
+    have its path, and on ``LEAST_PAGES`` at least; outside of articles also if
+    it is on all of two or more.  No list grows with a host: one page holds each
+    mark once, and a mark is listed only if it is on most pages of its path.
+    """
     host, _ = url_parts(F.col(url))
-    ids = pages.select(host.alias("host"), F.col(page_id).alias("id")).groupBy("host").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    ids = stored(ids, "wrapper-hosts")
-    wanted = sized(stored(ids.select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("r_id"), "host"), "wrapper-ids"))
-    rows = pages.select(F.col(page_id).alias("id"), host.alias("p_host"), F.col(html).alias("html")).join(wanted, (F.col("id") == F.col("r_id")) & (F.col("p_host") == F.col("host")))
-    rows = rows.groupBy("host", "id").agg(F.min("html").alias("html"))
-    return rows.groupBy("host").agg(F.min_by("html", "id").alias("one"), F.max_by("html", "id").alias("two"))
+    src = pages.select(host.alias("host"), F.col(html).alias("html"))
+
+    def run(batches):
+        for batch in batches:
+            for b in text_slices(batch, "html"):
+                got = [page_marks(p) for p in b.column("html").to_pylist()]
+                marks = pa.array([[{"path": p, "content": c, "inside": i} for p, c, i in m] for _, m in got], _MARKS)
+                yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([x for x, _ in got], pa.int64()), marks], names=["host", "body", "marks"])
+
+    each = src.mapInArrow(run, "host string, body long, marks array<struct<path: long, content: long, inside: boolean>>").where(F.size("marks") > 0)
+    each = stored(each.groupBy("host", "body").agg(F.min("marks").alias("marks")), "wrapper-pages")
+    # one row per page and path, and per page, path and content; both sums are combined inside the tasks first
+    places = stored(each.select("host", F.explode("marks").alias("m")).groupBy("host", "m.path", "m.content", "m.inside").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "wrapper-places")
+    each = each.select("host", F.explode(F.array_distinct(F.transform("marks", lambda m: m["path"]))).alias("path"))
+    total = each.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
+    most = (F.col("n") >= LEAST_PAGES) & (2 * F.col("n") > F.col("pages"))
+    both = places.join(total, ["host", "path"]).where(most | ~F.col("inside") & (F.col("n") == F.col("pages")))
+    return both.groupBy("host").agg(F.collect_set(F.struct("path", "content")).alias("marks"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Columns of ``pages`` without the html, plus text (the main text, empty if none).
 
     A null or empty page has an empty text.  Pages without a host are aligned
-    with each other.  Repeated rows are extracted alike; a page that equals its
-    references is aligned with nothing, so all of it counts as slots.  A column
-    ``text`` of ``pages`` is replaced.  An empty table gives an empty result.
+    with each other.  Repeated rows are extracted alike; where all pages of a
+    host are equal, all of them counts as slots.  A column ``text`` of ``pages``
+    is replaced.  An empty table gives an empty result.
     """
     ship(pages.sparkSession)
-    refs = stored(references(pages, page_id, url, html), "wrapper-references").select(F.col("host").alias("ref_host__"), F.col("one").alias("one__"), F.col("two").alias("two__"))
+    marks = stored(templates(pages, url, html), "wrapper-templates").select(F.col("host").alias("ref_host__"), F.col("marks").alias("marks__"))
     rest = [c for c in pages.columns if c not in (html, "text")]
     host, _ = url_parts(F.col(url))
-    src = pages.select(*rest, F.col(html).alias("html__"), host.alias("host__")).join(sized(refs), F.col("host__") == F.col("ref_host__"), "left").select(*rest, "html__", "one__", "two__")
+    src = pages.select(*rest, F.col(html).alias("html__"), host.alias("host__")).join(sized(marks), F.col("host__") == F.col("ref_host__"), "left").select(*rest, "html__", "host__", "marks__")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*rest).schema.fields)
 
     def run(batches):
         for batch in batches:
             for b in text_slices(batch, "html__"):
-                texts = [main_text(p, [r for r in (x, y) if r]) for p, x, y in zip(*(b.column(c).to_pylist() for c in ("html__", "one__", "two__")))]
+                known: dict[str | None, set] = {}
+                texts = []
+                for i, (p, h) in enumerate(zip(b.column("html__").to_pylist(), b.column("host__").to_pylist())):
+                    if h not in known:
+                        known[h] = {(m["path"], m["content"]) for m in b.column("marks__")[i].as_py() or ()}
+                    texts.append(main_text(p, known[h]))
                 yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(rest))], pa.array(texts, pa.string())], names=[*rest, "text"])
 
     return src.mapInArrow(run, ", ".join(x for x in (fields, "text string") if x))

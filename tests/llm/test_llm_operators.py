@@ -231,6 +231,19 @@ def test_html_main_text(spark):
     assert wrapper_html.extract(df.limit(0)).count() == 0
 
 
+def test_html_template_is_judged_over_all_pages_of_a_host(spark):
+    article = '<body class="post-%d"><article><h1>Head %d</h1><div><p>Send this to a friend</p></div><p>Text %d.</p>%s</article></body>'
+    plain = "<body><div>Same everywhere</div><div>%s text</div></body>"
+    rows = [(i, f"http://h/{i}", article % (i, i, i, "<p>Some share this.</p>" if i < 3 else "")) for i in range(6)]
+    # the smallest and the largest id have another layout
+    rows += [(10, "http://k/a", "<body><h2>Start</h2></body>"), (19, "http://k/z", "<body><h2>End</h2></body>")] + [(i, f"http://k/{i}", plain % i) for i in range(11, 16)]
+    rows += [(20 + i, f"http://c/{i}", plain % "copy") for i in range(5)]
+    got = {r.page_id: r.text for r in wrapper_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[0] == "Head 0\n\nText 0.\n\nSome share this." and got[5] == "Head 5\n\nText 5."
+    assert got[10] == "Start" and got[19] == "End" and [got[i] for i in range(11, 16)] == [f"{i} text" for i in range(11, 16)]
+    assert {got[20 + i] for i in range(5)} == {"Same everywhere\n\ncopy text"}
+
+
 def test_quality_figures_and_join_path(docs, none):
     rows = {key(r.doc_id): r for r in quality_lm.judge(docs).collect()}
     for d in docs.collect():
