@@ -7,12 +7,10 @@ counts, discounts, back-off weights and interpolated probabilities by joins and
 aggregations.  The model is scored from sorted arrays of hashed grams while its
 size is within a limit, and by a join of each document's grams beyond it.
 
-A document's perplexity is taken block by block of ``BLOCK`` characters, and the
-block at the lower quartile speaks for it, so that a passage in another language
-or a licence line does not condemn a text.  A document is rejected if it breaks
-a base rule or if that perplexity lies outside its language's lower or upper
-band; bands come from the median and the spread over all documents of the
-language.
+A document's perplexity is that of all its characters.  A document is rejected
+if it breaks a base rule or if that perplexity lies outside its language's lower
+or upper band; bands come from the median and the spread over all documents of
+the language.
 """
 
 from __future__ import annotations
@@ -33,11 +31,9 @@ LOWER, UPPER = 3.25, 3.25
 #: A spread counts as at least this much of log perplexity.
 LEAST_SPREAD = 0.01
 #: Characters whose worth of noise a short text's band is widened by.
-SHORT_CHARS = 2000.0
+SHORT_CHARS = 200.0
 #: Log perplexity is kept in thousandths for the histogram that the bands are read from.
 GRAIN = 1000
-#: Characters to a block, whose mean log probabilities are compared.
-BLOCK = 128
 START = 2  # symbol before a text
 _KEPT_GRAMS = 4_000_000
 
@@ -212,30 +208,6 @@ class HashArrays:
         return out
 
 
-def blocks(n: np.ndarray) -> np.ndarray:
-    """Number of each gram's block, counted over all texts, for texts of ``n`` grams (a last short block joins the one before)."""
-    k = np.maximum(n // BLOCK, 1) * (n > 0)
-    start = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
-    inside = np.arange(int(n.sum())) - np.repeat(start, n)
-    base = np.concatenate([[0], np.cumsum(k)[:-1]]).astype(np.int64)
-    return np.repeat(base, n) + np.minimum(inside // BLOCK, np.repeat(k, n) - 1)
-
-
-def quartile_block(n: np.ndarray, nll: np.ndarray) -> np.ndarray:
-    """Mean of the block at the lower quartile of each text (0 for a text without grams)."""
-    of = blocks(n)
-    k = np.maximum(n // BLOCK, 1) * (n > 0)
-    total = int(k.sum())
-    mean = np.bincount(of, weights=nll, minlength=total) / np.maximum(np.bincount(of, minlength=total), 1)
-    row = np.repeat(np.arange(len(n)), k)
-    mean = mean[np.lexsort((mean, row))]
-    base = np.concatenate([[0], np.cumsum(k)[:-1]]).astype(np.int64)
-    out = np.zeros(len(n))
-    some = k > 0
-    out[some] = mean[base[some] + (k[some] - 1) // 4]
-    return out
-
-
 def _load(tables: list[DataFrame]) -> dict[str, HashArrays]:
     """The model by language; read as Arrow columns, never as rows."""
     got: dict[str, list] = {}
@@ -289,7 +261,7 @@ FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", limit: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, lang, the base figures, n_grams, cross): cross is the log perplexity of the block at the lower quartile (null without characters)."""
+    """(doc_id, lang, the base figures, n_grams, cross): cross is the log perplexity of the text, over all its grams (null without characters)."""
     spark = docs.sparkSession
     ship(spark)
     src = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text"))
@@ -313,7 +285,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
                     mine = of == hash(x)
                     if mine.any():
                         nll[mine] = -arrays[x].logp(g[mine])
-                value = quartile_block(n, nll)
+                value = np.bincount(row, weights=nll, minlength=len(langs)) / np.maximum(n, 1)
                 cols = [b.column("doc_id"), b.column("lang"), *[pa.array(c) for c in base_figures(b)], pa.array(n.astype(np.int64)), pa.array(value, mask=n == 0)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", *FIGURES, "n_grams", "cross"])
 
@@ -328,19 +300,15 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
                 n = np.bincount(row, minlength=b.num_rows)
                 ids, langs = b.column("doc_id"), b.column("lang")
                 cut = np.concatenate([[0], np.cumsum(n)])
-                of = blocks(n)
-                lists, at = [g[x:y].view(np.int64) for x, y in zip(cut[:-1], cut[1:])], [of[x:y] - (of[x] if y > x else 0) for x, y in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([ids, langs, *[pa.array(c) for c in cols], pa.array(n.astype(np.int64)),
-                                                  pa.array(lists, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int64()))],
-                                                 names=["doc_id", "lang", *FIGURES, "n_grams", "gram", "block"])
+                lists = [g[x:y].view(np.int64) for x, y in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([ids, langs, *[pa.array(c) for c in cols], pa.array(n.astype(np.int64)), pa.array(lists, pa.list_(pa.int64()))],
+                                                 names=["doc_id", "lang", *FIGURES, "n_grams", "gram"])
 
-    rows = src.mapInArrow(by_rows, f"doc_id {id_type}, lang string, {figures}, n_grams long, gram array<long>, block array<long>")
+    rows = src.mapInArrow(by_rows, f"doc_id {id_type}, lang string, {figures}, n_grams long, gram array<long>")
     rows = stored(rows.withColumn("row", F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id())), "lm-rows")
-    each = rows.select("row", "lang", F.explode(F.arrays_zip("gram", "block")).alias("x")).groupBy("row", "lang", "x.block", "x.gram").agg(F.count(F.lit(1)).alias("k"))
-    sums = each.join(tables[-1], ["lang", "gram"]).groupBy("row", "block").agg((-F.sum(F.col("k") * F.col("logp")) / F.sum("k")).alias("mean"))
-    cross = sums.groupBy("row").agg(F.sort_array(F.collect_list("mean")).alias("m"))  # the blocks of one text
-    cross = cross.select("row", F.element_at("m", F.floor((F.size("m") - 1) / 4).cast("int") + 1).alias("cross"))
-    return rows.drop("gram", "block").join(cross, "row", "left").select("doc_id", "lang", *FIGURES, "n_grams", "cross")
+    each = rows.select("row", "lang", F.explode("gram").alias("gram")).groupBy("row", "lang", "gram").agg(F.count(F.lit(1)).alias("k"))
+    cross = each.join(tables[-1], ["lang", "gram"]).groupBy("row").agg((-F.sum(F.col("k") * F.col("logp")) / F.sum("k")).alias("cross"))
+    return rows.drop("gram").join(cross, "row", "left").select("doc_id", "lang", *FIGURES, "n_grams", "cross")
 
 
 def bands(scores: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:

@@ -259,6 +259,19 @@ def test_quality_figures_and_join_path(docs, none):
     assert quality_lm.judge(none).count() == 0
 
 
+def test_half_junk_and_short_junk_are_rejected(spark):
+    r = random.Random(5)
+    vocab = ["".join(r.choice(c) for c in ("bdfglmnprst", "aeiou") * r.randint(1, 3)) for _ in range(300)]
+    prose = lambda k: " ".join(r.choice(vocab) for _ in range(k))
+    noise = lambda k: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzäöü0123456789") for _ in range(r.randint(3, 7))) for _ in range(k))
+    rows = [(i, prose(r.randint(100, 600)), "en") for i in range(300)]
+    rows += [(1000, prose(400) + " " + noise(850), "en"), (1001, noise(60), "en"), (1002, prose(60), "en")]
+    got = {r.doc_id: r for r in quality_lm.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert not got[1000].kept and not got[1001].kept and got[1002].kept
+    assert sum(got[i].kept for i in range(300)) >= 285
+
+
 def test_model_is_a_distribution(spark, docs):
     counts = quality_lm.count_grams(docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text"))
     model = quality_lm._load(quality_lm.model_tables(counts))["en"]
