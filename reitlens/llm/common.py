@@ -285,6 +285,19 @@ def doc_key(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
 
 
+def row_key(doc_id: str, *columns: str) -> Column:
+    """(id, mark): the id and a hash of ``columns``, which tells rows of one id or without an id apart."""
+    parts = [x for i, c in enumerate(columns) for x in ((F.lit(i), F.col(c)) if i else (F.col(c),))]
+    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(*parts).alias("mark"))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, doc_id: str, *columns: str) -> DataFrame:
+    """The rows of ``docs`` whose ``row_key`` is not among (id, mark) of ``gone``."""
+    gone = sized(gone.select(F.col("id").alias("gone_id__"), F.col("mark").alias("gone_mark__")))
+    key = row_key(doc_id, *columns)
+    return docs.join(gone, key["id"].eqNullSafe(F.col("gone_id__")) & (key["mark"] == F.col("gone_mark__")), "left_anti")
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc, mark, text): id as a long, a hash of the text that tells rows of one id apart, and the text."""
     return docs.select(doc_key(doc_id).alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))

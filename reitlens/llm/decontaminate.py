@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reitlens.llm.common import BROADCAST_BYTES, mix, rolling, ship, split_words, stored, text_slices, word_hashes
+from reitlens.llm.common import BROADCAST_BYTES, mix, rolling, row_key, ship, split_words, stored, text_slices, without_rows, word_hashes
 
 WINDOW = 13
 TOLERANCE = 2
@@ -154,8 +154,8 @@ def leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that overlap with no item (a null doc_id is judged with the other null ids)."""
-    bad = stored(overlaps(docs, items, doc_id=doc_id, **options).select(F.col("doc_id").alias("bad_id__")).distinct(), "decon-bad")
-    from reitlens.llm.common import sized
-
-    return docs.join(sized(bad), F.col(doc_id).eqNullSafe(F.col("bad_id__")), "left_anti")
+    """The rows of ``docs`` that overlap with no item; rows with one id or without an id are judged each by its own text."""
+    text = options.pop("text", "text")
+    rows = docs.select(row_key(doc_id, text).alias("doc_id"), F.col(text).alias("text"))
+    bad = stored(overlaps(rows, items, **options).select("doc_id.id", "doc_id.mark").distinct(), "decon-bad")
+    return without_rows(docs, bad, doc_id, text)

@@ -42,10 +42,23 @@ def _halves(words: Column, n: Column, shortest: int) -> Column:
     return F.when(n > shortest, F.array(*of(n), *of(n - 1))).when(n == shortest, F.array(*of(n))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` plus ``mark__``: a hash of the text where several rows have the id (or none), else null; without it if no id is repeated."""
+    ids = stored(docs.groupBy(F.col(doc_id).alias("r_id__")).agg(F.count(F.lit(1)).alias("n__")).where("n__ > 1"), "lines-ids")
+    if ids.isEmpty():
+        return docs
+    return docs.join(sized(ids), F.col(doc_id).eqNullSafe(F.col("r_id__")), "left").withColumn("mark__", F.when(F.col("n__").isNotNull(), F.xxhash64(text))).drop("r_id__", "n__")
+
+
+def _mark(docs: DataFrame) -> list[Column]:
+    return [F.col("mark__").alias("mark")] if "mark__" in docs.columns else []
+
+
 def line_table(docs: DataFrame, doc_id: str, text: str, shortest: int) -> DataFrame:
     """(place, a, b, n, halves): every line with a word; ``place`` orders lines, (a, b) is its 128-bit hash."""
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    words = lines.where(has_word(F.col("line"))).select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no").alias("place"), line_words(F.col("line")).alias("words"))
+    mark = _mark(docs)
+    lines = docs.select(F.col(doc_id).alias("doc_id"), *mark, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+    words = lines.where(has_word(F.col("line"))).select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *(["mark"] if mark else []), "line_no").alias("place"), line_words(F.col("line")).alias("words"))
     n = F.size("words")
     return words.select("place", F.xxhash64(F.lit(7), "words").alias("a"), F.xxhash64(F.lit(11), "words").alias("b"),
                                      n.alias("n"), _halves(F.col("words"), n, shortest).alias("halves"))
@@ -59,15 +72,19 @@ def _near_earlier(docs: DataFrame, distinct: DataFrame, doc_id: str, text: str,
     suspects = stored(distinct.join(suspects, ["a", "b"], "left_semi").select(F.col("first").alias("place"), "a", "b"), "lines-suspects")
     if suspects.isEmpty():
         return None
+    mark = _mark(docs)
     # the words of the suspects, from the line where each stands first
-    at = suspects.select(F.col("place.no_id").alias("s_no"), F.col("place.doc_id").alias("s_id"), F.col("place.line_no").alias("s_line"), "place", "a", "b")
+    at = suspects.select(F.col("place.no_id").alias("s_no"), F.col("place.doc_id").alias("s_id"), *([F.col("place.mark").alias("s_mark")] if mark else []), F.col("place.line_no").alias("s_line"), "place", "a", "b")
     # only the documents that hold such a line are split again, while their ids can go to the tasks
     ids = at.select("s_id").distinct()
-    held = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    held = docs.select(F.col(doc_id).alias("doc_id"), *mark, F.col(text).alias("text"))
     if data_bytes(ids) <= BROADCAST_BYTES:
         held = held.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("s_id")), "left_semi")
-    lines = held.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = (lines.join(sized(at), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("line_no") == F.col("s_line")))
+    lines = held.select("doc_id", *(["mark"] if mark else []), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("line_no") == F.col("s_line"))
+    if mark:
+        same &= F.col("mark").eqNullSafe(F.col("s_mark"))
+    words = (lines.join(sized(at), same)
              .select("place", "a", "b", line_words(F.col("line")).alias("words")))
     words = words.where((F.xxhash64(F.lit(7), "words") == F.col("a")) & (F.xxhash64(F.lit(11), "words") == F.col("b")))
     words = stored(words.dropDuplicates(["a", "b"]).withColumn("n", F.size("words")), "lines-words")
@@ -105,9 +122,15 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """(doc_id, gone): numbers (from 0) of the lines that go, for documents that lose any.
 
     Null texts have no lines; lines without a word never go.  A null doc_id comes
-    after all others.  Rows with one id are one document: a line at the same
-    place of two such rows does not remove itself.  An empty table gives none.
+    after all others.  Rows with one id or without an id are told apart by their
+    text (then there is a column ``mark``, its hash, null where the id stands alone);
+    rows that agree in both are one document: a line does not remove itself.  An
+    empty table gives none.
     """
+    return _removed(_marked(docs, doc_id, text), doc_id, text, shortest)
+
+
+def _removed(docs: DataFrame, doc_id: str, text: str, shortest: int) -> DataFrame:
     lines = stored(line_table(docs, doc_id, text, shortest), "lines-all")
     distinct = stored(lines.groupBy("a", "b").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("halves").alias("halves")), "lines-distinct")
     near = _near_earlier(docs, distinct, doc_id, text, shortest)
@@ -120,7 +143,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     act = stored(act.select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near")), "lines-act")
     gone = lines.select("place", "a", "b").join(sized(act), ["a", "b"]).where("near or first < place")
     # at most the lines of one document in a set
-    return gone.groupBy(F.col("place.doc_id").alias("doc_id")).agg(F.collect_set("place.line_no").alias("gone"))
+    return gone.groupBy(F.col("place.doc_id").alias("doc_id"), *([F.col("place.mark").alias("mark")] if _mark(docs) else [])).agg(F.collect_set("place.line_no").alias("gone"))
 
 
 def kept_lines(text: Column, gone: Column) -> Column:
@@ -130,8 +153,12 @@ def kept_lines(text: Column, gone: Column) -> Column:
 
 def with_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """``docs`` plus ``gone__``: the numbers of the lines to remove, null if none."""
-    gone = stored(removed_lines(docs, doc_id, text, shortest), "lines-gone").select(F.col("doc_id").alias("g_id__"), F.col("gone").alias("gone__"))
-    return docs.join(sized(gone), F.col(doc_id).eqNullSafe(F.col("g_id__")), "left").drop("g_id__")
+    docs = _marked(docs, doc_id, text)
+    gone = stored(_removed(docs, doc_id, text, shortest), "lines-gone").withColumnsRenamed({"doc_id": "g_id__", "mark": "g_mark__", "gone": "gone__"})
+    same = F.col(doc_id).eqNullSafe(F.col("g_id__"))
+    if "mark__" in docs.columns:
+        same &= F.col("mark__").eqNullSafe(F.col("g_mark__"))
+    return docs.join(sized(gone), same, "left").drop("g_id__", "g_mark__", "mark__")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest: int = SHORTEST) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reitlens.llm.common import BROADCAST_BYTES, mix, release, ship, split_words, stored, text_slices
+from reitlens.llm.common import BROADCAST_BYTES, mix, release, row_key, ship, split_words, stored, text_slices, without_rows
 
 ORDER = 4
 MIN_WORDS = 50
@@ -349,8 +349,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **bands_) -> DataFrame:
-    """The rows of ``docs`` that are kept; rows with one id stay if any of them is kept."""
-    from reitlens.llm.common import sized
-
-    gone = judge(docs, doc_id, text, lang, **bands_).groupBy("doc_id").agg(F.max("kept").alias("any_")).where("not any_").select(F.col("doc_id").alias("gone_id__"))
-    return docs.join(sized(stored(gone, "lm-gone")), F.col(doc_id).eqNullSafe(F.col("gone_id__")), "left_anti")
+    """The rows of ``docs`` that are kept; rows with one id or without an id are judged each by its own text."""
+    rows = docs.select(row_key(doc_id, text, lang).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    gone = judge(rows, **bands_).where("not kept").select("doc_id.id", "doc_id.mark").distinct()
+    return without_rows(docs, stored(gone, "lm-gone"), doc_id, text, lang)

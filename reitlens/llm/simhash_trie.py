@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reitlens.llm.common import connected, release, ship, sized, stored, text_slices
+from reitlens.llm.common import connected, release, row_key, ship, sized, stored, text_slices, without_rows
 
 WORDS = 4
 MAX_BITS = 4
@@ -207,18 +207,23 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     table gives an empty result.
     """
     fps = stored(fingerprints(docs, doc_id, text, words), "simhash-fp")
+    return fps.join(sized(_named(fps, budget)), "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(fps: DataFrame, budget: int) -> DataFrame:
+    """(fp, component, component_id) for the fingerprints of (doc_id, fp): the class, and the smallest id in it."""
     leaves = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-leaves")
     found = stored(links(leaves.select("fp"), budget), "simhash-links")
     comp = stored(connected(found), "simhash-components") if not found.isEmpty() else None
-    release(docs.sparkSession)
+    release(fps.sparkSession)
     if comp is None:
-        named = leaves.select("fp", F.col("first_id").alias("component_id"))
+        named = leaves.select("fp", F.col("fp").alias("component"), F.col("first_id").alias("component_id"))
     else:
         in_class = leaves.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left")
         in_class = in_class.select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
         lowest = in_class.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        named = in_class.join(lowest, "component").select("fp", "component_id")
-    return fps.join(sized(stored(named, "simhash-named")), "fp").select("doc_id", "fp", "component_id")
+        named = in_class.join(lowest, "component").select("fp", "component", "component_id")
+    return stored(named, "simhash-named")
 
 
 def hex_digits(fp):
@@ -227,19 +232,24 @@ def hex_digits(fp):
 
 
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, budget: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class; rows with a null id stay only in classes without any id.
+    """One row of each class: that with the smallest id; rows with a null id stay only in classes without any id.
 
-    Rows that repeat the kept id are repetitions of one document: one of them
-    stays (the smallest text).
+    Where several rows of a class have that id (or none has an id), one of them
+    stays (the smallest text, then the smallest other columns).  Rows with one id
+    or without an id are told apart by their text.
     """
-    cls = classes(docs, doc_id, text, words, budget)
-    drop = stored(cls.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("gone_id__")).distinct(), "simhash-gone")
-    kept = docs.join(sized(drop), F.col(doc_id).eqNullSafe(F.col("gone_id__")), "left_anti")
-    again = stored(kept.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n__")).where("n__ > 1").select(F.col(doc_id).alias("again_id__")), "simhash-again")
-    if again.isEmpty():
+    rows = docs.select(row_key(doc_id, text).alias("doc_id"), F.col(text).alias("text"))
+    fps = stored(fingerprints(rows, words=words).select("doc_id.id", "doc_id.mark", "fp"), "simhash-fp")
+    named = _named(fps.select(F.col("id").alias("doc_id"), "fp"), budget)
+    cls = stored(fps.join(sized(named), "fp").select("id", "mark", "component", "component_id"), "simhash-rows")
+    first = F.col("id").eqNullSafe(F.col("component_id"))
+    kept = without_rows(docs, stored(cls.where(~first).select("id", "mark").distinct(), "simhash-gone"), doc_id, text)
+    several = stored(cls.where(first).groupBy("component").agg(F.count(F.lit(1)).alias("n__")).where("n__ > 1").select("component"), "simhash-several")
+    if several.isEmpty():
         return kept
-    # repeated ids: one row each, the smallest text then the smallest other columns
-    once = kept.join(sized(again), F.col(doc_id).eqNullSafe(F.col("again_id__")), "left_semi")
-    first = once.groupBy(doc_id).agg(F.min(F.struct(text, *[c for c in docs.columns if c not in (doc_id, text)])).alias("r__"))
-    cols = [F.col(doc_id) if c == doc_id else F.col(f"r__.{c}").alias(c) for c in docs.columns]
-    return kept.join(sized(again), F.col(doc_id).eqNullSafe(F.col("again_id__")), "left_anti").unionByName(first.select(*cols))
+    again = stored(cls.where(first).join(sized(several), "component", "left_semi").select("id", "mark", "component").distinct(), "simhash-again")
+    key = row_key(doc_id, text)
+    of = again.select(F.col("id").alias("again_id__"), F.col("mark").alias("again_mark__"), F.col("component").alias("component__"))
+    once = kept.join(sized(of), key["id"].eqNullSafe(F.col("again_id__")) & (key["mark"] == F.col("again_mark__")))
+    one = once.groupBy("component__").agg(F.min(F.struct(text, *[c for c in docs.columns if c != text])).alias("r__"))
+    return without_rows(kept, again, doc_id, text).unionByName(one.select(*[F.col(f"r__.{c}").alias(c) for c in docs.columns]))

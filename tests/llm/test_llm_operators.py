@@ -165,6 +165,27 @@ def test_line_dedup_rules(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    r = random.Random(9)
+    vocab = ["".join(r.choice("bdfglmnprstaeiou") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    text = [" ".join(r.choice(vocab) for _ in range(120)) for _ in range(8)]
+    schema = "doc_id long, text string, lang string"
+    df = lambda rows: spark.createDataFrame([(*x, "en") for x in rows], schema).repartition(3)
+    # one row without an id repeats a document, two more and the rows of id 7 are different texts
+    rows = [(1, text[0]), (None, text[0]), (None, text[1]), (None, text[2]), (7, text[3]), (7, text[4]), (None, text[2])]
+    want = sorted([text[0], text[1], text[2], text[3], text[4]])
+    assert sorted(x.text for x in simhash_trie.one_per_class(df(rows)).collect()) == want
+    item = spark.createDataFrame([(0, text[5])], "item_id long, text string")
+    got = decontaminate.clean(df([(None, text[5]), (None, text[6]), (7, text[5]), (7, text[3]), (8, text[4])]), item).collect()
+    assert sorted(x.text for x in got) == sorted([text[6], text[3], text[4]])
+    lines = [(1, "one line of words here\nmore of it stands below"), (None, "one line of words here\nown text of the first"), (None, "quite another beginning of text\nown text of another"), (7, "one line of words here\nfirst of them"), (7, "second of them begins\nand ends")]
+    got = sorted(x.text for x in line_dedup.dedup_lines(df(lines)).collect())
+    assert got == sorted(["one line of words here\nmore of it stands below", "own text of the first", lines[2][1], "first of them", lines[4][1]])
+    junk = [(None, "x y " * 100), (7, "x y " * 100), (None, "few words")]
+    got = sorted(x.text for x in quality_lm.keep(df([(None, text[0]), (7, text[1]), *junk, *[(i + 20, t) for i, t in enumerate(text)]])).collect())
+    assert got == sorted([text[0], text[1], *text])
+
+
 def test_token_prefixes_equal_the_library(spark, none):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
