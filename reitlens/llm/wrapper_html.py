@@ -42,7 +42,7 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "d
 #: Elements without main text.
 ASIDE = frozenset("head script style noscript template nav header footer aside form button select iframe svg math object menu dialog textarea audio video canvas search".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id names that mark what is no main text.
+#: Class and id names, or all parts of one (cookie-notice), that mark what is no main text.
 ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form gdpr header "
                         "login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion related reply replies respond share sharing "
                         "sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
@@ -52,20 +52,26 @@ LEAST_PAGES = 4
 
 
 class Node:
-    __slots__ = ("tag", "label", "children", "kind")
+    __slots__ = ("tag", "label", "children", "kind", "by_words")
 
     def __init__(self, tag: str, label: str = "", kind: str = ""):
         self.tag, self.label, self.kind = tag, label, kind  # kind: "", "aside", "article"
         self.children: list = []  # nodes and strings
+        self.by_words = False  # an aside only by its class or id
 
 
 def _hash(data: bytes) -> int:
     return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[str, str]:
-    """(label, kind) of an element from its attributes."""
-    names, role, kind = "", "", ""
+def _aside_name(names: str) -> bool:
+    """Whether a whole class or id name, or each part of one, is among the words (no-sidebar is not)."""
+    return any(parts and ASIDE_WORDS.issuperset(parts) for parts in map(_WORD.findall, names.split()))
+
+
+def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[str, str, bool]:
+    """(label, kind, whether by class words only) of an element from its attributes."""
+    names, role, kind, by_words = "", "", "", False
     if attributes and "=" in attributes or "hidden" in attributes:
         found = {}
         for m in _ATTRIBUTE.finditer(attributes):
@@ -76,11 +82,41 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[str, str]:
             kind = "aside"
     if tag in ASIDE and not (tag == "header" and inside_article) or role in ASIDE_ROLES:
         kind = "aside"
-    elif tag not in ("html", "body") and names.strip() and not ASIDE_WORDS.isdisjoint(_WORD.findall(names)):
-        kind = "aside"
     elif not kind and (tag in ("article", "main") or role in ("article", "main")):
         kind = "article"
-    return (f"{tag}.{names.strip()}" if names.strip() else tag), kind
+    elif not kind and tag not in ("html", "body") and _aside_name(names):
+        kind, by_words = "aside", True
+    return (f"{tag}.{names.strip()}" if names.strip() else tag), kind, by_words
+
+
+def _has_text(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if x.strip():
+                return True
+        elif x is node or x.kind != "aside" and x.tag not in RAW:
+            todo.extend(x.children)
+    return False
+
+
+def _release(tree: Node) -> None:
+    """Where no article with text stands outside of asides, an element around one is no aside by its class words."""
+    held, todo = [], [(tree, ())]
+    while todo:
+        x, over = todo.pop()
+        if x.kind == "article" and _has_text(x):
+            if not over:
+                return
+            held += over
+            continue
+        if x.kind == "aside" and not x.by_words:
+            continue
+        over = (*over, x) if x.by_words else over
+        todo.extend((c, over) for c in x.children if not isinstance(c, str))
+    for x in held:
+        x.kind, x.by_words = "", False
 
 
 def parse(page: str) -> Node:
@@ -94,6 +130,7 @@ def parse(page: str) -> Node:
         if text:
             stack[-1].children.append(text)
         if not m:
+            _release(root)
             return root
         pos = m.end()
         name = m[2] or m[5]
@@ -123,8 +160,9 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].tag in ends:
                     del stack[i:]
-        label, kind = _kind(tag, attributes, depth_article > 0)
+        label, kind, by_words = _kind(tag, attributes, depth_article > 0)
         node = Node(tag, label, kind)
+        node.by_words = by_words
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(page, pos)

@@ -265,6 +265,18 @@ def test_html_template_is_judged_over_all_pages_of_a_host(spark):
     assert {got[20 + i] for i in range(5)} == {"Same everywhere\n\ncopy text"}
 
 
+def test_html_class_words_do_not_drop_the_article(spark):
+    pages = ['<article class="post comments"><p>Own text %d</p></article>', '<main class="no-sidebar"><p>Own text %d</p><div class="share-buttons">x</div></main>',
+             '<div class="sidebar content"><article><p>Own text %d</p><section class="comments"><article>said</article></section></article></div>',
+             '<div class="content right-sidebar"><p>Own text %d</p></div><div class="cookie-notice">c</div>',
+             '<main><div class="widget"><article><p>Own text %d</p></article></div></main>',
+             '<article><p>Own text %d</p></article><div class="related"><article>Teaser</article></div>']
+    rows = [(i, f"http://h{i}/", f"<body>{p % i}</body>") for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in wrapper_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: t for i, t in got.items() if i != 1} == {i: f"Own text {i}" for i in range(6) if i != 1}
+    assert got[1].startswith("Own text 1")
+
+
 def test_quality_figures_and_join_path(docs, none):
     rows = {key(r.doc_id): r for r in quality_lm.judge(docs).collect()}
     for d in docs.collect():
