@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reitlens.llm import bwt_dedup, decontaminate, line_dedup, mixing, quality_lm, recompression, simhash_trie, token_prefix, url_rules, wrapper_html
+from reitlens.llm import (bwt_dedup, decontaminate, fill_middle, filter_audit, line_dedup, mixing, pivot_index, quality_lm, recompression, simhash_trie, token_prefix,
+                          url_rules, wrapper_html)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -190,3 +191,98 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = wrapper_html.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_filter_audit", r"""
+WITH t AS (
+  SELECT coalesce(doc_id, 9223372036854775807) AS id, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t
+), f AS (
+  SELECT text, min(id) AS first FROM t GROUP BY text
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), d AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * (length(w.text) - length(regexp_replace(w.text, '[A-Z]', '', 'g'))) > 2 * length(w.text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(w.text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN f.first < w.id THEN 16 ELSE 0 END AS mask
+  FROM w JOIN f ON w.text = f.text LEFT JOIN l ON w.doc_id = l.doc_id
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, mask
+), s AS (
+  SELECT part, u.subset, CAST(coalesce(sum(n) FILTER (mask & u.subset = 0), 0) AS BIGINT) AS n, CAST(coalesce(sum(good) FILTER (mask & u.subset = 0), 0) AS BIGINT) AS good,
+         CAST(coalesce(sum(toxic) FILTER (mask & u.subset = 0), 0) AS BIGINT) AS toxic
+  FROM c CROSS JOIN (SELECT unnest(range(32)) AS subset) u GROUP BY part, u.subset
+), b AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit
+), o AS (
+  SELECT a1.x || a2.x || a3.x || a4.x || a5.x AS filter_order, [a1.bit, a2.bit, a3.bit, a4.bit, a5.bit] AS bits
+  FROM b a1 JOIN b a2 ON a2.x <> a1.x JOIN b a3 ON a3.x NOT IN (a1.x, a2.x) JOIN b a4 ON a4.x NOT IN (a1.x, a2.x, a3.x) JOIN b a5 ON a5.x NOT IN (a1.x, a2.x, a3.x, a4.x)
+), p AS (
+  SELECT filter_order, k AS step, bits[k] AS bit, CAST(coalesce(list_sum(bits[1:k - 1]), 0) AS BIGINT) AS before
+  FROM o CROSS JOIN (SELECT unnest(range(1, 6)) AS k)
+), g AS (
+  SELECT part, filter_order, p.step, p.bit, s2.n AS kept, s1.n - s2.n AS removed, s0.n - sf.n AS fails, su.n - sa.n AS unique_fails,
+         s1.good - s2.good AS good_lost, s1.toxic - s2.toxic AS toxic_lost
+  FROM p JOIN s s1 ON s1.subset = p.before JOIN s s2 USING (part) JOIN s s0 USING (part) JOIN s sf USING (part) JOIN s su USING (part) JOIN s sa USING (part)
+  WHERE s2.subset = p.before + p.bit AND s0.subset = 0 AND sf.subset = p.bit AND su.subset = 31 - p.bit AND sa.subset = 31
+), h AS (
+  SELECT part, bit, CAST(sum(removed) AS BIGINT) AS shapley FROM g GROUP BY part, bit
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, fails - removed AS redundant, unique_fails, good_lost, toxic_lost, shapley FROM g JOIN h USING (part, bit)
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+@query("op12_pivot_near_dedup", """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), u AS (
+  SELECT k, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT a.k AS x, b.k AS y FROM u a JOIN u b ON a.label = b.label AND a.k <> b.k AND len(a.e) = len(b.e) AND a.norm > 0 AND b.norm > 0
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), r AS (
+  SELECT k AS x, k AS y FROM v
+  UNION
+  SELECT r.x, p.y FROM r JOIN p ON r.y = p.x
+), c AS (
+  SELECT r.x, min(v.vec_id) AS component_id FROM r JOIN v ON r.y = v.k GROUP BY r.x
+), n AS (
+  SELECT x, count(*) AS n_links FROM p GROUP BY x
+)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON v.k = c.x LEFT JOIN n ON v.k = n.x
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.classes(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+@query("op13_fill_middle", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w
+  FROM documents
+), r AS (
+  SELECT doc_id, text, w, CAST(len(w) AS BIGINT) AS n,
+         CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(w) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(w) + 1) AS c2,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), p AS (
+  SELECT doc_id, text, n, form, array_to_string(w[1:least(c1, c2)], '') AS a, array_to_string(w[least(c1, c2) + 1:greatest(c1, c2)], '') AS b,
+         array_to_string(w[greatest(c1, c2) + 1:], '') AS c
+  FROM r
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transform(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", F.col("n_tokens").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
