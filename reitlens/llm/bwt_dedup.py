@@ -26,7 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reitlens.llm.common import (BYTE_VALUES, Substrings, doc_key, key_filter, keyed, lookup_of, may_hold, release, runs, ship, sized, stored, text_slices)
+from reitlens.llm.common import (BYTE_VALUES, Substrings, covered, doc_key, key_filter, keyed, lookup_of, may_hold, release, runs, ship, sized, spans_of, stored,
+                                 text_slices, with_spans)
 
 MINIMUM = 100
 GRAM = 40
@@ -251,40 +252,27 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", minimu
         for batch in batches:
             for b in text_slices(batch, "text"):
                 x = Bytes(b.column("text"), minimum)
-                a, _, key = x.blocks(x.candidates(bitmap))
+                a, e, key = x.blocks(x.candidates(bitmap))
                 d = x.doc[a]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.asarray(b.column("doc"))[d]), pa.array(a - x.offsets[d])], names=["block", "doc", "pos"])
-
-    blocks = src.select("doc", "text").mapInArrow(whole, "block long, doc long, pos long")
-    place = F.struct("doc", "pos")
-    again = blocks.groupBy("block").agg(F.min(place).alias("low"), F.max(place).alias("top")).where("low < top")
-    again = stored(again.select("block", F.col("low.doc").alias("doc"), F.col("low.pos").alias("pos")), "bwt-blocks")
+                ids, marks = (np.asarray(b.column(c))[d] for c in ("doc", "mark"))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(marks), pa.array(a - x.offsets[d]), pa.array(e - x.offsets[d])],
+                                                 names=["block", "doc", "mark", "start", "end"])
+
+    blocks = stored(src.mapInArrow(whole, "block long, doc long, mark long, start long, end long"), "bwt-blocks")
+    place = F.struct("doc", "start")
+    first = blocks.groupBy("block").agg(F.min(place).alias("low"), F.max(place).alias("top")).where("low < top").select("block", "low")
+    settled = stored(blocks.join(sized(stored(first, "bwt-shared")), "block").where("low < struct(doc, start)").select("doc", "mark", "start", "end"), "bwt-settled")
     release(spark)
-    settled = spark.sparkContext.broadcast(lookup_of(again, "block", "doc", "pos"))
 
     def rest(batches):
-        bitmap, table, often = passing.value, settled.value, hot.value
+        bitmap, often = passing.value, hot.value
         for batch in batches:
             for b in text_slices(batch, "text"):
                 x = Bytes(b.column("text"), minimum)
                 ids, marks = np.asarray(b.column("doc")), np.asarray(b.column("mark"))
                 open_ = x.candidates(bitmap)
-                a, e, key = x.blocks(open_)
-                d = x.doc[a]
-                k = table.find(key.view(np.int64))
-                known = np.zeros(len(k), bool)
-                if len(table.keys) and len(k):
-                    at, doc = a - x.offsets[d], ids[d]
-                    known = (k >= 0) & ((table.payload[0][k] < doc) | (table.payload[0][k] == doc) & (table.payload[1][k] < at))
-                edge = np.zeros(len(x.doc) + 1, np.int32)
-                np.add.at(edge, a[known], 1)
-                np.add.at(edge, e[known], -1)
-                done = np.cumsum(edge)[:-1] > 0
-                # settled stretches, cut at documents
-                s, t = _stretches(done, x.doc)
-                d = x.doc[s]
-                if len(s):
-                    yield _rows(ids[d], marks[d], s - x.offsets[d], t - x.offsets[d], None, None)
+                row, s, e = spans_of(b.column("settled"))
+                done = covered(len(x.doc), x.offsets[row] + s, x.offsets[row] + e)
                 # open windows by run
                 todo = open_ & ~done
                 number = np.zeros(len(x.doc), np.int64)
@@ -310,9 +298,11 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", minimu
                     d = x.doc[w]
                     yield _rows(ids[d], marks[d], w - x.offsets[d], w - x.offsets[d] + 1, x.sub.of(w, w + minimum).view(np.int64), None)
 
-    rows = stored(src.mapInArrow(rest, "doc long, mark long, start long, end long, key long, data binary, twice boolean"), "bwt-rows")
-    spans = rows.where("key is null").select("doc", "mark", "start", "end")
-    windows = rows.where("key is not null and data is null")
+    rows = stored(with_spans(src, settled, "settled").mapInArrow(rest, "doc long, mark long, start long, end long, key long, data binary, twice boolean"), "bwt-rows")
+    passing.destroy()
+    hot.destroy()
+    spans = settled
+    windows = rows.where("data is null")
     low = windows.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("low"), F.max(F.struct("doc", "start")).alias("top")).where("low < top")
     spans = spans.unionByName(windows.join(low, "key").where("low < struct(doc, start)").select("doc", "mark", "start", "end"))
 

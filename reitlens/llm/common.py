@@ -23,8 +23,8 @@ from reitlens.session import ensure_checkpoint_dir
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 #: A side of a join is broadcast up to this many bytes of measured column data; beyond, a shuffle join.
 BROADCAST_BYTES = 48 << 20
-#: Text bytes handled at a time inside a task, whatever the Arrow batch holds.
-SLICE_BYTES = 4 << 20
+#: Text bytes handled at a time inside a task, whatever the Arrow batch holds: hashes of a slice take up to 80 times its bytes.
+SLICE_BYTES = 512 << 10
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -199,50 +199,49 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 #: The candidate filter has 8 to 16 bits a key, within these bounds (at most 64 MB).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+#: Bytes of the filter that one row of its table holds.
+FILTER_PIECE = 1 << 17
 
 
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """Bitmap with two bits set per key of the long column ``column``, ORed together by Spark piece by piece.
+    """Bitmap with two bits set per key of the long column ``column``, put together by Spark piece by piece.
 
+    Every task turns its keys into bits, which are dealt out by the piece of the
+    bitmap that they fall in; a task holds the pieces dealt to it, 128 KB each.
     A filter only spares work: it has no false negatives, whatever passes it is
     judged exactly later, and with more keys than its bound can tell apart it
     just lets more through.
     """
-    ship(keys.sparkSession)
+    spark = keys.sparkSession
+    ship(spark)
     count = keys.count()
     bits = LEAST_BITS
     while bits < MOST_BITS and bits < 8 * count:
         bits *= 2
-    part = 1 << 17  # bytes of the bitmap per row
+    width = FILTER_PIECE * 8
 
-    def mark(batches):
-        seen = np.zeros(bits, bool)
-        some = False
+    def place(batches):
         for b in batches:
-            k = np.asarray(b.column(0)).astype(np.int64).view(np.uint64)
-            some = some or len(k) > 0
-            for at in filter_bits(k, bits):
-                seen[at] = True
-        if some:
-            for i in range(0, bits, part * 8):
-                piece = seen[i:i + part * 8]
-                if piece.any():
-                    yield pa.RecordBatch.from_pydict({"i": pa.array([i // (part * 8)], pa.int32()), "bits": pa.array([np.packbits(piece, bitorder="little").tobytes()], pa.binary())})
-
-    def union(batches):
-        acc: dict[int, np.ndarray] = {}
+            at = np.concatenate(filter_bits(np.asarray(b.column(0)).astype(np.int64).view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32))], names=["i", "at"])
+
+    def mark(batches):
+        pieces: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = np.frombuffer(x, np.uint8)
-                acc[i] = got if i not in acc else acc[i] | got
-        for i, x in acc.items():
-            yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "bits": pa.array([x.tobytes()], pa.binary())})
-
-    few = keys.select(column).coalesce(6)
-    rows = few.mapInArrow(mark, "i int, bits binary").repartition(8, "i").mapInArrow(union, "i int, bits binary").collect()
+            i, at = np.asarray(b.column(0)), np.asarray(b.column(1))
+            for k in np.unique(i).tolist():
+                piece = pieces.setdefault(k, np.zeros(FILTER_PIECE, np.uint8))
+                mine = np.zeros(width, np.uint8)
+                mine[at[i == k]] = 1
+                piece |= np.packbits(mine, bitorder="little")
+        for k, piece in pieces.items():
+            yield pa.RecordBatch.from_pydict({"i": pa.array([k], pa.int32()), "bits": pa.array([piece.tobytes()], pa.binary())})
+
+    placed = keys.select(column).mapInArrow(place, "i int, at int")
+    rows = placed.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "i").mapInArrow(mark, "i int, bits binary").toLocalIterator()
     out = np.zeros(bits // 8, np.uint8)
     for r in rows:
-        out[r.i * part:r.i * part + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+        out[r.i * FILTER_PIECE:r.i * FILTER_PIECE + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
@@ -303,6 +302,27 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(doc_key(doc_id).alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
 
+def spans_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of all spans in a column of arrays of (start, end); null arrays hold none."""
+    rows = np.repeat(np.arange(len(column)), np.asarray(column.value_lengths().fill_null(0)))
+    flat = column.flatten()
+    return rows, np.asarray(flat.field("start")).astype(np.int64), np.asarray(flat.field("end")).astype(np.int64)
+
+
+def covered(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each of ``size`` places lies in one of the stretches [start, end)."""
+    edge = np.zeros(size + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def with_spans(src: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """``src`` (doc, mark, ...) with ``name``, the array of (start, end) that ``spans`` (doc, mark, start, end) has for the row, or null."""
+    lists = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias(name))
+    return src.join(sized(stored(lists, "span-lists")), ["doc", "mark"], "left")
+
+
 class Lookup:
     """Sorted key array with the payload arrays of each key; a small table held by every task."""
 

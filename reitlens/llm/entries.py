@@ -82,15 +82,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = token_prefix.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
-    counts = token_prefix.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary)
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+    counts = token_prefix.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary, budgets=(2048,))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), F.col("cut_2048").alias("chars_within_limit"))
 
 
 @query("op5_mix_sources", """
 WITH d AS (
   SELECT doc_id, source,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source

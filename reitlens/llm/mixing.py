@@ -26,9 +26,10 @@ MOST = 2
 BITS, STEP = 60, 12
 
 
-def document_hash(doc_id: Column) -> Column:
-    """60 bits of the MD5 of the id (null: of the empty string)."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
+def document_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of the id and the text's own MD5 (nulls: empty strings), so that rows of one id or without an id spread."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
@@ -42,15 +43,11 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, budget: float = BUDGET,
     order = [F.col("source").asc_nulls_last()]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = stored(sources.repartitionByRange(parts, F.col("source").isNull(), "source").withColumn("part", F.spark_partition_id()), "mix-sources")
-    counts = ranged.groupBy("part").count().collect()  # one row per partition
-    before, sums = 0, {}
-    for r in sorted(counts):
-        sums[r["part"]] = before
-        before += r["count"]
-    start = F.lit(0)
-    for part, n in sums.items():
-        start = F.when(F.col("part") == part, n).otherwise(start)
-    index = start + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    counts = ranged.groupBy("part").count()  # one row per partition
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start"))
+    ranged = ranged.join(F.broadcast(start), "part")
+    index = F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (index % len(weights) + 1).cast("int"))
     s = ranged.select("source", "source_size", weight.cast("long").alias("w"), (F.col("source_size") * most).alias("cap"))
     total = s.agg(F.sum("source_size")).first()[0] or 0
@@ -110,12 +107,13 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """(doc_id, source, size, source_size, target, copies) for every row of ``docs``; words taken = size * copies.
 
     A null text has size 0, a null source is a source of its own (the last).
-    Rows with equal ids share a hash and are taken alike.  Documents without
+    Rows that agree in id and text share a hash and are taken alike; other rows
+    of one id, or without an id, are told apart by their text.  Documents without
     words are taken with the others of their hash range.  If all sizes are 0 so
     are the targets, and an empty table gives an empty result.
     """
     sizes = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-                               document_hash(F.col(doc_id)).alias("hash")), "mix-sizes")
+                               document_hash(F.col(doc_id), F.col(text)).alias("hash")), "mix-sizes")
     sources = stored(source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most), "mix-targets")
     last = thresholds(sizes, sources)
     plan = sources.join(last.select(F.col("source").alias("t_source"), "copies", "last"), F.col("source").eqNullSafe(F.col("t_source")))

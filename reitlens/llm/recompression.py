@@ -29,8 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reitlens.llm.common import (Substrings, doc_key, key_filter, keyed, lookup_of, may_hold, mix, release, ship, sized, split_words, stored,
-                                 text_slices, word_hashes)
+from reitlens.llm.common import (Substrings, covered, doc_key, key_filter, keyed, may_hold, mix, release, ship, sized, spans_of, split_words, stored,
+                                 text_slices, with_spans, word_hashes)
 
 WINDOW = 13
 #: Words to a marked stretch, and words before it that the marking symbol's reach may take in.
@@ -177,49 +177,36 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
         for batch in batches:
             for b in text_slices(batch, "text"):
                 p = Parsed(b.column("text"), width)
-                _, _, block, doc = p.blocks(may_hold(bitmap, p.key), width)
-                ids = np.asarray(b.column("doc"))[doc] if len(doc) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(ids)], names=["block", "doc"])
-
-    blocks = src.select("doc", "text").mapInArrow(high, "block long, doc long")
-    shared_blocks = stored(blocks.groupBy("block").agg(F.min("doc").alias("low"), F.max("doc").alias("top")).where("low < top").select("block", "low"), "recompress-blocks")
+                a, e, block, doc = p.blocks(may_hold(bitmap, p.key), width)
+                ids, marks = (np.asarray(b.column(c))[doc] for c in ("doc", "mark"))
+                yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), pa.array(ids), pa.array(marks), pa.array((a - p.offsets[doc]).astype(np.int32)),
+                                                  pa.array((e - p.offsets[doc]).astype(np.int32))], names=["block", "doc", "mark", "start", "end"])
+
+    blocks = stored(src.mapInArrow(high, "block long, doc long, mark long, start int, end int"), "recompress-blocks")
+    first = blocks.groupBy("block").agg(F.min("doc").alias("low"), F.max("doc").alias("top")).where("low < top").select("block", "low")
+    settled = stored(blocks.join(sized(stored(first, "recompress-shared")), "block").where("low < doc").select("doc", "mark", "start", "end"), "recompress-settled")
     release(spark)
-    settled = spark.sparkContext.broadcast(lookup_of(shared_blocks, "block", "low"))
 
     def single(batches):
-        bitmap, table = passing.value, settled.value
+        bitmap = passing.value
         for batch in batches:
             for b in text_slices(batch, "text"):
                 p = Parsed(b.column("text"), width)
                 candidate = may_hold(bitmap, p.key)
                 ids, marks = np.asarray(b.column("doc")), np.asarray(b.column("mark"))
-                a, e, block, doc = p.blocks(candidate, width)
-                k = table.find(block.view(np.int64))
-                known = (k >= 0) & (table.payload[0][k] < ids[doc]) if len(k) and len(table.keys) else np.zeros(len(k), bool)
-                a, e, d = a[known], e[known], doc[known]
-                edge = np.zeros(len(p.h) + 1, np.int64)
-                np.add.at(edge, a, 1)
-                np.add.at(edge, e, -1)
-                done = np.cumsum(edge)[:-1] > 0
+                row, s, e = spans_of(b.column("settled"))
+                done = covered(len(p.h), p.offsets[row] + s, p.offsets[row] + e)
                 w = p.starts[candidate & ~done[p.starts]]
                 wd = p.word_doc[w]
-                joined = np.zeros(len(a), bool)
-                joined[1:] = (a[1:] == e[:-1]) & (d[1:] == d[:-1])
-                firsts = np.flatnonzero(~joined)
-                a2 = a[firsts]
-                e2 = e[np.append(firsts[1:], len(a)) - 1] if len(a) else e
-                d2 = d[firsts]
-                base = p.offsets
-                for doc_, s, t, key in ((d2, a2 - base[d2], e2 - base[d2], None), (wd, w - base[wd], w - base[wd] + 1, p.sub.of(w, w + width).view(np.int64))):
-                    if len(doc_):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[doc_]), pa.array(marks[doc_]), pa.array(s.astype(np.int32)), pa.array(t.astype(np.int32)),
-                                                          pa.nulls(len(doc_), pa.int64()) if key is None else pa.array(key)], names=["doc", "mark", "start", "end", "key"])
-
-    rows = stored(src.mapInArrow(single, "doc long, mark long, start int, end int, key long"), "recompress-rows")
-    windows = rows.where("key is not null")
+                at = (w - p.offsets[wd]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[wd]), pa.array(marks[wd]), pa.array(at), pa.array(at + np.int32(1)), pa.array(p.sub.of(w, w + width).view(np.int64))],
+                                                 names=["doc", "mark", "start", "end", "key"])
+
+    windows = stored(with_spans(src, settled, "settled").mapInArrow(single, "doc long, mark long, start int, end int, key long"), "recompress-rows")
+    passing.destroy()
     low = windows.select("key", "doc").groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("top")).where("low < top").select("key", "low")
     later = windows.join(low, "key").where("low < doc").select("doc", "mark", "start", "end")
-    spans = rows.where("key is null").select("doc", "mark", "start", "end").unionByName(later)
+    spans = settled.unionByName(later)
     spans = stored(spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "recompress-spans")
     release(spark)
     return spans

@@ -31,6 +31,14 @@ from reitlens.llm.common import ship, split_words, text_slices
 KEPT_WORDS = 800_000
 
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES: the vocabulary file's own settings, for which ``parts_plain`` has short cuts
+# ---------------------------------------------------------------------------
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class PrefixCounter:
     """Exact token counts of every prefix of a word for a word-end BPE vocabulary file (JSON text)."""
 
@@ -59,10 +67,11 @@ class PrefixCounter:
         byte_map = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
         spare = iter(range(256, 512))
         self.bytes_to_text = {b: b if b in set(byte_map) else next(spare) for b in range(256)}
-        self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+        self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # of chunks, which hold no ASCII white space
+        self.short_cut = model["normalizer"] == NORMALIZER and model["pre_tokenizer"]["pretokenizers"] == [SPLIT, BYTE_LEVEL]
         self.words: dict[str, bytes | list[int]] = {}
         self.totals: dict[str, int] = {}
-        self.chunks: dict[str, int] = {}
+        self.chunks: dict[str, tuple[int, int]] = {}
         self.pair = lru_cache(maxsize=1 << 20)(self._side_by_side)
         self.pieces = self._merge
 
@@ -154,20 +163,19 @@ class PrefixCounter:
     def parts_plain(self, chunk: str) -> list[tuple[int, str]]:
         if not chunk:
             return []
-        if chunk.isascii():
+        if self.short_cut and chunk.isascii():
             return [(len(w), w) for w in self.plain.findall(chunk.lower())]
-        if max(chunk) < "\u0250" and "\u0130" not in chunk and chunk.isalpha():  # Latin letters: one word, composed as it is
+        if self.short_cut and max(chunk) < "\u0250" and "\u0130" not in chunk and chunk.isalpha():  # Latin letters: one word, composed as it is
             return [(len(chunk), chunk.lower().encode().decode("latin-1").translate(self.bytes_to_text))]
         text = self.tok.normalizer.normalize_str(chunk)
         return [(b - a, w) for w, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
-    def count(self, chunk: str) -> int:
-        """Tokens of a chunk without white space."""
+    def count(self, chunk: str) -> tuple[int, int]:
+        """Tokens and (normalised) characters of a chunk without white space."""
         got = self.chunks.get(chunk)
         if got is None:
-            got = 0
-            for _, w in self.parts(chunk):
-                got += self.total(w) if w else 1
+            parts = self.parts(chunk)
+            got = sum(self.total(w) if w else 1 for _, w in parts), sum(n for n, _ in parts)
             if len(self.chunks) >= KEPT_WORDS:
                 self.chunks.clear()
             self.chunks[chunk] = got
@@ -224,9 +232,27 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", store: bool = False) -> DataFrame:
+def cut_within(word, upto: np.ndarray, chars: np.ndarray, budget: int, counter: PrefixCounter) -> int:
+    """Characters of the longest prefix of a text that is within ``budget`` tokens, from stored prefix counts.
+
+    ``upto[i]`` and ``chars[i]`` are the stored counts of the first i words,
+    ``word(i)`` is the i-th word; the prefix ends inside the first word whose
+    count is over the budget, or before it.
+    """
+    whole = int(np.searchsorted(upto, budget, side="right")) - 1
+    if whole == len(upto) - 1:
+        return int(chars[whole])
+    inside = np.asarray(counter.prefixes(word(whole)))
+    fits = np.flatnonzero(inside <= budget - int(upto[whole]))
+    return int(chars[whole]) + (int(fits[-1]) + 1 if len(fits) else 0)
+
+
+def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", store: bool = False, budgets: tuple[int, ...] = ()) -> DataFrame:
     """Columns of ``docs`` without the text, plus n_bytes, n_tokens and, with ``store``, prefix_tokens.
 
+    ``budgets`` adds a column cut_<budget> each: characters of the longest prefix
+    whose token count is within that budget, read off the prefix counts.
+
     ``vocabulary`` is the vocabulary file's JSON text (a few MB, shipped with the
     tasks).  ``prefix_tokens[i]`` is the number of tokens of the first i + 1
     characters of the normalised text without white space.  A null or empty text
@@ -234,11 +260,11 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", store: bo
     repeated rows repeat; columns of ``docs`` named like the results are
     replaced.  The whole text is read, in slices of rows.
     """
-    names = ["n_bytes", "n_tokens"] + (["prefix_tokens"] if store else [])
+    names = ["n_bytes", "n_tokens"] + [f"cut_{n}" for n in budgets] + (["prefix_tokens"] if store else [])
     rest = [c for c in docs.columns if c != text and c not in names]
     src = docs.select(*rest, F.col(text).alias("text__"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*rest).schema.fields)
-    schema = ", ".join(x for x in (fields, "n_bytes long, n_tokens long" + (", prefix_tokens array<int>" if store else "")) if x)
+    schema = ", ".join(x for x in (fields, "n_bytes long, n_tokens long" + "".join(f", cut_{n} long" for n in budgets) + (", prefix_tokens array<int>" if store else "")) if x)
     ship(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -252,13 +278,16 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", store: bo
                 words, offsets = split_words(col)
                 enc = pc.dictionary_encode(words)
                 distinct = enc.dictionary.to_pylist()
-                per_word = np.fromiter((counter.count(w) for w in distinct), np.int64, len(distinct))
-                sums = np.concatenate([[0], np.cumsum(per_word[np.asarray(enc.indices)])])
+                per_word, sizes = np.array([counter.count(w) for w in distinct], np.int64).reshape(-1, 2).T
+                idx = np.asarray(enc.indices)
+                sums = np.concatenate([[0], np.cumsum(per_word[idx])])
+                chars = np.concatenate([[0], np.cumsum(sizes[idx])])
                 cols = [b.column(i) for i in range(len(rest))]
                 cols += [pa.array(np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)), pa.array(sums[offsets[1:]] - sums[offsets[:-1]])]
+                for n in budgets:
+                    cols.append(pa.array([cut_within(lambda i, s=s: distinct[idx[s + i]], sums[s:e + 1] - sums[s], chars[s:e + 1] - chars[s], n, counter) for s, e in zip(offsets[:-1], offsets[1:])], pa.int64()))
                 if store:
                     lists = [counter.prefixes(w) for w in distinct]
-                    idx = np.asarray(enc.indices)
                     out = []
                     for s, e in zip(offsets[:-1], offsets[1:]):
                         total, row = 0, []
