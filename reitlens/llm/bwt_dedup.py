@@ -26,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reitlens.llm.common import (BYTE_VALUES, Substrings, covered, doc_key, key_filter, keyed, lookup_of, may_hold, release, runs, ship, sized, spans_of, stored,
-                                 text_slices, with_spans)
+from reitlens.llm.common import (BYTE_VALUES, Substrings, covered, doc_key, key_filter, discard, keyed, lookup_of, may_hold, release, runs, ship, sized, spans_of, stored,
+                                 stretches, text_slices, with_spans)
 
 MINIMUM = 100
 GRAM = 40
@@ -261,7 +261,8 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", minimu
     blocks = stored(src.mapInArrow(whole, "block long, doc long, mark long, start long, end long"), "bwt-blocks")
     place = F.struct("doc", "start")
     first = blocks.groupBy("block").agg(F.min(place).alias("low"), F.max(place).alias("top")).where("low < top").select("block", "low")
-    settled = stored(blocks.join(sized(stored(first, "bwt-shared")), "block").where("low < struct(doc, start)").select("doc", "mark", "start", "end"), "bwt-settled")
+    settled = stored(stretches(blocks.join(first.hint("merge"), "block").where("low < struct(doc, start)").select("doc", "mark", "start", "end")), "bwt-settled")
+    discard(blocks)
     release(spark)
 
     def rest(batches):
@@ -304,7 +305,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", minimu
     spans = settled
     windows = rows.where("data is null")
     low = windows.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("low"), F.max(F.struct("doc", "start")).alias("top")).where("low < top")
-    spans = spans.unionByName(windows.join(low, "key").where("low < struct(doc, start)").select("doc", "mark", "start", "end"))
+    spans = spans.unionByName(windows.join(low.hint("merge"), "key").where("low < struct(doc, start)").select("doc", "mark", "start", "end"))
 
     segments = rows.where("data is not null").select("doc", "mark", "start", "key", "data", "twice")
     total = segments.agg(F.sum(F.length("data"))).first()[0] or 0
@@ -343,7 +344,8 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", minimu
 
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     spans = spans.unionByName(segments.repartition(int(shards), "key").mapInArrow(expand, "doc long, mark long, start long, end long"))
-    spans = stored(spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "bwt-spans")
+    spans = stored(stretches(spans).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "bwt-spans")
+    discard(rows)
     release(spark)
     return spans
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reitlens.session import ensure_checkpoint_dir
@@ -36,7 +36,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 _SHIPPED: set[str] = set()
@@ -317,9 +319,25 @@ def covered(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
+def stretches(spans: DataFrame) -> DataFrame:
+    """``spans`` (doc, mark, start, end) with those that overlap or touch made one; a task holds the spans of one document at a time."""
+    order = Window.partitionBy("doc", "mark").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = spans.withColumn("begins", F.when(F.col("start") <= reach, 0).otherwise(1))
+    numbered = begins.withColumn("island", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy("doc", "mark", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` frame behind its last reader."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_spans(src: DataFrame, spans: DataFrame, name: str) -> DataFrame:
     """``src`` (doc, mark, ...) with ``name``, the array of (start, end) that ``spans`` (doc, mark, start, end) has for the row, or null."""
-    lists = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias(name))
+    lists = stretches(spans).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias(name))
     return src.join(sized(stored(lists, "span-lists")), ["doc", "mark"], "left")
 
 

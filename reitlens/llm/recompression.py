@@ -29,8 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reitlens.llm.common import (Substrings, covered, doc_key, key_filter, keyed, may_hold, mix, release, ship, sized, spans_of, split_words, stored,
-                                 text_slices, with_spans, word_hashes)
+from reitlens.llm.common import (Substrings, covered, discard, doc_key, key_filter, keyed, may_hold, mix, release, ship, sized, spans_of, split_words, stored,
+                                 stretches, text_slices, with_spans, word_hashes)
 
 WINDOW = 13
 #: Words to a marked stretch, and words before it that the marking symbol's reach may take in.
@@ -184,7 +184,8 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
     blocks = stored(src.mapInArrow(high, "block long, doc long, mark long, start int, end int"), "recompress-blocks")
     first = blocks.groupBy("block").agg(F.min("doc").alias("low"), F.max("doc").alias("top")).where("low < top").select("block", "low")
-    settled = stored(blocks.join(sized(stored(first, "recompress-shared")), "block").where("low < doc").select("doc", "mark", "start", "end"), "recompress-settled")
+    settled = stored(stretches(blocks.join(first.hint("merge"), "block").where("low < doc").select("doc", "mark", "start", "end")), "recompress-settled")
+    discard(blocks)
     release(spark)
 
     def single(batches):
@@ -205,9 +206,10 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     windows = stored(with_spans(src, settled, "settled").mapInArrow(single, "doc long, mark long, start int, end int, key long"), "recompress-rows")
     passing.destroy()
     low = windows.select("key", "doc").groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("top")).where("low < top").select("key", "low")
-    later = windows.join(low, "key").where("low < doc").select("doc", "mark", "start", "end")
-    spans = settled.unionByName(later)
+    later = windows.join(low.hint("merge"), "key").where("low < doc").select("doc", "mark", "start", "end")
+    spans = stretches(settled.unionByName(later))
     spans = stored(spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "recompress-spans")
+    discard(windows)
     release(spark)
     return spans
 
