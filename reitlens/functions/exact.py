@@ -1,12 +1,16 @@
 """Exact fixed-point helpers (Column -> Column, JVM-side).
 
-Prices and measures carry 4 decimals.  Ratios of such values are rational
-numbers whose decimal expansion often ends exactly on a rounding tie (an
-average of 20 prices lands on ``x.xx5`` one time in 2,000).  Rounding the
-double ``S / n`` then depends on how the tie happens to be represented in
-binary.  These helpers keep such arithmetic in whole units (longs) and round
-with exact integer division, half away from zero — Spark's HALF_UP rule — so
-the result does not depend on the engine or on float representation.
+Ratios of decimal values are rational numbers whose decimal expansion often
+ends exactly on a rounding tie (an average of 20 prices lands on ``x.xx5`` one
+time in 2,000).  Rounding the double ``S / n`` then depends on how the tie
+happens to be represented in binary.  These helpers keep such arithmetic in
+whole units and round with exact integer division, half away from zero
+(Spark's HALF_UP rule), so the result does not depend on the engine or on
+float representation.
+
+Prices and rates are taken to twelve decimals, as whole 1e-12 units in a
+DECIMAL(38,0): values below 1e14 fit, their sums and cross products too (larger
+ones fail under ANSI).  A double stands for the shortest decimal that names it.
 """
 
 from __future__ import annotations
@@ -14,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCALE = 4
+SCALE = 12
 UNITS = 10 ** SCALE
+WHOLE = "decimal(38,0)"
 
 
 def _c(c):
@@ -23,8 +28,9 @@ def _c(c):
 
 
 def to_units(c, scale: int = SCALE) -> Column:
-    """A value with at most ``scale`` decimals as an exact long of 10^-scale units."""
-    return F.round(_c(c) * F.lit(float(10 ** scale))).cast("long")
+    """A value with at most ``scale`` decimals as exact 10^-scale units, DECIMAL(38,0)."""
+    power = F.lit(10 ** scale).cast(f"decimal({scale + 1},0)")
+    return (_c(c).cast(f"decimal({14 + scale},{scale})") * power).cast(WHOLE)
 
 
 def from_units(u: Column, scale: int = SCALE) -> Column:
@@ -68,7 +74,7 @@ def intdiv(a: Column, b: Column) -> Column:
 def round_div(a: Column, b: Column) -> Column:
     """a / b rounded half away from zero to a whole number, exact; NULL when b = 0."""
     num = F.abs(a) * 2 + F.abs(b)
-    mag = _integral_divide(num, F.abs(b) * 2)
+    mag = _integral_divide(num, F.abs(b) * 2)  # a long
     return F.when(b != 0, F.when((a < 0) != (b < 0), -mag).otherwise(mag))
 
 

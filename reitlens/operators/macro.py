@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from reitlens import constants as K
 from reitlens.functions import scalars as S
-from reitlens.functions.exact import from_units, to_units
+from reitlens.functions.exact import UNITS, from_units, to_units
 
-TREND_BAND_UNITS = 1000  # 0.1 in 4-decimal units
+TREND_BAND_UNITS = UNITS // 10  # 0.1
 
 
 def market_indicators(values: DataFrame, series_dim: DataFrame, source: str = "FRED") -> DataFrame:
@@ -72,7 +72,7 @@ def _latest_of(numbered: DataFrame, sid: str) -> Column:
 
 
 def series_spread(ind: DataFrame, a: str, b: str) -> DataFrame:
-    """latest(a) - latest(b), 4 decimals; NULL if either is missing. One row."""
+    """latest(a) - latest(b), exact; NULL if either is missing. One row."""
     nb = _numbered(ind).where(F.col("series_id").isin(a, b))
     va, vb = _latest_of(nb, a), _latest_of(nb, b)
     return nb.agg(from_units(to_units(va) - to_units(vb)).alias("spread"))
@@ -85,7 +85,7 @@ def _trend(numbered: DataFrame, sid: str) -> Column:
     n = F.sum(F.when(is_s & (F.col("rn") <= 6), 1).otherwise(0))
     recent = F.sum(F.when(is_s & (F.col("rn") <= 3), u).otherwise(0))
     older = F.sum(F.when(is_s & F.col("rn").between(4, 6), u).otherwise(0))
-    # recent/3 > older/3 + 0.1  <=>  recent > older + 0.3 (in 4-decimal units)
+    # recent/3 > older/3 + 0.1  <=>  recent > older + 0.3 (in whole units)
     band = 3 * TREND_BAND_UNITS
     return (F.when(n < 3, "Stable").when(recent > older + band, "Rising")
             .when(recent < older - band, "Falling").otherwise("Stable"))
@@ -112,8 +112,8 @@ def rate_environment(ind: DataFrame) -> DataFrame:
     f, m, sp = F.col("fed_funds_rate"), F.col("mortgage_30y"), F.col("spread_10_2")
     both = f.isNotNull() & (f != 0) & m.isNotNull() & (m != 0)
     fm = to_units(m) - to_units(f)
-    rate = (F.when(both & (fm > 30000), "Accommodative")
-            .when(both & (fm < 15000), "Restrictive").otherwise("Neutral"))
+    rate = (F.when(both & (fm > 3 * UNITS), "Accommodative")
+            .when(both & (fm < 3 * UNITS // 2), "Restrictive").otherwise("Neutral"))
     curve = (F.when(sp.isNull(), "Normal").when(sp < 0, "Inverted").when(sp < 0.5, "Flat")
              .when(sp > 2.0, "Steep").otherwise("Normal"))
     return snap.select(

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reitlens import constants as K
-from reitlens.functions.exact import from_units, ratio_round, round_div, to_units
+from reitlens.functions.exact import UNITS, from_units, ratio_round, round_div, to_units
 
 STANDARD_LABELS = dict(K.RETURN_PERIODS)
 
@@ -78,7 +78,7 @@ def _ma_cols(windows: Sequence[int]) -> list[Column]:
     for w in windows:
         s = F.col(f"_sum_{w}")
         ok = n >= w
-        out.append(F.when(ok, from_units(round_div(s, F.lit(w * 100)), 2)).alias(f"ma_{w}"))
+        out.append(F.when(ok, from_units(round_div(s, F.lit(w * UNITS // 100)), 2)).alias(f"ma_{w}"))
         out.append(F.when(ok, ratio_round((cur * w - s) * 100, s, 2)).alias(f"pct_from_ma_{w}"))
     return out
 
@@ -177,7 +177,7 @@ def market_correlation(prices: DataFrame, reits: DataFrame, rates: DataFrame) ->
 
     def ma(rows: int) -> Column:
         fw = w.rowsBetween(-(rows - 1), 0)
-        return from_units(round_div(F.sum(cu).over(fw), F.count(F.lit(1)).over(fw) * 100), 2)
+        return from_units(round_div(F.sum(cu).over(fw), F.count(F.lit(1)).over(fw) * (UNITS // 100)), 2)
 
     out = j.select(
         "ticker", "sector", "sub_sector", "date", F.col("close").alias("price"), "volume",

@@ -31,8 +31,9 @@ REITS = """
 reits AS (
   SELECT 'R' || CAST(s.s_suppkey AS VARCHAR) AS ticker,
          s.s_name AS name,
-         CASE g.r_name WHEN 'AFRICA' THEN 'Retail' WHEN 'AMERICA' THEN 'Office' WHEN 'ASIA' THEN 'Industrial'
-              WHEN 'EUROPE' THEN 'Residential' WHEN 'MIDDLE EAST' THEN 'Healthcare' ELSE 'Specialty' END AS sector,
+         CASE WHEN s.s_suppkey = 8 THEN 'Specialty'
+              ELSE CASE g.r_name WHEN 'AFRICA' THEN 'Retail' WHEN 'AMERICA' THEN 'Office' WHEN 'ASIA' THEN 'Industrial'
+              WHEN 'EUROPE' THEN 'Residential' WHEN 'MIDDLE EAST' THEN 'Healthcare' ELSE 'Specialty' END END AS sector,
          g.n_name AS sub_sector,
          abs(s.s_acctbal) * CAST(1e7 AS DOUBLE) AS market_cap,
          CAST(1990 + s.s_suppkey % 30 AS INTEGER) AS ipo_year,
@@ -43,6 +44,7 @@ reits AS (
          CAST(35 + (s.s_suppkey % 13) * 5 AS DOUBLE) / CAST(100 AS DOUBLE) AS payout_ratio,
          CAST((s.s_suppkey % 29) * 75 AS DOUBLE) / CAST(100 AS DOUBLE) AS latest_ffo_per_share
   FROM supplier s JOIN geography g ON s.s_nationkey = g.n_nationkey
+  WHERE s.s_suppkey % 10 <> 4
 )"""
 
 REITS_SIGNED = REITS.replace("reits AS (", "reits_signed AS (").replace(
@@ -76,6 +78,7 @@ metrics_agg AS (
          CAST(sum(CAST(l_tax AS DECIMAL(4,2))) * 100 AS BIGINT) AS tax_c,
          max(l_shipdate) AS last_ship
   FROM lineitem
+  WHERE l_suppkey % 10 <> 9
   GROUP BY 1, 2, 3
 )"""
 
@@ -148,20 +151,20 @@ properties AS (
 PRICE_DATA = """
 price_data AS (
   SELECT ticker, date,
-         first_px / CAST(1000 AS DOUBLE) AS open,
+         CAST(first % 1000000000000 AS DOUBLE) / CAST(100 AS DOUBLE) / CAST(1000 AS DOUBLE) AS open,
          hi / CAST(1000 AS DOUBLE) AS high,
          lo / CAST(1000 AS DOUBLE) AS low,
-         (CAST(CAST(px_c * 10 AS BIGINT) // CAST(volume AS BIGINT) AS DOUBLE) / CAST(10000 AS DOUBLE)) AS close,
+         (CAST(CAST(px_c AS BIGINT) // CAST(volume * 10 AS BIGINT) AS DOUBLE) / CAST(10000 AS DOUBLE)) AS close,
          CAST(volume AS BIGINT) AS volume
   FROM (
-    SELECT 'R' || CAST(o_custkey % 40 AS VARCHAR) AS ticker,
-           CAST(o_orderdate AS DATE) AS date,
-           arg_min(o_totalprice, o_orderkey) AS first_px,
-           max(o_totalprice) AS hi,
-           min(o_totalprice) AS lo,
-           CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) * 100 AS BIGINT) AS px_c,
+    SELECT 'R' || CAST(l_suppkey AS VARCHAR) AS ticker,
+           CAST(l_shipdate AS DATE) AS date,
+           min(CAST(l_orderkey AS HUGEINT) * 1000000000000 + CAST(round(l_extendedprice * 100) AS HUGEINT)) AS first,
+           max(l_extendedprice) AS hi,
+           min(l_extendedprice) AS lo,
+           CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) * 100 AS BIGINT) AS px_c,
            count(*) AS volume
-    FROM orders GROUP BY 1, 2
+    FROM lineitem GROUP BY 1, 2
   )
 )"""
 
@@ -178,13 +181,12 @@ indicator_values AS (
                  WHEN 6 THEN qty * 100000 // n
                  ELSE qty * 500000 // n END""")} AS value
   FROM (
-    SELECT l_linenumber AS ln, last_day(l_shipdate) AS date, CAST(count(*) AS BIGINT) AS n,
+    SELECT ((l_linenumber - 1) % 7 + 7) % 7 + 1 AS ln, last_day(l_shipdate) AS date, CAST(count(*) AS BIGINT) AS n,
            CAST(sum(l_quantity) AS BIGINT) AS qty,
            CAST(sum(CAST(l_discount AS DECIMAL(4,2))) * 100 AS BIGINT) AS disc_c,
            CAST(sum(CAST(l_tax AS DECIMAL(4,2))) * 100 AS BIGINT) AS tax_c
     FROM lineitem GROUP BY 1, 2
   )
-  WHERE ln BETWEEN 1 AND 7
 )"""
 
 CTES = {

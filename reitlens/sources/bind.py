@@ -8,10 +8,14 @@ distributed job per table:
 * ``reits``            supplier ⋈ nation ⋈ region (one REIT per supplier)
 * ``financial_metrics`` lineitem aggregated by (supplier, ship year, quarter)
 * ``properties``       customer ⋈ nation ⋈ region (15 properties per supplier)
-* ``price_data``       orders aggregated by (custkey mod 40, order date)
+* ``price_data``       lineitem aggregated by (supplier, ship date)
 * ``market_indicators`` lineitem aggregated by (line number, month end)
 * ``filings``          documents with a templated financial sentence
 
+Some suppliers have no master row and some report no metrics, one REIT stands
+alone in its sector, and some filing texts are missing, so that every outer
+join, default and error outcome meets rows.
+
 Arithmetic is written as exact decimal sums followed by plain double
 operations, so that any engine evaluating the same expression order gets the
 same bits (the DuckDB oracle in ``reitlens.plans.oracle`` mirrors every line).
@@ -32,14 +36,18 @@ from reitlens.sources.tables import Lake
 # Customers per supplier in the TPC-H generator (150,000 vs 10,000 per scale
 # factor); properties are assigned to owners in blocks of this size.
 PROPERTIES_PER_REIT = 15
-# Number of distinct price tickers derived from orders.
-PRICE_TICKERS = 40
+# Last digits of the supplier keys without a REIT master row, and without metrics.
+NO_MASTER, NO_METRICS = 4, 9
+# The supplier whose REIT is alone in its sector.
+LONE_REIT, LONE_SECTOR = 8, "Specialty"
+# Last digit of the documents whose filing text never arrived.
+NO_TEXT = 9
 # Documents filed by one filer, so that filers grow with the documents.
 FILINGS_PER_FILER = 16
 # Years added to ship dates so that fiscal years start after 2000.
 FISCAL_YEAR_SHIFT = 20
 
-# macro series built from lineitem line numbers 1..7
+# macro series built from lineitem line numbers, taken modulo seven
 SERIES_BY_LINENUMBER = ((1, "FEDFUNDS"), (2, "DGS10"), (3, "DGS2"), (4, "WFII"),
                         (5, "UNRATE"), (6, "CPIAUCSL"), (7, "HOUST"))
 
@@ -91,10 +99,11 @@ def _reits(lake: Lake, signed_market_cap: bool = False) -> DataFrame:
     s = lake.table("supplier", "s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     key = F.col("s_suppkey")
     bal = F.col("s_acctbal") if signed_market_cap else F.abs(F.col("s_acctbal"))
-    return s.join(F.broadcast(geography(lake)), s.s_nationkey == F.col("n_nationkey")).select(
+    listed = s.where(key % 10 != NO_MASTER)
+    return listed.join(F.broadcast(geography(lake)), s.s_nationkey == F.col("n_nationkey")).select(
         ticker_of(key).alias("ticker"),
         F.col("s_name").alias("name"),
-        _sector_of(F.col("r_name")).alias("sector"),
+        F.when(key == LONE_REIT, LONE_SECTOR).otherwise(_sector_of(F.col("r_name"))).alias("sector"),
         F.col("n_name").alias("sub_sector"),
         (bal * F.lit(1e7)).alias("market_cap"),
         (F.lit(1990) + key % 30).cast("int").alias("ipo_year"),
@@ -154,7 +163,7 @@ def _financial_metrics(lake: Lake) -> DataFrame:
     tax_c = F.round(F.col("l_tax") * F.lit(100.0)).cast("long")
     net_u = ep_c * (F.lit(100) - disc_c)                     # 1e-4 units
     aff_u = net_u * (F.lit(100) - tax_c)                     # 1e-6 units
-    pre = li.select(
+    pre = li.where(F.col("l_suppkey") % 10 != NO_METRICS).select(
         F.col("l_suppkey").alias("suppkey"),
         F.year("l_shipdate").alias("ship_year"),
         F.quarter("l_shipdate").alias("quarter"),
@@ -249,26 +258,33 @@ def _properties(lake: Lake) -> DataFrame:
     )
 
 
+CENTS_LIMIT = 10 ** 12  # prices per line stay far below ten billion
+
+
 def _price_data(lake: Lake) -> DataFrame:
-    """Daily OHLCV per derived ticker from same-day orders (partial aggregation)."""
-    o = lake.table("orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    g = o.groupBy(
-        (F.col("o_custkey") % PRICE_TICKERS).alias("tkey"),
-        F.to_date("o_orderdate").alias("date"),
-    ).agg(
-        F.min_by("o_totalprice", "o_orderkey").alias("first_px"),
-        F.max("o_totalprice").alias("hi"),
-        F.min("o_totalprice").alias("lo"),
-        (F.sum(_dec("o_totalprice")) * 100).cast("long").alias("px_c"),
+    """Daily OHLCV per supplier from the line items shipped that day (partial aggregation).
+
+    The open is the lowest price of the day's smallest order: order and cents in
+    one decimal key, which a hash aggregate keeps in place.
+    """
+    li = lake.table("lineitem", "l_orderkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    cents = F.round(F.col("l_extendedprice") * F.lit(100.0)).cast("long")
+    first = F.col("l_orderkey").cast("decimal(20,0)") * F.lit(CENTS_LIMIT).cast("decimal(13,0)") + cents.cast("decimal(13,0)")
+    g = li.groupBy(F.col("l_suppkey").alias("suppkey"), F.to_date("l_shipdate").alias("date")).agg(
+        F.min(first).alias("first"),
+        F.max("l_extendedprice").alias("hi"),
+        F.min("l_extendedprice").alias("lo"),
+        F.sum(cents).alias("px_c"),
         F.count(F.lit(1)).alias("volume"),
     )
     k = F.lit(1000.0)
+    opened = (F.col("first") % F.lit(CENTS_LIMIT).cast("decimal(13,0)")).cast("double") / F.lit(100.0)
     return g.select(
-        ticker_of(F.col("tkey")).alias("ticker"), "date",
-        (F.col("first_px") / k).alias("open"),
+        ticker_of(F.col("suppkey")).alias("ticker"), "date",
+        (opened / k).alias("open"),
         (F.col("hi") / k).alias("high"),
         (F.col("lo") / k).alias("low"),
-        _measure(_intdiv(F.col("px_c") * 10, F.col("volume"))).alias("close"),
+        _measure(_intdiv(F.col("px_c"), F.col("volume") * 10)).alias("close"),
         F.col("volume").cast("long").alias("volume"),
     )
 
@@ -277,7 +293,7 @@ def _market_indicator_values(lake: Lake) -> DataFrame:
     """(series_id, date, value) monthly observations from line items."""
     li = lake.table("lineitem", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_shipdate")
     g = li.groupBy(
-        F.col("l_linenumber").alias("ln"),
+        (F.pmod(F.col("l_linenumber") - 1, F.lit(7)) + 1).alias("ln"),
         F.last_day("l_shipdate").alias("date"),
     ).agg(
         F.count(F.lit(1)).alias("n"),
@@ -299,7 +315,7 @@ def _market_indicator_values(lake: Lake) -> DataFrame:
     sid = F.lit(None).cast("string")
     for num, name in reversed(SERIES_BY_LINENUMBER):
         sid = F.when(ln == num, name).otherwise(sid)
-    return g.where(ln.between(1, 7)).select(sid.alias("series_id"), "date",
+    return g.select(sid.alias("series_id"), "date",
                                             _measure(units).alias("value"))
 
 
@@ -336,7 +352,7 @@ def filing_sentence(doc_id: Column) -> Column:
 
 
 def _filings(lake: Lake) -> DataFrame:
-    """Landed filing documents: one filing per document, text kept whole."""
+    """Landed filing documents: one filing per document, text kept whole; some texts are missing (null or empty)."""
     d = lake.table("documents", "doc_id", "text")
     k = F.col("doc_id")
     form = (F.when(k % 7 == 6, "DEF 14A")
@@ -347,7 +363,8 @@ def _filings(lake: Lake) -> DataFrame:
     ds = k.cast("string")
     doc_num = F.when(F.length(ds) < 6, F.lpad(ds, 6, "0")).otherwise(ds)
     sentence = filing_sentence(k)
-    text = (F.when(sentence.isNull(), F.col("text"))
+    text = (F.when(k % 10 == NO_TEXT, F.when(intdiv(k, F.lit(100)) % 2 != 0, F.lit("")))
+            .when(sentence.isNull(), F.col("text"))
             .when(k % 2 == 0, F.concat(F.col("text"), F.lit("\n"), sentence))
             .otherwise(F.concat(sentence, F.lit("\n"), F.col("text"))))
     return d.select(

@@ -9,7 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -17,10 +16,6 @@ DRIVER_TABLES = (
 )
 
 
-#: Schemas by session and path, so that footers are read once; files are listed anew by every handle.
-_SCHEMAS: dict[tuple[str, str], StructType] = {}
-
-
 @dataclass
 class Lake:
     """Handle on a directory of ``<table>.parquet`` datasets."""
@@ -38,15 +33,11 @@ class Lake:
 
     def table(self, name: str, *columns: str) -> DataFrame:
         if name not in self._cache:
-            path = f"{self.root}/{name}.parquet"
-            key = (self.spark.sparkContext.applicationId, path)
-            reader = self.spark.read.schema(_SCHEMAS[key]) if key in _SCHEMAS else self.spark.read
-            self._cache[name] = reader.parquet(path)
-            _SCHEMAS[key] = self._cache[name].schema
+            self._cache[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
         df = self._cache[name]
         return df.select(*columns) if columns else df
 
 
 def lake_for(spark: SparkSession, root: str) -> Lake:
-    """A new handle, so that files landed since the last query are seen; tables keep the columns they had first."""
+    """A new handle, so that files and columns landed since the last query are seen."""
     return Lake(spark, root)
