@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from reitlens.functions.text import METRICS
 from reitlens.operators import filings as FI
+from reitlens.operators.fetch import late_fetch
 from reitlens.plans.oracle import register, with_tables
 from reitlens.plans.registry import query
+from reitlens.session import ensure_checkpoint_dir
 from reitlens.sources import bind, dims, landed
+from reitlens.sources import filing_files as FT
 from reitlens.sources.tables import lake_for
 
 # ---------------------------------------------------------------------------
@@ -105,13 +109,16 @@ RUN_TS = "2024-06-28 12:00:00"
 @query("ingest_filings", oracle=with_tables(f"""
 SELECT replace(replace(reit_ticker || '_' || form_type || '_' || CAST(filing_date AS VARCHAR), '-', ''), ' ', '_') AS filing_id,
        upper(trim(reit_ticker)) AS reit_ticker, cik, form_type, filing_date, CAST(NULL AS DATE) AS period_ending,
-       'https://data.sec.gov/Archives/edgar/data/' || lpad(cik, 10, '0') || '/' || replace(accession_number, '-', '')
-         || '/' || primary_document AS document_url,
-       substr(text, 1, 8000) AS extracted_text,
-       {', '.join(f'{_metric_sql(k)} AS {k}' for k in METRIC_NAMES)},
-       'Parsed' AS status, '' AS error_message, CAST(length(text) AS BIGINT) AS file_size_bytes,
-       TIMESTAMP '{RUN_TS}' AS processed_at
-FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, accession_number DESC) AS rn
+       CASE WHEN got THEN 'https://data.sec.gov/Archives/edgar/data/' || lpad(cik, 10, '0') || '/' || replace(accession_number, '-', '')
+         || '/' || primary_document ELSE '' END AS document_url,
+       CASE WHEN got THEN substr(text, 1, 8000) ELSE '' END AS extracted_text,
+       {', '.join(f'CASE WHEN got THEN {_metric_sql(k)} END AS {k}' for k in METRIC_NAMES)},
+       CASE WHEN got THEN 'Parsed' ELSE 'Failed' END AS status,
+       CASE WHEN got THEN '' ELSE 'Failed to download filing document' END AS error_message,
+       CASE WHEN got THEN CAST(length(text) AS BIGINT) ELSE 0 END AS file_size_bytes,
+       CASE WHEN got THEN TIMESTAMP '{RUN_TS}' END AS processed_at
+FROM (SELECT *, coalesce(text, '') <> '' AS got,
+             row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, accession_number DESC) AS rn
       FROM filings)
 WHERE rn = 1 AND form_type = '10-K'""", "filings"))
 def q_ingest_filings(spark, sf_dir):
@@ -132,17 +139,40 @@ WHERE rn = 1 AND form_type = '10-K')""", ("filings",))
 RUN_DATE = dt.date(2024, 2, 19)
 
 
+CHECK_DAYS = 60
+
+
+def landed_before(filings):
+    """Filings that an earlier run landed: older ones, and those of every second document of the days looked back."""
+    return filings.where((F.col("filing_date") <= F.lit(RUN_DATE - dt.timedelta(days=CHECK_DAYS))) | (F.col("doc_id") % 2 == 0))
+
+
 @query("detect_new_filings", oracle=with_tables(f"""
 SELECT reit_ticker AS ticker, form_type, filing_date, accession_number AS accession,
        'sec_filings/raw/' || reit_ticker || '/' || form_type || '/' || accession_number || '.json' AS landing_key
 FROM filings
-WHERE filing_date = DATE '{RUN_DATE}' AND form_type IN ('10-K', '10-Q', '8-K')
-  AND accession_number NOT IN (SELECT accession_number FROM filings WHERE filing_date < DATE '{RUN_DATE}')""",
-                                                "filings"))
+WHERE filing_date > DATE '{RUN_DATE}' - INTERVAL {CHECK_DAYS} DAY AND filing_date <= DATE '{RUN_DATE}'
+  AND form_type IN ('10-K', '10-Q', '8-K') AND doc_id % 2 = 1""", "filings"))
 def q_detect_new_filings(spark, sf_dir):
     f = bind.filings(lake_for(spark, sf_dir)).drop("text")
-    landed_before = f.where(F.col("filing_date") < F.lit(RUN_DATE))
-    return FI.detect_new_filings(f, landed_before, RUN_DATE)
+    return FI.detect_new_filings(f, landed_before(f), RUN_DATE, CHECK_DAYS)
+
+
+@query("scan_filing_text", oracle=with_tables("""
+SELECT lpad(cik, 10, '0') AS cik, replace(accession_number, '-', '') AS accession, primary_document AS document,
+       reit_ticker, form_type, filing_date, CAST(length(text) AS BIGINT) AS text_chars, sha256(text) AS text_sha256
+FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, accession_number DESC) AS rn FROM filings)
+WHERE rn = 1 AND form_type = '10-K' AND coalesce(text, '') <> ''""", "filings"))
+def q_scan_filing_text(spark, sf_dir):
+    """Every filer's newest filing is landed as a file; those of one form are read back and keyed by their path."""
+    f = bind.filings(lake_for(spark, sf_dir))
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/filing-texts-{uuid.uuid4().hex}"
+    newest = FI.newest_filing(f)
+    FT.land_texts(late_fetch(newest, f.select("doc_id", "text"), "doc_id", [F.col("text")]), root)
+    wanted = FT.keyed(newest.where(F.col("form_type") == "10-K")).select("cik", "accession", "document", "reit_ticker", "form_type", "filing_date")
+    texts = FT.scan_filing_text(spark, root, wanted)
+    return texts.select("cik", "accession", "document", "reit_ticker", "form_type", "filing_date",
+                        F.char_length("text").cast("long").alias("text_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 # ---------------------------------------------------------------------------
