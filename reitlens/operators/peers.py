@@ -10,13 +10,14 @@ self-join, so no pairs within a group are ever formed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reitlens.functions import scalars as S
 from reitlens.functions.aggs import exact_avg, exact_sum
 from reitlens.operators.fundamentals import latest_metric
-from reitlens.operators.ranking import rank_collapsing_ties
+from reitlens.operators.fetch import stored
+from reitlens.operators.ranking import rank_stacked
 
 DEFAULT_SECTOR = "Specialty"
 
@@ -103,17 +104,18 @@ def peer_comparison(reits: DataFrame, metrics: DataFrame) -> DataFrame:
     * a ticker with metrics but no master row is ranked alone in ``Specialty``.
     """
     lm = latest_metric(metrics).select(
-        "reit_ticker", _z("ffo_per_share").alias("ffo"),
+        F.col("reit_ticker").alias("m_ticker"), _z("ffo_per_share").alias("ffo"),
         _z("same_store_noi_growth").alias("noi"), _z("net_debt_to_ebitda").alias("lev"))
     r = reits.select("ticker", "sector", "dividend_yield")
-
-    # yield rank over all REITs of the sector
-    yr = rank_collapsing_ties(r, ["sector"], [("dividend_yield", False)], "dividend_yield_rank")
-
-    # REITs with metrics: FFO / NOI ranks and group sums
-    rm = lm.join(r, lm.reit_ticker == r.ticker, "inner").select("ticker", "sector", "ffo", "noi", "lev")
-    rm = rank_collapsing_ties(rm, ["sector"], [("ffo", False)], "ffo_rank")
-    rm = rank_collapsing_ties(rm, ["sector"], [("noi", False)], "noi_growth_rank")
+    # one full join holds the ranked REITs, those with a yield only, and metrics without a master row
+    both = stored(r.join(lm, r.ticker == lm.m_ticker, "full"), "peers")
+    listed, measured = F.col("ticker").isNotNull(), F.col("m_ticker").isNotNull()
+
+    ranks = rank_stacked(both.where(listed), "ticker", "sector", [
+        ("dividend_yield_rank", F.col("dividend_yield"), listed),
+        ("ffo_rank", F.col("ffo"), measured),
+        ("noi_growth_rank", F.col("noi"), measured)])
+    rm = both.where(listed & measured).select("ticker", "sector", "ffo", "noi", "lev")
     sums = rm.groupBy("sector").agg(
         F.count(F.lit(1)).alias("n"), exact_sum("ffo").alias("s_ffo"),
         exact_sum("noi").alias("s_noi"), exact_sum("lev").alias("s_lev"))
@@ -122,8 +124,7 @@ def peer_comparison(reits: DataFrame, metrics: DataFrame) -> DataFrame:
     avg_ffo = S.safe_div(F.col("s_ffo") - F.col("ffo"), k)
     avg_noi = S.safe_div(F.col("s_noi") - F.col("noi"), k)
     avg_lev = S.safe_div(F.col("s_lev") - F.col("lev"), k)
-    ranked = (rm.join(sums, "sector")
-              .join(yr.select("ticker", "dividend_yield_rank"), "ticker"))
+    ranked = rm.join(sums, "sector").join(ranks, "ticker")
 
     def peer(c):
         return F.when(has_peers, c)
@@ -144,8 +145,8 @@ def peer_comparison(reits: DataFrame, metrics: DataFrame) -> DataFrame:
         peer(F.round(avg_noi, 2)).alias("avg_peer_noi_growth"),
         peer(F.round(avg_lev, 2)).alias("avg_peer_leverage"),
     )
-    orphans = lm.join(r, lm.reit_ticker == r.ticker, "left_anti").select(
-        F.col("reit_ticker").alias("ticker"), F.lit(DEFAULT_SECTOR).alias("sector"),
+    orphans = both.where(~listed).select(
+        F.col("m_ticker").alias("ticker"), F.lit(DEFAULT_SECTOR).alias("sector"),
         F.lit(0).alias("peer_count"), F.lit(None).cast("double").alias("ffo_per_share"),
         F.lit(1).alias("ffo_rank"), F.lit(None).cast("double").alias("ffo_vs_peers"),
         F.lit(None).cast("double").alias("noi_growth"), F.lit(1).alias("noi_growth_rank"),
@@ -185,18 +186,21 @@ def _leave_one_out_yield(reits: DataFrame) -> DataFrame:
     return j.select("ticker", loo.alias("avg_sector_yield_raw"))
 
 
-def _both_present(reits: DataFrame, metrics: DataFrame):
-    lm = latest_metric(metrics)
-    both = lm.join(reits, lm.reit_ticker == reits.ticker, "inner")
-    keys = (reits.select("ticker")
-            .unionByName(lm.select(F.col("reit_ticker").alias("ticker"))).distinct())
-    missing = keys.join(both.select("ticker"), "ticker", "left_anti")
-    return both, missing
+def _guarded(reits: DataFrame, metrics: DataFrame) -> tuple[DataFrame, Column]:
+    """One full outer join of master rows and latest metrics, and whether a row has both; ``ticker`` is that of the side that is there."""
+    lm = latest_metric(metrics).withColumn("has_metrics", F.lit(True))
+    r = reits.withColumnRenamed("ticker", "master_ticker")
+    both = r.join(lm, F.col("master_ticker") == F.col("reit_ticker"), "full").withColumn("ticker", F.coalesce("master_ticker", "reit_ticker"))
+    return both, F.col("master_ticker").isNotNull() & F.col("has_metrics").isNotNull()
+
+
+def _error(present: Column) -> Column:
+    return F.when(~present, "Insufficient data").alias("error")
 
 
 def dividend_safety(reits: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Payout ratios, coverage, growth spread, 0–100 safety score and risk level."""
-    both, missing = _both_present(reits, metrics)
+    """Payout ratios, coverage, growth spread, 0–100 safety score and risk level; an error where either side is missing."""
+    both, present = _guarded(reits, metrics)
     payout = S.payout_ratio_model("dividend_per_share", "affo_per_share")
     ffo_payout = S.payout_ratio_model("dividend_per_share", "ffo_per_share")
     spread = S.growth_spread("ffo_growth_yoy", "dividend_growth_yoy")
@@ -207,55 +211,40 @@ def dividend_safety(reits: DataFrame, metrics: DataFrame) -> DataFrame:
              + F.when(spread > 2.0, 15).when(spread > 0, 5).when(spread < -2.0, -15).otherwise(0)
              + F.when(g > 5.0, 5).when(g < 0, -10).otherwise(0))
     score = S.clamp_score(score.cast("double"))
-    ok = both.select(
+
+    def ok(c, name):
+        return F.when(present, c).alias(name)
+
+    return both.select(
         "ticker",
-        F.round(payout, 4).alias("affo_payout_ratio"),
-        F.round(ffo_payout, 4).alias("ffo_payout_ratio"),
-        S.dividend_safety_model("dividend_per_share", "affo_per_share").alias("dividend_safety"),
-        F.round(F.when(payout <= 1.0, F.lit(1.0) - payout).otherwise(F.lit(0.0)), 4)
-        .alias("affo_coverage"),
-        F.round(spread, 2).alias("ffo_growth_vs_div_growth"),
-        score.alias("safety_score"),
-        F.when(score >= 70, "Low").when(score >= 40, "Moderate").otherwise("High")
-        .alias("risk_level"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    bad = missing.select(
-        "ticker", *[F.lit(None).cast(t).alias(c) for c, t in (
-            ("affo_payout_ratio", "double"), ("ffo_payout_ratio", "double"),
-            ("dividend_safety", "string"), ("affo_coverage", "double"),
-            ("ffo_growth_vs_div_growth", "double"), ("safety_score", "double"),
-            ("risk_level", "string"))],
-        F.lit("Insufficient data").alias("error"))
-    return ok.unionByName(bad)
+        ok(F.round(payout, 4), "affo_payout_ratio"),
+        ok(F.round(ffo_payout, 4), "ffo_payout_ratio"),
+        ok(S.dividend_safety_model("dividend_per_share", "affo_per_share"), "dividend_safety"),
+        ok(F.round(F.when(payout <= 1.0, F.lit(1.0) - payout).otherwise(F.lit(0.0)), 4), "affo_coverage"),
+        ok(F.round(spread, 2), "ffo_growth_vs_div_growth"),
+        ok(score, "safety_score"),
+        ok(F.when(score >= 70, "Low").when(score >= 40, "Moderate").otherwise("High"), "risk_level"),
+        _error(present))
 
 
 def valuation(reits: DataFrame, metrics: DataFrame) -> DataFrame:
-    """P/FFO, FFO yield, yield vs sector, EV/EBITDA and cap rate per ticker."""
-    both, missing = _both_present(reits, metrics)
-    loo = _leave_one_out_yield(reits)
-    j = both.join(loo, "ticker")
+    """P/FFO, FFO yield, yield vs sector, EV/EBITDA and cap rate per ticker; an error where either side is missing."""
+    both, present = _guarded(reits.join(_leave_one_out_yield(reits), "ticker"), metrics)
     y, p = _z("dividend_yield"), _z("payout_ratio")
     ffo_yield = F.when(p > 0, S.safe_div(y, p)).otherwise(F.lit(0.0))
     ebitda = _z("same_store_noi") * F.lit(1.15)
     cap = _z("market_cap")
-    ok = j.select(
+
+    def ok(c, name):
+        return F.when(present, c).alias(name)
+
+    return both.select(
         "ticker",
-        F.round(F.when(ffo_yield > 0, S.safe_div(F.lit(1.0), ffo_yield)).otherwise(F.lit(0.0)), 2)
-        .alias("p_ffo"),
-        F.when(ffo_yield != 0, F.round(ffo_yield * F.lit(100.0), 2)).otherwise(F.lit(0.0))
-        .alias("ffo_yield"),
-        F.col("dividend_yield"),
-        F.round(y - F.col("avg_sector_yield_raw"), 2).alias("dividend_yield_vs_sector"),
-        F.round(F.col("avg_sector_yield_raw"), 2).alias("avg_sector_yield"),
-        F.round(F.when(ebitda > 0, S.safe_div(cap, ebitda * F.lit(1e6))).otherwise(F.lit(0.0)), 1)
-        .alias("ev_ebitda"),
-        F.col("weighted_avg_cap_rate").alias("cap_rate"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    bad = missing.select(
-        "ticker", *[F.lit(None).cast("double").alias(c) for c in (
-            "p_ffo", "ffo_yield", "dividend_yield", "dividend_yield_vs_sector",
-            "avg_sector_yield", "ev_ebitda", "cap_rate")],
-        F.lit("Insufficient data").alias("error"))
-    return ok.unionByName(bad)
+        ok(F.round(F.when(ffo_yield > 0, S.safe_div(F.lit(1.0), ffo_yield)).otherwise(F.lit(0.0)), 2), "p_ffo"),
+        ok(F.when(ffo_yield != 0, F.round(ffo_yield * F.lit(100.0), 2)).otherwise(F.lit(0.0)), "ffo_yield"),
+        ok(F.col("dividend_yield"), "dividend_yield"),
+        ok(F.round(y - F.col("avg_sector_yield_raw"), 2), "dividend_yield_vs_sector"),
+        ok(F.round(F.col("avg_sector_yield_raw"), 2), "avg_sector_yield"),
+        ok(F.round(F.when(ebitda > 0, S.safe_div(cap, ebitda * F.lit(1e6))).otherwise(F.lit(0.0)), 1), "ev_ebitda"),
+        ok(F.col("weighted_avg_cap_rate"), "cap_rate"),
+        _error(present))

@@ -44,6 +44,12 @@ def history(prices: DataFrame, history_rows: int | None = None) -> DataFrame:
     return h
 
 
+def compact_feed(prices: DataFrame, rows: int = K.COMPACT_HISTORY_ROWS) -> DataFrame:
+    """The newest ``rows`` bars per ticker, whole bars: the rank filter lets every task drop older ones before the shuffle."""
+    w = Window.partitionBy("ticker").orderBy(F.col("date").desc())
+    return prices.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= rows).drop("rn")
+
+
 def _latest_cols() -> list[Column]:
     first = F.col("rn") == 1
     return [F.max(F.when(first, F.col("close"))).alias("price"),

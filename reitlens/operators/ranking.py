@@ -61,6 +61,36 @@ def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column], o
     return joined.select(*df.columns, (F.col(_OFF) + F.col(_LOCAL)).cast("int").alias(out))
 
 
+def rank_stacked(rows: DataFrame, id_col: str, group: str, measures: Sequence[tuple[str, Column, Column]], partitions: int | None = None) -> DataFrame:
+    """(id, <name> ...): per measure (name, value, whether a row takes part) the descending ``rank()`` of each row within its group, all from one range assignment.
+
+    The values of all measures are stacked as (measure, group, value).  Rows are counted per distinct triple first (a partial
+    aggregation, so a tie shared by a third of all rows becomes one row), the
+    triples are put in ranges once, one pass of running counts numbers them, and
+    the ranks are joined back and spread to a column per measure.
+    ``rank = 1 + rows of the measure and group strictly ahead``; null values come
+    last, and a row that takes no part has no rank.
+    """
+    spark = rows.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = [F.when(takes, F.struct(F.lit(i).alias("measure"), value.alias("value"))) for i, (_, value, takes) in enumerate(measures)]
+    stacked = rows.select(F.col(id_col).alias("id"), F.col(group).alias("grp"), F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("m"))
+    stacked = stacked.select("id", "grp", "m.measure", "m.value")
+    keys = ["measure", "grp", "value"]
+    order = [F.col("measure"), F.col("grp"), F.col("value").desc()]
+    ranged = _fixed(stacked.groupBy(*keys).agg(F.count(F.lit(1)).alias(_CNT)), n, *order)
+    before = Window.partitionBy(_PID, "measure", "grp").orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn(_LOCAL, F.coalesce(F.sum(_CNT).over(before), F.lit(0)))
+    # at most (partitions + measures * groups) rows
+    totals = ranged.groupBy(_PID, "measure", "grp").agg(F.sum(_CNT).alias("total"))
+    earlier = Window.partitionBy("measure", "grp").orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col(_PID).alias("o_pid"), F.col("measure").alias("o_measure"), F.col("grp").alias("o_grp"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias(_OFF))
+    same = (F.col(_PID) == F.col("o_pid")) & (F.col("measure") == F.col("o_measure")) & F.col("grp").eqNullSafe(F.col("o_grp"))
+    ranked = local.join(offsets, same).select(*[F.col(k).alias(f"r_{k}") for k in keys], (F.col(_OFF) + F.col(_LOCAL) + 1).cast("int").alias("rank"))
+    back = stacked.join(ranked, (F.col("measure") == F.col("r_measure")) & F.col("grp").eqNullSafe(F.col("r_grp")) & F.col("value").eqNullSafe(F.col("r_value")))
+    return back.groupBy("id").agg(*[F.max(F.when(F.col("measure") == i, F.col("rank"))).alias(name) for i, (name, _, _) in enumerate(measures)]).withColumnRenamed("id", id_col)
+
+
 def rank_collapsing_ties(df: DataFrame, groups: Sequence[str], keys: Sequence[tuple[str, bool]],
                          out: str, partitions: int | None = None) -> DataFrame:
     """``rank()`` within ``groups`` by ``keys`` [(column, ascending)], ties collapsed first.

@@ -13,6 +13,7 @@ QUERY_MODULES = (
     "reitlens.plans.queries_text",
     "reitlens.plans.queries_misc",
     "reitlens.plans.queries_stream",
+    "reitlens.plans.queries_sinks",
 )
 
 

@@ -7,7 +7,7 @@ write signals) becomes:
    Parquet under ``out_root`` (this cuts lineage: every later step reads the
    written tables, so a lost executor never recomputes the line-item
    aggregation from scratch);
-2. register the three analysis views over the materialised tables;
+2. store the three analysis views and define them in the catalog;
 3. compute sector benchmarks and the full report for every REIT;
 4. append benchmark and signal rows idempotently (dynamic partition overwrite
    per run date), and quarantine rows that break data-quality rules.
@@ -67,11 +67,11 @@ def run(spark: SparkSession, sf_dir: str, out_root: str | None = None,
 
     # 2. views over the written tables
     rates = AS.asof_rates(prices, ind)
-    W.register_views(spark, {
+    W.sink_views(spark, {
         "reit_fundamentals_v": FU.reit_fundamentals(reits, metrics),
         "property_analysis_v": PP.property_analysis(reits, props),
         "market_correlation_v": PR.market_correlation(prices, reits, rates),
-    })
+    }, f"{root}/views")
 
     # 3-4. benchmarks and signals, appended per run date
     W.sink_benchmarks(PE.agg_sector_benchmarks(reits, metrics), paths["sector_benchmarks"], ts)

@@ -61,6 +61,8 @@ VOL_COLS = (f"CASE WHEN n >= {K.VOLATILITY_WINDOW + 1} THEN round(sd * 100.0, 4)
             f"CASE WHEN n >= {K.VOLATILITY_WINDOW + 1} THEN round(sd * sqrt(252.0) * 100.0, 2) ELSE 0.0 END "
             f"AS volatility_annual")
 
+register("hist100f", """
+hist100f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM price_data) WHERE rn <= 100)""", ("price_data",))
 register("hist100", "\nhist100 AS (SELECT * FROM hist WHERE rn <= 100)", ("hist",))
 
 

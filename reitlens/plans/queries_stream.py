@@ -19,7 +19,7 @@ from reitlens.streaming.landed_filings import landed_filings_stream, run_availab
 SELECT upper(trim(reit_ticker)) AS ticker, form_type, filing_date, accession_number AS accession
 FROM filings WHERE form_type IN ('10-K', '10-Q', '8-K')""", "filings"))
 def q_stream_landed_filings(spark, sf_dir):
-    """Two landing batches (the second repeats filings of the first) picked up by two runs."""
+    """Two landing batches (the second repeats filings of the first) picked up by two runs, without a state store."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/landed-filings-{uuid.uuid4().hex}"
     f = bind.filings(lake_for(spark, sf_dir)).drop("text")
     rec = f.select(F.col("reit_ticker").alias("ticker"), F.col("form_type").alias("form"),
@@ -33,4 +33,4 @@ def q_stream_landed_filings(spark, sf_dir):
     run_available_now(landed_filings_stream(spark, f"{root}/landing"), stream_sink, ckpt)
     second.write.mode("overwrite").json(f"{root}/landing/batch=2")
     run_available_now(landed_filings_stream(spark, f"{root}/landing"), stream_sink, ckpt)
-    return spark.read.parquet(stream_sink)
+    return spark.read.parquet(stream_sink).select("ticker", "form_type", "filing_date", "accession")

@@ -232,12 +232,18 @@ def q_scan_filing_hits(spark, sf_dir):
 
 
 @query("ingest_summary", oracle=with_tables(f"""
-SELECT ticker, count(*) AS records, TIMESTAMP '{RUN_TS}' AS timestamp FROM price_data GROUP BY ticker
+SELECT ticker, count(*) AS records, CASE WHEN ticker = '{NOTE_TICKER}' THEN 'API call frequency exceeded' END AS error,
+       TIMESTAMP '{RUN_TS}' AS timestamp FROM price_data GROUP BY ticker
+UNION ALL SELECT 'X' || s_suppkey, 0, 'Invalid API call', TIMESTAMP '{RUN_TS}' FROM supplier WHERE s_suppkey % 10 = 4
+UNION ALL SELECT NULL, 0, 'Corrupt payload', TIMESTAMP '{RUN_TS}' FROM supplier WHERE s_suppkey % 10 = 9 HAVING count(*) > 0
 UNION ALL
-SELECT '__total__', count(*), TIMESTAMP '{RUN_TS}' FROM price_data""", "price_data"))
+SELECT '__total__', count(*), NULL, TIMESTAMP '{RUN_TS}' FROM price_data""", "price_data"))
 def q_ingest_summary(spark, sf_dir):
-    """Records landed per ticker (and in total) for one ingestion run."""
-    from reitlens.sinks.writers import ingest_summary
-    p = bind.price_data(lake_for(spark, sf_dir))
-    rows = landed.scan_price_json(landed.price_payloads(p, landed.DAILY_KEY, NOTE_TICKER, NOTE_YEAR))
-    return ingest_summary(rows, "ticker", F.lit(RUN_TS).cast("timestamp_ntz"))
+    """Records and errors per ticker (and in total) for one ingestion run: bars, a rate-limit note, error messages, cut-off payloads."""
+    lake = lake_for(spark, sf_dir)
+    good = landed.price_payloads(bind.price_data(lake), landed.DAILY_KEY, NOTE_TICKER, NOTE_YEAR)
+    key = F.col("s_suppkey")
+    symbol = F.concat(F.lit("X"), key.cast("string"))
+    refused = lake.table("supplier", "s_suppkey").where(key % 10 == 4).select(F.to_json(F.struct(symbol.alias("symbol"), F.lit("Invalid API call").alias("Error Message"))).alias("json"))
+    cut = lake.table("supplier", "s_suppkey").where(key % 10 == 9).select(F.concat(F.lit('{"symbol": "'), symbol).alias("json"))
+    return landed.price_summary_rows(good.unionByName(refused).unionByName(cut), F.lit(RUN_TS).cast("timestamp_ntz"))

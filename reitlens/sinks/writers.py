@@ -4,41 +4,107 @@ All writers go through ``DataFrameWriter`` (task output is committed per job,
 so a lost executor's partial files are never visible).  Writes that the
 application appends keep all earlier rows and add only rows whose key is new,
 so writing a batch twice adds nothing; raw macro and price feeds, which hold one
-batch per key and run date, replace that partition.  Paths are parameters; on a cluster they point at shared storage.
+batch per key and run date, replace that partition.
+
+An append reads no more of a sink than the partitions its batch touches, and
+nothing of it when the batch's manifest shows that it was committed before.
+Paths are parameters; on a cluster they point at shared storage.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reitlens import constants as K
 from reitlens.functions import scalars as S
-from reitlens.session import ensure_checkpoint_dir
+from reitlens.operators.fetch import stored
+
+#: Touched partitions that are named in the filter on the sink; with more, the sink is filtered by a join with them.
+NAMED_PARTITIONS = 500
+MANIFEST = "_manifest"
 
 
 def write_partitioned(df: DataFrame, path: str, partition_by: list[str], fmt: str = "parquet") -> None:
     """Idempotent write of whole partitions: those that ``df`` holds are replaced, others stay."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).format(fmt).save(path))
 
 
-def append_new(df: DataFrame, path: str, partition_by: list[str], key: list[str], fmt: str = "parquet") -> None:
-    """Append the rows whose ``key`` is not in the sink yet; earlier rows are never touched.
-
-    A batch that is written again adds nothing.  Rows that repeat a key inside a
-    batch are written once.  Keys that are null are compared like values.
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, fs = _file_system(spark, path)
+    return fs.exists(target)
+
+
+def batch_name(batch: DataFrame) -> str:
+    """A name for the rows of a batch: their number and an order-free hash of them."""
+    h = F.xxhash64(*batch.columns)
+    n, low, high = batch.agg(F.count(F.lit(1)), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))), F.sum(F.shiftrightunsigned(h, 31))).first()
+    return f"{n}-{(low or 0) & (1 << 64) - 1:x}-{(high or 0) & (1 << 64) - 1:x}"
+
+
+def touched(sink: DataFrame, batch: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """The rows of ``sink`` in the partitions that ``batch`` has rows of."""
+    parts = batch.select(*partition_by).distinct()
+    named = parts.limit(NAMED_PARTITIONS + 1).collect()
+    if len(named) > NAMED_PARTITIONS:
+        keys = parts.select(*[F.col(c).alias(f"{c}__part") for c in partition_by])
+        return sink.join(keys, [F.col(c).eqNullSafe(F.col(f"{c}__part")) for c in partition_by], "left_semi")
+    for c in partition_by:
+        values = {r[c] for r in named}
+        known = F.col(c).isin(*[v for v in values if v is not None]) if values - {None} else F.lit(False)
+        sink = sink.where(known | F.col(c).isNull() if None in values else known)
+    return sink
+
+
+def append_new(df: DataFrame, path: str, partition_by: list[str], key: list[str], fmt: str = "parquet",
+               order: Sequence[Column] = (), batch: str | None = None) -> int:
+    """Append the rows whose ``key`` is not in the sink yet; earlier rows are never touched.  Returns the rows added.
+
+    The batch is stored first, one row per key: the first by ``order``, then by
+    the other columns.  Only the partitions that it touches are read (a key
+    belongs to one partition).  After the commit a manifest is written under the
+    batch's name (``batch``, by default a hash of its rows); a batch whose
+    manifest is there is not compared again.  If a run is lost between commit
+    and manifest, the comparison adds nothing.  Keys that are null are compared
+    like values.
     """
-    new = df.dropDuplicates(key)
     spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        have = spark.read.format(fmt).schema(df.schema).load(path).select(*[F.col(k).alias(f"{k}__have") for k in key])
-        new = new.join(have, [F.col(k).eqNullSafe(F.col(f"{k}__have")) for k in key], "left_anti")
-        ensure_checkpoint_dir(spark)
-        new = new.checkpoint()  # the sink is read before it is written
-    new.write.mode("append").partitionBy(*partition_by).format(fmt).save(path)
+    rest = [c for c in df.columns if c not in key]
+    first = F.min(F.struct(*[o.alias(f"order_{i}") for i, o in enumerate(order)], *rest)).alias("row") if rest else F.count(F.lit(1)).alias("row")
+    rows = stored(df.groupBy(*key).agg(first).select(*[F.col(f"row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns]), "append-batch")
+    name = batch or batch_name(rows)
+    if exists(spark, f"{path}/{MANIFEST}/{name}"):
+        return 0
+    new = rows
+    if exists(spark, path):
+        have = touched(spark.read.format(fmt).schema(df.schema).load(path), rows, partition_by)
+        have = have.select(*[F.col(k).alias(f"{k}__have") for k in key])
+        new = stored(rows.join(have, [F.col(k).eqNullSafe(F.col(f"{k}__have")) for k in key], "left_anti"), "append-new")  # the sink is read before it is written
+    added = new.count()
+    if added:
+        new.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).format(fmt).save(path)
+    _commit(spark, path, name, added)
+    return added
+
+
+def _commit(spark: SparkSession, path: str, name: str, added: int) -> None:
+    """The manifest of a batch: written beside its place and renamed, so that it is whole or not there."""
+    target, fs = _file_system(spark, f"{path}/{MANIFEST}/{name}")
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}/_{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(bytearray(json.dumps({"batch": name, "rows_added": added}).encode()))
+    out.close()
+    fs.rename(draft, target)
 
 
 # ---------------------------------------------------------------------------
@@ -47,7 +113,7 @@ def append_new(df: DataFrame, path: str, partition_by: list[str], key: list[str]
 
 def sink_raw_filings(new_filings: DataFrame, path: str) -> None:
     """Landed filing records under ``ticker=…/form_type=…`` (accession in the row)."""
-    append_new(new_filings, path, ["ticker", "form_type"], ["accession"], "json")
+    append_new(new_filings, path, ["ticker", "form_type"], ["ticker", "form_type", "accession"], "json")
 
 
 def sink_raw_macro(observations: DataFrame, path: str, run_date: Column) -> None:
@@ -69,13 +135,13 @@ def sink_benchmarks(benchmarks: DataFrame, path: str, computed_at: Column) -> No
     """Append sector benchmark rows, partitioned by computation date."""
     out = (benchmarks.withColumn("computed_at", computed_at)
            .withColumn("computed_date", F.to_date("computed_at")))
-    append_new(out, path, ["computed_date"], ["computed_at", *[c for c in ("sector", "metric") if c in benchmarks.columns]])
+    append_new(out, path, ["computed_date"], ["computed_date", "computed_at", *[c for c in ("sector", "metric") if c in benchmarks.columns]])
 
 
 def sink_signals(rows: DataFrame, path: str) -> None:
     """Append signal rows (``scores.signals_for_sink``), partitioned by generation date."""
     out = rows.withColumn("generated_date", F.to_date("generated_at"))
-    append_new(out, path, ["generated_date"], ["signal_id"])
+    append_new(out, path, ["generated_date"], ["generated_date", "signal_id"])
 
 
 def sink_quarantine(tagged: DataFrame, path: str, entity: str) -> None:
@@ -84,10 +150,40 @@ def sink_quarantine(tagged: DataFrame, path: str, entity: str) -> None:
     append_new(bad, path, ["entity"], [c for c in bad.columns])
 
 
-def register_views(spark: SparkSession, views: dict[str, DataFrame]) -> None:
-    """``CREATE OR REPLACE VIEW`` for the three analysis views (session scope)."""
+def sink_views(spark: SparkSession, views: dict[str, DataFrame], root: str, database: str = "default") -> dict[str, str]:
+    """Catalog views over stored results, by name: every session of the application reads them.
+
+    Each result is written to a folder of its own version; the pointer file and
+    the view are replaced after that, so a reader sees the old version or the
+    new one, never a part.  The pointers let another application define the
+    views again (``restore_views``).
+    """
+    paths = {}
     for name, df in views.items():
-        df.createOrReplaceTempView(name)
+        path = f"{root.rstrip('/')}/{name}/version={uuid.uuid4().hex}"
+        df.write.parquet(path)
+        paths[name] = path
+        target, fs = _file_system(spark, f"{root.rstrip('/')}/_views/{name}")
+        draft = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_views/_{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(path.encode()))
+        out.close()
+        fs.delete(target, False)
+        fs.rename(draft, target)
+        _define(spark, name, path, database)
+    return paths
+
+
+def _define(spark: SparkSession, name: str, path: str, database: str) -> None:
+    columns = ", ".join(f"`{f.name}`" for f in spark.read.parquet(path).schema.fields)
+    spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} AS SELECT {columns} FROM parquet.`{path}`")
+
+
+def restore_views(spark: SparkSession, root: str, names: Sequence[str], database: str = "default") -> None:
+    """Define the views again from the pointers under ``root``."""
+    for name in names:
+        path = spark.read.text(f"{root.rstrip('/')}/_views/{name}", wholetext=True).first()[0]
+        _define(spark, name, path, database)
 
 
 # ---------------------------------------------------------------------------
@@ -124,9 +220,16 @@ def from_records(records: DataFrame, schema, enum_checks: dict[str, tuple[str, .
     return p
 
 
-def ingest_summary(landed: DataFrame, key: str, run_ts: Column) -> DataFrame:
-    """Per-key record counts with the run timestamp, plus a total row."""
-    per = landed.groupBy(key).agg(F.count(F.lit(1)).alias("records"))
-    total = landed.agg(F.count(F.lit(1)).alias("records")).select(
-        F.lit("__total__").alias(key), "records")
-    return per.unionByName(total).withColumn("timestamp", run_ts)
+def ingest_summary(landed: DataFrame, key: str, run_ts: Column, records: Column | None = None, error: Column | None = None) -> DataFrame:
+    """(key, records, error, timestamp) per key and, under ``__total__``, for the run, in one rollup.
+
+    ``landed`` has a row per record, or a row per payload with its number of
+    ``records`` and its ``error`` (null: none).  A key with several errors shows
+    the smallest one; the total shows none.
+    """
+    n = F.count(F.lit(1)) if records is None else F.sum(records)
+    said = F.min(error) if error is not None else F.min(F.lit(None).cast("string"))
+    out = landed.rollup(key).agg(n.cast("long").alias("records"), said.alias("error"), F.grouping(key).alias("all_keys"))
+    whole = F.col("all_keys") == 1
+    return out.select(F.when(whole, "__total__").otherwise(F.col(key)).alias(key), F.coalesce("records", F.lit(0)).alias("records"),
+                      F.when(~whole, F.col("error")).alias("error"), run_ts.alias("timestamp"))

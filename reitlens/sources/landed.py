@@ -16,9 +16,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reitlens import schemas
 from reitlens.functions import scalars as S
+from reitlens.sinks.writers import ingest_summary
 
 DAILY_KEY = "Time Series (Daily)"
 WEEKLY_KEY = "Weekly Time Series"
@@ -122,6 +124,25 @@ def scan_price_json(payloads: DataFrame, key: str = DAILY_KEY, json_col: str = "
     return rows.where(F.col("close").isNotNull() & F.col("date").isNotNull())
 
 
+CORRUPT = "_corrupt_record"
+
+
+def price_summary_rows(payloads: DataFrame, run_ts: Column, key: str = DAILY_KEY, json_col: str = "json") -> DataFrame:
+    """Summary of an ingestion run: bars and error per symbol, and in total.
+
+    A payload that does not parse is kept by the reader's corrupt-record column
+    and counts under a null symbol; an error message or a note is the error of
+    its symbol.
+    """
+    schema = T.StructType([*schemas.PRICE_PAYLOAD.fields, T.StructField(CORRUPT, T.StringType())])
+    p = payloads.select(F.from_json(F.col(json_col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("p"))
+    corrupt = F.col(f"p.{CORRUPT}").isNotNull()
+    error = F.coalesce(F.when(corrupt, "Corrupt payload"), F.col("p.`Error Message`"), F.col("p.Note"))
+    bars = F.when(error.isNull(), F.coalesce(F.size(F.col("p").getField(key)), F.lit(0))).otherwise(0)
+    rows = p.select(F.when(~corrupt, F.col("p.symbol")).alias("ticker"), bars.alias("bars"), error.alias("said"))
+    return ingest_summary(rows, "ticker", run_ts, F.col("bars"), F.col("said"))
+
+
 # ---------------------------------------------------------------------------
 # filing lists (submissions) and search hits
 # ---------------------------------------------------------------------------

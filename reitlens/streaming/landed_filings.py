@@ -8,9 +8,12 @@ processes everything landed so far and stops, which is how a scheduled batch
 runs a stream; the checkpoint under the shared ``spark.checkpoint.dir`` makes
 it exactly-once across restarts and lost executors.
 
-State note: ``dropDuplicates(["accession"])`` without a watermark keeps every
-accession seen; when records carry an event time, use
-``withWatermark`` + ``dropDuplicatesWithinWatermark`` to bound that state.
+The stream keeps no state.  Each micro-batch is appended by key to a sink that
+is partitioned by filing month, and compared with the months that it touches
+only, so a filing that arrives late or again is told from a new one however old
+it is.  (A watermark would bound a state store too, but would drop late filings.)
+The micro-batch's number names its manifest, so one that is run again after a
+failure adds nothing.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from reitlens import constants as K
 from reitlens.functions.scalars import norm_ticker
+from reitlens.sinks.writers import append_new
 
 LANDED_FILING = T.StructType([
     T.StructField("ticker", T.StringType()),
@@ -48,12 +52,20 @@ def landed_filings_stream(spark: SparkSession, landing_dir: str) -> DataFrame:
         F.coalesce("form", _from_path("form_type")).alias("form_type"),
         F.coalesce("file_date", "filing_date").try_cast("date").alias("filing_date"),
         F.coalesce("accession_no", "accession").alias("accession"))
-    return rows.where(F.col("form_type").isin(*K.WATCHED_FORMS)).dropDuplicates(["accession"])
+    return rows.where(F.col("form_type").isin(*K.WATCHED_FORMS))
+
+
+def append_batch(sink_dir: str):
+    """The function of a micro-batch: append its new accessions, partitioned by filing month."""
+    def append(batch: DataFrame, number: int) -> None:
+        month = F.coalesce(F.date_format("filing_date", "yyyy-MM"), F.lit("none"))
+        append_new(batch.withColumn("filing_month", month), sink_dir, ["filing_month"], ["filing_month", "accession"], batch=f"stream-{number}")
+    return append
 
 
 def run_available_now(stream: DataFrame, sink_dir: str, checkpoint_dir: str) -> StreamingQuery:
     """Append everything available now to Parquet and stop."""
-    q = (stream.writeStream.format("parquet").option("path", sink_dir)
+    q = (stream.writeStream.foreachBatch(append_batch(sink_dir))
          .option("checkpointLocation", checkpoint_dir).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
