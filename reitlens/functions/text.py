@@ -111,6 +111,12 @@ def py_fixed(c: Column, digits: int) -> Column:
     return F.regexp_replace(F.format_number(c, digits), ",", "")
 
 
+def py_str(c: Column) -> Column:
+    """A double of at most twelve decimals as ``str`` prints it (from 0.0001 to below 1e16), null as ``N/A``."""
+    plain = F.regexp_replace(c.cast("decimal(38,12)").cast("string"), "0+$", "")
+    return F.when(c.isNull(), "N/A").otherwise(F.when(F.endswith(plain, F.lit(".")), F.concat(plain, F.lit("0"))).otherwise(plain))
+
+
 def py_percent0(c: Column) -> Column:
     """Like Python ``f"{x:.0%}"``."""
     return F.concat(py_fixed(c * F.lit(100.0), 0), F.lit("%"))

@@ -8,16 +8,17 @@ its input (master row, latest metrics, context) is absent.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reitlens.functions import scalars as S
-from reitlens.functions.text import py_fixed, py_percent0
+from reitlens.functions.text import py_fixed, py_percent0, py_str
 from reitlens.operators.fundamentals import latest_metric
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES — prompt closing text
+# FIXED VALUES — prompt texts
 # ---------------------------------------------------------------------------
+SHORT_TAIL = "x\n\nProvide concise investment recommendation (2-3 paragraphs)."
 PROMPT_TAIL = (
     "\nProvide a 2-3 paragraph investment analysis covering:\n"
     "1. Key strengths and the investment thesis\n"
@@ -27,13 +28,36 @@ PROMPT_TAIL = (
 )
 
 
+#: Passages per REIT in the context, and characters of each.
+PASSAGES, PASSAGE_CHARS = 3, 160
+_MENTION = r"(?i)(?:ffo|funds from operations)[^\n]*"
+_OUTSIDE = r"[^A-Za-z0-9 .,;:%$()-]+"
+
+
+def filing_context(filings: DataFrame, passages: int = PASSAGES, chars: int = PASSAGE_CHARS) -> DataFrame:
+    """(reit_ticker, context_json): the newest filings' passages on funds from operations, ``passages`` a REIT.
+
+    A passage is cut to ``chars`` plain characters where the text is read.  The
+    rank filter lets every task keep its ``passages`` newest per REIT before the
+    shuffle, so a REIT with a third of all filings ships no more than others.
+    """
+    said = F.substr(F.regexp_replace(F.regexp_extract("text", _MENTION, 0), _OUTSIDE, " "), F.lit(1), F.lit(chars))
+    found = filings.select("reit_ticker", "form_type", "filing_date", "accession_number", said.alias("said")).where(F.col("said") != "")
+    newest = Window.partitionBy("reit_ticker").orderBy(F.col("filing_date").desc(), F.col("accession_number").desc())
+    top = found.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= passages)
+    line = F.concat(F.lit('    "'), F.col("form_type"), F.lit(" "), F.col("filing_date").cast("string"), F.lit(": "), F.col("said"), F.lit('"'))
+    lists = top.groupBy("reit_ticker").agg(F.sort_array(F.collect_list(F.struct("rn", line.alias("line")))).alias("lines"))
+    body = F.array_join(F.transform("lines", lambda x: x["line"]), ",\n")
+    return lists.select("reit_ticker", F.concat(F.lit('{\n  "filings": [\n'), body, F.lit("\n  ]\n}")).alias("context_json"))
+
+
 def _z(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0.0))
 
 
 def render_prompt(signals: DataFrame, reits: DataFrame, metrics: DataFrame,
                   context: DataFrame | None = None) -> DataFrame:
-    """``signals`` (``scores.generate_signals``) → (reit_ticker, prompt).
+    """``signals`` (``scores.generate_signals``) → (reit_ticker, prompt, short_prompt).
 
     ``context``: optional (reit_ticker, context_json) with pre-rendered JSON text.
     """
@@ -42,7 +66,7 @@ def render_prompt(signals: DataFrame, reits: DataFrame, metrics: DataFrame,
                      "latest_ffo_per_share", "payout_ratio", F.lit(True).alias("_has_r"))
     m = latest_metric(metrics).select(
         "reit_ticker", "fiscal_year", "quarter", "same_store_noi_growth", "ffo_growth_yoy",
-        "net_debt_to_ebitda", S.dividend_safety_model("dividend_per_share", "affo_per_share")
+        "net_debt_to_ebitda", "ffo_per_share", S.dividend_safety_model("dividend_per_share", "affo_per_share")
         .alias("_safety"), F.lit(True).alias("_has_m"))
     j = signals.join(r, "reit_ticker", "left").join(m, "reit_ticker", "left")
     if context is not None:
@@ -78,4 +102,9 @@ def render_prompt(signals: DataFrame, reits: DataFrame, metrics: DataFrame,
         F.when(F.col("_has_m"), metric).otherwise(F.lit("")),
         F.when(F.col("context_json").isNotNull(), ctx).otherwise(F.lit("")),
         F.lit(PROMPT_TAIL))
-    return j.select("reit_ticker", prompt.alias("prompt"))
+    short = F.concat(
+        F.lit("Analyze REIT "), F.col("reit_ticker"), F.lit(" based on:\n- Composite Score: "), py_str(F.col("composite_score")),
+        F.lit("\n- FFO/Share: $"), py_str(F.col("ffo_per_share")), F.lit("\n- NOI Growth: "), py_str(F.col("same_store_noi_growth")),
+        F.lit("%\n- Dividend Yield: "), py_str(F.col("dividend_yield")), F.lit("%\n- Debt/EBITDA: "), py_str(F.col("net_debt_to_ebitda")),
+        F.lit(SHORT_TAIL))
+    return j.select("reit_ticker", prompt.alias("prompt"), short.alias("short_prompt"))

@@ -214,25 +214,30 @@ def q_asof_rates(spark, sf_dir):
     return AS.asof_rates(bind.price_data(lake), bind.market_indicator_values(lake))
 
 
-def _ma_view(rows: int) -> str:
-    frame = f"OVER (PARTITION BY pd.ticker ORDER BY pd.date ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
-    return measure_at(rdiv(f"sum({units('pd.close')}) {frame}", f"count(*) {frame} * 100"), 2)
+def _mean_sql(rows: int) -> str:
+    """Mean of the last ``rows`` closes (fewer at the start) as a difference of running totals."""
+    return measure_at(rdiv(f"(now.total - coalesce(back{rows}.total, 0))", f"(least(now.k, {rows}) * 100)"), 2)
 
 
-LAGU = f"LAG({units('pd.close')}) OVER (PARTITION BY pd.ticker ORDER BY pd.date)"
+register("running", f"""
+running AS (
+  SELECT ticker, date, close, volume, {units('close')} AS u, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k,
+         CAST(sum({units('close')}) OVER (PARTITION BY ticker ORDER BY date) AS BIGINT) AS total
+  FROM price_data
+)""", ("price_data",))
 
 
 @query("market_correlation", headline=True, oracle=with_tables(f"""
-SELECT pd.ticker, r.sector, r.sub_sector, pd.date, pd.close AS price, pd.volume,
-       {_asof_sub('FEDFUNDS', 'pd.date')} AS fed_funds_rate,
-       {_asof_sub('DGS10', 'pd.date')} AS treasury_10y,
-       {_asof_sub('DGS2', 'pd.date')} AS treasury_2y,
-       LAG(pd.close) OVER (PARTITION BY pd.ticker ORDER BY pd.date) AS prev_close,
-       CASE WHEN {LAGU} > 0 THEN {rratio(f"({units('pd.close')} - {LAGU}) * 100", LAGU, 4)} END AS daily_return_pct,
-       {_ma_view(20)} AS ma_20,
-       {_ma_view(50)} AS ma_50
-FROM price_data pd JOIN reits r ON pd.ticker = r.ticker
-ORDER BY pd.date DESC, pd.ticker""", "price_data", "reits", "indicator_values"))
+SELECT now.ticker, sector, sub_sector, now.date, now.close AS price, now.volume, rates.fed_funds_rate, rates.treasury_10y, rates.treasury_2y,
+       back1.close AS prev_close,
+       CASE WHEN back1.u > 0 THEN {rratio("(now.u - back1.u) * 100", "back1.u", 4)} END AS daily_return_pct,
+       {_mean_sql(20)} AS ma_20, {_mean_sql(50)} AS ma_50
+FROM running now JOIN reits ON reits.ticker = now.ticker
+LEFT JOIN running back1 ON back1.ticker = now.ticker AND back1.k = now.k - 1
+LEFT JOIN running back20 ON back20.ticker = now.ticker AND back20.k = now.k - 20
+LEFT JOIN running back50 ON back50.ticker = now.ticker AND back50.k = now.k - 50
+JOIN (SELECT date, {_asof_sub('FEDFUNDS', 'days.date')} AS fed_funds_rate, {_asof_sub('DGS10', 'days.date')} AS treasury_10y, {_asof_sub('DGS2', 'days.date')} AS treasury_2y
+      FROM (SELECT DISTINCT date FROM price_data) days) rates ON rates.date = now.date""", "running", "reits", "indicator_values"))
 def q_market_correlation(spark, sf_dir):
     lake = lake_for(spark, sf_dir)
     prices = bind.price_data(lake)

@@ -18,7 +18,7 @@ from reitlens.plans.queries_market import indicators
 from reitlens.plans.queries_report import _inputs
 from reitlens.plans.queries_text import RUN_TS, _WS
 from reitlens.plans.registry import query
-from reitlens.sources import bind
+from reitlens.sources import bind, faults
 from reitlens.sources.tables import lake_for
 
 
@@ -52,9 +52,12 @@ SELECT ticker, name, sector, sub_sector, market_cap, ipo_year, property_count, t
                     ("market_cap < 0", _q('Market cap must be non-negative')),
                     (f"sector IS NOT NULL AND sector NOT IN ({_in(K.SECTORS)})", "'Unknown sector ' || sector"))}
        AS dq_errors
-FROM reits_signed""", "reits_signed"))
+FROM (SELECT CASE WHEN n % 10 = 1 THEN '' ELSE ticker END AS ticker, name, CASE WHEN n % 10 = 3 THEN 'Timberland' ELSE sector END AS sector,
+             sub_sector, market_cap, ipo_year, property_count, total_sqft, geographic_focus, dividend_yield,
+             CASE n % 10 WHEN 2 THEN CAST(2.5 AS DOUBLE) WHEN 5 THEN CAST(-0.5 AS DOUBLE) ELSE payout_ratio END AS payout_ratio, latest_ffo_per_share
+      FROM (SELECT *, CAST(substr(ticker, 2) AS BIGINT) AS n FROM reits_signed))""", "reits_signed"))
 def q_dq_reits(spark, sf_dir):
-    return _dq_out(DQ.dq_reits(bind.reits(lake_for(spark, sf_dir), signed_market_cap=True)))
+    return _dq_out(DQ.dq_reits(faults.reits(bind.reits(lake_for(spark, sf_dir), signed_market_cap=True))))
 
 
 @query("dq_properties", oracle=with_tables(f"""
@@ -67,9 +70,14 @@ SELECT *, {_errors_sql(
     ("cap_rate < 0 OR cap_rate > 0.20", "'Cap rate ' || CAST(cap_rate AS VARCHAR) || ' out of expected range [0, 0.20]'"),
     (f"property_type IS NOT NULL AND property_type NOT IN ({_in(K.PROPERTY_TYPES)})", "'Unknown property type ' || property_type"),
     (f"status IS NOT NULL AND status NOT IN ({_in(K.PROPERTY_STATUSES)})", "'Unknown status ' || status"))} AS dq_errors
-FROM properties""", "properties"))
+FROM (SELECT * EXCLUDE (n) REPLACE (
+        CASE WHEN n = 7 THEN '' ELSE property_id END AS property_id, CASE WHEN n = 6 THEN '' ELSE reit_ticker END AS reit_ticker,
+        CASE WHEN n = 4 THEN 'Land' ELSE property_type END AS property_type, CASE WHEN n = 5 THEN 'Unlisted' ELSE status END AS status,
+        CASE WHEN n = 2 THEN CAST(-100 AS DOUBLE) ELSE sqft END AS sqft, CASE WHEN n = 1 THEN CAST(1.25 AS DOUBLE) ELSE occupancy_rate END AS occupancy_rate,
+        CASE WHEN n = 3 THEN CAST(0.25 AS DOUBLE) ELSE cap_rate END AS cap_rate)
+      FROM (SELECT *, CAST(substr(property_id, 2) AS BIGINT) % 11 AS n FROM properties))""", "properties"))
 def q_dq_properties(spark, sf_dir):
-    return _dq_out(DQ.dq_properties(bind.properties(lake_for(spark, sf_dir))))
+    return _dq_out(DQ.dq_properties(faults.properties(bind.properties(lake_for(spark, sf_dir)))))
 
 
 @query("dq_metrics", oracle=with_tables(f"""
@@ -77,23 +85,26 @@ SELECT {METRIC_COLS}, {_errors_sql(
     ("coalesce(reit_ticker, '') = ''", _q('REIT ticker must be non-empty')),
     ("quarter < 1 OR quarter > 4", "'Quarter must be 1-4, got ' || CAST(quarter AS VARCHAR)"),
     ("fiscal_year < 2000", "'Invalid fiscal year: ' || CAST(fiscal_year AS VARCHAR)"))} AS dq_errors
-FROM financial_metrics""", "financial_metrics"))
+FROM (SELECT * REPLACE (CASE WHEN n = 3 THEN '' ELSE reit_ticker END AS reit_ticker, CASE WHEN n = 1 THEN 5 ELSE quarter END AS quarter,
+                        CASE WHEN n = 2 THEN 1999 ELSE fiscal_year END AS fiscal_year)
+      FROM (SELECT *, (CAST(substr(reit_ticker, 2) AS BIGINT) + fiscal_year) % 7 AS n FROM financial_metrics))""", "financial_metrics"))
 def q_dq_metrics(spark, sf_dir):
-    return _dq_out(DQ.dq_metrics(bind.financial_metrics(lake_for(spark, sf_dir))))
+    return _dq_out(DQ.dq_metrics(faults.metrics(bind.financial_metrics(lake_for(spark, sf_dir)))))
 
 
 @query("dq_indicators", oracle=with_tables(f"""
 SELECT *, {_errors_sql(("coalesce(series_id, '') = ''", _q('Series ID must be non-empty')),
                        ("date IS NULL", _q('Date must be non-empty')))} AS dq_errors
-FROM market_indicators""", "market_indicators"))
+FROM (SELECT * REPLACE (CASE WHEN month(date) = 2 THEN '' ELSE series_id END AS series_id, CASE WHEN month(date) = 3 THEN NULL ELSE date END AS date)
+      FROM market_indicators)""", "market_indicators"))
 def q_dq_indicators(spark, sf_dir):
-    return _dq_out(DQ.dq_indicators(indicators(spark, lake_for(spark, sf_dir))))
+    return _dq_out(DQ.dq_indicators(faults.indicators(indicators(spark, lake_for(spark, sf_dir)))))
 
 
 def _filing_records(f):
     return f.select(
         S.filing_id("reit_ticker", "form_type", "filing_date").alias("filing_id"),
-        "reit_ticker", "cik", "form_type", "filing_date", F.lit("Pending").alias("status"))
+        "reit_ticker", "cik", "form_type", "filing_date", F.lit("Pending").alias("status"), "doc_id")
 
 
 @query("dq_filings", oracle=with_tables(f"""
@@ -102,12 +113,15 @@ SELECT *, {_errors_sql(("coalesce(filing_id, '') = ''", _q('Filing ID must be no
                        (f"form_type IS NOT NULL AND form_type NOT IN ({_in(K.FORM_TYPES)})", "'Unknown form type ' || form_type"),
                        (f"status IS NOT NULL AND status NOT IN ({_in(K.FILING_STATUSES)})", "'Unknown status ' || status"))}
        AS dq_errors
-FROM (SELECT replace(replace(reit_ticker || '_' || form_type || '_' || CAST(filing_date AS VARCHAR), '-', ''), ' ', '_')
-             AS filing_id, upper(trim(reit_ticker)) AS reit_ticker, cik, form_type, filing_date, 'Pending' AS status
+FROM (SELECT CASE WHEN doc_id % 11 = 4 THEN '' ELSE
+               replace(replace(reit_ticker || '_' || form_type || '_' || CAST(filing_date AS VARCHAR), '-', ''), ' ', '_') END AS filing_id,
+             upper(trim(reit_ticker)) AS reit_ticker, CASE WHEN doc_id % 11 = 1 THEN '' ELSE cik END AS cik,
+             CASE WHEN doc_id % 11 = 2 THEN 'S-11' ELSE form_type END AS form_type, filing_date,
+             CASE WHEN doc_id % 11 = 3 THEN 'Lost' ELSE 'Pending' END AS status
       FROM filings)""", "filings"))
 def q_dq_filings(spark, sf_dir):
     f = bind.filings(lake_for(spark, sf_dir)).drop("text")
-    return _dq_out(DQ.dq_filings(_filing_records(f)))
+    return _dq_out(DQ.dq_filings(faults.filings(_filing_records(f)).drop("doc_id")))
 
 
 # ---------------------------------------------------------------------------
@@ -244,20 +258,36 @@ SELECT s.reit_ticker,
        || 'Dividend Safety: ' || CASE WHEN p <= 0.60 THEN 'Very Safe' WHEN p <= 0.75 THEN 'Safe'
                                       WHEN p <= 0.85 THEN 'Moderate' WHEN p <= 0.95 THEN 'Risky' ELSE 'Unsafe' END
        || chr(10) END
+  || CASE WHEN c.context_json IS NULL THEN '' ELSE chr(10) || 'Additional Context:' || chr(10) || c.context_json || chr(10) END
   || chr(10) || 'Provide a 2-3 paragraph investment analysis covering:' || chr(10)
   || '1. Key strengths and the investment thesis' || chr(10)
   || '2. Primary risks and concerns' || chr(10)
   || '3. Actionable recommendation (Buy/Hold/Sell with rationale)' || chr(10)
-  || 'Rate your confidence in this analysis (0-100%).' || chr(10) AS prompt
+  || 'Rate your confidence in this analysis (0-100%).' || chr(10) AS prompt,
+  'Analyze REIT ' || s.reit_ticker || ' based on:' || chr(10) || '- Composite Score: ' || coalesce(CAST(s.composite_score AS VARCHAR), 'N/A') || chr(10)
+  || '- FFO/Share: $' || coalesce(CAST(l.ffo_per_share AS VARCHAR), 'N/A') || chr(10)
+  || '- NOI Growth: ' || coalesce(CAST(l.same_store_noi_growth AS VARCHAR), 'N/A') || '%' || chr(10)
+  || '- Dividend Yield: ' || coalesce(CAST(r.dividend_yield AS VARCHAR), 'N/A') || '%' || chr(10)
+  || '- Debt/EBITDA: ' || coalesce(CAST(l.net_debt_to_ebitda AS VARCHAR), 'N/A') || 'x' || chr(10) || chr(10)
+  || 'Provide concise investment recommendation (2-3 paragraphs).' AS short_prompt
 FROM signals s
 LEFT JOIN reits r ON r.ticker = s.reit_ticker
 LEFT JOIN (SELECT *, CASE WHEN coalesce(affo_per_share, 0) > 0 THEN coalesce(dividend_per_share, 0) / affo_per_share
                           ELSE 0.0 END AS p FROM latest) l ON l.reit_ticker = s.reit_ticker
+LEFT JOIN (
+  SELECT reit_ticker, '{{' || chr(10) || '  "filings": [' || chr(10) || string_agg('    "' || form_type || ' ' || CAST(filing_date AS VARCHAR) || ': ' || said || '"', ',' || chr(10) ORDER BY rn)
+         || chr(10) || '  ]' || chr(10) || '}}' AS context_json
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY reit_ticker ORDER BY filing_date DESC, accession_number DESC) AS rn
+    FROM (SELECT *, substr(regexp_replace(regexp_extract(text, '(?i)(?:ffo|funds from operations)[^\n]*', 0), '[^A-Za-z0-9 .,;:%$()-]+', ' ', 'g'), 1, 160) AS said FROM filings)
+    WHERE said <> '')
+  WHERE rn <= 3 GROUP BY reit_ticker) c ON c.reit_ticker = s.reit_ticker
 """
 
 
-@query("render_prompt", oracle=with_tables(PROMPT_SQL, "signals", "reits", "latest"))
+@query("render_prompt", oracle=with_tables(PROMPT_SQL, "signals", "reits", "latest", "filings"))
 def q_render_prompt(spark, sf_dir):
     reits, metrics, summary, env = _inputs(spark, sf_dir)
     sig = SC.generate_signals(reits, metrics, summary, env)
-    return PM.render_prompt(sig, reits, metrics)
+    context = PM.filing_context(bind.filings(lake_for(spark, sf_dir)))
+    return PM.render_prompt(sig, reits, metrics, context)
