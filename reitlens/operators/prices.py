@@ -157,8 +157,8 @@ def price_summary(prices: DataFrame, history_rows: int | None = None, **kw) -> D
 
 
 def etf_summary(prices: DataFrame, etfs: DataFrame, history_rows: int | None = None) -> DataFrame:
-    """``price_summary`` for the listed ETFs; unknown symbols are flagged, not dropped."""
-    s = price_summary(prices, history_rows)
+    """Flat summary per fund; symbols that the list of ETFs lacks are flagged, not dropped."""
+    s = price_metrics(prices, history_rows=history_rows)
     return s.join(etfs.select(F.col("symbol").alias("ticker"), F.lit(True).alias("known_etf")),
                   "ticker", "left").withColumn("known_etf", F.coalesce("known_etf", F.lit(False)))
 

@@ -101,6 +101,22 @@ def q_price_summary_compact(spark, sf_dir):
                             history_rows=K.COMPACT_HISTORY_ROWS)
 
 
+ETFS = tuple(s for s, _ in K.REIT_ETFS)
+register("etf_hist", f"""
+etf_hist AS (
+  SELECT *, {units('close')} AS cu, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn
+  FROM (SELECT [{', '.join(repr(s) for s in (*ETFS, bind.UNKNOWN_ETF))}][CAST(substr(ticker, 2) AS BIGINT) % {len(ETFS) + 1} + 1] AS ticker, date,
+               {measure_at(f"CAST(sum({units('close')}) AS BIGINT) // count(*)", 4)} AS close, CAST(sum(volume) AS BIGINT) AS volume
+        FROM price_data GROUP BY ALL)
+)""", ("price_data",))
+
+
+@query("etf_summary", oracle=with_tables(
+    f"SELECT *, ticker <> '{bind.UNKNOWN_ETF}' AS known_etf FROM ({_summary_sql('etf_hist')})", "etf_hist"))
+def q_etf_summary(spark, sf_dir):
+    return PR.etf_summary(bind.etf_prices(lake_for(spark, sf_dir), ETFS), dims.etfs(spark))
+
+
 # ---------------------------------------------------------------------------
 # macro
 # ---------------------------------------------------------------------------

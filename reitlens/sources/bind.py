@@ -258,6 +258,17 @@ def _properties(lake: Lake) -> DataFrame:
     )
 
 
+def etf_prices(lake: Lake, symbols: tuple[str, ...]) -> DataFrame:
+    """Daily bars of funds: fund i holds the tickers whose number leaves remainder i; the last remainder is a symbol that no list knows."""
+    p = price_data(lake)
+    held = F.substring("ticker", 2, 20).cast("long") % (len(symbols) + 1)
+    symbol = F.element_at(F.array(*[F.lit(s) for s in (*symbols, UNKNOWN_ETF)]), (held + 1).cast("int"))
+    g = p.groupBy(symbol.alias("symbol"), "date").agg(
+        F.sum(F.round(F.col("close") * F.lit(float(UNITS))).cast("long")).alias("u"), F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
+    return g.select(F.col("symbol").alias("ticker"), "date", _measure(_intdiv(F.col("u"), F.col("n"))).alias("close"), "volume")
+
+
+UNKNOWN_ETF = "XXRE"
 CENTS_LIMIT = 10 ** 12  # prices per line stay far below ten billion
 
 

@@ -47,3 +47,34 @@ def test_split_sum_is_exact(spark, values):
     hi, lo = split_sum(F.col("v"))
     got = df.agg(combine_split(hi, lo).alias("s")).first()["s"]
     assert int(got) == sum(values)
+
+
+def test_wide_prices_equal_exact_fractions(spark):
+    """Six decimals, a price of 0.00004 and large prices: returns and averages equal the exact fractions, rounded half away from zero."""
+    from decimal import ROUND_HALF_UP, Decimal
+    from fractions import Fraction
+
+    from reitlens.operators import prices as PR
+
+    series = {"SIX": [10.000001 + i * 0.123457 for i in range(260)], "TINY": [0.00004 + (i % 7) * 0.00001 for i in range(260)],
+              "BIG": [98765432.1234 - i * 12345.678 for i in range(260)]}
+    rows = [(t, f"2024-{1 + i // 28:02d}-{1 + i % 28:02d}", float(f"{p:.6f}"), 1) for t, ps in series.items() for i, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "ticker string, date string, close double, volume long").withColumn("date", __import__("pyspark.sql.functions", fromlist=["f"]).to_date("date"))
+
+    def rounded(x: Fraction, places: int) -> float:
+        q = Decimal(x.numerator) / Decimal(x.denominator) if x.denominator < 10 ** 20 else Decimal(0)
+        scaled = x * 10 ** places
+        whole = (abs(scaled.numerator) * 2 + scaled.denominator) // (2 * scaled.denominator)
+        assert abs(q) < Decimal(10) ** 20 and ROUND_HALF_UP
+        return float(Fraction(whole if scaled >= 0 else -whole, 10 ** places))
+
+    got = {r["ticker"]: r for r in PR.price_metrics(df).collect()}
+    for t in series:
+        newest = [Fraction(str(p)) for _, d, p, _ in sorted((r for r in rows if r[0] == t), key=lambda r: r[1], reverse=True)]
+        for n, label in PR.STANDARD_LABELS.items():
+            if len(newest) > n:
+                assert got[t][f"return_{label}"] == rounded((newest[0] - newest[n]) / newest[n] * 100, 2), (t, n)
+        for w in (20, 50, 200):
+            mean = sum(newest[:w]) / w
+            assert got[t][f"ma_{w}"] == rounded(mean, 2)
+            assert got[t][f"pct_from_ma_{w}"] == rounded((newest[0] - mean) / mean * 100, 2)

@@ -78,7 +78,7 @@ def test_raw_landing_zones_and_views(spark):
     W.sink_raw_macro(obs, f"{root}/macro", F.lit("2024-06-28"))
     W.sink_raw_macro(obs, f"{root}/macro", F.lit("2024-06-28"))
     assert spark.read.json(f"{root}/macro").count() == 1
-    W.register_views(spark, {"v_test_obs": obs})
+    W.sink_views(spark, {"v_test_obs": obs}, f"{root}/views")
     assert spark.sql("SELECT count(*) AS n FROM v_test_obs").first()["n"] == 1
 
 
