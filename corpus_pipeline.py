@@ -50,7 +50,7 @@ STAGES = [
     ("mixing sources", mix_sources),
 ]
 
-#: Perplexity and SimHash stages have no SQL form; the tests hold the result against a plain version.
+#: Perplexity and SimHash stages have no SQL form; the tests hold each stage's operator against a plain version and check what the stages hand on.
 ORACLE_SQL = None
 
 
