@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from reitlens.llm.common import ship, split_words, text_slices
 
+#: Text bytes handled at a time: the larger a slice, the fewer of its words are looked up again.
+SLICE = 4 << 20
 #: Distinct words whose counts a worker keeps; the store is emptied when full (it only saves time).
 KEPT_WORDS = 800_000
 
@@ -273,12 +275,13 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", store: bo
         gc.freeze()  # the stores of words hold no cycles; collecting over them takes longer than counting
         gc.disable()
         for batch in batches:
-            for b in text_slices(batch, "text__"):
+            for b in text_slices(batch, "text__", SLICE):
                 col = b.column("text__")
                 words, offsets = split_words(col)
                 enc = pc.dictionary_encode(words)
                 distinct = enc.dictionary.to_pylist()
-                per_word, sizes = np.array([counter.count(w) for w in distinct], np.int64).reshape(-1, 2).T
+                both = np.fromiter((n for w in distinct for n in counter.count(w)), np.int64, 2 * len(distinct))
+                per_word, sizes = both[::2], both[1::2]
                 idx = np.asarray(enc.indices)
                 sums = np.concatenate([[0], np.cumsum(per_word[idx])])
                 chars = np.concatenate([[0], np.cumsum(sizes[idx])])
