@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import cache, lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -23,7 +24,12 @@ from pyspark.sql import functions as F
 from reitlens.llm.common import ship, sized, stored, text_slices
 from reitlens.llm.url_rules import url_parts
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+_START = r"<(/?)([a-zA-Z][^\s/>]*+)"
+_OTHER = r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+_TOKEN = re.compile(rf"""{_OTHER}|{_START}((?:[^>"']++|"[^"]*"|'[^']*')*+)>|{_START}([^>]*)(?:>|\Z)""", re.S)
+#: The same without quotes, for pages with many quotes that are never closed: looking for their ends would read the page again and again.
+_PLAIN_TOKEN = re.compile(rf"{_OTHER}|{_START}([^>]*)(?:>|\Z)(()())?", re.S)
+_OPEN_QUOTES = 64
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
@@ -69,6 +75,7 @@ def _aside_name(names: str) -> bool:
     return any(parts and ASIDE_WORDS.issuperset(parts) for parts in map(_WORD.findall, names.split()))
 
 
+@lru_cache(1 << 12)
 def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[str, str, bool]:
     """(label, kind, whether by class words only) of an element from its attributes."""
     names, role, kind, by_words = "", "", "", False
@@ -89,46 +96,94 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[str, str, bo
     return (f"{tag}.{names.strip()}" if names.strip() else tag), kind, by_words
 
 
-def _has_text(node: Node) -> bool:
-    todo = [node]
+def _has_own_text(node: Node) -> bool:
+    return any(isinstance(c, str) and c.strip() for c in node.children)
+
+
+def _with_text(tree: Node) -> set[int]:
+    """Identities of the nodes that hold text, not counting asides below them."""
+    order, todo = [], [(tree, None)]
     while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            if x.strip():
-                return True
-        elif x is node or x.kind != "aside" and x.tag not in RAW:
-            todo.extend(x.children)
-    return False
+        x, above = todo.pop()
+        order.append((x, above))
+        todo.extend((c, x) for c in x.children if not isinstance(c, str))
+    found: set[int] = set()
+    for x, above in reversed(order):
+        if _has_own_text(x):
+            found.add(id(x))
+        if id(x) in found and above is not None and x.kind != "aside" and x.tag not in RAW:
+            found.add(id(above))
+    return found
 
 
 def _release(tree: Node) -> None:
     """Where no article with text stands outside of asides, an element around one is no aside by its class words."""
-    held, todo = [], [(tree, ())]
+    texts = None  # found when first asked for: most pages have an article and no aside by class words around it
+    held, todo = [], [(tree, None)]  # a node and the asides around it: (innermost, the others)
     while todo:
         x, over = todo.pop()
-        if x.kind == "article" and _has_text(x):
-            if not over:
+        if x.kind == "article" and texts is None:
+            if over is None and any(_has_own_text(c) for c in x.children if not isinstance(c, str) and c.kind != "aside" and c.tag not in RAW):
                 return
-            held += over
+            texts = _with_text(tree)
+        if x.kind == "article" and id(x) in texts:
+            if over is None:
+                return
+            held.append(over)
             continue
         if x.kind == "aside" and not x.by_words:
             continue
-        over = (*over, x) if x.by_words else over
+        over = (x, over) if x.by_words else over
         todo.extend((c, over) for c in x.children if not isinstance(c, str))
-    for x in held:
-        x.kind, x.by_words = "", False
+    for over in held:
+        while over is not None and over[0].by_words:
+            over[0].kind, over[0].by_words = "", False
+            over = over[1]
+
+
+class _Open:
+    """The open elements, with the places of each tag among them, so that no end or start tag searches the whole stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.articles = [root], 0
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK or node.tag == "button":
+            self.blocks.append(len(self.stack))
+        self.articles += node.kind == "article"
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element with one of ``tags``, or 0."""
+        return max((at[-1] for at in map(self.places.get, tags) if at), default=0)
+
+    def cut(self, at: int) -> None:
+        """Close the element at place ``at`` and all inside it."""
+        while len(self.stack) > at:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+            self.articles -= node.kind == "article"
+
+
+_CELLS = ("td", "th", "table")
+_TABLE_ENDS = frozenset(("table", "tr", "tbody", "thead", "tfoot", "body", "html"))
 
 
 def parse(page: str) -> Node:
-    """DOM tree of a page; unclosed and misplaced tags are put right the usual way, nothing is dropped."""
+    """DOM tree of a page; unclosed and misplaced tags are put right the usual way, nothing is dropped.  Takes time in proportion to the page."""
     root = Node("#root", "#root")
-    stack, depth_article, pos = [root], 0, 0
+    open_, pos, bad = _Open(root), 0, 0
     search = _TOKEN.search
     while True:
         m = search(page, pos)
         text = page[pos:m.start() if m else len(page)]
         if text:
-            stack[-1].children.append(text)
+            open_.stack[-1].children.append(text)
         if not m:
             _release(root)
             return root
@@ -136,43 +191,40 @@ def parse(page: str) -> Node:
         name = m[2] or m[5]
         if not name:
             continue
+        if m[5] and (bad := bad + 1) == _OPEN_QUOTES:
+            search = _PLAIN_TOKEN.search
         tag, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    depth_article -= sum(n.kind == "article" for n in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            at = open_.places.get(tag)
+            if at and (at[-1] == len(open_.stack) - 1 or tag in _TABLE_ENDS or at[-1] >= open_.last(_CELLS)):
+                open_.cut(at[-1])
             continue
         if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK or stack[i].tag == "button":
-                    break
+            at = open_.places.get("p")
+            if at and at[-1] == open_.blocks[-1]:
+                open_.cut(at[-1])
         if tag in CLOSES:
             ends, barrier = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in barrier:
-                    break
-                if stack[i].tag in ends:
-                    del stack[i:]
-        label, kind, by_words = _kind(tag, attributes, depth_article > 0)
+            stop = open_.last(barrier)
+            while (at := open_.last(ends)) > stop:
+                open_.cut(at)
+        label, kind, by_words = _kind(tag, attributes, open_.articles > 0)
         node = Node(tag, label, kind)
         node.by_words = by_words
-        stack[-1].children.append(node)
+        open_.stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}", re.I).search(page, pos)
+            end = _raw_end(tag).search(page, pos)
             close = page.find(">", end.end()) if end else -1
             pos = close + 1 if end and close >= 0 else len(page)
             continue
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "path"):
             continue
-        stack.append(node)
-        depth_article += kind == "article"
+        open_.push(node)
+
+
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}", re.I)
 
 
 def _name(node: Node) -> str:

@@ -1,12 +1,13 @@
 """Wider checks of earlier operators: token counts against the library, mixing at many sources, filters and blocks at every size."""
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reitlens.llm import common, entries, mixing, token_prefix
+from reitlens.llm import common, entries, mixing, token_prefix, wrapper_html
 from tests.conftest import SF_SMALL
 
 
@@ -76,3 +77,13 @@ def test_recompression_takes_its_path_beyond_the_broadcast_limit(spark, monkeypa
     monkeypatch.setattr(common.sized, "__defaults__", (0,))
     assert sorted(map(tuple, entries.QUERIES["op6_substring_dedup"](spark, SF_SMALL).collect())) == plain
     assert sorted(map(tuple, entries.QUERIES["op9_suffix_dedup"](spark, SF_SMALL).collect())) == suffix
+
+
+def test_html_of_a_megabyte_takes_time_in_proportion():
+    k = 100_000
+    pages = {"<b>" * k + "</i>" * k + "end": "end", "<ol>" + "<b>" * k + "<li>" * k + "end": "end", "<table>" + "<b>" * k + "<td></td>" * k + "end": "end",
+             "<b>" * k + "<hr>" * k + "end": "end", "<article>" * k: "", "<div class=ad>" * k + "end": "", "<p>a</p>" + "<a =\"'>" * k: "a", "<" + "a" * (10 * k): ""}
+    for page, want in pages.items():
+        before = time.process_time()
+        assert wrapper_html.main_text(page, set()) == want
+        assert time.process_time() - before < 20, page[:20]
