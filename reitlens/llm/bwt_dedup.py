@@ -37,8 +37,8 @@ BLOCK_BITS = 8
 SHARD_BYTES = 2 << 20
 #: Picks with more runs than this are compared by window hash.
 OFTEN = 20_000
-#: Symbols sorted and expanded at a time; a shard larger than this is worked off by groups of picks.
-PIECE = 4 << 20
+#: Symbols sorted and expanded at a time, few enough for a processor's cache; a shard is worked off by groups of picks.
+PIECE = 128 << 10
 
 
 class Bytes:
@@ -57,9 +57,7 @@ class Bytes:
         last = np.repeat(self.offsets[1:], size)
         self.is_start = np.arange(n) + width <= last
         self.gram = gram
-        k = n - gram + 1
-        at = np.arange(max(k, 0))
-        self.hash = self.sub.of(at, at + gram) if k > 0 else np.zeros(0, np.uint64)
+        self.hash = self.sub.every(gram)
         room = width - gram + 1  # grams of a window
         low = _sliding_min(self.hash, room)
         starts = np.flatnonzero(self.is_start[:len(low)])
@@ -120,8 +118,8 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(suf[:n], pre[width - 1:width - 1 + n])
 
 
-#: Symbols that one sort key holds (9 bits each).
-_PACKED = 7
+#: Symbols that one sort key holds (9 bits each), and symbols up to which the places that differ are taken from the sorting rounds.
+_PACKED, BEGIN = 7, 28
 
 
 def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,10 +131,11 @@ def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def _order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rotations of ``text`` (values under 512) sorted by their first ``depth`` symbols at least, and where the first seven differ.
+def _order(text: np.ndarray, depth: int, begin: int = BEGIN) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rotations of ``text`` (values under 512) sorted by their first ``depth`` symbols at least, where the first d of them differ, and d.
 
-    Rank doubling; after each round only the places whose rank is still shared are sorted again.
+    Rank doubling; after each round only the places whose rank is still shared
+    are sorted again.  d is the last length of the rounds up to ``begin`` symbols.
     """
     n = len(text)
     key = np.zeros(n, np.int64)
@@ -146,7 +145,7 @@ def _order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     first = new.copy()
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # place of the first of its equals
-    have = min(_PACKED, depth)
+    have = known = min(_PACKED, depth)
     while have < depth:
         alone = new & np.append(new[1:], True)
         at = np.flatnonzero(~alone)
@@ -158,26 +157,28 @@ def _order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         part, fresh = _sorted(head * (n + 1) + follow)
         order[at] = own[part]  # places of one rank are next to each other, so the shared places keep their range
         new[at] = fresh
-        rank[order[at]] = np.maximum.accumulate(np.where(new, np.arange(n), 0))[at]
+        rank[order[at]] = np.maximum.accumulate(np.where(fresh, at, 0))
         have *= 2
-    return order, first
+        if have <= min(begin, depth):
+            first, known = new.copy(), have
+    return order, first, known
 
 
 def equal_windows(text: np.ndarray, minimum: int) -> np.ndarray:
     """A class number per rotation of ``text``: equal for those that share their first ``minimum`` symbols.
 
     The breadth-first expansion works on all intervals of one length at once and
-    begins with those of the strings that one sort key holds.
+    begins with those of the strings that the first sorting rounds tell apart:
+    the sorting has them at hand, and below that length nearly every place is set.
     """
     n = len(text)
-    order, first = _order(text, minimum)
+    order, first, begin = _order(text, minimum)
     bwt = text[order - 1]
-    by_char = np.argsort(bwt, kind="stable")
+    by_char = np.argsort(bwt.astype(np.int16), kind="stable")
     lf = np.empty(n, np.int64)
     lf[by_char] = np.arange(n)
     is_set = np.ones(n + 1, bool)  # a common prefix below the length reached is known between place - 1 and place
     is_set[:n] = first
-    begin = min(_PACKED, minimum)
     lo = np.flatnonzero(first)
     hi = np.append(lo[1:], n)
     for _ in range(begin, minimum):
@@ -216,15 +217,12 @@ def _shard(doc, mark, pos, data, minimum):
     count = size - minimum + 1
     run = np.repeat(np.arange(len(data)), count)
     place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    c, d, p = cls[start[run] + place], doc[run], pos[run] + place
-    order = np.lexsort((p, d, c))
-    c, d, p = c[order], d[order], p[order]
-    head = np.ones(len(c), bool)
-    head[1:] = c[1:] != c[:-1]
-    at = np.maximum.accumulate(np.where(head, np.arange(len(c)), 0))
-    later = np.zeros(len(c), bool)
-    later[order] = (d != d[at]) | (p != p[at])
-    return run, pos[run] + place, later
+    c, p = cls[start[run] + place], pos[run] + place
+    where = np.unique(doc, return_inverse=True)[1][run] * (int(p.max()) + 1) + p  # orders places of all documents
+    low = np.full(len(text) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(low, c, where)
+    later = where > low[c]
+    return run, p, later
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", minimum: int = MINIMUM) -> DataFrame:

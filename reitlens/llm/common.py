@@ -264,19 +264,39 @@ def may_hold(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
+#: Powers of the hash's multiplier and of its inverse, kept for sequences of up to this many values.
+_POWERS: list[np.ndarray] = []
+_KEEP_POWERS = 1 << 20
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n - 1 of the multiplier and of its inverse."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    out = []
+    for base in (_BASE, _INVERSE):
+        p = np.full(max(n, 1 << 16), base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    if n <= _KEEP_POWERS:
+        _POWERS[:] = out
+    return out[0][:n], out[1][:n]
+
+
 class Substrings:
     """Hash of any stretch [lo, hi) of a sequence of 64-bit values, from prefix sums of a polynomial modulo 2**64."""
 
     def __init__(self, values: np.ndarray):
         n = len(values)
-        power = np.ones(n + 1, np.uint64)
-        power[1:] = np.uint64(_BASE)
-        self.inverse = np.ones(n + 1, np.uint64)
-        self.inverse[1:] = np.uint64(_INVERSE)
-        power, self.inverse = np.multiply.accumulate(power), np.multiply.accumulate(self.inverse)
+        power, self.inverse = _powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * power[:n], out=self.sums[1:])
 
+    def every(self, width: int) -> np.ndarray:
+        """Hashes of all stretches of ``width`` values."""
+        n = len(self.sums) - width
+        return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n] + np.uint64(width)) if n > 0 else np.zeros(0, np.uint64)
+
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo] + (hi - lo).astype(np.uint64))
 
