@@ -98,6 +98,10 @@ def payout_ratio_model(dividend: ColumnOrName, base: ColumnOrName) -> Column:
     return F.when(b > 0, safe_div(F.coalesce(_c(dividend), F.lit(0.0)), b)).otherwise(F.lit(0.0))
 
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES — thresholds and labels of the leverage and safety bands
+# ---------------------------------------------------------------------------
+
 def leverage_rating(debt_to_ebitda: ColumnOrName) -> Column:
     """<=3 A, <=5 B, <=7 C, else D (NULL falls through to D)."""
     d = _c(debt_to_ebitda)
@@ -154,6 +158,7 @@ def annual_rent(sqft: ColumnOrName, rent_psf: ColumnOrName) -> Column:
     return _c(sqft) * _c(rent_psf)
 
 
+#: FIXED VALUE — share of the rent that operating expenses take.
 EXPENSE_RATIO = 0.35
 
 
@@ -172,7 +177,7 @@ def appreciation(cost: ColumnOrName, book: ColumnOrName) -> Column:
 
 
 # ----------------------------------------------------------------------------
-# bands over the composite score
+# bands over the composite score: FIXED VALUES — thresholds and labels
 # ----------------------------------------------------------------------------
 
 def signal_rating(score: ColumnOrName) -> Column:

@@ -74,6 +74,7 @@ def render_prompt(signals: DataFrame, reits: DataFrame, metrics: DataFrame,
     else:
         j = j.withColumn("context_json", F.lit(None).cast("string"))
     nl = F.lit("\n")
+    # FIXED VALUES — the labels of the sections below
     head = F.concat(
         F.lit("Analyze "), F.col("reit_ticker"), F.lit(" ("), F.coalesce("_name", F.lit("Unknown")),
         F.lit(") REIT:\n\nComposite Score: "), py_fixed(F.col("composite_score"), 1), F.lit("/100 ("),

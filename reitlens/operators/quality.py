@@ -45,6 +45,7 @@ def _num(c: str) -> Column:
     return F.col(c).cast("string")
 
 
+# FIXED VALUES — bounds and messages of the rules below
 def reit_rules() -> list[Rule]:
     p, cap = F.col("payout_ratio"), F.col("market_cap")
     return [

@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from reitlens.functions.text import METRICS
 from reitlens.operators import filings as FI
 from reitlens.operators.fetch import late_fetch
 from reitlens.plans.oracle import register, with_tables
@@ -75,25 +74,54 @@ def _re2(pattern: str) -> str:
     return "(?i)" + pattern.replace(r"\s", _WS)
 
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES — extraction patterns per metric in trial order, spelled out here
+# so that the SQL does not follow a change of the engine's own list
+# ---------------------------------------------------------------------------
+SQL_PATTERNS = {
+    "ffo_per_share": (
+        r"FFO\s+(?:per\s+share|/share)?\s*(?:was|of)?\s*\$?([\d,.]+)",
+        r"funds?\s+from\s+operations.*?per\s+share.*?\$?([\d,.]+)",
+        r"FFO.*?\$([\d,.]+)\s*(?:per|/) share",
+    ),
+    "noi": (
+        r"NOI\s*(?:was|of|:)?\s*\$?([\d,.]+)\s*(?:million|billion)",
+        r"net\s+operating\s+income.*?\$?([\d,.]+)",
+    ),
+    "total_revenue": (
+        r"total\s+revenue.*?\$?([\d,.]+)\s*(?:million|billion)",
+        r"revenue\s*(?:was|of)?\s*\$?([\d,.]+)",
+    ),
+    "occupancy_rate": (
+        r"occupancy\s*(?:rate)?\s*(?:of|was|:)?\s*([\d.]+)\s*%",
+        r"leased\s*(?:percentage|rate)?\s*(?:of)?\s*([\d.]+)\s*%",
+    ),
+    "dividend_per_share": (
+        r"dividend\s*(?:per\s+share)?\s*(?:of|was|:|=\s*)\s*\$?([\d,.]+)",
+        r"per\s+share.*?dividend.*?\$([\d,.]+)",
+    ),
+    "debt_to_ebitda": (
+        r"(?:net\s+)?debt\s*(?:to)?\s*EBITDA\s*(?:of|was|:|ratio)?\s*([\d.]+)",
+        r"debt.*?EBITDA.*?([\d.]+)x",
+    ),
+}
+METRIC_NAMES = tuple(SQL_PATTERNS)
+
+
+def _captured(key: str, pattern: str, text: str) -> str:
+    """SQL for the number that one pattern captures in a text, or NULL."""
+    quoted = _re2(pattern).replace("'", "''")
+    number = f"TRY_CAST(replace(regexp_extract({text}, '{quoted}', 1), ',', '') AS DOUBLE)"
+    if key == "occupancy_rate":
+        return f"{number} / 100.0"
+    if key in ("noi", "total_revenue"):
+        return f"{number} * CASE WHEN lower(regexp_extract({text}, '{quoted}', 0)) LIKE '%billion%' THEN 1000.0 ELSE 1.0 END"
+    return number
+
+
 def _metric_sql(key: str, text: str = "text") -> str:
-    _, patterns, strip, bil, pct = next(m for m in METRICS if m[0] == key)
-    tries = []
-    for p in patterns:
-        rp = _re2(p).replace("'", "''")
-        raw = f"regexp_extract({text}, '{rp}', 1)"
-        if strip:
-            raw = f"replace({raw}, ',', '')"
-        v = f"TRY_CAST({raw} AS DOUBLE)"
-        if bil:
-            v = (f"CASE WHEN contains(lower(regexp_extract({text}, '{rp}', 0)), 'billion') "
-                 f"THEN {v} * 1000.0 ELSE {v} END")
-        if pct:
-            v = f"{v} / 100.0"
-        tries.append(v)
-    return f"coalesce({', '.join(tries)})"
-
-
-METRIC_NAMES = tuple(m[0] for m in METRICS)
+    """SQL for a metric: the first pattern whose capture is a number."""
+    return "coalesce(" + ", ".join(_captured(key, p, text) for p in SQL_PATTERNS[key]) + ")"
 
 
 @query("extract_financials", headline=True, oracle=with_tables(

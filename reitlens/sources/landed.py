@@ -22,6 +22,7 @@ from reitlens import schemas
 from reitlens.functions import scalars as S
 from reitlens.sinks.writers import ingest_summary
 
+# FIXED VALUES — names in the price and macro payloads
 DAILY_KEY = "Time Series (Daily)"
 WEEKLY_KEY = "Weekly Time Series"
 BAR_FIELDS = (("open", "1. open"), ("high", "2. high"), ("low", "3. low"),
