@@ -1,21 +1,23 @@
 """SimHash near-duplicates by a binary-trie self-join.
 
-Documents become 64-bit fingerprints; equal fingerprints are one leaf.  The trie
-over the distinct fingerprints is cut at a depth that gives bounded blocks, each
-pair of blocks whose prefixes differ in at most the budget is one unit of work,
-and inside a unit pairs of trie nodes are walked together level by level: the
-bits in which their paths differ are added up, and a pair over the budget is
-dropped.  Surviving pairs of leaves are merged into stars at once (their links
-connect the same leaves), so a crowded neighbourhood never turns into all its
-pairs outside the walk.  Stars of all units are joined into components by
-Spark.
+Documents become 64-bit fingerprints; equal fingerprints are one leaf.  The
+distinct fingerprints are cut into blocks that agree on a run of bits, one of
+budget + 1 runs (two fingerprints within the budget agree on one at least), and
+crowded blocks are cut again along the bits that vary in them.  Each block is a binary
+trie, joined with itself: pairs of trie nodes are walked together level by
+level, the bits in which their paths differ are added up, and a pair over the
+budget is dropped.  Surviving pairs of leaves are merged into stars at once
+(their links connect the same leaves), so a crowded neighbourhood never turns
+into all its pairs outside the walk.  Stars of all blocks are joined into
+components by Spark.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,12 @@ from reitlens.llm.common import connected, release, row_key, ship, sized, stored
 
 WORDS = 4
 MAX_BITS = 4
-#: Distinct fingerprints a trie block should hold at most on average (8 bytes each).
-BLOCK = 1 << 14
-#: Node pairs expanded at a time inside a task.
-FRONT = 1 << 20
-#: Deepest cut of the trie: prefix pairs grow with depth, so blocks grow beyond it instead.
-DEEPEST = 14
+#: Fingerprints a block may hold before it is cut along further bits; the higher bound holds from the third cut on, where few bits vary.
+CROWDED = 1 << 9
+DENSE = 1 << 12
+#: Rows a task gathers before it walks their blocks, and node pairs it expands at a time.
+HELD = 1 << 16
+FRONT = 1 << 17
 
 
 def fingerprints_of(texts: list[bytes | None], words: int = WORDS) -> np.ndarray:
@@ -89,56 +91,45 @@ def _stars(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarra
             label = up
 
 
-def walk(x: np.ndarray, y: np.ndarray | None, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between sorted distinct fingerprints ``x`` (and ``y``): a spanning set of pairs at most ``budget`` bits apart.
+def walk(x: np.ndarray, starts: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside the blocks of ``x`` (each sorted and distinct, beginning at ``starts``): a spanning set of pairs at most ``budget`` bits apart.
 
-    ``depth`` top bits are equal inside x and inside y.  A node is a range of the
-    sorted array; a pair of nodes at depth d splits on bit d into up to four.
+    A node is a range of a sorted block; a pair of nodes at depth d splits on bit
+    d into up to four, and is dropped once its differing bits pass the budget.
     """
-    own = y is None
-    y = x if own else y
-    n = len(x)
-    label = np.arange(n if own else n + len(y))
-    start = bin((int(x[0]) ^ int(y[0])) >> (64 - depth)).count("1") if depth else 0
-    stack = [(depth, np.array([[0, n, 0, len(y), start]], np.int64))]
+    label = np.arange(len(x))
+    stops = np.append(starts[1:], len(x))
+    roots = np.stack([starts, stops, starts, stops, np.zeros_like(starts)], axis=1)
+    stack = [(0, roots[stops - starts > 1])]
     while stack:
         d, front = stack.pop()
         if len(front) > FRONT:
             stack += [(d, front[i:i + FRONT]) for i in range(0, len(front), FRONT)]
             continue
         alo, ahi, blo, bhi, acc = front.T
-        if not own:
-            shift = n
-        else:
-            shift = 0
         # pairs of single leaves are compared at once
         leaf = (ahi - alo == 1) & (bhi - blo == 1)
         if d == 64:
             leaf[:] = True
         if leaf.any():
             i, j = alo[leaf], blo[leaf]
-            near = np.bitwise_count(x[i] ^ y[j]) <= budget
-            if own:
-                near &= i != j
-            label = _stars(len(label), i[near], j[near] + shift, label)
+            near = (np.bitwise_count(x[i] ^ x[j]) <= budget) & (i != j)
+            label = _stars(len(label), i[near], j[near], label)
             front = front[~leaf]
             if not len(front):
                 continue
             alo, ahi, blo, bhi, acc = front.T
         bit = np.uint64(1) << np.uint64(63 - d)
-        amid, bmid = _split(x, alo, ahi, bit), _split(y, blo, bhi, bit)
+        amid, bmid = _split(x, alo, ahi, bit), _split(x, blo, bhi, bit)
         parts = []
         for al, ah, bl, bh, more in ((alo, amid, blo, bmid, 0), (amid, ahi, bmid, bhi, 0), (alo, amid, bmid, bhi, 1), (amid, ahi, blo, bmid, 1)):
-            ok = (al < ah) & (bl < bh) & (acc + more <= budget)
-            if own:
-                ok &= al <= bl  # each unordered pair of nodes once
+            ok = (al < ah) & (bl < bh) & (acc + more <= budget) & (al <= bl)  # each unordered pair of nodes once
             if ok.any():
                 parts.append(np.stack([al[ok], ah[ok], bl[ok], bh[ok], acc[ok] + more], axis=1))
         if parts:
             stack.append((d + 1, np.concatenate(parts)))
     at = np.flatnonzero(label != np.arange(len(label)))
-    whole = x if own else np.concatenate([x, y])
-    return whole[label[at]], whole[at]
+    return x[label[at]], x[at]
 
 
 def _split(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -> np.ndarray:
@@ -154,48 +145,78 @@ def _split(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -> np.
         lo = np.where(open_ & ~set_, mid + 1, lo)
 
 
-def _masks(depth: int, budget: int) -> list[int]:
-    return [m for m in range(1 << depth) if bin(m).count("1") <= budget]
+def _children(mask: int, vary: int, budget: int) -> list[int]:
+    """``mask`` with each of budget + 1 runs of the bits ``vary`` added: fingerprints that differ in at most ``budget`` of these bits agree on one of the runs."""
+    free = [i for i in range(63, -1, -1) if vary >> i & 1]
+    cuts = [len(free) * k // (budget + 1) for k in range(budget + 2)]
+    return [_signed(mask | sum(1 << i for i in free[lo:hi])) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _linked(blocks: DataFrame, budget: int) -> DataFrame:
+    """(a, b): links inside the blocks of (mask, value, fp); a task holds a few blocks at a time."""
+
+    def pairs(m: np.ndarray, v: np.ndarray, fp: np.ndarray):
+        block = np.concatenate([[0], np.cumsum((m[1:] != m[:-1]) | (v[1:] != v[:-1]))])
+        order = np.lexsort((fp, block))
+        a, b = walk(fp[order], np.flatnonzero(np.diff(block, prepend=-1)), budget)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    def run(batches):
+        held: list[tuple] = []
+        rows = 0
+        for batch in batches:
+            held.append(tuple(np.asarray(c) for c in batch.columns))
+            rows += batch.num_rows
+            if rows < HELD:
+                continue
+            m, v, fp = (np.concatenate(c) for c in zip(*held))
+            inner = np.flatnonzero((m[1:] != m[:-1]) | (v[1:] != v[:-1]))
+            if len(inner):  # the last block may go on in the next batch
+                end = inner[-1] + 1
+                yield pairs(m[:end], v[:end], fp[:end].view(np.uint64))
+                m, v, fp = m[end:].copy(), v[end:].copy(), fp[end:].copy()
+            held, rows = [(m, v, fp)], len(m)
+        if rows:
+            m, v, fp = (np.concatenate(c) for c in zip(*held))
+            yield pairs(m, v, np.ascontiguousarray(fp).view(np.uint64))
+
+    return blocks.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a long, b long")
 
 
 def links(distinct_fp: DataFrame, budget: int = MAX_BITS) -> DataFrame:
-    """(a, b): links that connect the same fingerprints as all pairs at most ``budget`` bits apart."""
-    count = distinct_fp.count()
-    depth = 0
-    while depth < DEEPEST and (count >> depth) > BLOCK:
-        depth += 1
-    prefix = F.shiftrightunsigned("fp", 64 - depth).cast("int") if depth else F.lit(0)
-
-    def pack(batches):
-        held: dict[int, list[np.ndarray]] = {}
+    """(a, b): links that connect the same fingerprints as all pairs at most ``budget`` bits apart.
+
+    A block is the fingerprints that agree on a mask of bits, one mask per run of
+    budget + 1 runs, so every linked pair meets in a block and each fingerprint
+    stands in budget + 1 of them at every size.  Blocks over the limit, counted by
+    Spark, are cut again in the same way along the bits that vary in them, until
+    none is left; a block of n fingerprints has log2(n) such bits at least.
+    """
+    first = F.explode(F.array(*[F.lit(c).cast("long") for c in _children(0, (1 << 64) - 1, budget)]))
+    keyed, level, found = distinct_fp.select(first.alias("mask"), "fp"), 0, []
+
+    def cut(batches):
         for b in batches:
-            p, v = np.asarray(b.column(0)), np.asarray(b.column(1))
-            order = np.argsort(p, kind="stable")
-            p, v = p[order], v[order]
-            cut = np.flatnonzero(np.diff(p)) + 1
-            for q, piece in zip(p[np.concatenate([[0], cut])].tolist() if len(p) else [], np.split(v, cut)):
-                held.setdefault(q, []).append(piece)
-        for q, pieces in held.items():
-            yield pa.RecordBatch.from_pydict({"p": pa.array([q], pa.int32()), "v": pa.array([np.concatenate(pieces).tobytes()], pa.binary())})
-
-    blocks = distinct_fp.select(prefix.alias("p"), "fp").mapInArrow(pack, "p int, v binary")
-    mask = F.explode(F.array(*[F.lit(m) for m in _masks(depth, budget)])).alias("m")
-    # the block of prefix p takes part in the units {p, p ^ m}
-    units = blocks.select("p", "v", mask).select(F.least("p", F.col("p").bitwiseXOR(F.col("m"))).alias("lo"), F.greatest("p", F.col("p").bitwiseXOR(F.col("m"))).alias("hi"), "p", "v")
-
-    def join(key, table):
-        lo, hi = (k.as_py() for k in key)
-        sides = {}
-        for q in {lo, hi}:
-            mine = table.filter(pc.equal(table.column("p"), q)).column("v").to_pylist()
-            sides[q] = np.sort(np.frombuffer(b"".join(mine), np.int64).view(np.uint64))
-        a, b = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        if len(sides[lo]) and len(sides[hi]):
-            a, b = walk(sides[lo], None if lo == hi else sides[hi], depth, budget)
-        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
-
-    n = max(int(distinct_fp.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return units.repartition(n, "lo", "hi").groupBy("lo", "hi").applyInArrow(join, "a long, b long")
+            rows = [(m, v, c) for m, v, x in zip(*(b.column(i).to_pylist() for i in range(3))) for c in _children(m % (1 << 64), x % (1 << 64), budget)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["mask", "value", "child"])
+
+    while True:
+        level += 1
+        keyed = keyed.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp")
+        limit = CROWDED if level <= 2 else DENSE
+        count = keyed.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("vary"))
+        crowded = stored(count.where(F.col("n") > limit).select("mask", "value", "vary"), "simhash-crowded")
+        if crowded.isEmpty():
+            found.append(_linked(keyed, budget))
+            return reduce(DataFrame.unionByName, found)
+        found.append(stored(_linked(keyed.join(sized(crowded), ["mask", "value"], "left_anti"), budget), "simhash-part"))
+        cuts = sized(stored(crowded.mapInArrow(cut, "mask long, value long, child long"), "simhash-cuts"))
+        # different blocks may be cut to the same mask
+        keyed = stored(keyed.join(cuts, ["mask", "value"]).select(F.col("child").alias("mask"), "fp").distinct(), "simhash-deeper")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, budget: int = MAX_BITS) -> DataFrame:

@@ -149,7 +149,7 @@ def test_trie_walk_finds_every_link(budget):
                     c[a] = c[b] = min(c[a], c[b])
                     moved = True
         return c
-    a, b = simhash_trie.walk(x, None, 0, budget)
+    a, b = simhash_trie.walk(x, np.array([0]), budget)
     want = [(int(p), int(q)) for i, p in enumerate(x) for q in x[i + 1:] if bin(int(p ^ q)).count("1") <= budget]
     assert classes(list(zip(a.tolist(), b.tolist()))) == classes(want)
 

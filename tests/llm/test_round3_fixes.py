@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reitlens.llm import common, entries, mixing, token_prefix, wrapper_html
+from reitlens.llm import common, entries, mixing, simhash_trie, token_prefix, wrapper_html
 from tests.conftest import SF_SMALL
 
 
@@ -87,3 +87,22 @@ def test_html_of_a_megabyte_takes_time_in_proportion():
         before = time.process_time()
         assert wrapper_html.main_text(page, set()) == want
         assert time.process_time() - before < 20, page[:20]
+
+
+def test_simhash_crowded_blocks_are_cut_until_none_is_left(spark, monkeypatch):
+    """A dense family beside random fingerprints: classes as by brute force, with the production limits and with small ones."""
+    r = np.random.default_rng(1)
+    base = r.integers(0, 2**63, 600, dtype=np.uint64)
+    near = [base[:80] ^ np.uint64(1 << int(r.integers(64))) ^ np.uint64(1 << int(r.integers(64))) for _ in range(3)]
+    dense = (base[0] & ~np.uint64(0xFFFF)) | r.integers(0, 1 << 16, 700, dtype=np.uint64)
+    x = np.unique(np.concatenate([base, *near, dense]))
+    i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4, 1))
+    want = simhash_trie._stars(len(x), i, j, np.arange(len(x)))
+    simhash_trie.ship(spark)
+    table = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long").repartition(4)
+    for crowded, dense_limit in ((simhash_trie.CROWDED, simhash_trie.DENSE), (60, 120)):
+        monkeypatch.setattr(simhash_trie, "CROWDED", crowded)
+        monkeypatch.setattr(simhash_trie, "DENSE", dense_limit)
+        got = simhash_trie.links(table).collect()
+        ends = [np.searchsorted(x, np.array([p[k] for p in got], np.int64).view(np.uint64)) for k in (0, 1)]
+        assert (simhash_trie._stars(len(x), *ends, np.arange(len(x))) == want).all()
