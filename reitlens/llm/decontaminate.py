@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reitlens.llm.common import BROADCAST_BYTES, mix, rolling, row_key, ship, split_words, stored, text_slices, without_rows, word_hashes
+from reitlens.llm.common import BROADCAST_BYTES, key_filter, may_hold, mix, rolling, row_key, ship, split_words, stored, text_slices, without_rows, word_hashes
 
 WINDOW = 13
 TOLERANCE = 2
@@ -91,14 +91,15 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int, toleran
 
 
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-             window: int = WINDOW, tolerance: int = TOLERANCE, shortest: int = SHORTEST, limit: int = BROADCAST_BYTES) -> DataFrame:
+             window: int = WINDOW, tolerance: int = TOLERANCE, shortest: int = SHORTEST, limit: int = BROADCAST_BYTES, named: bool = True) -> DataFrame:
     """(doc_id, item_id, word, width): verified overlaps, ``word`` is the first word of the window in the document.
 
     Null or empty texts hold no words and meet nothing; items under ``shortest``
     words are not searched.  Repeated items report under each id, repeated
     documents under each row.  The item hashes go to every task while their
-    measured size is within ``limit``; beyond it documents' masked hashes and
-    item hashes meet in a shuffle join.
+    measured size is within ``limit``; beyond it a bitmap of them, so that few
+    words of clean texts reach the join.  Windows that several items share are
+    verified once.  Without ``named`` the items' ids are left out.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -106,8 +107,10 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     widths = sorted(r[0] for r in grid.select("width").distinct().collect())  # at most ``window`` values
     seed_count = grid.count()
     id_type = docs.schema[doc_id].dataType.simpleString()
-    table = None
-    if seed_count * 8 <= limit:
+    table = bitmap = None
+    if seed_count * 8 > limit:
+        bitmap = spark.sparkContext.broadcast(key_filter(grid.select("seed").distinct(), "seed"))
+    else:
         table = spark.sparkContext.broadcast(np.sort(np.concatenate([np.asarray(r) for r in [grid.select("seed").distinct().toPandas()["seed"].to_numpy(np.int64)]])))
 
     def run(batches):
@@ -129,6 +132,8 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
                                 continue
                             near = np.minimum(np.searchsorted(wanted, k), len(wanted) - 1)
                             ok &= wanted[near] == k
+                        else:
+                            ok &= may_hold(bitmap.value, m)
                         at = at[ok]
                         for s in range(0, len(at), 1 << 16):
                             a = at[s:s + (1 << 16)]
@@ -138,13 +143,17 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
 
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     hits = src.mapInArrow(run, f"doc_id {id_type}, seed long, word int, own binary").withColumnRenamed("seed", "d_seed")
-    pairs = hits.join(grid, F.col("d_seed") == F.col("seed"))
+    windows = stored(grid.select("seed", "width", "words").distinct(), "decon-windows")
+    pairs = hits.join(windows, F.col("d_seed") == F.col("seed"))
     # words that agree, position by position, from 8-byte word hashes
     same = F.aggregate(F.sequence(F.lit(0), F.col("width") - 1), F.lit(0), lambda n, i: n + F.when(
         F.substring(F.col("own"), i * 8 + 1, F.lit(8)) == F.substring(F.col("words"), i * 8 + 1, F.lit(8)), 1).otherwise(0))
     limit_ = F.floor(F.lit(tolerance) * F.col("width") / F.lit(window))
     near = pairs.where((F.length("own") == F.length("words")) & (F.col("width") - same <= limit_))
-    return near.select("doc_id", "item_id", "word", "width").distinct()
+    if not named:
+        return near.select("doc_id", "word", "width").distinct()
+    of = grid.select("words", "item_id").distinct()
+    return near.select("doc_id", "word", "width", "words").distinct().join(of, "words").select("doc_id", "item_id", "word", "width").distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -157,5 +166,5 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options)
     """The rows of ``docs`` that overlap with no item; rows with one id or without an id are judged each by its own text."""
     text = options.pop("text", "text")
     rows = docs.select(row_key(doc_id, text).alias("doc_id"), F.col(text).alias("text"))
-    bad = stored(overlaps(rows, items, **options).select("doc_id.id", "doc_id.mark").distinct(), "decon-bad")
+    bad = stored(overlaps(rows, items, named=False, **options).select("doc_id.id", "doc_id.mark").distinct(), "decon-bad")
     return without_rows(docs, bad, doc_id, text)

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reitlens.llm import common, entries, mixing, simhash_trie, token_prefix, wrapper_html
+from reitlens.llm import common, decontaminate, entries, mixing, simhash_trie, token_prefix, wrapper_html
 from tests.conftest import SF_SMALL
 
 
@@ -106,3 +106,37 @@ def test_simhash_crowded_blocks_are_cut_until_none_is_left(spark, monkeypatch):
         got = simhash_trie.links(table).collect()
         ends = [np.searchsorted(x, np.array([p[k] for p in got], np.int64).view(np.uint64)) for k in (0, 1)]
         assert (simhash_trie._stars(len(x), *ends, np.arange(len(x))) == want).all()
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Every window of every document against every window of every item; items of 3 to 30 words, some of them twice."""
+    rnd = random.Random(7)
+    vocab = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    items = [(i, " ".join(rnd.choices(vocab, k=rnd.choice([3, 5, 6, 9, 12, 13, 14, 30])))) for i in range(24)]
+    items += [(100 + i, text) for i, text in items[:6]] + [(200, None), (201, "")]
+    docs = [(None, None), (-1, "")]
+    for d in range(60):
+        words = rnd.choices(vocab, k=rnd.randrange(20))
+        for _, text in rnd.sample(items[:24], rnd.randrange(3)):
+            copy = text.split()
+            for at in rnd.sample(range(len(copy)), min(rnd.randrange(4), len(copy))):
+                copy[at] = rnd.choice(vocab)
+            words += copy + rnd.choices(vocab, k=rnd.randrange(5))
+        docs.append((d, " ".join(words)))
+    want = set()
+    for i, item in items:
+        x = (item or "").split()
+        w = min(13, len(x))
+        if w < decontaminate.SHORTEST:
+            continue
+        for d, text in docs:
+            y = (text or "").split()
+            for p in range(len(y) - w + 1):
+                if any(sum(a != b for a, b in zip(x[k:k + w], y[p:p + w])) <= 2 * w // 13 for k in range(len(x) - w + 1)):
+                    want.add((d, i, p, w))
+    table, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 100
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        assert {tuple(r) for r in decontaminate.overlaps(table, tests, limit=limit).collect()} == want
+    hit = {d for d, *_ in want}
+    assert {r.doc_id for r in decontaminate.clean(table, tests, limit=0).collect()} == {d for d, _ in docs} - hit
