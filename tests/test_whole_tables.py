@@ -12,6 +12,7 @@ from scripts.oracle_check import rows_of
 SF = "/root/testdata/sf0.001"
 WHOLE = (
     "reit_fundamentals",
+    "latest_metric",
 )
 
 
