@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.001"
 WHOLE = (
     "reit_fundamentals",
     "latest_metric",
+    "join_latest_metric",
 )
 
 
