@@ -14,6 +14,7 @@ WHOLE = (
     "reit_fundamentals",
     "latest_metric",
     "join_latest_metric",
+    "filter_fiscal_year",
 )
 
 
