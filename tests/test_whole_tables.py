@@ -15,6 +15,7 @@ WHOLE = (
     "latest_metric",
     "join_latest_metric",
     "filter_fiscal_year",
+    "get_by_sector",
 )
 
 
