@@ -16,6 +16,7 @@ WHOLE = (
     "join_latest_metric",
     "filter_fiscal_year",
     "get_by_sector",
+    "agg_peer_avg",
 )
 
 
