@@ -17,6 +17,7 @@ WHOLE = (
     "filter_fiscal_year",
     "get_by_sector",
     "agg_peer_avg",
+    "peer_comparison_etl",
 )
 
 
