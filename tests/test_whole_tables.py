@@ -18,6 +18,7 @@ WHOLE = (
     "get_by_sector",
     "agg_peer_avg",
     "peer_comparison_etl",
+    "agg_sector_benchmarks_etl",
 )
 
 
