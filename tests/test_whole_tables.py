@@ -19,6 +19,7 @@ WHOLE = (
     "agg_peer_avg",
     "peer_comparison_etl",
     "agg_sector_benchmarks_etl",
+    "agg_sector_benchmarks",
 )
 
 
