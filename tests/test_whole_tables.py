@@ -20,6 +20,7 @@ WHOLE = (
     "peer_comparison_etl",
     "agg_sector_benchmarks_etl",
     "agg_sector_benchmarks",
+    "peer_comparison",
 )
 
 
