@@ -21,6 +21,7 @@ WHOLE = (
     "agg_sector_benchmarks_etl",
     "agg_sector_benchmarks",
     "peer_comparison",
+    "sector_peers",
 )
 
 
