@@ -22,6 +22,7 @@ WHOLE = (
     "agg_sector_benchmarks",
     "peer_comparison",
     "sector_peers",
+    "dividend_safety",
 )
 
 
