@@ -23,6 +23,7 @@ WHOLE = (
     "peer_comparison",
     "sector_peers",
     "dividend_safety",
+    "valuation",
 )
 
 
