@@ -24,6 +24,7 @@ WHOLE = (
     "sector_peers",
     "dividend_safety",
     "valuation",
+    "property_analysis",
 )
 
 
