@@ -25,6 +25,7 @@ WHOLE = (
     "dividend_safety",
     "valuation",
     "property_analysis",
+    "score_fundamental",
 )
 
 
