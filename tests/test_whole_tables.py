@@ -26,6 +26,7 @@ WHOLE = (
     "valuation",
     "property_analysis",
     "score_fundamental",
+    "score_valuation",
 )
 
 
