@@ -27,6 +27,7 @@ WHOLE = (
     "property_analysis",
     "score_fundamental",
     "score_valuation",
+    "score_sentiment",
 )
 
 
