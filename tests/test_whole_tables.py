@@ -28,6 +28,7 @@ WHOLE = (
     "score_fundamental",
     "score_valuation",
     "score_sentiment",
+    "load_reits",
 )
 
 
