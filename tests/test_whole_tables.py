@@ -29,6 +29,7 @@ WHOLE = (
     "score_valuation",
     "score_sentiment",
     "load_reits",
+    "load_metrics",
 )
 
 
