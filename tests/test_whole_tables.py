@@ -30,6 +30,7 @@ WHOLE = (
     "score_sentiment",
     "load_reits",
     "load_metrics",
+    "reit_scalars",
 )
 
 
