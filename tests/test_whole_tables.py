@@ -31,6 +31,7 @@ WHOLE = (
     "load_reits",
     "load_metrics",
     "reit_scalars",
+    "metric_scalars",
 )
 
 
