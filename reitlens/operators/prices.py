@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reitlens import constants as K
-from reitlens.functions.exact import UNITS, from_units, ratio_round, round_div, to_units
+from reitlens.functions.exact import UNITS, WHOLE, from_units, ratio_round, round_div, to_units
 
 STANDARD_LABELS = dict(K.RETURN_PERIODS)
 
@@ -172,27 +172,31 @@ def market_correlation(prices: DataFrame, reits: DataFrame, rates: DataFrame) ->
 
     ``rates`` has one row per price date with ``fed_funds_rate``, ``treasury_10y``
     and ``treasury_2y`` (``operators.asof.asof_rates``).  Averages use partial
-    frames at the start of a history; they are exact sums rounded half-up.
+    frames at the start of a history; they are exact sums rounded half-up, taken
+    as differences of running totals, so a row costs the same for every frame.
+    Rates are broadcast: one row per date is bounded by the calendar.
     """
-    p = prices.select("ticker", "date", "close", "volume")
-    j = p.join(reits.select("ticker", "sector", "sub_sector"), "ticker")
     w = Window.partitionBy("ticker").orderBy("date")
-    prev = F.lag("close").over(w)
-    cu = to_units("close")
-    prev_u = F.lag(cu).over(w)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    frames = (20, 50)
+    p = prices.select("ticker", "date", "close", "volume", to_units("close").alias("_u"))
+    running = p.select(
+        "*", F.lag("close").over(w).alias("prev_close"), F.lag("_u").over(w).alias("_prev_u"), F.row_number().over(w).alias("_k"),
+        F.coalesce(F.sum("_u").over(upto), F.lit(0).cast(WHOLE)).alias("_total"), F.count("_u").over(upto).alias("_known"))
+    back = running.select("*", *[F.lag(c, n).over(w).alias(f"{c}_{n}") for n in frames for c in ("_total", "_known")])
 
     def ma(rows: int) -> Column:
-        fw = w.rowsBetween(-(rows - 1), 0)
-        return from_units(round_div(F.sum(cu).over(fw), F.count(F.lit(1)).over(fw) * (UNITS // 100)), 2)
-
-    out = j.select(
-        "ticker", "sector", "sub_sector", "date", F.col("close").alias("price"), "volume",
-        prev.alias("prev_close"),
-        F.when(prev_u > 0, ratio_round((cu - prev_u) * 100, prev_u, 4)).alias("daily_return_pct"),
-        ma(20).alias("ma_20"),
-        ma(50).alias("ma_50"),
+        known = F.col("_known") - F.coalesce(f"_known_{rows}", F.lit(0))
+        total = F.col("_total") - F.coalesce(f"_total_{rows}", F.lit(0).cast(WHOLE))
+        return F.when(known > 0, from_units(round_div(total, F.least("_k", F.lit(rows)) * (UNITS // 100)), 2))
+
+    u, prev_u = F.col("_u"), F.col("_prev_u")
+    out = back.join(reits.select("ticker", "sector", "sub_sector"), "ticker").select(
+        "ticker", "sector", "sub_sector", "date", F.col("close").alias("price"), "volume", "prev_close",
+        F.when(prev_u > 0, ratio_round((u - prev_u) * 100, prev_u, 4)).alias("daily_return_pct"),
+        *[ma(n).alias(f"ma_{n}") for n in frames],
     )
-    out = out.join(rates, "date", "left")
+    out = out.join(F.broadcast(rates), "date", "left")
     return out.select(
         "ticker", "sector", "sub_sector", "date", "price", "volume",
         "fed_funds_rate", "treasury_10y", "treasury_2y", "prev_close", "daily_return_pct",

@@ -114,6 +114,26 @@ def test_market_correlation_partial_frames_and_nulls(spark):
                                             + __import__("fractions").Fraction(str(data[1][1]))) / 2 * 100) / 100
 
 
+def test_market_correlation_averages_cost_the_same_for_every_frame(spark):
+    from fractions import Fraction
+
+    from tests.test_late_fetch import explained
+    data = series(130)
+    rows = [("T", d, None if 30 <= i < 85 else c, 1) for i, (d, c) in enumerate(data)]  # more missing closes than a frame holds
+    df = spark.createDataFrame(rows, "ticker string, date date, close double, volume long")
+    reits = spark.createDataFrame([("T", "Retail", "Mall")], "ticker string, sector string, sub_sector string")
+    rates = spark.createDataFrame([(data[0][0], 1.0, 2.0, 3.0)], "date date, fed_funds_rate double, treasury_10y double, treasury_2y double")
+    view = PR.market_correlation(df, reits, rates)
+    assert "specifiedwindowframe(RowFrame, -19" not in explained(view) and "specifiedwindowframe(RowFrame, -49" not in explained(view)
+    out = sorted(view.collect(), key=lambda r: r["date"])
+    for i, r in enumerate(out):
+        for n in (20, 50):
+            frame_rows = [c for _, _, c, _ in rows[max(0, i - n + 1):i + 1]]
+            known = [Fraction(str(c)) for c in frame_rows if c is not None]
+            assert r[f"ma_{n}"] == (_half_up_int(sum(known) / len(frame_rows) * 100) / 100 if known else None), (i, n)
+        assert r["prev_close"] == (rows[i - 1][2] if i else None)
+
+
 def test_asof_before_on_and_between_observations(spark):
     obs = spark.createDataFrame([("S", dt.date(2024, 1, 10), 1.0), ("S", dt.date(2024, 1, 20), 2.0),
                                  ("S", dt.date(2024, 1, 20), 2.5), ("S", dt.date(2024, 1, 25), None)],
