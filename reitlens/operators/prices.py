@@ -59,8 +59,8 @@ def _latest_cols() -> list[Column]:
             F.count(F.lit(1)).alias("_n")]
 
 
-def _per_ticker(h: DataFrame, periods: Sequence[int], windows: Sequence[int]) -> DataFrame:
-    aggs = _latest_cols()
+def _per_ticker(h: DataFrame, periods: Sequence[int], windows: Sequence[int], *more: Column) -> DataFrame:
+    aggs = [*_latest_cols(), *more]
     for p in periods:
         aggs.append(F.max(F.when(F.col("rn") == p + 1, F.col("close_u"))).alias(f"_past_{p}"))
     for w in windows:
@@ -130,9 +130,11 @@ def volatility(prices: DataFrame, window: int = K.VOLATILITY_WINDOW,
 def price_metrics(prices: DataFrame, periods: Sequence[int] = tuple(p for p, _ in K.RETURN_PERIODS),
                   windows: Sequence[int] = K.MA_WINDOWS, window: int = K.VOLATILITY_WINDOW,
                   history_rows: int | None = None) -> DataFrame:
-    """Flat summary per ticker: latest price/date/volume, returns, averages, volatility."""
+    """Flat summary per ticker: latest price/date/volume, returns, averages, volatility; one pass over the history."""
     h = history(prices, history_rows)
-    g = _per_ticker(h, periods, windows).join(_volatility(h, window), "ticker", "left")
+    older = F.lead("close", 1).over(Window.partitionBy("ticker").orderBy(F.col("date").desc()))
+    h = h.withColumn("r", F.when(F.col("rn") <= window, F.try_divide(F.col("close") - older, older)))
+    g = _per_ticker(h, periods, windows, F.stddev_pop("r").alias("_sd"))
     return g.select("ticker", "price", "date", "volume", *_return_cols(periods),
                     *_ma_cols(windows), *_vol_cols(window))
 

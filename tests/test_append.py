@@ -171,3 +171,12 @@ def test_landed_filings_take_files_by_bytes(spark, monkeypatch):
     assert sorted(tuple(r) for r in landed.select(*rows.columns).collect()) == sorted(tuple(r) for r in rows.collect())
     ST.run_available_now(ST.landed_filings_stream(spark, path), out, f"{out}-ckpt")
     assert {(r.ticker, r.form_type, r.accession) for r in spark.read.parquet(out).collect()} == {(r.ticker, r.form_type, r.accession) for r in rows.collect()}
+
+
+def test_signals_of_all_writes_come_from_one_report(spark, monkeypatch):
+    read = []
+    real = W.sink_signals
+    monkeypatch.setattr(W, "sink_signals", lambda rows, path: (read.append({f.rsplit("/", 1)[0] for f in rows.inputFiles()}), real(rows, path)))
+    rows = E.queries()["sink_signals"](spark, SF_SMALL).collect()
+    assert len(rows) == 2 * len({r.ticker for r in rows})
+    assert len(read) == 4 and len(set().union(*read)) == 1 and "report-" in next(iter(read[0]))  # before: every write read the lake
