@@ -180,3 +180,24 @@ def test_signals_of_all_writes_come_from_one_report(spark, monkeypatch):
     rows = E.queries()["sink_signals"](spark, SF_SMALL).collect()
     assert len(rows) == 2 * len({r.ticker for r in rows})
     assert len(read) == 4 and len(set().union(*read)) == 1 and "report-" in next(iter(read[0]))  # before: every write read the lake
+
+
+def test_both_versions_of_the_views_come_from_one_computation(spark, monkeypatch):
+    read = []
+    real = W.sink_views
+    monkeypatch.setattr(W, "sink_views", lambda s, views, root: (read.append({n: {f.rsplit("/", 1)[0] for f in df.inputFiles()} for n, df in views.items()}), real(s, views, root)))
+    rows = E.queries()["sink_views"](spark, SF_SMALL).collect()
+    assert len(rows) == 3 and all(r.n_rows > 1 for r in rows)
+    assert len(read) == 2 and read[0] == read[1]
+    assert all(len(places) == 1 and f"/{name}-" in next(iter(places)) for name, places in read[0].items())  # before: both versions read the lake
+
+
+@pytest.mark.parametrize("name", ["dividend_safety", "valuation"])
+def test_a_missing_side_is_an_error_of_the_operator(spark, name):
+    from reitlens.operators import peers as PE
+    from reitlens.sources import bind
+    from reitlens.sources.tables import lake_for
+
+    lake = lake_for(spark, SF_SMALL)
+    rows = getattr(PE, name)(bind.reits(lake, listed_only=True), bind.financial_metrics(lake, reporting_only=True)).collect()
+    assert sorted(r.ticker for r in rows if r.error) == ["R4", "R9"] and len(rows) == 10
